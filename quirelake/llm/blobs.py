@@ -61,7 +61,20 @@ def decode(blob: bytes) -> np.ndarray:
     return out
 
 
-def cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+def cuts(keys: np.ndarray, shards: int, bits: int = KEY_BITS) -> np.ndarray:
     """shards + 1 places at which sorted keys pass to the next shard."""
-    edges = np.array([(i << KEY_BITS) // shards for i in range(shards)], np.uint64)
+    edges = np.array([(i << bits) // shards for i in range(shards)], np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Counts, a byte each; those of 255 and more follow in full."""
+    small = np.minimum(values, 255).astype(np.uint8)
+    return np.uint32(len(small)).tobytes() + small.tobytes() + values[small == 255].astype("<u8").tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    out = np.frombuffer(blob, np.uint8, n, 4).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<u8", offset=4 + n).astype(np.int64)
+    return out

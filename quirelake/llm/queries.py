@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirelake.llm import exact_dedup, packing, substring_dedup
+from quirelake.llm import exact_dedup, lm_scoring, packing, substring_dedup
 
 #: A file of a public tokenizer: a parameter, read where it is installed.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -22,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket(column: str, n: int):
+    """crc32 of a column as text, modulo n."""
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), bucket("doc_id", 5) == 1)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("intervals")
 
@@ -35,6 +45,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_lm_scoring": op3_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_packing": op10_packing,
