@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import exact_dedup, lm_scoring, packing, substring_dedup
+from quirelake.llm import exact_dedup, lm_scoring, ngram_join, packing, substring_dedup
 
 #: A file of a public tokenizer: a parameter, read where it is installed.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), bucket("doc_id", 5) == 1)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("intervals")
 
@@ -46,11 +50,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
 }
