@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import exact_dedup, lm_scoring, ngram_join, packing, substring_dedup
+from quirelake.llm import decontaminate, exact_dedup, language_id, license_scan, lm_scoring, ngram_join, packing, substring_dedup
 
 #: A file of a public tokenizer: a parameter, read where it is installed.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -28,6 +28,17 @@ def bucket(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(bucket("doc_id", 3) == 1, F.lit(False))
+    model = language_id.train(docs, ~held_out)
+    return language_id.predict(docs, model, [F.col("doc_id"), held_out.alias("held_out")])
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), bucket("doc_id", 5) == 1)
 
@@ -44,15 +55,22 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_language_id": op2_language_id,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {
