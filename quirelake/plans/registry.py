@@ -5,15 +5,651 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelake.functions import geometry as G
+from quirelake.functions import text as T
+from quirelake.operators import fusion, jobs, layout, media, quality, tables, units
+from quirelake.plans.inputs import LINES, cte, source
+
+_W = r"[\s\x0b\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def _compact(x: str) -> str:
+    return rf"replace(lower(regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->|[`#*_~>|\[\](){{}}-]', '', 'g'), '{_W}', '', 'g')), 'ß', 'ss')"
+
+
+def _norm(x: str) -> str:
+    return f"replace(lower(replace(regexp_replace(coalesce({x}, ''), '{_W}', '', 'g'), '−', '-')), 'ß', 'ss')"
+
+
+def query(oracle: str | None, name: str | None = None):
+    """Registers a query with its SQL. Whole numbers are returned as bigint."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*(F.col(c).cast("bigint").alias(c) if k in ("int", "smallint", "tinyint") else F.col(c) for c, k in df.dtypes))
+
+        _QUERIES[name or f.__name__] = run
+        if oracle:
+            _ORACLE[name or f.__name__] = oracle
+        return f
+
+    return put
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["quality_summary"](spark, sf_dir)
+    return _QUERIES["quality_summary"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def _with_box(df: DataFrame) -> DataFrame:
+    return df.withColumn("bbox", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).drop("x0", "y0", "x1", "y1")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql("SELECT * FROM " + LINES.format(lineitem=f"parquet.`{d}/lineitem.parquet`"))
+
+
+# ---- text --------------------------------------------------------------------------------------
+
+
+@query(f"{cte('marked')} SELECT doc_id, md5({_compact('text')}) AS h, length({_compact('text')}) AS n FROM marked")
+def compact_text(spark, d):
+    c = T.compact_text(F.col("text"))
+    return source(spark, d, "marked").select("doc_id", F.md5(c).alias("h"), F.char_length(c).alias("n"))
+
+
+@query(f"{cte('marked')} SELECT doc_id, md5({_norm('text')}) AS h FROM marked")
+def normalized(spark, d):
+    return source(spark, d, "marked").select("doc_id", F.md5(T.normalized(F.col("text"))).alias("h"))
+
+
+@query(rf"{cte('marked')} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([-−]?\(?\d[\d,]*(?:\.\d+)?%?\)?)', 1), lambda n: replace(regexp_replace(n, '[\s,]', '', 'g'), '−', '-')), ' ') AS tokens FROM marked")
+def number_tokens(spark, d):
+    return source(spark, d, "marked").select("doc_id", F.array_join(T.number_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(rf"{cte('marked')} SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d{{4}}\s*年\s*\d{{1,2}}\s*月\s*\d{{1,2}}\s*日'), lambda x: regexp_replace(x, '\s+', '', 'g')))), ' ') AS dates FROM marked")
+def date_tokens(spark, d):
+    return source(spark, d, "marked").select("doc_id", F.array_join(T.date_tokens(F.col("text")), " ").alias("dates"))
+
+
+@query(f"{cte('pages_q')} SELECT content_id, coalesce(regexp_matches(content, '(?:[犀-狿][ \\t]*){{6,}}'), false) AS bad FROM pages_q")
+def mojibake(spark, d):
+    return source(spark, d, "pages_q").select("content_id", T.mojibake(F.col("content")).alias("bad"))
+
+
+@query(f"{cte('pages_q')} SELECT content_id, CASE WHEN length(content) > 0 THEN (length(content) - length(replace(content, '�', '')))::DOUBLE / length(content) END AS ratio FROM pages_q")
+def replacement_ratio(spark, d):
+    return source(spark, d, "pages_q").select("content_id", T.replacement_ratio(F.col("content")).alias("ratio"))
+
+
+@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(html, '\r\n?', chr(10), 'g'), chr(0), ''), '[ \t]+(\n|$)', '\1', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM pages")
+def md_normalize(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(T.markdown_normalized(F.col("html"))).alias("h"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(trim(replace(html, chr(10), ' ')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '&#124;')) AS h FROM pages")
+def gfm_escape(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(T.gfm_cell(F.col("html"))).alias("h"))
+
+
+@query(f"{cte('pages_q')}, l AS (SELECT content_id, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM pages_q) SELECT content_id, md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT starts_with(ltrim(l), '|') AND NOT starts_with(trim(l), '<!--')), '')) AS h FROM l GROUP BY content_id")
+def plain_lines(spark, d):
+    return source(spark, d, "pages_q").select("content_id", F.md5(T.plain_lines(F.col("content"))).alias("h"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars * 500 < 1024 THEN (n_chars * 500) || ' B' WHEN n_chars * 500 < 1048576 THEN (n_chars * 500 // 1024) || ' KiB' ELSE (n_chars * 500 // 1048576) || ' MiB' END AS size FROM documents")
+def bytes_format(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.bytes_format(F.col("n_chars") * 500).alias("size"))
+
+
+@query(f"""{cte('marked')}, c AS (SELECT doc_id, string_split(text, ' ')[1:6] AS cells FROM marked) SELECT doc_id, array_to_string(list_transform(cells, lambda c: replace(lower(regexp_replace(c, '{_W}', '', 'g')), 'ß', 'ss')), '|') AS sig FROM c""")
+def header_signature(spark, d):
+    return source(spark, d, "marked").select("doc_id", T.header_signature(F.slice(F.split("text", " "), 1, 6)).alias("sig"))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, ' ', ''))) >= 20 AND (length(text) - length(replace(text, ' ', '')))::DOUBLE / greatest(length(replace(text, ' ', '')), 1) >= 0.08 AS polluted FROM documents")
+def spacing_pollution(spark, d):
+    gone = F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))
+    seen = F.greatest(F.char_length(F.replace("text", F.lit(" "), F.lit(""))), F.lit(1))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", ((gone >= 20) & (gone / seen >= 0.08)).alias("polluted"))
+
+
+# ---- units and routing -------------------------------------------------------------------------
+
+
+@query(rf"""{cte('uploads')}, i AS (SELECT doc_id AS id, units + 1 AS total, value, CASE WHEN value IS NULL THEN NULL ELSE list_transform(string_split(value, ','), lambda x: trim(x)) END AS items FROM uploads),
+b AS (SELECT *, list_transform(items, lambda x: regexp_extract(x, '^[0-9]+')) AS lo, list_transform(items, lambda x: regexp_extract(x, '[0-9]+$')) AS hi FROM i),
+e AS (SELECT id, total, lo, hi, CASE WHEN value IS NULL THEN NULL WHEN list_contains(items, '') THEN 'empty_item' WHEN list_bool_or(list_transform(range(1, len(items) + 1), lambda k: lo[k]::BIGINT > hi[k]::BIGINT)) THEN 'reversed'
+  WHEN list_bool_or(list_transform(hi, lambda x: x::BIGINT > total)) THEN 'beyond_total' END AS error FROM b)
+SELECT id, NULL::BIGINT AS unit, error FROM e WHERE error IS NOT NULL
+UNION ALL SELECT id, unnest(range(1, total + 1)) AS unit, NULL FROM e WHERE lo IS NULL
+UNION ALL SELECT DISTINCT id, unnest(flatten(list_transform(range(1, len(lo) + 1), lambda k: range(lo[k]::BIGINT, hi[k]::BIGINT + 1)))) AS unit, NULL FROM e WHERE error IS NULL AND lo IS NOT NULL""")
+def unit_range_expand(spark, d):
+    return units.unit_range_expand(source(spark, d, "uploads").selectExpr("doc_id id", "value", "units + 1 as total"))
+
+
+_RUNS = f"""{cte('units')}, u AS (SELECT DISTINCT content_id, unit FROM units), r AS (SELECT content_id, unit, unit - row_number() OVER (PARTITION BY content_id ORDER BY unit) AS run FROM u), g AS (SELECT content_id, min(unit) AS first, max(unit) AS last FROM r GROUP BY content_id, run)"""
+
+
+@query(f"{_RUNS} SELECT content_id, string_agg(CASE WHEN first = last THEN first::VARCHAR ELSE first || '-' || last END, ',' ORDER BY first) AS units FROM g GROUP BY content_id")
+def unit_range_format(spark, d):
+    return units.unit_range_format(source(spark, d, "units"), "content_id", "unit")
+
+
+@query(f"{_RUNS} SELECT content_id, first, last FROM g")
+def consecutive_groups(spark, d):
+    return units.consecutive_groups(source(spark, d, "units"), "content_id", "unit")
+
+
+@query(rf"""{cte('uploads')}, s AS (SELECT doc_id, units, value, list_transform(string_split(value, ','), lambda x: trim(x)) AS items FROM uploads)
+SELECT doc_id, coalesce(list_bool_and(list_transform(items, lambda x: regexp_matches(x, '^[1-9][0-9]*(\s*-\s*[1-9][0-9]*)?$'))) AND list_bool_or(list_transform(items, lambda x: coalesce(try_cast(regexp_extract(x, '^[0-9]+') AS BIGINT) <= units AND try_cast(regexp_extract(x, '[0-9]+$') AS BIGINT) >= units, false))), false) AS inside FROM s""")
+def unit_range_contains(spark, d):
+    rows = source(spark, d, "uploads")
+    items = F.transform(F.split("value", ","), lambda x: F.trim(x))
+    ok = F.forall(items, lambda x: x.rlike(r"^[1-9][0-9]*(\s*-\s*[1-9][0-9]*)?$"))
+    return rows.select("doc_id", F.coalesce(F.when(ok, units.unit_range_contains(F.col("value"), F.col("units"))), F.lit(False)).alias("inside"))
+
+
+@query(f"{cte('units')}, n AS (SELECT content_id, unnest([unit - 1, unit, unit + 1]) AS unit, total FROM units) SELECT DISTINCT content_id, unit FROM n WHERE unit BETWEEN 1 AND total")
+def nearby_pages(spark, d):
+    return units.nearby_units(source(spark, d, "units"), "content_id", "unit", "total")
+
+
+@query(f"""{cte('evidence')} SELECT doc_id, CASE WHEN chars < 40 AND cover < 0.05 AND coalesce(ink < 0.015, false) THEN 'sparse' WHEN chars >= 40 AND cover < 0.2 THEN 'native' WHEN chars < 40 AND (cover >= 0.8 OR coalesce(ink >= 0.03, false)) THEN 'scanned' ELSE 'mixed' END AS kind FROM evidence""")
+def page_source_kind(spark, d):
+    return source(spark, d, "evidence").select("doc_id", units.page_source_kind(F.col("chars"), F.col("cover"), F.col("ink")).alias("kind"))
+
+
+@query(f"""{cte('evidence')} SELECT doc_id, CASE WHEN failed THEN CASE WHEN chars >= 80 OR (chars >= 40 AND coalesce(ink, 0) >= 0.02 AND cover >= 0.55) THEN 'document' WHEN chars >= 15 THEN 'mixed' WHEN cover >= 0.4 OR coalesce(ink, 0) < 0.08 THEN 'visual' ELSE 'unknown' END
+  ELSE CASE WHEN chars >= 80 THEN 'document' WHEN chars >= 15 THEN 'mixed' WHEN chars = 0 THEN 'visual' ELSE 'unknown' END END AS class FROM evidence""")
+def image_class(spark, d):
+    return source(spark, d, "evidence").select("doc_id", units.image_class(F.col("chars"), F.col("cover"), F.col("ink"), F.col("failed")).alias("class"))
+
+
+@query(f"""{cte('evidence')} SELECT doc_id, CASE WHEN ink >= 0.02 THEN CASE WHEN (h >= 3 AND v >= 3 AND grid_area >= 0.25) OR (failed AND regions > 0) THEN 'table' WHEN hint AND (placeholder OR cover >= 0.2 OR repeated) THEN 'signature' END END AS target FROM evidence""")
+def visual_targets(spark, d):
+    c = F.col
+    kind = F.when(c("ink") >= 0.02, "scanned").otherwise("native")
+    return source(spark, d, "evidence").select("doc_id", units.visual_target(kind, c("h"), c("v"), c("grid_area"), c("failed"), c("regions"), c("hint"), c("placeholder"), c("cover"), c("repeated")).alias("target"))
+
+
+@query(f"{cte('evidence')} SELECT doc_id, h >= 3 AND v >= 3 AS complex FROM evidence")
+def complex_grid(spark, d):
+    return source(spark, d, "evidence").select("doc_id", units.complex_grid(F.col("h"), F.col("v")).alias("complex"))
+
+
+@query(f"{cte('evidence')} SELECT doc_id, coalesce(CASE WHEN v >= 3 AND v > 1.35 * h AND grid_h > 1.1 * grid_w THEN 90 WHEN width > 1.1 * height THEN 0 WHEN h >= 3 AND h > 1.35 * v THEN 0 END, rotation)::BIGINT AS degrees FROM evidence")
+def rotation_guess(spark, d):
+    c = F.col
+    return source(spark, d, "evidence").select("doc_id", units.rotation_guess(c("h"), c("v"), c("grid_w"), c("grid_h"), c("width"), c("height"), c("rotation")).alias("degrees"))
+
+
+@query(f"{cte('uploads')} SELECT doc_id, CASE WHEN mode = 'async' OR starts_with(mime, 'video/') OR size > 20971520 OR units > 10 THEN 'async' ELSE 'sync' END AS route FROM uploads")
+def sync_async_route(spark, d):
+    c = F.col
+    return source(spark, d, "uploads").select("doc_id", units.route(c("mode"), c("mime"), c("size"), c("units")).alias("route"))
+
+
+@query(f"{cte('uploads')} SELECT doc_id, CASE WHEN starts_with(mime, 'video/') AND value IS NOT NULL THEN 'invalid_unit_range' WHEN (contains(mime, 'wordprocessingml') OR (starts_with(mime, 'image/') AND mime <> 'image/tiff')) AND value <> '1' THEN 'invalid_unit_range' END AS error FROM uploads")
+def selection_valid(spark, d):
+    return source(spark, d, "uploads").select("doc_id", units.selection_error(F.col("mime"), F.col("value")).alias("error"))
+
+
+@query(f"{cte('uploads')} SELECT doc_id, CASE WHEN contains(mime, 'presentationml') THEN 'slide' WHEN starts_with(mime, 'video/') THEN 'frame' WHEN mime IN ('application/pdf', 'image/tiff') THEN 'page' ELSE 'asset' END AS unit FROM uploads")
+def progress_unit(spark, d):
+    return source(spark, d, "uploads").select("doc_id", units.progress_unit(F.col("mime")).alias("unit"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'qwen' WHEN doc_id % 4 = 1 THEN 'glm' WHEN doc_id % 4 = 2 THEN 'native' ELSE 'docling' END AS kind FROM documents")
+def source_kind_norm(spark, d):
+    name = F.expr("CASE doc_id % 4 WHEN 0 THEN 'My-VLM' WHEN 1 THEN 'sdk_remote' WHEN 2 THEN 'PyMuPDF text' ELSE 'other' END")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", units.source_kind_norm(name).alias("kind"))
+
+
+# ---- quality -----------------------------------------------------------------------------------
+
+_FRAGMENTS = rf"""l AS (SELECT content_id, page_number, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM pages_q),
+prose AS (SELECT content_id, page_number, regexp_replace(string_agg(l, chr(10) ORDER BY i), '(?i)https?://[^\s|）)]+', '', 'g') AS p FROM l WHERE NOT starts_with(ltrim(l), '|') AND NOT starts_with(trim(l), '<!--') GROUP BY ALL),
+f AS (SELECT content_id, page_number, regexp_replace(unnest(regexp_split_to_array(p, '[\n。！？.!?]+')), '^\s+|\s+$', '', 'g') AS f FROM prose),
+rep AS (SELECT content_id, page_number, max(n)::BIGINT AS repeat_count FROM (SELECT content_id, page_number, f, count(*) AS n FROM f WHERE length(f) BETWEEN 4 AND 120 AND NOT regexp_matches(f, '(?i)(?:https?://|www\.)') GROUP BY ALL HAVING count(*) >= 5) GROUP BY ALL)"""
+
+
+@query(f"{cte('pages_q')}, {_FRAGMENTS} SELECT content_id, page_number, repeat_count FROM rep")
+def repeat_fragments(spark, d):
+    return quality.repeat_fragments(source(spark, d, "pages_q"), ["content_id", "page_number"])
+
+
+_CODES = rf"""{_FRAGMENTS}, b AS (SELECT * REPLACE (regexp_replace(content, '^{_W}+|{_W}+$', '', 'g') AS content) FROM pages_q),
+k AS (SELECT b.*, repeat_count, status <> 'failed' AS live,
+  content = '|1|2|3|4|5|6|7|8|9|a|b|c|d|e|f|g|h|i|j|k|l|m|n|o|p|q|' AS wide, content = '| same | same | same | same | same | x |' AS same FROM b LEFT JOIN rep USING (content_id, page_number)),
+c AS (SELECT *, list_sort(list_filter([
+  CASE WHEN content = '' AND live THEN 'no_usable_content' END,
+  CASE WHEN source_kind = 'sparse' AND content <> '' AND live THEN 'intentional_sparse_page' END,
+  CASE WHEN source_kind <> 'sparse' AND content <> '' AND live AND length(content) < 12 THEN 'low_text_content' END,
+  CASE WHEN live AND content <> '' AND (length(content) - length(replace(content, '�', '')))::DOUBLE / length(content) > 0.02 THEN 'high_replacement_character_ratio' END,
+  CASE WHEN live AND repeat_count IS NOT NULL THEN 'repeated_text' END,
+  CASE WHEN live AND same THEN 'table_header_propagation' END,
+  CASE WHEN live AND wide THEN 'table_shape_explosion' END,
+  CASE WHEN content <> '' AND live AND rotation IN (90, 180, 270) THEN 'rotated_scan' END,
+  CASE WHEN content <> '' AND live AND source_kind = 'native' AND native_chars > 0 AND length(regexp_replace(content, '{_W}', '', 'g')) < native_chars * 0.2 THEN 'visual_text_mismatch' END,
+  CASE WHEN live AND regexp_matches(content, '(?:[犀-狿][ \t]*){{6,}}') THEN 'suspicious_unicode_mojibake' END], lambda x: x IS NOT NULL)) AS codes FROM k),
+s AS (SELECT *, CASE WHEN status = 'failed' OR list_contains(codes, 'no_usable_content') THEN 'failed' WHEN len(list_filter(codes, lambda x: x NOT IN ('intentional_sparse_page', 'rotated_scan'))) > 0 THEN 'warning' ELSE status END AS st FROM c),
+v AS (SELECT *, CASE WHEN fused THEN CASE WHEN st = 'failed' THEN 'untrusted' WHEN coalesce(conflicts, 0) > 0 OR st = 'warning' THEN 'degraded' ELSE 'trusted' END ELSE CASE WHEN st IN ('warning', 'failed') THEN 'untrusted' ELSE 'trusted' END END AS verdict FROM s)"""
+
+
+@query(f"{cte('pages_q')}, {_CODES} SELECT content_id, page_number, array_to_string(codes, ',') AS codes FROM v")
+def page_quality_codes(spark, d):
+    rows = quality.page_codes(source(spark, d, "pages_q"), ["content_id", "page_number"])
+    return rows.select("content_id", "page_number", F.array_join("codes", ",").alias("codes"))
+
+
+@query(f"{cte('pages_q')}, {_CODES} SELECT content_id, page_number, st AS status, verdict FROM v")
+def page_verdicts(spark, d):
+    return quality.assess(quality.page_codes(source(spark, d, "pages_q"), ["content_id", "page_number"])).select("content_id", "page_number", "status", "verdict")
+
+
+@query(f"{cte('pages_q')}, {_CODES} SELECT content_id % 100 AS content_id, count(*) FILTER (verdict = 'trusted') AS trusted_pages, count(*) FILTER (verdict = 'degraded') AS degraded_pages, count(*) FILTER (verdict = 'untrusted') AS untrusted_pages, count(*) FILTER (st = 'failed') AS failed_pages, bool_and(st <> 'failed' AND len(list_filter(codes, lambda x: x NOT IN ('intentional_sparse_page', 'rotated_scan'))) = 0) AS acceptable FROM v GROUP BY ALL")
+def quality_summary(spark, d):
+    pages = quality.assess(quality.page_codes(source(spark, d, "pages_q"), ["content_id", "page_number"]))
+    return quality.quality_summary(pages.withColumn("content_id", F.col("content_id") % 100), "content_id")
+
+
+@query(f"""{cte('pairs')}, r AS (SELECT doc_id, unnest(string_split({_compact('reference')}, '')) AS ch, 0 AS side FROM pairs UNION ALL SELECT doc_id, unnest(string_split({_compact('candidate')}, '')), 1 FROM pairs),
+n AS (SELECT doc_id, ch, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM r WHERE ch <> '' GROUP BY ALL)
+SELECT doc_id, sum(least(a, b))::DOUBLE / sum(a) AS coverage FROM n GROUP BY doc_id""")
+def char_multiset_coverage(spark, d):
+    return quality.char_multiset_coverage(source(spark, d, "pairs"), "doc_id", "reference", "candidate")
+
+
+@query("WITH t AS (SELECT l_orderkey AS k, l_partkey % 50 AS tok, l_linenumber % 2 AS side FROM lineitem), n AS (SELECT k, tok, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM t GROUP BY ALL) SELECT k, sum(least(a, b))::BIGINT AS shared FROM n GROUP BY k")
+def multiset_intersect(spark, d):
+    return quality.multiset_intersect(spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey k", "l_partkey % 50 tok", "l_linenumber % 2 side"), "k", "tok", "side")
+
+
+@query("""WITH k AS (SELECT doc_id, lang AS code FROM documents WHERE doc_id % 2 = 0), f AS (SELECT doc_id, lang AS code FROM documents UNION ALL SELECT doc_id, source FROM documents)
+SELECT doc_id, code FROM k UNION ALL SELECT doc_id, code FROM f ANTI JOIN k USING (doc_id, code)""")
+def warning_union(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    found = docs.selectExpr("doc_id", "lang code").union(docs.selectExpr("doc_id", "source code"))
+    return quality.warning_union(docs.where("doc_id % 2 = 0").selectExpr("doc_id", "lang code"), found, ["doc_id", "code"])
+
+
+@query("""WITH e AS (SELECT doc_id, ['w' || (doc_id % 3), 'w' || (doc_id % 4)] AS req, ['w' || (doc_id % 5)] AS ok FROM documents), a AS (SELECT doc_id, ['w' || (quality % 3), 'w' || toxic] AS have FROM labels)
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(req, lambda x: NOT list_contains(coalesce(have, []), x)))), ',') AS missing, array_to_string(list_sort(list_distinct(list_filter(coalesce(have, []), lambda x: NOT list_contains(ok, x) AND NOT list_contains(req, x)))), ',') AS unexpected FROM e LEFT JOIN a USING (doc_id)""")
+def manifest_check(spark, d):
+    e = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "array(concat('w', doc_id % 3), concat('w', doc_id % 4)) required", "array(concat('w', doc_id % 5)) allowed")
+    a = spark.read.parquet(f"{d}/labels.parquet").selectExpr("doc_id", "array(concat('w', quality % 3), concat('w', toxic)) codes")
+    return quality.manifest_check(e, a, ["doc_id"]).selectExpr("doc_id", "array_join(missing, ',') missing", "array_join(unexpected, ',') unexpected")
+
+
+# ---- layout ------------------------------------------------------------------------------------
+
+_OVER = "greatest(least(b.x1, t.x1) - greatest(b.x0, t.x0), 0) * greatest(least(b.y1, t.y1) - greatest(b.y0, t.y0), 0)"
+
+
+@query(f"{cte('blocks', 'tables')} SELECT content_id, page_number, ord FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM tables t WHERE t.content_id = b.content_id AND t.page_number = b.page_number AND {_OVER} / ((b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.5)")
+def block_not_in_table(spark, d):
+    return layout.block_not_in_table(_with_box(source(spark, d, "blocks")), _with_box(source(spark, d, "tables"))).select("content_id", "page_number", "ord")
+
+
+@query(f"{cte('blocks', 'tables')} SELECT content_id, page_number, ord FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM tables t WHERE t.content_id = b.content_id AND t.page_number = b.page_number AND {_OVER} / greatest((b.x1 - b.x0) * (b.y1 - b.y0), 0.01) >= 0.25)")
+def native_outside_tables(spark, d):
+    return layout.block_not_in_table(_with_box(source(spark, d, "blocks")), _with_box(source(spark, d, "tables")), 0.25, 0.01).select("content_id", "page_number", "ord")
+
+
+@query(f"""{cte('blocks')} SELECT content_id, page_number, text, count(*) AS n FROM blocks b WHERE EXISTS (SELECT 1 FROM blocks t WHERE t.content_id = b.content_id AND t.page_number = b.page_number AND t.text = b.text AND t.ord < b.ord
+  AND {_OVER} / ((b.x1 - b.x0) * (b.y1 - b.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) - {_OVER}) >= 0.8) GROUP BY ALL""")
+def iou_duplicates(spark, d):
+    return layout.iou_duplicates(_with_box(source(spark, d, "blocks")))
+
+
+@query(f"""{cte('blocks')}, e AS (SELECT *, y1 <= 0.05 OR y0 >= 0.95 AS edge FROM blocks), n AS (SELECT DISTINCT content_id, unnest([page_number - 1, page_number + 1]) AS page_number, text FROM e WHERE edge)
+SELECT content_id, page_number, ord FROM e WHERE NOT (edge AND EXISTS (SELECT 1 FROM n WHERE n.content_id = e.content_id AND n.page_number = e.page_number AND n.text = e.text))""")
+def margin_repeat(spark, d):
+    return layout.margin_repeat(_with_box(source(spark, d, "blocks"))).select("content_id", "page_number", "ord")
+
+
+@query(f"{cte('blocks')}, m AS (SELECT content_id, page_number, median(size) AS m FROM blocks WHERE size > 0 GROUP BY ALL) SELECT content_id, page_number, ord, m AS median_size, m > 0 AND (bold OR size >= 1.28 * m) AS heading FROM blocks JOIN m USING (content_id, page_number)")
+def heading_flag(spark, d):
+    return layout.heading_flag(_with_box(source(spark, d, "blocks"))).select("content_id", "page_number", "ord", "median_size", "heading")
+
+
+@query(f"{cte('blocks')} SELECT content_id, page_number, ord, row_number() OVER (PARTITION BY content_id, page_number ORDER BY CASE WHEN ord % 7 = 0 THEN 2 ELSE y0 END, CASE WHEN ord % 7 = 0 THEN 2 ELSE x0 END, ord) AS reading_order FROM blocks")
+def region_order(spark, d):
+    rows = _with_box(source(spark, d, "blocks")).withColumn("bbox", F.when(F.col("ord") % 7 != 0, F.col("bbox")))
+    return layout.region_order(rows).select("content_id", "page_number", "ord", "reading_order")
+
+
+@query(f"""{cte('blocks')}, n AS (SELECT *, x1 - x0 <= 0.68 * 1.0 AS narrow, (x0 + x1) / 2 AS center FROM blocks),
+g AS (SELECT *, row_number() OVER w AS i, lead(center) OVER w - center AS gap FROM n WINDOW w AS (PARTITION BY content_id, page_number, narrow ORDER BY center, y0, x0, ord)),
+p AS (SELECT content_id, page_number, count(*) FILTER (narrow) AS n, max(struct_pack(gap := gap, i := i)) FILTER (narrow AND gap IS NOT NULL) AS best, min(y0) FILTER (narrow) AS top, max(y1) FILTER (narrow) AS bottom FROM g GROUP BY ALL),
+z AS (SELECT g.*, p.n, p.best, CASE WHEN narrow THEN CASE WHEN i <= best.i THEN 1 ELSE 2 END WHEN y1 <= p.top THEN 0 WHEN y0 >= p.bottom THEN 3 END AS zone FROM g JOIN p USING (content_id, page_number)),
+q AS (SELECT *, coalesce(n >= 4 AND best.gap >= 0.18 * 1.0 AND best.i >= 2 AND n - best.i >= 2 AND count(*) FILTER (zone IS NULL) OVER (PARTITION BY content_id, page_number) = 0, false) AS clear FROM z)
+SELECT content_id, page_number, ord, row_number() OVER (PARTITION BY content_id, page_number ORDER BY CASE WHEN clear THEN zone ELSE 0 END, y0, x0, ord) AS reading_order FROM q""")
+def reading_order(spark, d):
+    return layout.reading_order(_with_box(source(spark, d, "blocks")).withColumn("page_width", F.lit(1.0))).select("content_id", "page_number", "ord", "reading_order")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN -i ELSE i END AS o, CMP_T AS a FROM l), u AS (SELECT * FROM a WHERE length(a) >= 8 QUALIFY count(*) OVER (PARTITION BY doc_id, a) = 1),
+h AS (SELECT u.doc_id, o, instr(CMP_B, a) AS pos FROM u JOIN documents USING (doc_id) WHERE length(CMP_B) - length(replace(CMP_B, a, '')) = length(a)),
+b AS (SELECT doc_id, pos < lag(pos) OVER (PARTITION BY doc_id ORDER BY o) AS back FROM h) SELECT doc_id AS content_id, count(*) >= 4 AND coalesce(bool_or(back), false) AS inverted FROM b GROUP BY doc_id""".replace("CMP_T", _compact("t")).replace("CMP_B", _compact("text")))
+def order_inversion(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id content_id", "1 page_number", "text content")
+    anchors = docs.select("content_id", "page_number", F.posexplode(T.lines(F.col("content"))).alias("i", "text")).selectExpr("content_id", "page_number", "if(content_id % 3 = 0, -i, i) ord", "text")
+    return layout.order_inversion(anchors, docs).select("content_id", "inverted")
+
+
+# ---- tables ------------------------------------------------------------------------------------
+
+
+@query(f"""{cte('fragments')}, e AS (SELECT content_id, page_number, arg_max(f, ordinal) AS l, arg_min(f, ordinal) AS r, count(*) AS n FROM (SELECT content_id, page_number, ordinal, f FROM fragments f) GROUP BY ALL),
+p AS (SELECT a.content_id, a.page_number, a.l, b.r, b.n = 1 AS single FROM e a JOIN e b ON a.content_id = b.content_id AND b.page_number = a.page_number + 1
+  WHERE a.l.valid AND b.r.valid AND a.l.bottom >= 0.85 AND b.r.top <= 0.15 AND (abs(a.l.b1 - b.r.b1) + abs(a.l.b2 - b.r.b2)) / 2 <= 0.02 AND a.l.header = b.r.header),
+c AS (SELECT *, CASE WHEN coalesce(lag(page_number) OVER w = page_number - 1 AND lag(single) OVER w, false) THEN 0 ELSE 1 END AS s FROM p WINDOW w AS (PARTITION BY content_id ORDER BY page_number)),
+k AS (SELECT *, sum(s) OVER (PARTITION BY content_id ORDER BY page_number) AS chain FROM c)
+SELECT content_id, l.fragment_id AS left_id, r.fragment_id AS right_id FROM (SELECT *, row_number() OVER (PARTITION BY content_id, chain ORDER BY page_number) AS i FROM k) WHERE i % 2 = 1""")
+def cross_page_link(spark, d):
+    return tables.cross_page_link(source(spark, d, "fragments").withColumn("boundaries", F.array("b1", "b2")))
+
+
+@query(f"{cte('fragments')} SELECT content_id, page_number, max(fragment_id) AS tail_id, min(fragment_id) AS head_id FROM fragments GROUP BY ALL")
+def fragment_tail_head(spark, d):
+    return tables.fragment_ends(source(spark, d, "fragments")).selectExpr("content_id", "page_number", "tail.fragment_id tail_id", "head.fragment_id head_id")
+
+
+_GRID = "SELECT l_orderkey AS table_id, l_linenumber - 1 AS r, l_partkey % 3 AS c, CASE WHEN l_suppkey % 7 = 0 THEN 2 ELSE 1 END AS row_span, CASE WHEN l_suppkey % 5 = 0 THEN 2 ELSE 1 END AS col_span FROM {lineitem}"
+
+
+@query(f"WITH g AS ({_GRID.format(lineitem='lineitem')}) SELECT table_id, r::BIGINT AS r, c, r = 0 AS header FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.table_id = a.table_id AND (a.r <> b.r OR a.c <> b.c) AND a.r BETWEEN b.r AND b.r + b.row_span - 1 AND a.c BETWEEN b.c AND b.c + b.col_span - 1)")
+def cell_spans(spark, d):
+    return tables.cell_spans(spark.sql(_GRID.format(lineitem=f"parquet.`{d}/lineitem.parquet`")), ["table_id"]).select("table_id", "r", "c", "header")
+
+
+@query(f"WITH g AS ({_GRID.format(lineitem='lineitem')}), p AS (SELECT table_id, r, c, unnest(range(r, r + row_span)) AS rr, col_span FROM g), q AS (SELECT table_id, rr, unnest(range(c, c + col_span)) AS cc FROM p), n AS (SELECT table_id, rr, cc, count(*) AS n FROM q GROUP BY ALL) SELECT table_id, max(n) > 1 AS overlapping FROM n GROUP BY table_id")
+def overlapping_cells(spark, d):
+    return tables.overlapping_cells(spark.sql(_GRID.format(lineitem=f"parquet.`{d}/lineitem.parquet`")), ["table_id"])
+
+
+@query("WITH lines AS " + LINES.format(lineitem="lineitem") + """, r AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS i, CASE WHEN l_linenumber % 3 = 0 THEN ['a<' || l_partkey] ELSE ['p|' || l_partkey, 'R & ' || l_suppkey] END AS cells FROM lines),
+w AS (SELECT *, max(len(cells)) OVER (PARTITION BY table_id) AS w FROM r),
+t AS (SELECT table_id, i, w, '| ' || array_to_string(list_concat(list_transform(cells, lambda c: replace(replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '&#124;')), CASE WHEN len(cells) < w THEN [''] ELSE [] END), ' | ') || ' |' AS t FROM w)
+SELECT table_id, string_agg(CASE WHEN i = 0 THEN t || chr(10) || '| ' || repeat('--- | ', (w - 1)::INT) || '--- |' ELSE t END, chr(10) ORDER BY i) AS markdown FROM t GROUP BY table_id""")
+def gfm_render(spark, d):
+    rows = _lines(spark, d).selectExpr("l_orderkey table_id", "l_linenumber - 1 row_index", "if(l_linenumber % 3 = 0, array(concat('a<', l_partkey)), array(concat('p|', l_partkey), concat('R & ', l_suppkey))) cells")
+    return tables.gfm_render(rows, ["table_id"])
+
+
+_LINES = "SELECT l_orderkey AS doc, l_linenumber AS i, CASE WHEN l_partkey % 4 = 0 THEN 'prose' WHEN l_partkey % 4 = 1 THEN '| --- | --- |' WHEN l_partkey % 4 = 2 THEN '| a | b | c |' ELSE '| x | y |' END AS t FROM {lineitem}"
+
+
+@query(rf"""WITH l AS ({_LINES.format(lineitem='lineitem')}), p AS (SELECT *, sum(CASE WHEN starts_with(t, '|') THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY i) AS run FROM l),
+c AS (SELECT doc, run, len(string_split(regexp_replace(t, '^\||\|$', '', 'g'), '|')) AS n FROM p WHERE starts_with(t, '|') AND NOT contains(t, '---')) SELECT doc, count(*) - 1 AS n_rows, max(n)::BIGINT AS n_cols FROM c GROUP BY doc, run""")
+def table_shape(spark, d):
+    return tables.table_shapes(spark.sql(_LINES.format(lineitem=f"parquet.`{d}/lineitem.parquet`")), ["doc"], "i", "t")
+
+
+_EDGES = "SELECT l_orderkey AS table_id, l_linenumber - 1 AS column_index, 7 AS num_cols, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE (l_partkey % 64) / 64e0 END AS left_edge FROM {lineitem}"
+
+
+@query(f"WITH e AS ({_EDGES.format(lineitem='lineitem')}) SELECT table_id, column_index::BIGINT AS column_index, coalesce(avg(left_edge), column_index / 7e0) AS boundary FROM e GROUP BY table_id, column_index")
+def column_boundaries(spark, d):
+    return tables.column_boundaries(spark.sql(_EDGES.format(lineitem=f"parquet.`{d}/lineitem.parquet`")), ["table_id"], "num_cols").select("table_id", "column_index", "boundary")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, list_transform(range(0, 4 + o_orderkey % 7), lambda k: 'c' || k) AS c, o_orderkey % 3 = 0 AS hint FROM orders), s AS (SELECT *, len(c) >= 8 AND len(c) % 2 = 0 AND hint AS split FROM t)
+SELECT id AS table_id, 'single' AS side, array_to_string(c, ',') AS columns FROM s WHERE NOT split UNION ALL SELECT id, 'left', array_to_string(c[1:len(c) // 2], ',') FROM s WHERE split UNION ALL SELECT id, 'right', array_to_string(c[len(c) // 2 + 1:], ',') FROM s WHERE split""")
+def parallel_split(spark, d):
+    t = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey table_id", "transform(sequence(0, cast(3 + o_orderkey % 7 as int)), k -> concat('c', k)) columns", "o_orderkey % 3 = 0 hint")
+    return tables.parallel_split(t).select("table_id", "side", F.array_join("columns", ",").alias("columns"))
+
+
+@query("SELECT o_orderkey AS table_id, greatest(least(ceil((o_orderkey % 90) / 20e0)::BIGINT, 3), 1) AS bands, o_orderkey % 90 + 1 >= 20 AND o_custkey % 12 >= 8 AS parallel FROM orders")
+def band_plan(spark, d):
+    n, par = tables.band_count(F.col("r"), F.col("c"))
+    return spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey table_id", "o_orderkey % 90 + 1 r", "o_custkey % 12 c").select("table_id", n.alias("bands"), par.alias("parallel"))
+
+
+@query("WITH lines AS " + LINES.format(lineitem="lineitem") + """, r AS (SELECT l_orderkey AS f, l_linenumber - 1 AS i, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'Head' ELSE 'head ' END ELSE l_partkey::VARCHAR END AS cell FROM lines),
+p AS (SELECT f AS a, f + 1 AS b FROM r WHERE i = 0 AND f % 2 = 0 AND f + 1 IN (SELECT f FROM r WHERE i = 0)),
+u AS (SELECT a, 0 AS part, i, cell FROM p JOIN r ON f = a UNION ALL SELECT a, 1, i, cell FROM p JOIN r ON f = b WHERE i > 0)
+SELECT a AS left_id, row_number() OVER (PARTITION BY a ORDER BY part, i) - 1 AS row_index, cell FROM u""")
+def merged_rows(spark, d):
+    rows = _lines(spark, d).selectExpr("l_orderkey fragment_id", "l_linenumber - 1 row_index", "array(case when l_linenumber = 1 then if(l_orderkey % 3 = 0, 'Head', 'head ') else cast(l_partkey as string) end) cells")
+    heads = rows.where("row_index = 0").select("fragment_id")
+    pairs = heads.where("fragment_id % 2 = 0").selectExpr("fragment_id left_id", "fragment_id + 1 right_id").join(heads.withColumnRenamed("fragment_id", "right_id"), "right_id", "left_semi")
+    return tables.merged_rows(pairs, rows).selectExpr("left_id", "row_index", "cells[0] cell")
+
+
+# ---- fusion ------------------------------------------------------------------------------------
+
+
+@query(f"""{cte('cells')}, n AS (SELECT *, {_norm('value')} AS norm, CASE source WHEN 'qwen' THEN 0 WHEN 'glm' THEN 1 ELSE 2 END AS a, CASE source WHEN 'glm' THEN 0 WHEN 'docling' THEN 1 ELSE 2 END AS b FROM cells),
+v AS (SELECT table_id, row_index, norm, count(*) AS n, min(a) AS a, arg_min(value, b) AS text FROM n WHERE norm <> '' GROUP BY ALL),
+g AS (SELECT table_id, row_index, count(DISTINCT norm) FILTER (norm <> '') AS kinds, bool_and(source = 'qwen') FILTER (norm <> '') AS own, arg_min(value, a) FILTER (value <> '') AS raw FROM n GROUP BY ALL),
+w AS (SELECT table_id, row_index, arg_min(text, a) AS text FROM v WHERE n >= 2 GROUP BY ALL)
+SELECT table_id, row_index::BIGINT AS row_index, coalesce(w.text, raw, '') AS final, w.text IS NOT NULL AS consistent, w.text IS NULL AND kinds > 1 AS conflict, w.text IS NULL AND coalesce(own, false) AS qwen_only FROM g LEFT JOIN w USING (table_id, row_index)""")
+def field_consensus(spark, d):
+    return fusion.field_consensus(source(spark, d, "cells"), ["table_id", "row_index"])
+
+
+@query(f"{cte('cells')}, n AS (SELECT table_id, row_index, {_norm('value')} AS norm, count(*) AS n FROM cells GROUP BY ALL), c AS (SELECT table_id, row_index, max(n) AS most, sum(n) AS s FROM n WHERE norm <> '' GROUP BY ALL) SELECT table_id, count(*) FILTER (most >= 2) AS agreements, sum(s)::BIGINT AS coverage FROM c GROUP BY table_id")
+def evidence_strength(spark, d):
+    return fusion.evidence_strength(source(spark, d, "cells").withColumnRenamed("row_index", "col"), ["table_id"])
+
+
+@query(f"{cte('cells')}, q AS (SELECT table_id, row_index, count(DISTINCT source) FILTER ({_norm('value')} <> '') AS sources, bool_and(valid) AS valid FROM cells GROUP BY ALL) SELECT table_id, row_index::BIGINT AS row_index, sources, valid, CASE WHEN NOT valid AND sources = 0 THEN 'missing' WHEN NOT valid THEN 'conflicted' WHEN sources >= 2 THEN 'confirmed' ELSE 'selected' END AS quality FROM q")
+def cell_quality(spark, d):
+    return fusion.cell_quality(source(spark, d, "cells"), ["table_id", "row_index"])
+
+
+@query(f"{cte('cells')}, s AS (SELECT table_id, row_index, count(DISTINCT {_norm('value')}) FILTER ({_norm('value')} <> '') AS kinds, count(*) FILTER ({_norm('value')} <> '') AS n FROM cells GROUP BY ALL) SELECT table_id, count(*) AS parsed, count(*) FILTER (n > kinds) AS agreed, count(*) FILTER (n = kinds AND kinds > 1) AS conflicts FROM s GROUP BY table_id")
+def fusion_counters(spark, d):
+    got = fusion.field_consensus(source(spark, d, "cells"), ["table_id", "row_index"])
+    return got.groupBy("table_id").agg(F.count(F.lit(1)).alias("parsed"), F.count_if("consistent").alias("agreed"), F.count_if("conflict").alias("conflicts"))
+
+
+@query(f"{cte('conflicts')} SELECT page_id, conflict_id, place FROM (SELECT page_id, conflict_id, row_number() OVER (PARTITION BY page_id ORDER BY has_date DESC, conflict_id) AS place FROM conflicts) WHERE place <= 24")
+def conflict_topk(spark, d):
+    return fusion.conflict_topk(source(spark, d, "conflicts"), ["page_id"]).select("page_id", "conflict_id", "place")
+
+
+@query(f"{cte('conflicts')}, t AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY has_date DESC, conflict_id) <= 24 AS top FROM conflicts) SELECT page_id, conflict_id, CASE WHEN top THEN coalesce(observed, final) ELSE final END AS final, top AND observed IS NOT NULL AS resolved FROM t")
+def conflict_apply(spark, d):
+    c = source(spark, d, "conflicts")
+    return fusion.conflict_apply(c.drop("observed"), c.select("page_id", "conflict_id", "observed"), ["page_id"])
+
+
+@query("SELECT doc_id, lang AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0")
+def page_overlay(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return fusion.page_overlay(docs.selectExpr("doc_id", "lang text"), docs.where("doc_id % 3 = 0").selectExpr("doc_id", "source text"), ["doc_id"])
+
+
+@query("""WITH v AS (SELECT conv_id, turn, 'company_name' AS field, trim(substr(text, 1, 3)) AS value FROM conversations UNION ALL SELECT conv_id, turn, 'statement_title', trim(substr(text, 1, 12)) FROM conversations UNION ALL SELECT conv_id, turn, 'unit', role FROM conversations),
+n AS (SELECT *, NORM AS norm, count(*) OVER (PARTITION BY conv_id, field, NORM) AS n FROM v WHERE value <> ''), t AS (SELECT conv_id, NORM AS title FROM v WHERE field = 'statement_title' AND NORM <> ''),
+h AS (SELECT n.*, CASE WHEN field = 'company_name' THEN (SELECT count(*) FROM t WHERE t.conv_id = n.conv_id AND contains(title, norm)) ELSE 0 END AS hits FROM n)
+SELECT conv_id, field, value FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, field ORDER BY n DESC, hits DESC, turn) = 1""".replace("NORM", _norm("value")))
+def metadata_vote(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    v = c.selectExpr("conv_id", "'company_name' field", "turn idx", "trim(substr(text, 1, 3)) value").union(c.selectExpr("conv_id", "'statement_title'", "turn", "trim(substr(text, 1, 12))")).union(c.selectExpr("conv_id", "'unit'", "turn", "role"))
+    return fusion.metadata_vote(v, ["conv_id"])
+
+
+@query("""WITH r AS (SELECT conv_id, turn AS band, 0 AS i, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS cell FROM conversations UNION ALL SELECT conv_id, turn, 1, 'T' || (turn % 2) FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(cell) ORDER BY band, i) AS p FROM r) SELECT conv_id, band, i::BIGINT AS row_index, cell, row_number() OVER (PARTITION BY conv_id ORDER BY band, i) - 1 AS out_index FROM k WHERE p = 1 OR cell = ''""")
+def band_combine(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    rows = c.selectExpr("conv_id", "turn band", "0 row_index", "array(if(turn % 3 = 0, '', role)) cells").union(c.selectExpr("conv_id", "turn", "1", "array(concat('T', turn % 2))"))
+    return fusion.band_combine(rows, ["conv_id"]).selectExpr("conv_id", "band", "row_index", "cells[0] cell", "out_index")
+
+
+# ---- media -------------------------------------------------------------------------------------
+
+
+@query(f"""{cte('videos')}, b AS (SELECT *, least(23, floor(t / greatest(duration / 24, 0.001)))::BIGINT AS bucket FROM videos) SELECT video_id, bucket, t, score FROM b QUALIFY row_number() OVER (PARTITION BY video_id, bucket ORDER BY score DESC, t) = 1""")
+def bucket_top1(spark, d):
+    return media.bucket_top1(source(spark, d, "videos"), "video_id").select("video_id", "bucket", "t", "score")
+
+
+def _video_table(spark: SparkSession, d: str) -> DataFrame:
+    return source(spark, d, "videos").groupBy("video_id", "duration", "frame_rate").agg(F.collect_list(F.struct("t", "score")).alias("candidates"))
+
+
+@query(f"""{cte('videos')}, v AS (SELECT video_id, duration, count(*) AS n, duration - CASE WHEN max(frame_rate) > 0 THEN least(greatest(0.05e0, 1.25e0 / max(frame_rate)), duration / 2) ELSE least(0.05e0, duration / 100) END AS e FROM videos GROUP BY video_id, duration),
+b AS (SELECT video_id, t, score, row_number() OVER (PARTITION BY video_id, least(23, floor(t / greatest(duration / 24, 0.001e0))) ORDER BY score DESC, t) AS p FROM videos),
+k AS (SELECT b.video_id, b.t, b.score FROM b JOIN v USING (video_id) WHERE v.n <= 22 OR p = 1 UNION ALL SELECT video_id, duration * i / 7, 0e0 FROM v, range(1, 7) r(i)),
+o AS (SELECT k.video_id, least(e, greatest(0e0, t)) AS t, row_number() OVER (PARTITION BY k.video_id ORDER BY score DESC, t) AS i FROM k JOIN v USING (video_id)),
+l AS (SELECT video_id, list(t ORDER BY i) AS ts FROM o GROUP BY video_id),
+s AS (SELECT video_id, ts, 1 AS i, [0e0, e] AS got FROM l JOIN v USING (video_id)
+  UNION ALL SELECT video_id, ts, i + 1, CASE WHEN len(got) < 24 AND len(list_filter(got, lambda g: abs(ts[i] - g) < 2.0)) = 0 THEN list_append(got, ts[i]) ELSE got END FROM s WHERE i <= len(ts))
+SELECT video_id, unnest(got) AS t FROM s WHERE i = len(ts) + 1""")
+def keyframe_select(spark, d):
+    return media.keyframe_select(_video_table(spark, d), "video_id")
+
+
+@query("WITH k AS (SELECT DISTINCT user_id AS video_id, event_id * 7 AS ms, 1000000 AS dur FROM events) SELECT video_id, row_number() OVER w AS scene, coalesce((lag(ms) OVER w + ms) // 2, 0) AS start_ms, coalesce((ms + lead(ms) OVER w) // 2, dur)::BIGINT AS end_ms FROM k WINDOW w AS (PARTITION BY video_id ORDER BY ms)")
+def keyframe_scenes(spark, d):
+    return media.keyframe_scenes(spark.read.parquet(f"{d}/events.parquet").selectExpr("user_id video_id", "event_id * 7 ms", "1000000L duration_ms").distinct(), "video_id")
+
+
+_LOG = "SELECT user_id AS video_id, event_id AS line_no, CASE event_id % 3 WHEN 0 THEN concat('frame pts_time:', CAST(event_id % 50 AS VARCHAR(20)), ' x') WHEN 1 THEN concat('lavfi.scene_score=0.', CAST(event_id % 10 AS VARCHAR(20))) ELSE 'noise' END AS line FROM {events}"
+
+
+@query(f"""WITH g AS ({_LOG.format(events='events')}), p AS (SELECT *, try_cast(regexp_extract(line, 'pts_time:([0-9.]+)', 1) AS DOUBLE) AS t, try_cast(regexp_extract(line, 'scene_score=([0-9.]+)', 1) AS DOUBLE) AS s FROM g),
+w AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY line_no) AS at_, count(t) OVER (PARTITION BY video_id ORDER BY line_no) AS grp FROM p),
+f AS (SELECT video_id, grp, at_, arg_min(s, line_no) AS s, min(line_no) AS n FROM w WHERE s IS NOT NULL AND at_ IS NOT NULL GROUP BY ALL) SELECT video_id, at_ AS t, arg_min(s, n) AS score FROM f GROUP BY ALL""")
+def scene_log(spark, d):
+    return media.scene_candidates(spark.sql(_LOG.format(events=f"parquet.`{d}/events.parquet`")), "video_id")
+
+
+@query(f"{cte('assets')} SELECT sha256(content) AS sha256, min(ord) AS first_ord, array_to_string(list_sort(list(DISTINCT location)), ',') AS locations, 'asset_' || substr(sha256(content), 1, 26) AS asset_id FROM assets GROUP BY content")
+def asset_dedup(spark, d):
+    return media.asset_dedup(source(spark, d, "assets")).withColumn("locations", F.array_join("locations", ","))
+
+
+@query(f"{cte('assets')}, t AS (SELECT ord, location, sum(size) OVER (PARTITION BY location ORDER BY ord)::BIGINT AS total FROM assets) SELECT ord, total, total <= 100000 AS within FROM t")
+def running_bytes(spark, d):
+    return media.running_bytes(source(spark, d, "assets"), "location", 100000).select("ord", "total", "within")
+
+
+# ---- jobs --------------------------------------------------------------------------------------
+
+
+@query(f"""{cte('jobs_ev')}, b AS (SELECT job_id, id, status, lag(status) OVER (PARTITION BY job_id ORDER BY id) AS before FROM jobs_ev)
+SELECT job_id, id, CASE WHEN before IS NULL THEN 'start' WHEN before = status THEN 'same' WHEN (before = 'queued' AND status IN ('running', 'cancelled', 'failed')) OR (before = 'running' AND status IN ('completed', 'partial', 'failed', 'cancelled')) THEN 'allowed' ELSE 'error' END AS verdict FROM b""")
+def job_state_machine(spark, d):
+    return jobs.job_state_machine(source(spark, d, "jobs_ev")).select("job_id", "id", "verdict")
+
+
+@query(f"{cte('jobs_ev')} SELECT job_id, min(at) FILTER (status = 'running') AS started_at, min(at) FILTER (status IN ('completed', 'partial', 'failed', 'cancelled')) AS completed_at, arg_max(status, id) AS status FROM jobs_ev GROUP BY job_id".replace("min(at)", 'min("at")'))
+def transition_side_effects(spark, d):
+    return jobs.transition_side_effects(source(spark, d, "jobs_ev"))
+
+
+@query(f"""{cte('jobs_ev')}, r AS (SELECT *, sum(CASE WHEN state = 'document.started' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY id) AS run,
+  CASE WHEN starts_with(state, 'postprocess.') THEN total WHEN state IN ('document.started', 'page.processed', 'page.completed', 'page.warning', 'page.failed', 'unit.processed', 'frame.processed') THEN current END AS v FROM jobs_ev),
+m AS (SELECT *, max(v) OVER (PARTITION BY job_id, run ORDER BY id) AS m FROM r) SELECT job_id, id, CASE WHEN run = 0 THEN coalesce(m, 0) ELSE m END::BIGINT AS live FROM m""")
+def progress_merge(spark, d):
+    return jobs.progress_merge(source(spark, d, "jobs_ev")).select("job_id", "id", "live")
+
+
+@query(f"{cte('jobs_ev')} SELECT job_id, id, CASE WHEN state IN ('page.completed', 'page.warning', 'page.failed') THEN state ELSE 'job.progress' END AS name, CASE WHEN state = 'page.processed' THEN 'page_pipeline' ELSE state END AS phase FROM jobs_ev")
+def event_rename(spark, d):
+    name, phase = jobs.event_rename(F.col("state"))
+    return source(spark, d, "jobs_ev").select("job_id", "id", name.alias("name"), phase.alias("phase"))
+
+
+@query(f"{cte('jobs_ev')} SELECT job_id, id AS event_id, i AS id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY id) AS i FROM jobs_ev) WHERE state <> 'heartbeat'")
+def event_ids(spark, d):
+    return jobs.event_ids(source(spark, d, "jobs_ev").withColumnRenamed("id", "event_id").withColumnRenamed("state", "event"), "job_id", ["event_id"]).select("job_id", "event_id", "id")
+
+
+@query(f"{cte('jobs_ev')}, e AS (SELECT job_id, min(id) AS e FROM jobs_ev WHERE status IN ('completed', 'partial', 'failed', 'cancelled') GROUP BY job_id) SELECT j.job_id, j.id, j.status FROM jobs_ev j LEFT JOIN e USING (job_id) WHERE j.id > j.job_id * 10 AND (e IS NULL OR j.id <= e)")
+def replay_after(spark, d):
+    ev = source(spark, d, "jobs_ev")
+    return jobs.replay_after(ev, ev.selectExpr("job_id", "job_id * 10 last_id").distinct()).select("job_id", "id", "status")
+
+
+@query(f"{cte('jobs_ev')}, l AS (SELECT job_id, arg_max(status, id) AS status FROM jobs_ev GROUP BY job_id) SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN 'failed' ELSE status END AS status, CASE WHEN status IN ('queued', 'running') THEN 'server_restarted' END AS error_code FROM l")
+def restart_recovery(spark, d):
+    last = jobs.latest(source(spark, d, "jobs_ev"), "job_id", [F.desc("id")]).selectExpr("job_id", "status", "cast(null as string) error_code")
+    return jobs.restart_recovery(last)
+
+
+@query("WITH m AS (SELECT event_type AS queue, event_id AS ord, CASE WHEN event_id % 7 < 4 THEN 1 ELSE -1 END AS mark FROM events), s AS (SELECT *, sum(mark) OVER (PARTITION BY queue ORDER BY ord)::BIGINT AS depth FROM m) SELECT queue, ord, depth, depth > 8 AS \"full\" FROM s")
+def admission(spark, d):
+    return jobs.admission(spark.read.parquet(f"{d}/events.parquet").selectExpr("event_type queue", "event_id ord", "if(event_id % 7 < 4, 1, -1) mark")).select("queue", "ord", "depth", "full")
+
+
+@query(f"{cte('jobs_ev')} SELECT job_id, id FROM jobs_ev QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY id DESC) <= 5")
+def event_history(spark, d):
+    return jobs.event_history(source(spark, d, "jobs_ev"), 5).select("job_id", "id")
+
+
+@query("SELECT o_orderkey AS job_id, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def jobs_latest(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).selectExpr("o_orderkey job_id", "o_orderstatus status")
+
+
+@query("SELECT o_orderkey AS job_id FROM orders WHERE o_orderdate <= TIMESTAMP '2000-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 1000")
+def jobs_expired(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").where("o_orderdate <= timestamp_ntz'2000-01-01'").orderBy("o_orderdate", "o_orderkey").limit(1000).selectExpr("o_orderkey job_id")
+
+
+@query("WITH j AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey - 1 END AS p, o_orderkey % 5 + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS a FROM orders) SELECT j.job_id, j.a AS attempt, k.a AS parent_attempt, j.a = k.a + 1 AS consistent FROM j JOIN j k ON j.p = k.job_id")
+def retry_lineage(spark, d):
+    j = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey job_id", "if(o_orderkey % 5 = 0, null, o_orderkey - 1) parent_job_id", "o_orderkey % 5 + if(o_orderkey % 11 = 0, 1, 0) attempt")
+    return jobs.retry_lineage(j).select("job_id", "attempt", "parent_attempt", "consistent")
+
+
+# ---- joins and sets that need no operator of their own -------------------------------------------
+
+
+@query(f"{cte('evidence')} SELECT d.doc_id, e.chars, e.doc_id IS NOT NULL AS measured FROM documents d LEFT JOIN (SELECT * FROM evidence WHERE doc_id % 4 <> 0) e USING (doc_id)")
+def page_evidence_join(spark, d):
+    ev = source(spark, d, "evidence").where("doc_id % 4 <> 0").select("doc_id", "chars", F.lit(True).alias("m"))
+    return spark.read.parquet(f"{d}/documents.parquet").join(ev, "doc_id", "left").select("doc_id", "chars", F.coalesce("m", F.lit(False)).alias("measured"))
+
+
+@query("SELECT o_custkey AS table_id, array_to_string(list_sort(list(DISTINCT o_orderkey % 30)), ',') AS members FROM orders GROUP BY o_custkey")
+def logical_members(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("table_id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("o_orderkey") % 30)).cast("array<string>"), ",").alias("members"))
+
+
+@query("SELECT l_orderkey AS unit, coalesce(min(l_partkey % 50 / 1e2), 0.02e0) AS x0, coalesce(max(l_suppkey % 50 / 1e2 + 0.5e0), 0.98e0) AS x1 FROM lineitem GROUP BY l_orderkey")
+def union_bbox(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey unit", "l_partkey % 50 / 1e2 x0", "l_suppkey % 50 / 1e2 + 5e-1 x1")
+    return rows.groupBy("unit").agg(F.coalesce(F.min("x0"), F.lit(0.02)).alias("x0"), F.coalesce(F.max("x1"), F.lit(0.98)).alias("x1"))
+
+
+@query("WITH lines AS " + LINES.format(lineitem="lineitem") + " SELECT l_orderkey AS a, l_linenumber::BIGINT AS i FROM lines QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) > 1")
+def dropped_repeats(spark, d):
+    """Lines all equal: with as many repeats allowed to go as there are, only the first stays."""
+    rows = _lines(spark, d).selectExpr("l_orderkey a", "l_linenumber i", "'- same' text")
+    extra = rows.selectExpr("a", "'same' norm", "99L n").distinct()
+    kept = quality.repeated_lines_dropped(rows, ["a"], "i", "text", extra)
+    return rows.join(kept.select("a", "i"), ["a", "i"], "left_anti").select("a", "i")
+
+
+@query("SELECT event_type, count(*) AS n, max(event_id) AS most, count(*) FILTER (event_id % 2 = 0) AS ok FROM events GROUP BY event_type")
+def run_report(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("most"), F.count_if(F.col("event_id") % 2 == 0).alias("ok"))
+
+
+@query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
+def event_props(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
