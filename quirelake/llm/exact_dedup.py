@@ -4,9 +4,11 @@ Three combining stages, each of which groups by the full normalised text beside
 equal digests of different texts never merge:
 
 1. local: map-side partial aggregation inside each input partition;
-2. salted: what is left of a digest is merged in ``salts`` groups (by input partition), so a
-   text that fills a third of the table is spread over ``salts`` tasks;
-3. global: at most ``salts`` winners a text are combined.
+2. salted: what is left of a digest is merged by one exchange of the texts. Digests of at least
+   ``hot_rows`` rows and a thousandth of the table (so at most a thousand of them) are salted by
+   input partition: a text that fills a third of the table is spread over ``salts`` tasks;
+3. global: the salt winners of hot digests are combined, again by full content. For all other
+   digests only numbers travel here.
 
 Documents then find their group by an equi-join of narrow rows on the digest (no text in it);
 adaptive skew-join splitting covers a hot digest there. If a digest were ever shared by two
@@ -32,24 +34,33 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, hot_rows: int = 1000) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    norm = normalised(F.col(text_col))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        norm.alias("norm"),
+        normalised(F.col(text_col)).alias("norm"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("len"),
     ).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    least = max(hot_rows, docs.count() // 1000)
+    hot = [bytes(r[0]) for r in counts.where(F.col("n") >= least).select("digest").limit(1000).collect()]
+    is_hot = F.col("digest").isin(hot) if hot else F.lit(False)
 
     # longest original first, then smallest id: one number, so that hash aggregation can hold it
     rank = F.expr(
         f"cast(len as decimal(10,0)) * cast({_WIDE} as decimal(21,0))"
         f" + coalesce(cast({_MAX} as decimal(20,0)) - cast(doc_id as decimal(20,0)) + 1, 0)"
     ).cast("decimal(38,0)")
-    local = rows.select("digest", "norm", rank.alias("rank"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
+    salt = F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(salts)) + 1).otherwise(0)
+    local = rows.select("digest", "norm", rank.alias("rank"), salt.alias("salt"))
     salted = local.groupBy("digest", "norm", "salt").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
-    whole = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"))
-    winners = whole.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("rank").alias("rank"), F.max("n").alias("n"))
+    # a digest that is not hot has one row for each of its texts by now; hot ones still need theirs
+    whole = salted.groupBy("digest", F.when(F.col("salt") > 0, F.col("norm")).alias("text")).agg(
+        F.max("rank").alias("rank"), F.sum("n").alias("n"), F.sum(F.when(F.col("salt") == 0, 1).otherwise(0)).alias("cold")
+    )
+    winners = whole.groupBy("digest").agg(
+        F.sum(F.greatest("cold", F.when(F.col("text").isNull(), 0).otherwise(1))).alias("texts"), F.max("rank").alias("rank"), F.max("n").alias("n")
+    )
     winners = winners.select(
         F.col("digest").alias("w_digest"),
         F.expr(f"if(texts > 1, raise_error('one digest, different texts'), cast(rank % {_WIDE} as decimal(20,0)))").alias("tail"),
@@ -57,7 +68,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("n").alias("group_size"),
     ).select("w_digest", "w_len", "group_size", F.expr(f"if(tail = 0, null, cast({_MAX} - (tail - 1) as bigint))").alias("keep_id"))
 
-    members = rows.groupBy("doc_id", "digest", "len").agg(F.count(F.lit(1)).alias("copies"))
+    # dealt by all keys first: the join's own exchange then stands alone, and a hot digest in it can be split
+    members = rows.select("doc_id", "digest", "len").repartition("doc_id", "digest", "len").groupBy("doc_id", "digest", "len").agg(F.count(F.lit(1)).alias("copies"))
     joined = members.join(winners, members["digest"] == winners["w_digest"])
     return joined.select(
         "doc_id",
@@ -70,10 +82,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    once = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
-    return once
+    """The rows that exact_dedup keeps, with all their columns; of repeated rows one stays."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("__key"))
+    keyed = docs.withColumn("__key", F.concat_ws(":", F.sha2(normalised(F.col(text_col)), 256), F.col(id_col).cast("long").cast("string")))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 ORACLE_SQL = r"""
