@@ -1,8 +1,65 @@
-"""Corpus pipeline over documents."""
+"""From documents to packed training sequences.
 
-STAGES = []
+Each stage is one operator of quirelake.llm over all that the stage before it kept, written as
+Parquet and read again. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirelake.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, queries
+
+#: SQL cannot express all stages; tests hold the rows of run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language (no text, no letters) go."""
+    return language_id.known_language(docs, F.coalesce(queries.bucket("doc_id", 3) != 1, F.lit(True)))
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one stays."""
+    return exact_dedup.drop_copies(docs).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed."""
+    return packing.pack(docs, queries.tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("copies", copies),
+    ("near_copies", near_copies),
+    ("benchmark", benchmark),
+    ("sequences", sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other; each is written to the shared folder and read again."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
+    base = os.path.join(named, f"pipeline-{uuid.uuid4().hex}")
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return docs

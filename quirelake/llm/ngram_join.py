@@ -186,7 +186,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = links(saved(sets), percent)
     rows = every.select("doc_id", "n", F.when(F.col("n") > 0, both).alias("sid"))
     rows = rows.join(linked.select(F.col("id").alias("sid"), "component"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("c"))
-    least = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"))
+    # saved, so that both sides of the join are plain exchanges, of which a hot class can be split
+    least = saved(rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low")))
     return rows.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
 
 
@@ -214,3 +215,10 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id FROM s LEFT JOIN low ON doc_id = start
 """
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, whose id is that of their class. Rows without an id stay."""
+    classes = jaccard_classes(docs, id_col, text_col, size, percent)
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
