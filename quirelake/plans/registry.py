@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.functions import geometry as G
+from quirelake.functions import pyfuncs
 from quirelake.functions import text as T
-from quirelake.operators import fusion, jobs, layout, media, quality, tables, units
+from quirelake.operators import fusion, fuzzy, jobs, layout, media, quality, tables, units
 from quirelake.plans.inputs import LINES, cte, source
+from quirelake.sources import readers, sinks
 
 _W = r"[\s\x0b\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -653,3 +655,135 @@ def run_report(spark, d):
 @query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
 def event_props(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+# ---- sources and sinks ---------------------------------------------------------------------------
+
+_HEAD = "CASE doc_id % 11 WHEN 0 THEN '255044462D312E37' WHEN 1 THEN '89504E470D0A1A0A00' WHEN 2 THEN 'FFD8FFE0' WHEN 3 THEN '49492A0008' WHEN 4 THEN '424D00' WHEN 5 THEN '5249464600000000574542505650' WHEN 6 THEN '524946460000000041564920' WHEN 7 THEN '000000186674797071742020' WHEN 8 THEN '00000018667479706D703432' WHEN 9 THEN '1A45DFA37765626D' ELSE '00' END"
+_SUFFIX = "CASE doc_id % 3 WHEN 0 THEN '.mov' WHEN 1 THEN '.webm' ELSE '.bin' END"
+
+
+@query(f"""WITH h AS (SELECT doc_id, {_HEAD} AS h, {_SUFFIX} AS s FROM documents) SELECT doc_id, CASE WHEN starts_with(h, '255044462D') THEN 'application/pdf' WHEN starts_with(h, '89504E470D0A1A0A') THEN 'image/png' WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(h, '49492A00') THEN 'image/tiff'
+  WHEN starts_with(h, '424D') THEN 'image/bmp' WHEN starts_with(h, '52494646') AND h[17:24] = '57454250' THEN 'image/webp' WHEN starts_with(h, '52494646') AND h[17:24] = '41564920' THEN 'video/x-msvideo'
+  WHEN h[9:16] = '66747970' THEN CASE WHEN s = '.mov' OR contains(h, '71742020') THEN 'video/quicktime' ELSE 'video/mp4' END WHEN starts_with(h, '1A45DFA3') THEN CASE WHEN s = '.webm' OR contains(h, '7765626D') THEN 'video/webm' ELSE 'video/x-matroska' END END AS mime FROM h""")
+def mime_detect(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_HEAD).alias("h"), F.expr(_SUFFIX).alias("s"))
+    return rows.select("doc_id", readers.mime_type(F.col("h"), F.col("s")).alias("mime"))
+
+
+_LAYOUT = """CASE doc_id % 5 WHEN 0 THEN concat('[{"index":3,"label":"Text","content":"c', CAST(doc_id AS VARCHAR(20)), '","bbox_2d":[1,2,3,4]},{"label":" Title "}]')
+    WHEN 1 THEN '[{"label":"","bbox_2d":[1,2,3,4]}]' WHEN 2 THEN '[{"label":"x","bbox_2d":[5,2,3,4]}]' WHEN 3 THEN 'not json' ELSE '[{"index":-1,"label":"TABLE","bbox_2d":[0,0,1000,1000]}]' END"""
+
+
+@query("""SELECT doc_id, 3::BIGINT AS "index", 'text' AS label, 'c' || doc_id AS content, '1.0,2.0,3.0,4.0' AS bbox, NULL AS error FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, 1, 'title', '', NULL, NULL FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 0, 'table', '', '0.0,0.0,1000.0,1000.0', NULL FROM documents WHERE doc_id % 5 = 4
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, CASE doc_id % 5 WHEN 1 THEN 'no_label' WHEN 2 THEN 'invalid_box' ELSE 'invalid_json' END FROM documents WHERE doc_id % 5 IN (1, 2, 3)""")
+def layout_regions(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.expr(_LAYOUT).alias("j"))
+    return readers.layout_regions(rows, "doc_id", "j").withColumn("bbox", F.array_join(F.col("bbox").cast("array<string>"), ","))
+
+
+@query("SELECT doc_id, 'a|b' || ',' || doc_id || ';x,' || lang AS grid FROM documents")
+def markdown_table(spark, d):
+    text = F.concat(F.lit("intro\n| a\\|b | "), F.col("doc_id").cast("string"), F.lit(" |\n| --- | :---: |\n| x | "), F.col("lang"), F.lit(" |\n"))
+    grid = F.array_join(F.transform(readers.markdown_rows(text), lambda r: F.array_join(r, ",")), ";")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", grid.alias("grid"))
+
+
+@query("WITH p AS (SELECT event_id, user_id, 10 + event_id % 50 AS d, event_id % 4 AS k FROM events) SELECT event_id, (d * 1000 + 500)::BIGINT AS duration_ms, 640::BIGINT AS width, 480::BIGINT AS height, 'h264' AS codec, CASE WHEN k = 0 THEN NULL ELSE 30000::DOUBLE / k END AS frame_rate FROM p")
+def video_probe(spark, d):
+    j = F.expr("""concat('{"format":{"duration":"', 10 + event_id % 50, '.5"},"streams":[{"codec_type":"audio"},{"codec_type":"video","codec_name":"h264","width":640,"height":480,"avg_frame_rate":"30000/', event_id % 4, '"}]}')""")
+    return readers.video_probe(spark.read.parquet(f"{d}/events.parquet").select("event_id", j.alias("j")), "event_id", "j")
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'unsupported_version' WHEN 2 THEN 'unsupported_version' END AS error, 'c' || doc_id AS content_id, 'completed' AS status FROM documents")
+def result_gate(spark, d):
+    j = F.expr("""concat('{"content_id":"c', doc_id, '","status":"completed"', case doc_id % 3 when 0 then ',"schema_version":"content-parse-result/1.0"' when 1 then ',"schema_version":"old"' else '' end, '}')""")
+    return readers.gated_results(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", j.alias("j")), "doc_id", "j")
+
+
+@query("SELECT event_id, 'id: ' || event_id || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
+def sse_emit(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", sinks.sse_emit(F.col("event_id"), F.col("event_type"), F.col("props")).alias("frame"))
+
+
+@query("SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, event_id::VARCHAR AS id, event_type AS event, props || chr(10) || 'more' AS data FROM events")
+def sse_parse(spark, d):
+    text = F.concat(F.lit("id: "), F.col("event_id").cast("string"), F.lit("\n: note\nevent: "), F.col("event_type"), F.lit("\ndata: "), F.col("props"), F.lit("\ndata:more\n"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", F.posexplode(F.split(text, "\n")).alias("i", "line")).withColumn("o", F.col("event_id") * 10 + F.col("i"))
+    return readers.sse_frames(rows, "user_id", "o", "line")
+
+
+_RANGE = "CASE doc_id % 6 WHEN 0 THEN 'bytes=10-20' WHEN 1 THEN 'bytes=100-' WHEN 2 THEN 'bytes=-50' WHEN 3 THEN 'bytes=1-2,4-5' WHEN 4 THEN 'bytes=9-3' ELSE 'bytes=999999-' END"
+
+
+@query("""SELECT doc_id, CASE WHEN error IS NULL THEN s END AS "start", CASE WHEN error IS NULL THEN least(e, n_chars - 1) END AS "end", error FROM (SELECT *, CASE WHEN doc_id % 6 = 3 THEN 'invalid_range' WHEN e < s OR s >= n_chars THEN 'range_not_satisfiable' END AS error FROM (
+  SELECT doc_id, n_chars, CASE doc_id % 6 WHEN 0 THEN 10 WHEN 1 THEN 100 WHEN 2 THEN greatest(0, n_chars - 50) WHEN 4 THEN 9 ELSE 999999 END AS s, CASE doc_id % 6 WHEN 0 THEN 20 WHEN 4 THEN 3 ELSE n_chars - 1 END AS e FROM documents))""")
+def byte_range(spark, d):
+    start, end, error = sinks.byte_range(F.expr(_RANGE), F.col("n_chars"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", start.alias("start"), end.alias("end"), error.alias("error"))
+
+
+@query("WITH p AS (SELECT conv_id, string_agg('<!-- page: ' || turn || ' -->' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn, text) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, md5(m) AS h FROM p")
+def document_rendering(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn page_number", "text content")
+    return sinks.document_rendering(rows, "conv_id").select("conv_id", F.md5("markdown").alias("h"))
+
+
+@query("WITH c AS (SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0), l AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM c GROUP BY user_id) SELECT user_id, t AS event_type FROM l")
+def job_upsert(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    old = ev.where("event_id % 2 = 0").groupBy("user_id").agg(F.lit("old").alias("event_type"))
+    return sinks.upsert(old, ev.where("event_id % 2 = 0").select("user_id", "event_type", "event_id"), "user_id", "event_id")
+
+
+# ---- fuzzy and fold operators: no SQL form, values are held in the tests ---------------------------
+
+
+@query(None)
+def seq_ratio(spark, d):
+    return source(spark, d, "pairs").select("doc_id", pyfuncs.seq_ratio(F.substring("reference", 1, 60), F.substring("candidate", 1, 60)).alias("ratio"))
+
+
+@query(None)
+def row_label_match(spark, d):
+    rows = _lines(spark, d).selectExpr("l_orderkey table_id", "l_linenumber row_index", "concat('Position ', l_partkey % 30, ' total') label")
+    targets = _lines(spark, d).selectExpr("l_orderkey table_id", "concat('position ', l_partkey % 29, ' Total') target")
+    return fuzzy.row_label_match(targets, rows, ["table_id"])
+
+
+@query("""WITH lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL), o AS (SELECT l_orderkey AS t, p % 10 AS label, min(l_linenumber)::BIGINT AS i FROM lines GROUP BY ALL HAVING count(*) = 1)
+SELECT l_orderkey AS table_id, 'Row ' || (p % 9) AS target, i AS row_index FROM lines JOIN o ON t = l_orderkey AND label = p % 9""")
+def row_label_exact(spark, d):
+    rows = _lines(spark, d).selectExpr("l_orderkey table_id", "l_linenumber row_index", "concat('row ', l_partkey % 10) label")
+    targets = _lines(spark, d).selectExpr("l_orderkey table_id", "concat('Row ', l_partkey % 9) target")
+    return fuzzy.exact_label_match(targets, rows, ["table_id"])
+
+
+@query(None)
+def replay_trim(spark, d):
+    rows = _lines(spark, d).selectExpr("l_orderkey table_id", "cast(l_linenumber % 2 as int) band", "l_linenumber row_index", "array(concat('r', l_partkey % 3), if(l_linenumber % 2 = 0, '1', '')) cells")
+    return fuzzy.replay_trim(rows, ["table_id"]).select("table_id", "band", "row_index")
+
+
+@query(None)
+def overlap_dedup(spark, d):
+    rows = _lines(spark, d).selectExpr("l_orderkey table_id", "l_linenumber row_index", "array(concat('r', l_partkey % 3), cast(l_suppkey % 2 as string), 'x') cells", "l_partkey % 5 strength")
+    return fuzzy.overlap_dedup(rows, ["table_id"]).select("table_id", "row_index", "strength")
+
+
+@query(None)
+def continuation_repair(spark, d):
+    rows = source(spark, d, "fragments").selectExpr("content_id", "page_number", "ordinal", "valid", "top", "bottom", "array(0.0D, 0.5D) boundaries", "if(fragment_id % 2 = 0, array(array('A', '', 'B'), array('1', '2', '3')), array(array('A', 'B'), array('1', '3'))) rows")
+    return fuzzy.continuation_repair(rows).select("content_id", "page_number", "ordinal", F.size(F.col("rows")[0]).alias("width"))
+
+
+@query(None)
+def html_tables(spark, d):
+    rows = _lines(spark, d).groupBy("l_orderkey").agg(F.concat(F.lit("<table>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("<tr><th rowspan=2>h</th><td>"), x["l_partkey"].cast("string"), F.lit("</td></tr>"))), ""), F.lit("</table>")).alias("html"))
+    return readers.html_tables(rows, "l_orderkey", "html")
+
+
+@query(None)
+def safe_filename(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", pyfuncs.safe_filename(F.col("url")).alias("name"))
