@@ -3,8 +3,9 @@
 Distances are in words (lower-cased runs of letters and digits), at most ``rate`` of the item's.
 
 1. Windows of an item's size are taken around anchors: runs of four words that item and text
-   share. With at most ``rate`` edits an item always keeps one (k edits leave one of k + 1 parts
-   whole, and the number of edits allowed keeps parts at four words), so this loses nothing.
+   share. An edit destroys at most four of an item's runs, so a text within k edits has all but
+   4 k of them (at least one, by the number of edits allowed); texts with fewer are passed over,
+   which loses nothing.
 2. CGK random-walk embedding turns each window into a word sequence of three times its length: a
    step copies the current word and moves on or stays, as a random function of step and word says.
    Edit distance becomes Hamming distance.
@@ -12,8 +13,8 @@ Distances are in words (lower-cased runs of letters and digits), at most ``rate`
    places; windows that agree with the item in all places of one table are candidates. At the
    largest distance allowed about 0.7 of the places agree, which gives a recall of over 0.999
    with the default 64 tables (tests measure it against brute force).
-4. Candidates are verified: the least edit distance of the item to any part of the window's
-   surroundings, by dynamic programming.
+4. Texts with a candidate are verified: the least edit distance of the item to any part of the
+   anchored windows and their surroundings, by dynamic programming.
 
 Items are sent to the tasks in chunks of at most ``chunk_words`` words, so what is broadcast is
 bounded; documents stream past each chunk and are not shuffled.
@@ -79,39 +80,62 @@ class Index:
                 whole = Slice(0, 1, s.data, s.bounds, s.starts, s.ends, np.array([0, len(w)]))
                 for at, g in zip(*whole.grams(size, w), strict=True):
                     anchors.setdefault(size, {}).setdefault(int(g), []).append((item, int(at)))
-        self.anchors = {size: (np.sort(np.fromiter(a, np.uint64, len(a))), a) for size, a in anchors.items()}
-        self.keys = [self._keys(w[None, :])[0] for w in self.words]
-
-    def _keys(self, windows: np.ndarray) -> np.ndarray:
-        """windows x (walks * tables) keys."""
+        self.anchors = {}
+        for size, a in anchors.items():
+            known = np.sort(np.fromiter(a, np.uint64, len(a)))
+            low = np.zeros(1 << 20, bool)
+            low[known & _U(0xFFFFF)] = True
+            self.anchors[size] = (known, a, low)
+        self.keys = [[self._keys(w[None, :], walk)[0] for walk in range(walks)] for w in self.words]
+
+    def _keys(self, windows: np.ndarray, walk: int) -> np.ndarray:
+        """windows x tables keys of one walk."""
         n = windows.shape[1]
+        e = embed(windows, walk)
         out = []
-        for walk in range(self.walks):
-            e = embed(windows, walk)
-            places = np.random.Generator(np.random.PCG64([n, walk])).integers(0, 3 * n, (self.tables, self.bits))
-            for p in places:
-                key = np.zeros(len(windows), np.uint64)
-                for c in p:
-                    key = mix(key + e[:, c])
-                out.append(key)
+        for p in np.random.Generator(np.random.PCG64([n, walk])).integers(0, 3 * n, (self.tables, self.bits)):
+            key = np.zeros(len(windows), np.uint64)
+            for c in p:
+                key = mix(key + e[:, c])
+            out.append(key)
         return np.stack(out, axis=1)
 
+    def _alike(self, item: int, windows: np.ndarray, doc: np.ndarray) -> set[int]:
+        """Texts of which a window agrees with the item in some table of some walk."""
+        found: set[int] = set()
+        for walk in range(self.walks):
+            hit = (self._keys(windows, walk) == self.keys[item][walk]).any(axis=1)
+            found.update(doc[hit].tolist())
+            rest = ~np.isin(doc, list(found))  # a text needs one agreement; its other windows add nothing
+            windows, doc = windows[rest], doc[rest]
+            if not len(doc):
+                break
+        return found
+
     def _hits(self, size: int, grams: np.ndarray) -> np.ndarray:
-        known = self.anchors[size][0]
+        """Places of known runs; a table of their low bits passes over nearly all others."""
+        known, _, low = self.anchors[size]
+        maybe = np.flatnonzero(low[grams & _U(0xFFFFF)])
+        grams = grams[maybe]
         at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        return np.flatnonzero(known[at] == grams)
+        return maybe[known[at] == grams]
 
     def matches(self, s: Slice) -> list[tuple[int, int, int, int, int]]:
         """(text in the slice, item, distance, first word, word after) of verified matches, the best of each."""
         h = s.hashes()
-        starts: dict[int, set[tuple[int, int]]] = {}
+        shared: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for size in self.anchors:
             first, g = s.grams(size, h)
             for k in self._hits(size, g).tolist():
                 p = int(first[k])
                 doc = int(np.searchsorted(s.words, p, "right")) - 1
                 for item, q in self.anchors[size][1][int(g[k])]:
-                    starts.setdefault(item, set()).add((doc, p - q))
+                    shared.setdefault((item, doc), []).append((p - q, q))
+        starts: dict[int, set[tuple[int, int]]] = {}
+        for (item, doc), hits in shared.items():
+            size = min(ANCHOR, len(self.words[item]))
+            if len({q for _, q in hits}) >= len(self.words[item]) - size + 1 - size * self.edits[item]:
+                starts.setdefault(item, set()).update((doc, x) for x, _ in hits)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for item, diagonals in starts.items():
             word, k = self.words[item], self.edits[item]
@@ -120,37 +144,38 @@ class Index:
             doc, at = np.array([x[0] for x in near]), np.array([x[1] for x in near])
             inside = np.minimum(at[:, None] + np.arange(n), len(h) - 1)
             windows = np.where(at[:, None] + np.arange(n) < s.words[doc + 1][:, None], h[inside], _U(0))
-            same = (self._keys(windows) == self.keys[item]).any(axis=1)
-            for d, x in sorted({(int(d), int(x)) for d, x in zip(doc[same], at[same], strict=True)}):
-                a, b = max(x - k, int(s.words[d])), min(x + n + k, int(s.words[d + 1]))
-                got = closest(word, h[a:b])
-                if got[0] <= k:
-                    found = (got[0], got[1] + a - int(s.words[d]), got[2] + a - int(s.words[d]))
-                    if (d, item) not in best or found < best[d, item]:
-                        best[d, item] = found
+            for d in sorted(self._alike(item, windows, doc)):
+                low, high = int(s.words[d]), int(s.words[d + 1])
+                spans: list[list[int]] = []
+                for x in at[doc == d].tolist():
+                    a, b = max(x - k, low), min(x + n + k, high)
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = b
+                    else:
+                        spans.append([a, b])
+                for a, b in spans:
+                    got = closest(word, h[a:b])
+                    if got[0] <= k and ((d, item) not in best or got[0] < best[d, item][0]):
+                        best[d, item] = (got[0], got[1] + a - low, got[2] + a - low)
         return [(d, item, *x) for (d, item), x in sorted(best.items())]
 
 
+def _last_row(item: np.ndarray, text: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Edit distances of the item to what ends at each place of text, from the distances of an empty item."""
+    place = np.arange(len(text) + 1)
+    for w in item:
+        cost = row + 1
+        cost[1:] = np.minimum(cost[1:], row[:-1] + (text != w))
+        row = np.minimum.accumulate(cost - place) + place
+    return row
+
+
 def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(distance, start, end) of the part of text that is closest to item; the earliest end of equals."""
-    m = len(text)
-    row = np.zeros(m + 1, np.int64)
-    begin = np.arange(m + 1)
-    for i, w in enumerate(item, 1):
-        cost, start = [i], [0]
-        differs = (text != w).tolist()
-        old, old_start = row.tolist(), begin.tolist()
-        for j in range(1, m + 1):
-            c, b = old[j - 1] + differs[j - 1], old_start[j - 1]
-            if old[j] + 1 < c:
-                c, b = old[j] + 1, old_start[j]
-            if cost[j - 1] + 1 < c:
-                c, b = cost[j - 1] + 1, start[j - 1]
-            cost.append(c)
-            start.append(b)
-        row, begin = np.array(cost), np.array(start)
+    """(distance, start, end) of the part of text that is closest to item: the earliest end, then the shortest part."""
+    row = _last_row(item, text, np.zeros(len(text) + 1, np.int64))
     end = int(row.argmin())
-    return int(row[end]), int(begin[end]), end
+    back = _last_row(item[::-1], text[:end][::-1], np.arange(end + 1))
+    return int(row[end]), end - int(np.flatnonzero(back == row[end])[0]), end
 
 
 def _chunks(items: DataFrame, item_col: str, text_col: str, chunk_words: int) -> list[tuple[list, list]]:
