@@ -35,11 +35,14 @@ INPUTS = {
         CAST(doc_id % 12 + 1 AS VARCHAR(20)), '月', CAST(doc_id % 28 + 1 AS VARCHAR(20)), '日') AS text FROM {documents}""",
     "pairs": """SELECT a.doc_id, a.text AS reference, b.text AS candidate FROM {documents} a JOIN {documents} b ON b.doc_id = a.doc_id + 1""",
     # a cell as three sources read it
-    "cells": """SELECT l_orderkey AS table_id, l_linenumber AS row_index, s AS source,
-        CASE WHEN s = 'qwen' AND l_partkey % 5 = 0 THEN '' WHEN s = 'glm' AND l_partkey % 7 = 0 THEN concat(' ', CAST(l_partkey + 1 AS VARCHAR(20)))
-             WHEN s = 'docling' AND l_partkey % 6 = 0 THEN NULL WHEN s = 'docling' AND l_partkey % 4 = 0 THEN concat('−', CAST(l_partkey AS VARCHAR(20)))
-             WHEN s = 'qwen' AND l_partkey % 3 = 0 THEN CAST(l_partkey + 2 AS VARCHAR(20)) ELSE CAST(l_partkey AS VARCHAR(20)) END AS value, l_suppkey % 9 <> 0 AS valid
-        FROM """ + LINES + """ l CROSS JOIN (SELECT 'qwen' AS s UNION ALL SELECT 'glm' UNION ALL SELECT 'docling') x""",
+    "cells": " UNION ALL ".join(
+        f"""SELECT l_orderkey AS table_id, l_linenumber AS row_index, '{name}' AS source, {value} AS value, l_suppkey % 9 <> 0 AS valid FROM {LINES} l"""
+        for name, value in (
+            ("qwen", "CASE WHEN l_partkey % 5 = 0 THEN '' WHEN l_partkey % 3 = 0 THEN CAST(l_partkey + 2 AS VARCHAR(20)) ELSE CAST(l_partkey AS VARCHAR(20)) END"),
+            ("glm", "CASE WHEN l_partkey % 7 = 0 THEN concat(' ', CAST(l_partkey + 1 AS VARCHAR(20))) ELSE CAST(l_partkey AS VARCHAR(20)) END"),
+            ("docling", "CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 4 = 0 THEN concat('−', CAST(l_partkey AS VARCHAR(20))) ELSE CAST(l_partkey AS VARCHAR(20)) END"),
+        )
+    ),
     "conflicts": """SELECT l_suppkey AS page_id, concat('t', CAST(l_orderkey % 3 AS VARCHAR(20)), 'r', CAST(l_orderkey AS VARCHAR(20)), 'c', CAST(l_linenumber AS VARCHAR(20))) AS conflict_id,
         l_partkey % 10 = 0 AS has_date, CAST(l_partkey AS VARCHAR(20)) AS final, CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE concat('seen ', CAST(l_partkey AS VARCHAR(20))) END AS observed FROM """ + LINES + """ l""",
     "jobs_ev": """SELECT user_id AS job_id, event_id AS id, CASE event_id % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'running' WHEN 3 THEN 'completed' WHEN 4 THEN 'failed' WHEN 5 THEN 'running' ELSE 'cancelled' END AS status,
