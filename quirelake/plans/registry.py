@@ -787,3 +787,174 @@ def html_tables(spark, d):
 @query(None)
 def safe_filename(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", pyfuncs.safe_filename(F.col("url")).alias("name"))
+
+
+# ---- further rules ---------------------------------------------------------------------------------
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+@query("WITH i AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n FROM documents) SELECT doc_id, n = 1 AS valid FROM i")
+def input_exactly_one(spark, d):
+    given = [F.when(F.col("doc_id") % k == 0, F.lit("x")) for k in (2, 3, 5)]
+    return _docs(spark, d).select("doc_id", (sum((g.isNotNull().cast("int") for g in given), F.lit(0)) == 1).alias("valid"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'report.pdf' WHEN 1 THEN 'report' || doc_id || '.pdf' ELSE 'mismatch' END AS name FROM documents")
+def extension_agreement(spark, d):
+    name = F.expr("CASE doc_id % 4 WHEN 0 THEN 'report.PDF' WHEN 1 THEN concat('report', doc_id) WHEN 2 THEN 'a.png' ELSE 'b.docx' END")
+    rows = _docs(spark, d).select("doc_id", name.alias("n"))
+    suffix = F.lower(F.regexp_extract("n", r"(\.[A-Za-z0-9]+)$", 1))
+    out = F.when(suffix == "", F.concat("n", F.lit(".pdf"))).when(suffix == ".pdf", F.lower("n")).otherwise("mismatch")
+    return rows.select("doc_id", out.alias("name"))
+
+
+@query("""WITH r AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '# ' || role WHEN 1 THEN '<!-- image -->' ELSE role END AS t FROM conversations) SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn, t) AS markdown FROM r GROUP BY conv_id""")
+def region_markdown(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.expr("CASE turn % 3 WHEN 0 THEN concat('# ', role) WHEN 1 THEN '<!-- image -->' ELSE role END"))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n\n").alias("markdown"))
+
+
+@query(f"{cte('pages_q')}, {_CODES} SELECT page_number, count(*) AS pages, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') AS codes FROM v WHERE len(codes) > 0 GROUP BY page_number")
+def warning_log(spark, d):
+    rows = quality.page_codes(source(spark, d, "pages_q"), ["content_id", "page_number"]).where(F.size("codes") > 0)
+    return rows.groupBy("page_number").agg(F.count(F.lit(1)).alias("pages"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))), ",").alias("codes"))
+
+
+_JOBS = "SELECT o_orderkey AS job_id, CASE o_orderkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' WHEN 2 THEN 'failed' ELSE 'queued' END AS status, o_orderkey % 100 AS expires_at FROM {orders}"
+
+
+@query(f"WITH j AS ({_JOBS.format(orders='orders')}) SELECT status, count(*) AS total, count(*) FILTER (expires_at <= 50 AND status IN ('completed', 'failed')) AS removed FROM j GROUP BY status")
+def purge_counts(spark, d):
+    return sinks.purge_counts(spark.sql(_JOBS.format(orders=f"parquet.`{d}/orders.parquet`")), F.lit(50))
+
+
+@query(f"WITH j AS ({_JOBS.format(orders='orders')}) SELECT job_id FROM j WHERE NOT (expires_at <= 50 AND status IN ('completed', 'failed'))")
+def retention_delete(spark, d):
+    rows = spark.sql(_JOBS.format(orders=f"parquet.`{d}/orders.parquet`"))
+    gone = rows.where(F.col("status").isin(*jobs.TERMINAL) & (F.col("expires_at") <= 50)).select("job_id")
+    return rows.join(gone, "job_id", "left_anti").select("job_id")
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'auto' ELSE 'auto' END AS policy, CASE doc_id % 3 WHEN 0 THEN 1.5e0 WHEN 1 THEN 2e0 ELSE 2.5e0 END AS scale FROM documents")
+def profile_policy(spark, d):
+    profile = F.expr("element_at(array('fast', 'balanced', 'accurate'), cast(doc_id % 3 + 1 as int))")
+    rows = _docs(spark, d).select("doc_id", profile.alias("p"))
+    return rows.select("doc_id", F.when(F.col("p") == "fast", "off").otherwise("auto").alias("policy"), F.when(F.col("p") == "fast", 1.5).when(F.col("p") == "balanced", 2.0).otherwise(2.5).alias("scale"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS rendering FROM documents")
+def renderings_flag(spark, d):
+    return _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("rendering"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS rejected FROM documents")
+def removed_options(spark, d):
+    given = F.expr("if(doc_id % 3 = 0, array('mode', 'languages'), array('languages'))")
+    return _docs(spark, d).select("doc_id", F.arrays_overlap(given, F.array(F.lit("mode"), F.lit("output_format"), F.lit("include_diagnostics"))).alias("rejected"))
+
+
+@query("WITH a AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'preview' WHEN 2 THEN 'keyframe' ELSE 'image' END AS kind, o_orderkey + 1 AS pid FROM orders) SELECT a.id, coalesce(p.id, a.id) AS shown FROM a LEFT JOIN (SELECT id, id - 1 AS parent FROM a WHERE kind = 'preview') p ON p.parent = a.id WHERE a.kind = 'image'")
+def asset_gallery(spark, d):
+    rows = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey id", "CASE o_orderkey % 4 WHEN 1 THEN 'preview' WHEN 2 THEN 'keyframe' ELSE 'image' END kind")
+    preview = rows.where("kind = 'preview'").selectExpr("id pid", "id - 1 parent")
+    return rows.where("kind = 'image'").join(preview, F.col("id") == F.col("parent"), "left").select("id", F.coalesce("pid", "id").alias("shown"))
+
+
+@query("SELECT doc_id, length(lang) > 1 AND lang <> reverse(lang) AS mismatch FROM documents")
+def heading_order_mismatch(spark, d):
+    return _docs(spark, d).select("doc_id", T.anagram_only(F.concat(F.lit("# "), "lang"), F.reverse("lang")).alias("mismatch"))
+
+
+@query("SELECT doc_id, unnest(regexp_extract_all(text, '[\\x{FFFD}\\x{AD}\\x{200B}\\x{1}]')) AS g FROM (SELECT doc_id, lang || chr(173) || chr(65533) || CASE WHEN doc_id % 2 = 0 THEN chr(1) ELSE chr(10) END AS text FROM documents)".join(("SELECT doc_id, 'U+' || upper(lpad(to_hex(unicode(g)), 4, '0')) AS glyph, count(*) AS n FROM (", ") GROUP BY ALL")))
+def glyph_counts(spark, d):
+    text = F.concat("lang", F.lit("­�"), F.when(F.col("doc_id") % 2 == 0, F.lit("\u0001")).otherwise(F.lit("\n")))
+    chars = _docs(spark, d).select("doc_id", F.explode(F.split(text, "")).alias("c")).where(F.col("c").rlike(r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}�]") & ~F.col("c").isin("\n", "\t"))
+    code = F.concat(F.lit("U+"), F.lpad(F.hex(F.expr("conv(substr(hex(encode(c, 'UTF-16BE')), 1, 4), 16, 10)").cast("long")), 4, "0"))
+    return chars.groupBy("doc_id", code.alias("glyph")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey AS rel, greatest(1, count(*) FILTER (o_orderkey % 3 = 0)) AS placements FROM orders GROUP BY o_custkey")
+def placements(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("rel")).agg(F.greatest(F.lit(1).cast("long"), F.count_if(F.col("o_orderkey") % 3 == 0)).alias("placements"))
+
+
+@query("SELECT source, count(*) AS units, sum(n_chars)::BIGINT AS chars, array_to_string(list_sort(list(DISTINCT lang)), ',') AS kinds FROM documents GROUP BY source")
+def result_overview(spark, d):
+    return _docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("units"), F.sum("n_chars").alias("chars"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("kinds"))
+
+
+@query(f"{cte('pairs')}, c AS (SELECT doc_id, list_sort(string_split({_compact('reference')}, '')) = list_sort(string_split({_compact('candidate')}, '')) AS same FROM pairs) SELECT doc_id, same FROM c")
+def multiset_equal(spark, d):
+    sorted_ = lambda c: F.array_sort(F.split(T.compact_text(F.col(c)), ""))
+    return source(spark, d, "pairs").select("doc_id", (sorted_("reference") == sorted_("candidate")).alias("same"))
+
+
+@query("SELECT doc_id, doc_id % 12 = (doc_id * 7) % 12 AS same FROM documents")
+def date_set_equal(spark, d):
+    text = lambda k: F.concat(F.lit("2024年"), (F.col("doc_id") * k % 12 + 1).cast("string"), F.lit("月1日 2024 年"), (F.col("doc_id") * k % 12 + 1).cast("string"), F.lit("月 1 日"))
+    return _docs(spark, d).select("doc_id", (T.date_tokens(text(1)) == T.date_tokens(text(7))).alias("same"))
+
+
+@query("SELECT doc_id, 'Title ' || lang || chr(10) || chr(10) || 'quoted' || chr(10) || 'item ' || source || chr(10) || 'one & two <x> bold' AS t FROM documents")
+def md_to_text(spark, d):
+    text = F.concat(F.lit("# Title [`"), "lang", F.lit("`](http://x)\n\n> quoted\n- item ~~"), "source", F.lit("~~\n1. one &amp; two &lt;x&gt; **bold** <br/>\n"))
+    return _docs(spark, d).select("doc_id", T.markdown_to_text(text).alias("t"))
+
+
+@query("SELECT doc_id, lang || '=' || doc_id || ',' || source || '=7' AS toc FROM documents")
+def toc_lines(spark, d):
+    text = F.concat("lang", F.lit(" ..... "), F.col("doc_id").cast("string"), F.lit("\nno entry\n"), "source", F.lit("……… · ....7 "))
+    return _docs(spark, d).select("doc_id", F.array_join(F.transform(T.toc_entries(text), lambda e: F.concat(e["title"], F.lit("="), e["page"])), ",").alias("toc"))
+
+
+@query(f"{cte('blocks')} SELECT ord, CASE ord % 4 WHEN 1 THEN 1 - y1 WHEN 2 THEN 1 - x1 WHEN 3 THEN y0 ELSE x0 END AS x0, CASE ord % 4 WHEN 1 THEN x0 WHEN 2 THEN 1 - y1 WHEN 3 THEN 1 - x1 ELSE y0 END AS y0 FROM blocks WHERE x1 <= 1 AND y1 <= 1")
+def bbox_rotate(spark, d):
+    rows = _with_box(source(spark, d, "blocks")).withColumn("b", G.valid(F.col("bbox"))).where("b is not null")
+    return rows.withColumn("b", G.rotated(F.col("b"), F.col("ord") % 4 * 90)).selectExpr("ord", "b.left x0", "b.top y0")
+
+
+@query("WITH c AS (SELECT doc_id, 1 + doc_id % 4 AS w, 2 + doc_id % 3 AS n FROM documents) SELECT doc_id, array_to_string(list_transform(range(0, w), lambda k: CASE WHEN k < n THEN 'c' || k ELSE '' END), ',') AS cells FROM c")
+def row_values(spark, d):
+    cells = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3 + 1).cast("int")), lambda k: F.concat(F.lit("c"), k.cast("string")))
+    return _docs(spark, d).select("doc_id", F.array_join(T.row_values(cells, (F.col("doc_id") % 4 + 1).cast("int")), ",").alias("cells"))
+
+
+@query("SELECT doc_id, doc_id % 3 <> 2 AS redundant FROM documents")
+def redundant_header(spark, d):
+    cells = F.expr("CASE doc_id % 3 WHEN 0 THEN array('Year 2024', '') WHEN 1 THEN array('year', ' SUM') ELSE array('Year', 'other') END")
+    return _docs(spark, d).select("doc_id", T.redundant_header(F.array(F.lit("Year 2024"), F.lit("Sum total"), F.lit("")), cells).alias("redundant"))
+
+
+@query("SELECT doc_id, lang || ',xx' AS languages FROM documents")
+def languages_parse(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(T.languages(F.concat(F.upper("lang"), F.lit(" ,xx,,"), "lang", F.lit(", XX"))), ",").alias("languages"))
+
+
+@query("SELECT doc_id, '1-' || doc_id AS unit_range, doc_id % 2 = 0 AS legacy FROM documents")
+def legacy_record(spark, d):
+    key = F.when(F.col("doc_id") % 2 == 0, "page_range").otherwise("unit_range")
+    record = F.from_json(F.concat(F.lit('{"'), key, F.lit('":"1-'), F.col("doc_id").cast("string"), F.lit('","dropped":"x"}')), "map<string,string>")
+    return _docs(spark, d).select("doc_id", F.coalesce(record["unit_range"], record["page_range"]).alias("unit_range"), F.map_contains_key(record, "page_range").alias("legacy"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def latest_event(spark, d):
+    return jobs.latest(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id"), "user_id", [F.desc("event_id")])
+
+
+@query("WITH f AS (SELECT conv_id, turn, 2 + turn % 2 AS w FROM conversations), g AS (SELECT DISTINCT conv_id, turn, w, first_value(w) OVER (PARTITION BY conv_id ORDER BY turn) AS first_w FROM f) SELECT conv_id, count(*) FILTER (w = first_w) AS kept, count(*) FILTER (w <> first_w) AS refused FROM g GROUP BY conv_id")
+def layout_contract(spark, d):
+    from pyspark.sql import Window
+
+    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", "2 + turn % 2 w").distinct()
+    first = F.first_value("w").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.withColumn("f", first).groupBy("conv_id").agg(F.count_if(F.col("w") == F.col("f")).alias("kept"), F.count_if(F.col("w") != F.col("f")).alias("refused"))
+
+
+@query("SELECT doc_id, doc_id % 4 IN (0, 1) AS blocked FROM documents")
+def heading_between(spark, d):
+    tail = F.expr("CASE doc_id % 4 WHEN 0 THEN 'x\n# Part' WHEN 1 THEN '1.2 Part' WHEN 2 THEN '1. Part' ELSE 'see # Part' END")
+    return _docs(spark, d).select("doc_id", tail.rlike(r"(?m)^(?:#{1,6}\s+\S|第[一二三四五六七八九十百0-9]+[章节]\s*|\p{Nd}+(?:\.\p{Nd}+)+\s+\S)").alias("blocked"))
