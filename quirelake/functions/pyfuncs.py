@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, StringType
 
-#: Names that some systems keep for devices.
+#: Names that some systems keep for devices.
 RESERVED = {"CON", "PRN", "AUX", "NUL"} | {f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)}
 
 

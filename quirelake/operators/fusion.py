@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
 
+# Names of the sources, in the order of insertion and of preference.
 FIRST = ("qwen", "glm", "docling")
 FINAL = ("glm", "docling", "qwen")
 

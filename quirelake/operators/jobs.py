@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The states and the moves between them.
 TERMINAL = ["completed", "partial", "failed", "cancelled"]
 ALLOWED = {"queued": ["running", "cancelled", "failed"], "running": TERMINAL}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
 
+# Fixed values from here to _VALUE: codes and patterns that results must use as they are.
 #: Codes that make a page without visual fusion untrusted.
 DISTRUST = [
     "low_text_content", "high_replacement_character_ratio", "repeated_text", "suspicious_unicode_mojibake",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The form of an item here, and the thresholds in the functions below.
 _ITEM = r"^[1-9][0-9]*(\s*-\s*[1-9][0-9]*)?$"
 
 
