@@ -24,9 +24,9 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 def plan(total: int, block_bytes: int = 6 << 20) -> int:
-    """Blocks (and shards) for so many bytes. Blocks grow with the corpus, up to 256 MB, so that
+    """Blocks (and shards) for so many bytes. Blocks grow with the corpus, up to 128 MB, so that
     blocks x shards, the number of rows exchanged, stays near linear."""
-    size = max(block_bytes, min(256 << 20, total // 4000))
+    size = max(block_bytes, min(128 << 20, total // 4000))
     return max(8, -(-total // size))
 
 
@@ -43,9 +43,10 @@ def encode(keys: np.ndarray) -> bytes:
         return b""
     gaps = np.diff(keys, prepend=_U(0))
     first, gaps = gaps[:1].tobytes(), gaps[1:]
-    if len(gaps) and gaps.max() >= 1 << 32:
+    widest = int(gaps.max()) if len(gaps) else 0
+    if widest >= 1 << 32:
         return b"\x00" + keys.astype("<u8").tobytes()
-    return b"\x01" + first + gaps.astype("<u4").tobytes()
+    return b"\x01" + first + gaps.astype("<u4").tobytes() if widest >= 1 << 16 else b"\x02" + first + gaps.astype("<u2").tobytes()
 
 
 def decode(blob: bytes) -> np.ndarray:
@@ -53,7 +54,7 @@ def decode(blob: bytes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if blob[0] == 0:
         return np.frombuffer(blob, "<u8", offset=1)
-    gaps = np.frombuffer(blob, "<u4", offset=9)
+    gaps = np.frombuffer(blob, "<u4" if blob[0] == 1 else "<u2", offset=9)
     out = np.empty(len(gaps) + 1, np.uint64)
     out[0] = np.frombuffer(blob, "<u8", 1, 1)[0]
     np.cumsum(gaps, dtype=np.uint64, out=out[1:])

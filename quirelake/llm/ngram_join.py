@@ -65,8 +65,8 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     shingles and those of the prefix, in order."""
     total = blobs.text_bytes(docs, text_col)
     n = blocks or blobs.plan(total)
-    # a wrong match of a counting key only makes a shingle look shared; five bits over the number of words keep that rare
-    bits = min(blobs.KEY_BITS, max(32, math.ceil(math.log2(total / 4 + 1)) + 5))
+    # a wrong match of a counting key only makes a shingle look shared; four bits over the number of words keep that rare
+    bits = min(blobs.KEY_BITS, max(32, math.ceil(math.log2(total / 4 + 1)) + 4))
     shift = _U(64 - bits)
     wide = _U(blobs.KEY_BITS - bits)
     rows = blobs.blocked(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], n)
@@ -217,8 +217,12 @@ SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id
 """
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, with all their columns, whose id is that of their class. Rows without an id stay."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The documents, with all their columns, whose id is that of their class. Rows without an id stay.
+
+    Ids that go are broadcast if they are counted to be at most ``broadcast_rows`` (16 bytes each), else joined by a shuffle."""
     classes = jaccard_classes(docs, id_col, text_col, size, percent)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = saved(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
