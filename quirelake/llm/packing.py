@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 LENGTH = 2048
 END_ID = 1
-MEMORY = 600_000  # pre-tokens remembered by a worker
+MEMORY = 250_000  # pre-tokens remembered by a worker
 
 
 class Encoder:
