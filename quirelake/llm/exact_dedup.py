@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.llm.graph import saved
+
 #: ASCII white space, which does not count when texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
 _MAX = "9223372036854775807"
@@ -67,8 +69,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.expr(f"cast(floor(rank / {_WIDE}) as int)").alias("w_len"),
         F.col("n").alias("group_size"),
     ).select("w_digest", "w_len", "group_size", F.expr(f"if(tail = 0, null, cast({_MAX} - (tail - 1) as bigint))").alias("keep_id"))
+    winners = saved(winners)
 
-    # dealt by all keys first: the join's own exchange then stands alone, and a hot digest in it can be split
+    # dealt by all keys first, and winners saved: both sides of the join are plain exchanges then, and a hot digest can be split
     members = rows.select("doc_id", "digest", "len").repartition("doc_id", "digest", "len").groupBy("doc_id", "digest", "len").agg(F.count(F.lit(1)).alias("copies"))
     joined = members.join(winners, members["digest"] == winners["w_digest"])
     return joined.select(
