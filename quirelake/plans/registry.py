@@ -742,7 +742,7 @@ def job_upsert(spark, d):
 
 @query(None)
 def seq_ratio(spark, d):
-    return source(spark, d, "pairs").select("doc_id", pyfuncs.seq_ratio(F.substring("reference", 1, 60), F.substring("candidate", 1, 60)).alias("ratio"))
+    return source(spark, d, "pairs").select("doc_id", pyfuncs.seq_ratio("reference", "candidate").alias("ratio"))
 
 
 @query(None)
