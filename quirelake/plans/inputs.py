@@ -33,6 +33,9 @@ INPUTS = {
         (doc_id % 5) * 90 AS rotation, n_chars * (1 + doc_id % 8) AS native_chars, doc_id % 4 = 0 AS fused, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 3 END AS conflicts FROM {documents}""",
     "marked": """SELECT doc_id, concat('# ', substr(text, 1, 300), ' **', CAST(n_chars AS VARCHAR(20)), '.', CAST(doc_id % 100 AS VARCHAR(20)), '%** | (−', CAST(doc_id AS VARCHAR(20)), ') <!-- note --> 2024 年',
         CAST(doc_id % 12 + 1 AS VARCHAR(20)), '月', CAST(doc_id % 28 + 1 AS VARCHAR(20)), '日') AS text FROM {documents}""",
+    # the same around whole texts
+    "marked_whole": """SELECT doc_id, concat('# ', text, ' **', CAST(n_chars AS VARCHAR(20)), '.', CAST(doc_id % 100 AS VARCHAR(20)), '%** | (−', CAST(doc_id AS VARCHAR(20)), ') <!-- note --> 2024 年',
+        CAST(doc_id % 12 + 1 AS VARCHAR(20)), '月', CAST(doc_id % 28 + 1 AS VARCHAR(20)), '日') AS text FROM {documents}""",
     "pairs": """SELECT a.doc_id, a.text AS reference, b.text AS candidate FROM {documents} a JOIN {documents} b ON b.doc_id = a.doc_id + 1""",
     # a cell as three sources read it
     "cells": " UNION ALL ".join(

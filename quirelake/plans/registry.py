@@ -958,3 +958,42 @@ def layout_contract(spark, d):
 def heading_between(spark, d):
     tail = F.expr("CASE doc_id % 4 WHEN 0 THEN 'x\n# Part' WHEN 1 THEN '1.2 Part' WHEN 2 THEN '1. Part' ELSE 'see # Part' END")
     return _docs(spark, d).select("doc_id", tail.rlike(r"(?m)^(?:#{1,6}\s+\S|第[一二三四五六七八九十百0-9]+[章节]\s*|\p{Nd}+(?:\.\p{Nd}+)+\s+\S)").alias("blocked"))
+
+
+# ---- whole texts: the same rules as compact_text to metadata_vote, without the cut in their SQL ----------
+
+
+@query(f"{cte('marked_whole')} SELECT doc_id, md5({_compact('text')}) AS h, length({_compact('text')}) AS n FROM marked_whole")
+def compact_text_whole(spark, d):
+    c = T.compact_text(F.col("text"))
+    return source(spark, d, "marked_whole").select("doc_id", F.md5(c).alias("h"), F.char_length(c).alias("n"))
+
+
+@query(f"{cte('marked_whole')} SELECT doc_id, md5({_norm('text')}) AS h FROM marked_whole")
+def normalized_whole(spark, d):
+    return source(spark, d, "marked_whole").select("doc_id", F.md5(T.normalized(F.col("text"))).alias("h"))
+
+
+@query(rf"{cte('marked_whole')} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([-−]?\(?\d[\d,]*(?:\.\d+)?%?\)?)', 1), lambda n: replace(regexp_replace(n, '[\s,]', '', 'g'), '−', '-')), ' ') AS tokens FROM marked_whole")
+def number_tokens_whole(spark, d):
+    return source(spark, d, "marked_whole").select("doc_id", F.array_join(T.number_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(rf"{cte('marked_whole')} SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d{{4}}\s*年\s*\d{{1,2}}\s*月\s*\d{{1,2}}\s*日'), lambda x: regexp_replace(x, '\s+', '', 'g')))), ' ') AS dates FROM marked_whole")
+def date_tokens_whole(spark, d):
+    return source(spark, d, "marked_whole").select("doc_id", F.array_join(T.date_tokens(F.col("text")), " ").alias("dates"))
+
+
+@query(f"""{cte('marked_whole')}, c AS (SELECT doc_id, string_split(text, ' ') AS cells FROM marked_whole) SELECT doc_id, array_to_string(list_transform(cells, lambda c: replace(lower(regexp_replace(c, '{_W}', '', 'g')), 'ß', 'ss')), '|') AS sig FROM c""")
+def header_signature_whole(spark, d):
+    return source(spark, d, "marked_whole").select("doc_id", T.header_signature(F.split("text", " ")).alias("sig"))
+
+
+@query("""WITH v AS (SELECT conv_id, turn, 'company_name' AS field, trim(text) AS value FROM conversations UNION ALL SELECT conv_id, turn, 'statement_title', trim(text) FROM conversations UNION ALL SELECT conv_id, turn, 'unit', role FROM conversations),
+n AS (SELECT *, NORM AS norm, count(*) OVER (PARTITION BY conv_id, field, NORM) AS n FROM v WHERE value <> ''), t AS (SELECT conv_id, NORM AS title FROM v WHERE field = 'statement_title' AND NORM <> ''),
+h AS (SELECT n.*, CASE WHEN field = 'company_name' THEN (SELECT count(*) FROM t WHERE t.conv_id = n.conv_id AND contains(title, norm)) ELSE 0 END AS hits FROM n)
+SELECT conv_id, field, value FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, field ORDER BY n DESC, hits DESC, turn) = 1""".replace("NORM", _norm("value")))
+def metadata_vote_whole(spark, d):
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    v = c.selectExpr("conv_id", "'company_name' field", "turn idx", "trim(text) value").union(c.selectExpr("conv_id", "'statement_title'", "turn", "trim(text)")).union(c.selectExpr("conv_id", "'unit'", "turn", "role"))
+    return fusion.metadata_vote(v, ["conv_id"])
