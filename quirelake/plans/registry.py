@@ -997,3 +997,10 @@ def metadata_vote_whole(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
     v = c.selectExpr("conv_id", "'company_name' field", "turn idx", "trim(text) value").union(c.selectExpr("conv_id", "'statement_title'", "turn", "trim(text)")).union(c.selectExpr("conv_id", "'unit'", "turn", "role"))
     return fusion.metadata_vote(v, ["conv_id"])
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
+def job_upsert_whole(spark, d):
+    """All events, put over a state of every customer: those without an event stay as they were."""
+    old = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.lit("old").alias("event_type"))
+    return sinks.upsert(old, spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id"), "user_id", "event_id")

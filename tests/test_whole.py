@@ -34,3 +34,10 @@ def test_votes_compare_whole_values(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["field"]: r["value"] for r in registry.queries()["metadata_vote_whole"](spark, str(tmp_path)).collect()}
     assert got["company_name"] == got["statement_title"] == "Acme Holdings of the South"
+
+
+def test_upsert_takes_all_events_and_keeps_other_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 2), (1, "b", 3), (2, "c", 5)], "user_id long, event_type string, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1,), (3,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = registry.queries()["job_upsert_whole"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, "b"), (2, "c"), (3, "old")]
