@@ -10,8 +10,9 @@ Training is histogram boosting over the whole labelled table: features are cut a
 sum of gradients by (node, feature, bin), a table whose size is fixed by these numbers. Logistic
 loss, second-order leaves. The trees become one CASE expression for scoring.
 
-Suffix statistics keep the ``suffixes`` most frequent suffixes, so the table broadcast is bounded;
-rarer ones get the overall share. Rules are a parameter of at most 1,000.
+Suffix statistics keep every suffix. The ``suffixes`` most frequent ones are broadcast, so that table is
+bounded; rows with rarer ones are joined by key. A suffix without labelled URLs gets the overall
+share. Rules are a parameter of at most 1,000.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is
 judged by the trees; without labelled rows, or with one class only, the trees are a constant
@@ -136,6 +137,18 @@ def boost(rows: DataFrame, trees: int, depth: int, bins: int, rate: float, penal
     return F.expr(" + ".join([f"{prior!r}D", *(t.sql(by_edge, lambda x: f"{x.value!r}D") for t in forest)]))
 
 
+def with_shares(rows: DataFrame, tail: str, stat: DataFrame, suffixes: int) -> DataFrame:
+    """Adds the share s of each row's suffix from stat(t, s, c), null where it has none."""
+    hot = saved(stat.orderBy(F.desc("c"), "t").limit(suffixes).select("t", "s"))
+    rows = rows.join(F.broadcast(hot), F.col(tail) == F.col("t"), "left").drop("t")
+    if stat.count() <= suffixes:
+        return rows
+    # rows that have their share are spread over keys of their own
+    key = F.when(F.col("s").isNull(), F.concat(F.lit("."), tail)).otherwise(F.xxhash64("full").cast("string"))
+    rest = stat.select(F.concat(F.lit("."), F.col("t")).alias("key"), F.col("s").alias("rare"))
+    return rows.withColumn("key", key).join(rest, "key", "left").withColumn("s", F.coalesce("s", "rare")).drop("key", "rare")
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list = RULES, trees: int = 12, depth: int = 3, bins: int = 16, rate: float = 0.4, penalty: float = 1.0, suffixes: int = 1000) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (probability of block by the trees)."""
     host, path, query = split_url(F.col(url_col))
@@ -146,9 +159,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     share = known.agg(F.avg("label")).first()[0]
     share = 0.5 if share is None else float(share)
     for k in ("1", "2"):
-        stat = known.groupBy(F.col(f"tail{k}").alias("t")).agg(((F.sum("label") + 2 * share) / (F.count(F.lit(1)) + 2)).alias(f"suffix{k}"), F.count(F.lit(1)).alias("c"))
-        stat = saved(stat.orderBy(F.desc("c"), "t").limit(suffixes).drop("c"))
-        rows = rows.join(F.broadcast(stat), F.col(f"tail{k}") == F.col("t"), "left").drop("t").fillna(share, [f"suffix{k}"])
+        stat = known.groupBy(F.col(f"tail{k}").alias("t")).agg(((F.sum("label") + 2 * share) / (F.count(F.lit(1)) + 2)).alias("s"), F.count(F.lit(1)).alias("c"))
+        rows = with_shares(rows, f"tail{k}", saved(stat), suffixes).withColumnRenamed("s", f"suffix{k}").fillna(share, [f"suffix{k}"])
     margin = boost(rows.where("label is not null").select("label", *FEATURES), trees, depth, bins, rate, penalty)
     judged = rows.select("page_id", "host", "path", "rule", "said", (1 / (1 + F.exp(-margin))).alias("score"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

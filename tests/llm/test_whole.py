@@ -1,0 +1,18 @@
+"""Operators whose parts, windows or statistics once left something out."""
+
+from __future__ import annotations
+
+import pytest
+
+from quirelake.llm import license_scan, pii, url_filter
+
+
+def test_rare_suffixes_keep_their_statistic(spark):
+    rules = [("block", "org/baad/"), ("allow", "org/daab/")]
+    urls = [f"http://d{i}.org/{'baad' if (i % 2 == 0) == (k > 0) else 'daab'}/{k}" for i in range(8) for k in range(9)]
+    urls += [f"http://d{i}.org/adab/{k}" for i in range(8) for k in range(2)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    few, all_ = (sorted(map(tuple, url_filter.judge_urls(pages, rules=rules, trees=3, suffixes=n).collect())) for n in (2, 1000))
+    assert [r[:5] for r in few] == [r[:5] for r in all_]
+    assert [r[5] for r in few] == pytest.approx([r[5] for r in all_])
+    assert all(r[4] == ("allow" if int(r[1][1]) % 2 else "block") for r in few if r[3] is None)
