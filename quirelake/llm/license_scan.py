@@ -2,7 +2,9 @@
 
 Texts are lower-cased in A-Z; words are runs of letters and digits. A block is a line, or where a
 line is longer than ``block_words``, each window of so many words at every half of it; templates
-have at most half as many words, so any place of that length lies inside a block whole.
+have at most half as many words, so any place of that length lies inside a block whole. With
+``wrapped``, which the query sets, the windows over the words of the whole text are blocks too, so
+that a notice wrapped at line ends lies inside one.
 
 A block matches a template if it has at least ``percent`` of the template's distinct words:
 
@@ -91,7 +93,7 @@ def frequencies(docs: DataFrame, text_col: str, templates: list, phrases: dict)
 
 
 class Scanner:
-    def __init__(self, templates: list, phrases: dict, percent: int, block_words: int, count: dict[int, int]):
+    def __init__(self, templates: list, phrases: dict, percent: int, block_words: int, count: dict[int, int], wrapped: bool = False):
         self.vocabulary = Vocabulary(templates, phrases)
         number, words = self.vocabulary.number, self.vocabulary.words
         place = sorted(range(len(words)), key=lambda i: (count.get(i, 0), words[i]))
@@ -109,10 +111,10 @@ class Scanner:
             self.templates.append((label, t, needed))
         self.starts = np.zeros(len(words), bool)
         self.starts[list(self.prefixes)] = True
-        self.block = block_words
+        self.block, self.wrapped = block_words, wrapped
 
     def windows(self, start: int, end: int, at: int) -> list[tuple[int, int]]:
-        """The blocks of a line (words start..end-1) that hold the word at."""
+        """The blocks of a line or text (words start..end-1) that hold the word at."""
         if end - start <= self.block:
             return [(start, end)]
         half = self.block // 2
@@ -142,7 +144,10 @@ class Scanner:
             k = int(np.searchsorted(lines, s.starts[at]))
             low = max(int(s.words[d]), int(np.searchsorted(s.starts, lines[k - 1])) if k else 0)
             high = min(int(s.words[d + 1]), int(np.searchsorted(s.starts, lines[k])) if k < len(lines) else len(n))
-            for a, b in self.windows(low, high, at):
+            blocks = self.windows(low, high, at)
+            if self.wrapped:
+                blocks = dict.fromkeys([*blocks, *self.windows(int(s.words[d]), int(s.words[d + 1]), at)])
+            for a, b in blocks:
                 for t, i in self.prefixes[int(rank[at])]:
                     if (a, b, t) in done:
                         continue
@@ -162,12 +167,12 @@ class Scanner:
         return base, found
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list = TEMPLATES, phrases: dict = PHRASES, percent: int = 80, block_words: int = 64) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list = TEMPLATES, phrases: dict = PHRASES, percent: int = 80, block_words: int = 64, wrapped: bool = False) -> DataFrame:
     """One row per document: base places, labels, best containment and the matching blocks."""
     count = frequencies(docs, text_col, templates, phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases, percent, block_words, count)
+        scanner = Scanner(templates, phrases, percent, block_words, count, wrapped)
         for b in batches:
             out = []
             for s in slices(b.column(1), ALNUM):

@@ -29,7 +29,7 @@ def bucket(column: str, n: int):
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("blocks")
+    return license_scan.scan(table(spark, sf_dir, "documents"), wrapped=True).drop("blocks")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from quirelake.llm import license_scan, pii, url_filter
+from quirelake.llm import license_scan, queries, url_filter
 
 
 def test_rare_suffixes_keep_their_statistic(spark):
@@ -16,3 +16,16 @@ def test_rare_suffixes_keep_their_statistic(spark):
     assert [r[:5] for r in few] == [r[:5] for r in all_]
     assert [r[5] for r in few] == pytest.approx([r[5] for r in all_])
     assert all(r[4] == ("allow" if int(r[1][1]) % 2 else "block") for r in few if r[3] is None)
+
+
+def test_wrapped_notices_are_found(spark, tmp_path):
+    cases = []
+    for label, text in license_scan.TEMPLATES:
+        w = text.split()
+        if label in ("bsd", "mit", "isc", "mpl") and len(w) > 10:
+            cases += [(label, gap.join((" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])))) for gap in (" ", "\n", "\n * ")]
+            cases.append((label, "pad " * 45 + "\n" + "\n".join(w) + "\nend"))
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["labels"].split(",") for r in queries.op1_license_scan(spark, str(tmp_path)).collect()}
+    assert len(cases) == 16
+    assert [i for i, (label, _) in enumerate(cases) if label not in got[i]] == []
