@@ -27,6 +27,7 @@ import hashlib
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from quirelake.llm.words import _buffers
 KINDS = ("email", "ip", "card", "phone")
 TYPES = ("outside", *KINDS, "secret")
 BOUND = 20
+#: Tokens whose segments are held in memory at once.
+STEP = 512
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
@@ -94,11 +97,27 @@ class Region:
         self.tokens = [text[a:b] for a, b in zip(self.at[:-1], self.at[1:], strict=True)]
         self.before = text[max(0, start - 24) : start].lower()
         self.n = len(self.tokens)
-        self.segments = [(i, j) for i in range(self.n) if self.tokens[i][0] in "+(" or self.tokens[i].isalnum() for j in range(i + 1, min(self.n, i + BOUND) + 1) if self.tokens[j - 1].isascii() and self.tokens[j - 1].isalnum()]
-        self.segments = [(i, j) for i, j in self.segments if any("0" <= c <= "9" or c == "@" for t in self.tokens[i:j] for c in t)]
-        self.features = np.array([self.span(i, j) for i, j in self.segments]).reshape(len(self.segments), WIDTH)
         self.outside = np.array([self.single(t) for t in self.tokens])
 
+    @cached_property
+    def segments(self) -> list[tuple[int, int]]:
+        return self.ending(0, self.n)
+
+    @cached_property
+    def features(self) -> np.ndarray:
+        return self.spans(self.segments)
+
+    def ending(self, low: int, high: int) -> list[tuple[int, int]]:
+        """Candidate segments that end after token low, and not after high, by start and end."""
+        found = [
+            (i, j) for i in range(max(0, low + 1 - BOUND), high) if self.tokens[i][0] in "+(" or self.tokens[i].isalnum()
+            for j in range(max(i, low) + 1, min(high, i + BOUND) + 1) if self.tokens[j - 1].isascii() and self.tokens[j - 1].isalnum()
+        ]
+        return [(i, j) for i, j in found if any("0" <= c <= "9" or c == "@" for t in self.tokens[i:j] for c in t)]
+
+    def spans(self, segments: list[tuple[int, int]]) -> np.ndarray:
+        return np.array([self.span(i, j) for i, j in segments]).reshape(len(segments), WIDTH)
+
     def single(self, t: str) -> list[float]:
         return [1.0, t.isalnum(), t.isdigit(), t == "@", len(t) >= 9 and t.isdigit(), len(t) >= 16]
 
@@ -161,21 +180,32 @@ class SemiMarkov:
         return into
 
     def decode(self, r: Region) -> list[tuple[int, int, int]]:
-        into, t = self.arcs(r), len(TYPES)
+        """The best segmentation of the whole region; features are made for ``STEP`` tokens at a time."""
+        t = len(TYPES)
         best = np.full((r.n + 1, t + 1), -np.inf)
         best[0, t] = 0.0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        for j in range(1, r.n + 1):
-            for i, _, score in into[j]:
-                come = best[i][:, None] + self.move
-                last = come.argmax(0)
-                total = come[last, np.arange(t)] + score
-                for y in np.flatnonzero(total > best[j, :t]).tolist():
-                    best[j, y] = total[y]
-                    back[j, y] = (i, int(last[y]))
+        back = np.zeros((r.n + 1, t, 2), np.int64)
+        single = r.outside @ self.single
+        none = np.full(t - 1, -np.inf)
+        for low in range(0, r.n, STEP):
+            high = min(low + STEP, r.n)
+            into = [[(j - 1, np.append(single[j - 1], none))] for j in range(low + 1, high + 1)]
+            segments = r.segments if r.n <= STEP else r.ending(low, high)
+            if segments:
+                features = r.features if r.n <= STEP else r.spans(segments)
+                for (i, j), score in zip(segments, features @ self.span.T, strict=True):
+                    into[j - low - 1].append((i, np.append(-np.inf, score)))
+            for j, arcs in enumerate(into, low + 1):
+                for i, score in arcs:
+                    come = best[i][:, None] + self.move
+                    last = come.argmax(0)
+                    total = come[last, np.arange(t)] + score
+                    for y in np.flatnonzero(total > best[j, :t]).tolist():
+                        best[j, y] = total[y]
+                        back[j, y] = (i, last[y])
         out, j, y = [], r.n, int(best[r.n].argmax())
         while j:
-            i, before = back[j, y]
+            i, before = back[j, y].tolist()
             if y:
                 out.append((i, j, y))
             j, y = i, before
@@ -234,17 +264,9 @@ class SemiMarkov:
 
 
 def regions(text: str) -> Iterator[Region]:
-    """A very long run of chunks is taken in parts of 200 characters or one chunk."""
+    """Each run of chunks whole, however long it is."""
     for m in _REGION.finditer(text):
-        a = m.start()
-        while a < m.end():
-            b = m.end()
-            if b - a > 200:
-                cut = max(text.rfind(" ", a, a + 200), text.rfind("\t", a, a + 200))
-                b = cut if cut > a else min(m.end(), a + 200)
-            if any("0" <= c <= "9" or c == "@" for c in text[a:b]):
-                yield Region(text, a, b)
-            a = b + (b < m.end() and text[b] in " \t")
+        yield Region(text, m.start(), m.end())
 
 
 def labelled(text: str, limit: int) -> list[tuple[Region, list]]:
@@ -279,12 +301,15 @@ def find(text: str, model: SemiMarkov, known: dict) -> tuple[list, list]:
     base = base_spans(text)
     more = []
     for r in regions(text):
-        key = (r.before, tuple(r.tokens))
-        if key not in known:
-            if len(known) > 20_000:
-                known.clear()
-            known[key] = model.decode(r)
-        more += [(TYPES[y], r.at[i], r.at[j]) for i, j, y in known[key]]
+        key = (r.before, tuple(r.tokens)) if r.at[-1] - r.at[0] <= 200 else None  # long ones are not remembered
+        got = known.get(key)
+        if got is None:
+            got = model.decode(r)
+            if key:
+                if len(known) > 20_000:
+                    known.clear()
+                known[key] = got
+        more += [(TYPES[y], r.at[i], r.at[j]) for i, j, y in got]
     taken = sorted((a, b) for _, a, b in base)
     free = [x for x in more if not any(a < x[2] and x[1] < b for a, b in taken)]
     rank = {k: i for i, k in enumerate((*KINDS, "secret"))}

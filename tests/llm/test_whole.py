@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 import pytest
 
-from quirelake.llm import license_scan, queries, url_filter
+from quirelake.llm import license_scan, pii, queries, url_filter
 
 
 def test_rare_suffixes_keep_their_statistic(spark):
@@ -29,3 +32,26 @@ def test_wrapped_notices_are_found(spark, tmp_path):
     got = {r["doc_id"]: r["labels"].split(",") for r in queries.op1_license_scan(spark, str(tmp_path)).collect()}
     assert len(cases) == 16
     assert [i for i, (label, _) in enumerate(cases) if label not in got[i]] == []
+
+
+def test_long_runs_are_decoded_whole():
+    model = pii.SemiMarkov()
+    model.span[pii.TYPES.index("secret") - 1, [14, 23]] = 2.0  # a long token with letters, after a named assignment
+    for n in (0, 100, 180, 190, 195, 199, 390, 5000):
+        text = "1" * n + ";token=ABCDEF0123456789ABCDEF;x=1"
+        at = text.index("ABC")
+        assert ("secret", at, at + 22) in pii.find(text, model, {})[1]
+    long = "token=" + "A1b2" * 80
+    assert ("secret", 6, len(long)) in pii.find(long, model, {})[1]
+
+
+def test_decoding_in_steps_is_decoding_at_once(monkeypatch):
+    rng, own = random.Random(3), np.random.Generator(np.random.PCG64(3))
+    model = pii.SemiMarkov()
+    for w in (model.span, model.single, model.move):
+        w += own.normal(size=w.shape)
+    text = "".join(rng.choice(("a1", "7", "@", "-", ".", "=", "key")) for _ in range(150))
+    once = model.decode(pii.Region(text, 0, len(text)))
+    for step in (1, 7, 64):
+        monkeypatch.setattr(pii, "STEP", step)
+        assert model.decode(pii.Region(text, 0, len(text))) == once
