@@ -1,29 +1,40 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""LM scoring: an interpolated modified Kneser-Ney trigram model, counted in Spark.
 
 All counting covers every training text, and no part of the model is held whole by any task:
 
-1. Each block of documents sends the sorted hashes of its distinct bigrams, with their training
+1. Each block of documents sends the sorted hashes of its distinct trigrams, with their training
    counts, to shards of the hash space.
 2. A shard sums them up. Its part of the model is a file of sorted hash arrays which the worker
-   maps into memory and searches for each block; it answers with the totals, the counts of
-   counts, and for each bigram which block owns it (the first that trained on it).
-3. Each block sums what it owns by context word and by following word, and sends that with its
-   word counts to shards of the words (distinct continuations: N1+(v.), N1+(.w)).
-4. A word shard is again a file of sorted hash arrays, mapped and searched for each block.
+   maps into memory and searches for each block; it answers with the totals, and for each trigram
+   which block owns it (the first that trained on it), so that it is counted once from here on.
+3. Each block sums what it owns by the trigrams' last two words (distinct left contexts, the
+   counts of the middle order) and by their first two (totals and numbers of continuations seen
+   once, twice and more often), and sends that to shards of the bigrams, which again keep sorted
+   hash arrays, answer, and name an owner.
+4. The same from bigrams to words, along with the words' plain counts.
 5. Each block scores its texts. Discounts come from the counts of counts of all shards.
 
-Words are identified by 64-bit hashes, bigrams by 48 bits (a wrong match then has a chance of
-the number of distinct bigrams / 2**48).
+With ``store`` the files stay in that folder, which all workers must see: the model, to score any
+other texts by (see perplexity). Without it a file goes when its shard has answered.
+
+Words are identified by 64-bit hashes, n-grams by 48 bits (a wrong match then has a chance of
+the number of distinct n-grams / 2**48). A text begins with two start marks.
 
 Defined results: a null text is empty and has the end token alone; unknown words get the model's
-unknown-word mass; with no training text every score is 0; repeated rows count as often as they
-occur; rows with a null id are training rows; other columns are ignored.
+unknown-word mass; with no training text every score is 0; an empty table gives an empty result; a
+very long text is a block of its own; repeated rows count as often as they occur and are scored
+each; ties do not arise; rows with a null id are training rows unless the condition says otherwise;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import os
 import tempfile
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +46,13 @@ from quirelake.llm import blobs
 from quirelake.llm.words import SPACED, mix, slices
 
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x27D4EB2F165667C5)
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_ROWS = "shard int, block int, kind int, keys binary, a binary, b binary, c binary, d binary, e binary, f binary, sums array<long>"
-_NAMES = ["shard", "block", "kind", "keys", "a", "b", "c", "d", "e", "f", "sums"]
-_TYPES = [pa.int32()] * 3 + [pa.binary()] * 7 + [pa.list_(pa.int64())]
-BIGRAM, WORD = 0, 1
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+_ROWS = "shard int, block long, kind int, mark long, keys binary, a binary, b binary, c binary, d binary, e binary, f binary, sums array<long>"
+_NAMES = ["shard", "block", "kind", "mark", "keys", "a", "b", "c", "d", "e", "f", "sums"]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64()] + [pa.binary()] * 7 + [pa.list_(pa.int64())]
+TRIGRAM, BIGRAM, WORD = 3, 2, 1
+_WORD_BITS = 64
+_U = np.uint64
 
 
 def _table(rows: list[dict]) -> pa.Table:
@@ -47,63 +60,118 @@ def _table(rows: list[dict]) -> pa.Table:
 
 
 class HashArrays:
-    """Sorted hashes with columns of counts, in a file mapped into memory. The file has no name any more
-    once it is mapped, so nothing is left behind when a worker is lost."""
-
-    def __init__(self, keys: np.ndarray, columns: list[np.ndarray]):
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        self.n = len(at)
-        handle, path = tempfile.mkstemp(suffix=".hashes")
-        with os.fdopen(handle, "wb") as out:
-            out.write(keys[at].tobytes())
-            for c in columns:
-                out.write((np.add.reduceat(c[order], at) if self.n else np.zeros(0, np.int64)).astype(np.int64).tobytes())
+    """Sorted hashes with columns of counts, in a file that is mapped into memory: a head of int64 (number
+    of hashes, of columns, of sums, and the sums), the hashes, then each column."""
+
+    def __init__(self, path: str):
+        head = np.fromfile(path, np.int64, 3)
+        self.n, columns, sums = head.tolist()
+        self.sums = np.fromfile(path, np.int64, sums, offset=24)
+        at = 24 + 8 * sums
         if self.n:
-            self.keys = np.memmap(path, np.uint64, "r", 0, (self.n,))
-            self.columns = [np.memmap(path, np.int64, "r", 8 * self.n * (i + 1), (self.n,)) for i in range(len(columns))]
+            self.keys = np.memmap(path, np.uint64, "r", at, (self.n,))
+            self.columns = [np.memmap(path, np.uint32, "r", at + 8 * self.n + 4 * self.n * i, (self.n,)) for i in range(columns)]
         else:
-            self.keys, self.columns = np.zeros(0, np.uint64), [np.zeros(0, np.int64) for _ in columns]
-        os.unlink(path)
+            self.keys, self.columns = np.zeros(0, np.uint64), [np.zeros(0, np.uint32) for _ in range(columns)]
+
+    @staticmethod
+    def write(path: str, keys: np.ndarray, columns: list[np.ndarray], sums: list[int]) -> None:
+        if any(len(c) and c.max() >= 1 << 32 for c in columns):
+            columns = [np.minimum(c, (1 << 32) - 1) for c in columns]  # counts over four thousand million do not change a score
+        with open(path + ".part", "wb") as out:
+            out.write(np.array([len(keys), len(columns), len(sums), *sums], np.int64).tobytes())
+            out.write(keys.tobytes())
+            for c in columns:
+                out.write(c.astype(np.uint32).tobytes())
+        os.replace(path + ".part", path)  # whole or not at all, also if two attempts of a task write it
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Where present keys lie."""
-        return np.searchsorted(self.keys, keys)
+        """Where keys lie, or n where they are not."""
+        at = np.searchsorted(self.keys, keys)
+        if not self.n:
+            return at
+        return np.where(self.keys[np.minimum(at, self.n - 1)] == keys, at, self.n)
+
+
+@contextlib.contextmanager
+def _part(store: str | None, order: int, shard: int) -> Iterator[str]:
+    """The file of a shard: kept in the store, or a scratch file of this task."""
+    if store:
+        yield os.path.join(store, f"{order}-{shard:08d}.hashes")
+    else:
+        with tempfile.TemporaryDirectory() as own:
+            yield os.path.join(own, "hashes")
+
+
+def _merged(keys: list[np.ndarray], columns: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct keys and the sums of their columns."""
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    at = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    return every[at], [np.add.reduceat(np.concatenate(c)[order], at) if len(at) else np.zeros(0, np.int64) for c in columns]
 
 
 class Block:
-    """Tokens of a block: contexts and targets, their words and bigrams."""
+    """Tokens of a block: hashes of the words, of pairs and of triples of words, and their places among the distinct ones."""
 
     def __init__(self, table: pa.Table):
-        contexts, targets, sizes = [], [], []
+        hashes, sizes = [], []
         for s in slices(table.column("text"), SPACED):
-            h, n = s.hashes(), s.n
-            doc = s.doc_of()
-            at = np.arange(len(h)) + doc
-            ctx = np.empty(len(h) + n, np.uint64)
-            tgt = np.empty(len(h) + n, np.uint64)
-            ctx[s.words[:-1] + np.arange(n)], ctx[at + 1] = START, h
-            tgt[s.words[1:] + np.arange(n)], tgt[at] = END, h
-            contexts.append(ctx)
-            targets.append(tgt)
+            h = np.empty(len(s.starts) + s.n, np.uint64)
+            h[np.arange(len(s.starts)) + s.doc_of()] = s.hashes()
+            h[s.words[1:] + np.arange(s.n)] = END
+            hashes.append(h)
             sizes.append(s.counts() + 1)
         self.sizes = np.concatenate(sizes)
-        ctx, tgt = np.concatenate(contexts), np.concatenate(targets)
+        self.first = np.cumsum(self.sizes) - self.sizes  # of each text
         held = table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-        self.train = np.repeat(~held, self.sizes)
-        # both sides by their place among the block's distinct words; contexts are targets but for the start
-        self.words, inverse = np.unique(np.append(tgt, START), return_inverse=True)
-        self.tgt = inverse[:-1].astype(np.int32)
-        start = int(inverse[-1])
-        self.ctx = np.empty_like(self.tgt)
-        self.ctx[1:] = self.tgt[:-1]
-        self.ctx[np.cumsum(self.sizes) - self.sizes] = start
-        key = mix(ctx * np.uint64(0x9FB21C651E98DF25) ^ mix(tgt)) >> np.uint64(64 - blobs.KEY_BITS)
-        self.bigrams, self.first, self.bigram = np.unique(key, return_index=True, return_inverse=True)
-
-    def sum_words(self, where: np.ndarray, weights=None) -> np.ndarray:
-        return np.bincount(where, weights, len(self.words)).astype(np.int64)
+        self.weight = np.repeat(np.where(held, 0, blobs.copies(table)), self.sizes)
+        # the last token is no token: it makes the start mark a word, and two start marks a bigram
+        self.token = np.append(np.concatenate(hashes), START)
+        self.pair = mix(np.append(self._shifted(self.token[:-1], START), START) * _U(0x9FB21C651E98DF25) ^ mix(self.token))
+
+    def _shifted(self, x: np.ndarray, start) -> np.ndarray:
+        """x of the token before; of a text's first token, start."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = start
+        return out
+
+    @cached_property
+    def _words(self) -> tuple[np.ndarray, np.ndarray]:
+        distinct, at = np.unique(self.token, return_inverse=True)
+        return distinct, at.astype(np.int32)
+
+    @cached_property
+    def _bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        distinct, one, at = np.unique(self.pair >> _U(64 - blobs.KEY_BITS), return_index=True, return_inverse=True)
+        return distinct, one, at.astype(np.int32)
+
+    @cached_property
+    def _trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        triple = mix(self._shifted(self.pair[:-1], self.pair[-1]) * _U(0xD6E8FEB86659FD93) ^ mix(self.token[:-1]))
+        distinct, one, at = np.unique(triple >> _U(64 - blobs.KEY_BITS), return_index=True, return_inverse=True)
+        return distinct, one, at.astype(np.int32)
+
+    words = property(lambda self: self._words[0])
+    bigrams = property(lambda self: self._bigrams[0])
+    trigrams = property(lambda self: self._trigrams[0])
+    word = property(lambda self: self._words[1][:-1])  # of each token
+    bigram = property(lambda self: self._bigrams[2][:-1])  # that ends with each token
+    trigram = property(lambda self: self._trigrams[2])
+    trigram_at = property(lambda self: self._trigrams[1])  # a token for each distinct trigram
+
+    @cached_property
+    def pair_before(self) -> np.ndarray:
+        """The bigram before each token."""
+        return self._shifted(self.bigram, self._bigrams[2][-1])
+
+    @cached_property
+    def of_bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and second word of each distinct bigram."""
+        at, one = self._words[1], self._bigrams[1]
+        return np.append(self._shifted(at[:-1], at[-1]), at[-1])[one], at[one]
 
 
 def discounts(counts: np.ndarray) -> tuple[float, float, float]:
@@ -122,108 +190,218 @@ def _less(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(count - np.array((0.0, *d))[np.minimum(count, 3)], 0.0)
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+def _counts_of_counts(x: np.ndarray) -> list[int]:
+    return [int((x == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _by(where: np.ndarray, size: int, weights=None) -> np.ndarray:
+    return np.bincount(where, weights, size).astype(np.int64)
+
+
+def _contexts(where: np.ndarray, size: int, count: np.ndarray) -> list[np.ndarray]:
+    """By context: the sum of counts, and how many continuations are counted once, twice and more."""
+    return [_by(where, size, count), *(_by(where[w], size) for w in (count == 1, count == 2, count >= 3))]
+
+
+class Probabilities:
+    """What the sums over all shards say, and the probabilities of the three orders."""
+
+    def __init__(self, tri: np.ndarray, bi: np.ndarray, word: np.ndarray):
+        self.tri, self.bi = discounts(tri[:4]), discounts(bi[:4])
+        self.tokens, self.kinds, self.pairs, self.followers, *of = (int(x) for x in word)
+        self.low = discounts(np.array(of))
+        e = self.low
+        self.rest = e[0] * of[0] + e[1] * of[1] + e[2] * (self.followers - of[0] - of[1])
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
+
+    def one(self, seen: np.ndarray) -> np.ndarray:
+        """Of words, from the number of distinct words before them; the mass of unknown ones is a share like any other."""
+        if not self.pairs:
+            return np.ones(len(seen))
+        return (_less(seen, self.low) + self.rest / (self.followers + 1)) / self.pairs
+
+    @staticmethod
+    def _on(count: np.ndarray, d: tuple, context: list[np.ndarray], below: np.ndarray) -> np.ndarray:
+        after, n1, n2, n3 = context
+        some = np.maximum(after, 1)
+        return np.where(after > 0, _less(count, d) / some + (d[0] * n1 + d[1] * n2 + d[2] * n3) / some * below, below)
+
+    def two(self, count: np.ndarray, context: list[np.ndarray], below: np.ndarray) -> np.ndarray:
+        return self._on(count, self.bi, context, below)
+
+    def three(self, count: np.ndarray, context: list[np.ndarray], below: np.ndarray) -> np.ndarray:
+        return self._on(count, self.tri, context, below)
+
+
+def _scored(block: Block, p: Probabilities, tri: np.ndarray, bi: list[np.ndarray], word: list[np.ndarray], table: pa.Table) -> pa.Table:
+    """One row per row of the block. tri: totals; bi: left contexts, then the context columns; word: plain counts, context columns, words before."""
+    c, seen = word[0], word[5]
+    one = p.one(seen)
+    two = p.two(bi[0], [x[block.of_bigrams[0]] for x in word[1:5]], one[block.of_bigrams[1]])
+    three = p.three(tri, [x[block.pair_before[block.trigram_at]] for x in bi[1:]], two[block.bigram[block.trigram_at]])
+    score = np.add.reduceat(np.log10(three)[block.trigram], block.first)
+    return blobs.repeated(pa.table({
+        "doc_id": table.column("doc_id"),
+        "held_out": table.column("held_out"),
+        "n_tokens": pa.array(block.sizes.astype(np.int64)),
+        "n_known": pa.array(np.add.reduceat((c > 0)[block.word].astype(np.int64), block.first)),
+        "train_tokens": pa.array(np.full(len(block.sizes), p.tokens, np.int64)),
+        "base_score": pa.array(np.add.reduceat(p.base(c)[block.word], block.first)),
+        "score": pa.array(score),
+        "perplexity": pa.array(np.power(10.0, np.minimum(-score / block.sizes, 300.0))),
+    }), table)
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, store: str | None = None) -> DataFrame:
     """Trains on the rows that are not held out, and scores all rows (see SCHEMA)."""
-    n = blocks or blobs.plan(blobs.text_bytes(docs, text_col))
-    rows = blobs.blocked(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")], n)
+    total = blobs.text_bytes(docs, text_col)
+    n = blocks or blobs.plan(total)
+    size = max(1, -(-total // n)) if blocks else blobs.block_size(total)
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")]
+    rows = blobs.blocked(docs, columns, size, n)
+    if store:
+        os.makedirs(store, exist_ok=True)
+
+    def sent(kind: int, me: int, keys: np.ndarray, columns: list[np.ndarray], bits: int = blobs.KEY_BITS) -> list[dict]:
+        mark = blobs.mark(keys)
+        return [
+            {"shard": i, "block": me, "kind": kind, "mark": mark, "keys": keys[a:b].tobytes() if bits == _WORD_BITS else blobs.encode(keys[a:b]), **{x: blobs.pack(v[a:b]) for x, v in zip("abcdef", columns, strict=False)}}
+            for i, a, b in blobs.spans(keys, n, bits, every=True)
+        ]
+
+    def received(table: pa.Table, kind: int, columns: str) -> tuple[pa.Table, list, list]:
+        some = table.filter(pa.compute.equal(table.column("kind"), kind)).sort_by("block")
+        keys = [np.frombuffer(x, np.uint64) if kind == WORD else blobs.decode(x) for x in some.column("keys").to_pylist()]
+        return some, keys, [[blobs.unpack(x) for x in some.column(c).to_pylist()] for c in columns]
+
+    def answered(shard: int, kind: int, some: pa.Table, keys: list, columns: list, owned: int | None, sums) -> list[dict]:
+        """Writes the shard's part of the model, maps it, and answers each block. owned: the column that tells who saw a key."""
+        distinct, totals = _merged(keys, columns)
+        sums = sums(totals)
+        with _part(store, kind, shard) as path:
+            HashArrays.write(path, distinct, totals, sums)
+            model = HashArrays(path)
+            free, out = np.ones(model.n, bool), []
+            for k, (block, mark) in enumerate(zip(some.column("block").to_pylist(), some.column("mark").to_pylist(), strict=True)):
+                at = model.find(keys[k])
+                row = {"shard": shard, "block": block, "kind": kind, "mark": mark, "sums": sums, **{x: blobs.pack(np.asarray(v[at]).astype(np.int64)) for x, v in zip("abcdef", model.columns, strict=False)}}
+                if owned is not None:
+                    own = (columns[owned][k] > 0) & free[at]
+                    free[at[own]] = False
+                    row["f"] = np.packbits(own).tobytes()
+                out.append(row)
+            return out
+
+    def answers(right: pa.Table, kind: int) -> pa.Table:
+        return right.filter(pa.compute.equal(right.column("kind"), kind)).sort_by("shard")
+
+    def joined(some: pa.Table, name: str) -> np.ndarray:
+        return np.concatenate([blobs.unpack(x) for x in some.column(name).to_pylist()])
+
+    def owned(some: pa.Table, keys: np.ndarray) -> np.ndarray:
+        parts = [np.unpackbits(np.frombuffer(x, np.uint8), count=b - a) for x, (_, a, b) in zip(some.column("f").to_pylist(), blobs.spans(keys, n, every=True), strict=True)]
+        return np.concatenate(parts).astype(bool)
+
+    def summed(some: pa.Table) -> list[int]:
+        return np.sum(some.column("sums").to_pylist(), axis=0).tolist()
+
+    def passed(me: int, kind: int, mark: int, columns: list[np.ndarray], sums: list[int]) -> dict:
+        """What a block knows already travels on to its next step by way of some shard, which does not look at it."""
+        return {"shard": me % n, "block": me, "kind": -kind, "mark": mark, "sums": sums, **{x: blobs.pack(v) for x, v in zip("abcdef", columns, strict=False)}}
+
+    def onward(table: pa.Table) -> pa.Table:
+        return table.filter(pa.compute.less(table.column("kind"), 0)).select(_NAMES).cast(pa.schema(list(zip(_NAMES, _TYPES, strict=True))))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        block = Block(table)
-        count = np.bincount(block.bigram, block.train, len(block.bigrams)).astype(np.int64)
-        at = blobs.cuts(block.bigrams, n)
-        return _table([{"shard": i, "block": key[0].as_py(), "keys": blobs.encode(block.bigrams[at[i] : at[i + 1]]), "a": blobs.pack(count[at[i] : at[i + 1]])} for i in range(n)])
+        block = Block(blobs.opened(table))
+        return _table(sent(TRIGRAM, key[0].as_py(), block.trigrams, [_by(block.trigram, len(block.trigrams), block.weight)]))
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        keys = [blobs.decode(x) for x in table.column("keys").to_pylist()]
-        counts = [blobs.unpack(x) for x in table.column("a").to_pylist()]
-        model = HashArrays(np.concatenate(keys), [np.concatenate(counts)])
-        free = np.ones(model.n, bool)
-        total = np.asarray(model.columns[0])
-        sums = [int((total == k).sum()) for k in (1, 2, 3, 4)]
-        out = []
-        for block, k, c in zip(table.column("block").to_pylist(), keys, counts, strict=True):
-            at = model.find(k)
-            own = (c > 0) & free[at]
-            free[at[own]] = False
-            out.append({"shard": key[0].as_py(), "block": block, "kind": BIGRAM, "a": blobs.pack(total[at]), "b": np.packbits(own).tobytes(), "sums": sums})
-        return _table(out)
-
-    def answers(right: pa.Table, kind: int, name: str) -> list:
-        """A column of the answers of one kind, by shard."""
-        some = right.filter(pa.compute.equal(right.column("kind"), kind)).sort_by("shard")
-        return some.column(name).to_pylist()
-
-    def joined(right: pa.Table, kind: int, name: str) -> np.ndarray:
-        return np.concatenate([blobs.unpack(x) for x in answers(right, kind, name)])
-
-    def middle(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _table([])
-        block, me = Block(left), key[0].as_py()
-        total = joined(right, BIGRAM, "a")
-        at = blobs.cuts(block.bigrams, n)
-        own = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=int(b - a)) for x, a, b in zip(answers(right, BIGRAM, "b"), at[:-1], at[1:], strict=True)]).astype(bool)
-        mine, c = block.first[own], total[own]
-        ctx, tgt = block.ctx[mine], block.tgt[mine]
-        columns = [
-            block.sum_words(block.tgt, block.train),
-            block.sum_words(ctx, c),
-            *(block.sum_words(ctx[w]) for w in (c == 1, c == 2, c >= 3)),
-            block.sum_words(tgt),
-        ]
-        cut = blobs.cuts(block.words, n, 64)
-        sums = np.sum(answers(right, BIGRAM, "sums"), axis=0).tolist()
-        out = [{"shard": i, "block": me, "kind": WORD, "keys": block.words[a:b].tobytes(), **{x: blobs.pack(v[a:b]) for x, v in zip("abcdef", columns, strict=True)}} for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
-        # the block's bigram totals travel on to its last step by way of some shard
-        return _table([*out, {"shard": me % n, "block": me, "kind": BIGRAM, "a": blobs.pack(total), "sums": sums}])
-
-    def words(key: tuple, table: pa.Table) -> pa.Table:
-        some = table.filter(pa.compute.equal(table.column("kind"), WORD))
-        rest = table.filter(pa.compute.equal(table.column("kind"), BIGRAM))
-        keys = [np.frombuffer(x, np.uint64) for x in some.column("keys").to_pylist()]
-        out = []
-        if keys:
-            columns = [np.concatenate([blobs.unpack(x) for x in some.column(c).to_pylist()]) for c in "abcdef"]
-            model = HashArrays(np.concatenate(keys), columns)
-            total = [np.asarray(c) for c in model.columns]
-            seen = total[5]
-            sums = [int(total[0].sum()), int((total[0] > 0).sum()), int(seen.sum()), int((seen > 0).sum()), *(int((seen == k).sum()) for k in (1, 2, 3, 4))]
-            for block, k in zip(some.column("block").to_pylist(), keys, strict=True):
-                at = model.find(k)
-                out.append({"shard": key[0].as_py(), "block": block, "kind": WORD, "sums": sums, **{x: blobs.pack(v[at]) for x, v in zip("abcdef", total, strict=True)}})
-        return pa.concat_tables([_table(out), rest.select(_NAMES).cast(pa.schema(list(zip(_NAMES, _TYPES, strict=True))))])
+        return _table(answered(key[0].as_py(), TRIGRAM, *received(table, TRIGRAM, "a"), 0, lambda t: _counts_of_counts(t[0])))
+
+    def to_bigrams(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        me, block, got = key[0].as_py(), Block(blobs.opened(left)), answers(right, TRIGRAM)
+        blobs.same_block(block.trigrams, got)
+        total, own = joined(got, "a"), owned(got, block.trigrams)
+        mine, c = block.trigram_at[own], total[own]
+        columns = [_by(block.bigram[mine], len(block.bigrams)), *_contexts(block.pair_before[mine], len(block.bigrams), c)]
+        return _table([*sent(BIGRAM, me, block.bigrams, columns), passed(me, TRIGRAM, blobs.mark(block.trigrams), [total], summed(got))])
+
+    def count_bigrams(key: tuple, table: pa.Table) -> pa.Table:
+        some = received(table, BIGRAM, "abcde")
+        out = answered(key[0].as_py(), BIGRAM, *some, 0, lambda t: _counts_of_counts(t[0])) if some[0].num_rows else []
+        return pa.concat_tables([_table(out), onward(table)])
+
+    def to_words(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        me, block, got = key[0].as_py(), Block(blobs.opened(left)), answers(right, BIGRAM)
+        blobs.same_block(block.bigrams, got)
+        bi, own = [joined(got, x) for x in "abcde"], owned(got, block.bigrams)
+        size, a = len(block.words), bi[0][own]
+        columns = [_by(block.word, size, block.weight), *_contexts(block.of_bigrams[0][own], size, a), _by(block.of_bigrams[1][own], size)]
+        return pa.concat_tables([
+            _table([*sent(WORD, me, block.words, columns, _WORD_BITS), passed(me, BIGRAM, blobs.mark(block.bigrams), bi, summed(got))]),
+            onward(right),
+        ])
+
+    def count_words(key: tuple, table: pa.Table) -> pa.Table:
+        some = received(table, WORD, "abcdef")
+        sums = lambda t: [int(t[0].sum()), int((t[0] > 0).sum()), int(t[5].sum()), int((t[5] > 0).sum()), *_counts_of_counts(t[5])]
+        out = answered(key[0].as_py(), WORD, *some, None, sums) if some[0].num_rows else []
+        return pa.concat_tables([_table(out), onward(table)])
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left)
-        total = joined(right, BIGRAM, "a")
-        d = discounts(np.sum(answers(right, BIGRAM, "sums"), axis=0))
-        tokens, kinds, pairs, followers, *of = np.sum(answers(right, WORD, "sums"), axis=0).tolist()
-        c, after, n1, n2, n3, seen = (joined(right, WORD, x) for x in "abcdef")
-        base = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
-        e = discounts(np.array(of))
-        if pairs:
-            rest = e[0] * of[0] + e[1] * of[1] + e[2] * (followers - of[0] - of[1])
-            single = (_less(seen, e) + rest / (followers + 1)) / pairs
-        else:
-            single = np.full(len(c), 1.0)
-        left_over = (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(after, 1)
-        ctx, tgt = block.ctx[block.first], block.tgt[block.first]
-        known = after[ctx] > 0
-        p = np.where(known, _less(total, d) / np.maximum(after[ctx], 1) + left_over[ctx] * single[tgt], single[tgt])
-        at = np.cumsum(block.sizes) - block.sizes
-        return pa.table({
-            "doc_id": left.column("doc_id"),
-            "held_out": left.column("held_out"),
-            "n_tokens": pa.array(block.sizes.astype(np.int64)),
-            "n_known": pa.array(np.add.reduceat((c > 0)[block.tgt].astype(np.int64), at)),
-            "train_tokens": pa.array(np.full(len(at), tokens, np.int64)),
-            "base_score": pa.array(np.add.reduceat(base[block.tgt], at)),
-            "score": pa.array(np.add.reduceat(np.log10(p)[block.bigram], at)),
-        })
-
-    sent = rows.groupBy("block").applyInArrow(send, _ROWS)
-    counted = sent.groupBy("shard").applyInArrow(count, _ROWS)
-    owned = rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(middle, _ROWS)
-    summed = owned.groupBy("shard").applyInArrow(words, _ROWS)
-    return rows.groupBy("block").cogroup(summed.groupBy("block")).applyInArrow(finish, SCHEMA)
+        table = blobs.opened(left)
+        block = Block(table)
+        tri, bi, word = answers(right, -TRIGRAM), answers(right, -BIGRAM), answers(right, WORD)
+        for keys, got in ((block.trigrams, tri), (block.bigrams, bi), (block.words, word)):
+            blobs.same_block(keys, got)
+        p = Probabilities(np.array(summed(tri)), np.array(summed(bi)), np.array(summed(word)))
+        return _scored(block, p, joined(tri, "a"), [joined(bi, x) for x in "abcde"], [joined(word, x) for x in "abcdef"], table)
+
+    got = rows.groupBy("block").applyInArrow(send, _ROWS).groupBy("shard").applyInArrow(count, _ROWS)
+    for step, answer in ((to_bigrams, count_bigrams), (to_words, count_words)):
+        got = rows.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(step, _ROWS).groupBy("shard").applyInArrow(answer, _ROWS)
+    return rows.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(finish, SCHEMA)
+
+
+class StoredModel:
+    """A model in a folder: every file is mapped, and the pages that are asked for are read."""
+
+    def __init__(self, store: str):
+        self.parts = {k: [HashArrays(x) for x in sorted(glob.glob(f"{store}/{k}-*.hashes"))] for k in (TRIGRAM, BIGRAM, WORD)}
+        self.firsts = {k: np.array([x.keys[0] for x in v if x.n], np.uint64) for k, v in self.parts.items()}
+        self.parts = {k: [x for x in v if x.n] for k, v in self.parts.items()}
+        if not all(self.parts.values()):
+            raise ValueError(f"no model in {store}")
+        self.p = Probabilities(*(np.sum([x.sums for x in parts], axis=0) for parts in (self.parts[TRIGRAM], self.parts[BIGRAM], self.parts[WORD])))
+
+    def look_up(self, kind: int, keys: np.ndarray) -> list[np.ndarray]:
+        """The columns of sorted keys; 0 where the model does not have them."""
+        parts = self.parts[kind]
+        out = [np.zeros(len(keys), np.int64) for _ in parts[0].columns]
+        edge = np.append(np.searchsorted(keys, self.firsts[kind][1:]), len(keys))
+        low = 0
+        for part, high in zip(parts, edge.tolist(), strict=True):
+            at = part.find(keys[low:high])
+            some = np.flatnonzero(at < part.n)
+            for o, c in zip(out, part.columns, strict=True):
+                o[low + some] = c[at[some]]
+            low = high
+        return out
+
+
+def perplexity(docs: DataFrame, store: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of any documents by a stored model (see SCHEMA; all rows are held out). Nothing is shuffled."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = StoredModel(store)
+        for t in blobs._runs(batches, 1, 6 << 20):
+            t = t.append_column("held_out", pa.array(np.ones(t.num_rows, bool))).append_column("copies", pa.array(np.ones(t.num_rows, np.int64)))
+            block = Block(t)
+            tri, bi, word = (model.look_up(k, x) for k, x in ((TRIGRAM, block.trigrams), (BIGRAM, block.bigrams), (WORD, block.words)))
+            yield from _scored(block, model.p, tri[0], bi, word, t).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, SCHEMA)

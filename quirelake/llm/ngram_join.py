@@ -13,12 +13,14 @@
    prefix only). Pairs are expanded to members and verified.
 
 Pairs inside a class need no check, as classes are what is asked for; no other pair is left out.
-Sets are identified by 128-bit sums of mixed 64-bit shingle hashes; an intersection counts equal
-64-bit hashes.
+Sets are identified by two 64-bit sums, each of mixed shingle hashes from word hashes of its own;
+an intersection counts equal 64-bit hashes.
 
 Defined results: null and empty texts have no shingles and are a class of their own; a text with
 fewer words than a shingle is one shingle of all its words; repeated rows are members like
-others; a class whose ids are all null has a null id; other columns are ignored.
+others; ties of prefix order go by hash and do not change the classes; a class whose ids are all
+null has a null id; a very long text is a block of its own; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from quirelake.llm.graph import components, saved
 from quirelake.llm.words import SPACED, mix, slices
 
 SHINGLE, PERCENT = 5, 75
-_SETS = "doc_id long, n long, sid long, sid2 long, alone long, prefix array<long>, shared binary"
+_SETS = "doc_id long, n long, one long, two long, alone long, prefix array<long>, shared binary"
 _U = np.uint64
 
 
@@ -45,9 +47,9 @@ def _levels(count: np.ndarray) -> np.ndarray:
     return np.where(count < 128, count, np.minimum(128 + (8 * np.log2(np.maximum(count, 128) / 128)).astype(np.int64), 254))
 
 
-def _shingles(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each text, by row and hash."""
-    rows, hashes = [], []
+def _shingles(table: pa.Table, size: int, seconds: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, second hash if asked for) of the distinct shingles of each text, by row and hash."""
+    rows, hashes, others = [], [], []
     for s in slices(table.column("text"), SPACED):
         first, g = s.grams(size, s.hashes(), short=True)
         row = s.doc_of()[first]
@@ -57,7 +59,9 @@ def _shingles(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
         new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
         rows.append(row[new] + s.first)
         hashes.append(g[new])
-    return np.concatenate(rows), np.concatenate(hashes)
+        if seconds:
+            others.append(s.grams(size, s.hashes(1), short=True)[1][order[new]])
+    return np.concatenate(rows), np.concatenate(hashes), np.concatenate(others) if seconds else np.zeros(0, np.uint64)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, blocks: int | None = None) -> DataFrame:
@@ -65,19 +69,20 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     shingles and those of the prefix, in order."""
     total = blobs.text_bytes(docs, text_col)
     n = blocks or blobs.plan(total)
+    block_bytes = max(1, -(-total // n)) if blocks else blobs.block_size(total)
     # a wrong match of a counting key only makes a shingle look shared; four bits over the number of words keep that rare
     bits = min(blobs.KEY_BITS, max(32, math.ceil(math.log2(total / 4 + 1)) + 4))
     shift = _U(64 - bits)
     wide = _U(blobs.KEY_BITS - bits)
-    rows = blobs.blocked(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], n)
+    rows = blobs.blocked(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], block_bytes, n)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        keys, count = np.unique(_shingles(table, size)[1] >> shift, return_counts=True)
-        at = blobs.cuts(keys << wide, n)
-        spans = [(i, a, b) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        keys, count = np.unique(_shingles(blobs.opened(table), size)[1] >> shift, return_counts=True)
+        spans, mark = blobs.spans(keys << wide, n), blobs.mark(keys)
         return pa.table({
             "shard": pa.array([x[0] for x in spans], pa.int32()),
-            "block": pa.array([key[0].as_py()] * len(spans), pa.int32()),
+            "block": pa.array([key[0].as_py()] * len(spans), pa.int64()),
+            "mark": pa.array([mark] * len(spans), pa.int64()),
             "keys": pa.array([blobs.encode(keys[a:b]) for _, a, b in spans], pa.binary()),
             "counts": pa.array([blobs.pack(count[a:b]) for _, a, b in spans], pa.binary()),
         })
@@ -92,16 +97,19 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent
         level = np.empty(len(every), np.uint8)
         level[order] = np.repeat(_levels(sums), np.diff(np.append(at, len(every))))
         ends = np.cumsum([len(k) for k in keys])
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "levels": pa.array([level[e - len(k) : e].tobytes() for e, k in zip(ends, keys, strict=True)], pa.binary())})
+        levels = [blobs.pack(level[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "mark": table.column("mark"), "levels": pa.array(levels, pa.binary())})
 
     def describe(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        row, h = _shingles(left, size)
+        table = blobs.opened(left)
+        row, h, h2 = _shingles(table, size, seconds=True)
         k, place = np.unique(h >> shift, return_inverse=True)
+        blobs.same_block(k, right)
         right = right.sort_by("shard")
-        level = np.frombuffer(b"".join(right.column("levels").to_pylist()), np.uint8)[place]
-        edge = np.searchsorted(row, np.arange(left.num_rows + 1))
+        level = np.concatenate([np.zeros(0, np.int64), *(blobs.unpack(x) for x in right.column("levels").to_pylist())])[place]
+        edge = np.searchsorted(row, np.arange(table.num_rows + 1))
         one = np.concatenate(([_U(0)], np.cumsum(mix(h + _U(0x8EBC6AF09C88C6E3)))))
-        two = np.concatenate(([_U(0)], np.cumsum(mix(h ^ _U(0x589965CC75374CC3)))))
+        two = np.concatenate(([_U(0)], np.cumsum(mix(h2 ^ _U(0x589965CC75374CC3)))))
         ids = [(x[edge[1:]] - x[edge[:-1]]).view(np.int64).tolist() for x in (one, two)]
         out = []
         for a, b, sid, sid2 in zip(edge[:-1].tolist(), edge[1:].tolist(), *ids, strict=True):
@@ -113,14 +121,14 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent
                 first = some[np.lexsort((h[some], level[some]))][:probe]
                 out.append((m, sid, sid2, alone, h[first].view(np.int64), h[some].tobytes()))
             else:
-                out.append((m, sid if m else None, sid2 if m else None, alone, None, None))
+                out.append((m, None, None, alone, None, None))
         cols = list(zip(*out, strict=True)) or [()] * 6
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        names = ["n", "sid", "sid2", "alone", "prefix", "shared"]
-        return pa.table({"doc_id": left.column("doc_id"), **{x: pa.array(list(c), t) for x, c, t in zip(names, cols, types, strict=True)}})
+        names = ["n", "one", "two", "alone", "prefix", "shared"]
+        return blobs.repeated(pa.table({"doc_id": table.column("doc_id"), **{x: pa.array(list(c), t) for x, c, t in zip(names, cols, types, strict=True)}}), table)
 
-    sent = rows.groupBy("block").applyInArrow(send, "shard int, block int, keys binary, counts binary")
-    counted = sent.groupBy("shard").applyInArrow(count, "block int, shard int, levels binary")
+    sent = rows.groupBy("block").applyInArrow(send, "shard int, block long, mark long, keys binary, counts binary")
+    counted = sent.groupBy("shard").applyInArrow(count, "block long, shard int, mark long, levels binary")
     return rows.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(describe, _SETS)
 
 
@@ -181,14 +189,18 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, blocks: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
     every = saved(shingle_sets(docs, id_col, text_col, size, percent, blocks))
-    both = F.xxhash64("sid", "sid2", "n")
-    sets = every.where("shared is not null").groupBy(both.alias("sid")).agg(*(F.first(c).alias(c) for c in ("n", "alone", "prefix", "shared")))
-    linked = links(saved(sets), percent)
-    rows = every.select("doc_id", "n", F.when(F.col("n") > 0, both).alias("sid"))
-    rows = rows.join(linked.select(F.col("id").alias("sid"), "component"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("c"))
-    # saved, so that both sides of the join are plain exchanges, of which a hot class can be split
-    least = saved(rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low")))
-    return rows.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+    same = ["one", "two", "n"]
+    # numbered once and saved, so that all that follows can name a set by one number
+    sets = every.where("shared is not null").groupBy(*same).agg(*(F.first(c).alias(c) for c in ("alone", "prefix", "shared")))
+    sets = saved(sets.withColumn("sid", F.monotonically_increasing_id()))
+    linked = links(sets.select("sid", "n", "alone", "prefix", "shared"), percent)
+    # saved, so that both sides of the joins are plain exchanges, of which a hot set or class can be split
+    named = saved(sets.select(*same, "sid").join(linked.select(F.col("id").alias("sid"), "component"), "sid", "left").select(*same, F.coalesce("component", "sid").alias("c")))
+    # texts that can have no partner are in no set, and take no part in the joins
+    alone = every.where("one is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rows = every.where("one is not null").select("doc_id", *same).join(named, same).select("doc_id", "n", "c")
+    least = saved(rows.groupBy("c").agg(F.min("doc_id").alias("low")))
+    return alone.union(rows.join(least, "c").select("doc_id", "n", "low"))
 
 
 ORACLE_SQL = r"""

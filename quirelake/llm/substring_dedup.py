@@ -6,12 +6,14 @@
 3. Each block marks the words that repeated windows cover. Overlapping repeated windows merge
    into maximal intervals, which are cut out.
 
-A window's identity has 80 bits: a sorted key of 48 bits and 32 more from a second polynomial.
-The blocks' exchange is used by steps 1 and 3, so texts are shuffled once.
+A window's identity has 112 bits, 48 (the sorted key) and 64 (sent beside it), of two polynomials
+modulo 2**61 - 1 over two independent hashes of its words. The blocks' exchange is used by
+steps 1 and 3, so texts are shuffled once, compressed.
 
 Defined results: null text has no words; a text with fewer words than a window loses nothing;
 repeated rows repeat each other's windows; a window that overlaps its own copy counts as
-repeated; an empty table gives an empty result; other columns are ignored.
+repeated; a very long text is a block of its own; ties do not arise; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,83 +26,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm import blobs
-from quirelake.llm.words import SPACED, mix, slices
+from quirelake.llm.words import SPACED, mix, polynomials, slices
 
 WINDOW = 35
-_SENT = "shard int, block int, keys binary, more binary, twice binary"
-_BITS = "block int, shard int, bits binary"
+_SENT = "shard int, block long, mark long, keys binary, more binary, twice binary"
+_BITS = "block long, shard int, mark long, bits binary"
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:long,end:long>>"
 _INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_KEYS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("twice", pa.binary())])
+_KEYS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("mark", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("twice", pa.binary())])
 
 
-def _windows(texts, window: int):
-    """For each slice: (slice, first word of each window, key, second hash)."""
-    for s in slices(texts, SPACED, lower=False):
-        h = s.hashes()
-        first, g = s.grams(window, h)
-        yield s, first, g >> np.uint64(64 - blobs.KEY_BITS), (mix(g + np.uint64(0x5851F42D4C957F2D)), h)
-
-
-def _second(h: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
-    """32 bits of an independent polynomial over remixed word hashes."""
-    from quirelake.llm.words import _spans
-
-    return (_spans(mix(h + np.uint64(0xA0761D6478BD642F)), first, first + window, 0xE7037ED1A0B428DB) >> np.uint64(32)).astype(np.uint32)
+def _order(key: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (key, two), and which of the ordered are equal to the one before."""
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    both = same & (two[order[1:]] == two[order[:-1]])
+    if (same != both).any():  # two windows with one key: very rare
+        order = np.lexsort((two, key))
+        both = (key[order[1:]] == key[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+    return order, both
 
 
 def _distinct(table: pa.Table, window: int):
     """Sorted distinct (key, second) of a block, how often each occurs, and where each window went."""
-    parts, keys, more = [], [], []
-    for s, first, key, (_, h) in _windows(table.column("text"), window):
-        parts.append((s, first, len(key)))
-        keys.append(key)
-        more.append(_second(h, first, window))
+    parts, keys, more, times = [], [], [], []
+    often = blobs.copies(table)
+    for s in slices(table.column("text"), SPACED, lower=False):
+        first = s.starts_of(window)
+        if len(first):
+            keys.append(mix(polynomials(s.hashes(), window, 1)[first]) >> np.uint64(64 - blobs.KEY_BITS))
+            more.append(mix(polynomials(s.hashes(1), window, 2)[first]))
+            times.append(often[s.first + s.doc_of()[first]])
+        parts.append((s, first, len(first)))
     key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    two = np.concatenate(more) if more else np.zeros(0, np.uint32)
-    order = np.lexsort((two, key))
-    key, two = key[order], two[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (two[1:] != two[:-1])
+    two = np.concatenate(more) if more else np.zeros(0, np.uint64)
+    n = np.concatenate(times) if times else np.zeros(0, np.int64)
+    order, same = _order(key, two)
+    new = np.append(True, ~same)[: len(key)]
     place = np.empty(len(key), np.int64)
     place[order] = np.cumsum(new) - 1
     at = np.flatnonzero(new)
-    return parts, place, key[at], two[at], np.diff(np.append(at, len(key)))
+    return parts, place, key[order[at]], two[order[at]], np.add.reduceat(n[order], at) if len(at) else n
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, blocks: int | None = None) -> DataFrame:
     """One row per document: n_words, n_removed, the digest of what is kept, and the removed word intervals."""
-    n = blocks or blobs.plan(blobs.text_bytes(docs, text_col))
-    rows = blobs.blocked(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], n)
+    total = blobs.text_bytes(docs, text_col)
+    n = blocks or blobs.plan(total)
+    size = max(1, -(-total // n)) if blocks else blobs.block_size(total)
+    rows = blobs.blocked(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], size, n)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, keys, two, count = _distinct(table, window)
-        at = blobs.cuts(keys, n)
-        out = [
-            (i, key[0].as_py(), blobs.encode(keys[a:b]), two[a:b].tobytes(), np.packbits(count[a:b] > 1).tobytes())
-            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            if b > a
-        ]
+        _, _, keys, two, count = _distinct(blobs.opened(table), window)
+        me, mark = key[0].as_py(), blobs.mark(keys)
+        out = [(i, me, mark, blobs.encode(keys[a:b]), two[a:b].tobytes(), np.packbits(count[a:b] > 1).tobytes()) for i, a, b in blobs.spans(keys, n)]
         return pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out, strict=True), _KEYS, strict=True)] if out else [pa.array([], t.type) for t in _KEYS], schema=_KEYS)
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         keys = [blobs.decode(x) for x in table.column("keys").to_pylist()]
         sizes = np.array([len(k) for k in keys])
-        key_all = np.concatenate(keys)
-        two = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("more").to_pylist()])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(table.column("twice").to_pylist(), sizes, strict=True)]).astype(bool)
-        order = np.lexsort((two, key_all))
-        same = (key_all[order[1:]] == key_all[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-        hit = twice.copy()
+        two = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("more").to_pylist()])
+        # a hash held twice in one block only is marked there; elsewhere it has company anyway
+        hit = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(table.column("twice").to_pylist(), sizes.tolist(), strict=True)]).astype(bool)
+        order, same = _order(np.concatenate(keys), two)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
-        # a hash held twice in one block only is marked there; elsewhere it has company anyway
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(hit[e - k : e]).tobytes() for e, k in zip(ends, sizes, strict=True)]
-        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
+        bits = [np.packbits(hit[e - k : e]).tobytes() for e, k in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "mark": table.column("mark"), "bits": pa.array(bits, pa.binary())})
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        parts, place, keys, _, _ = _distinct(left, window)
+        table = blobs.opened(left)
+        parts, place, keys, _, _ = _distinct(table, window)
+        blobs.same_block(keys, right)
         at = blobs.cuts(keys, n)
         hit = np.zeros(len(keys), bool)
         for shard, bits in zip(right.column("shard").to_pylist(), right.column("bits").to_pylist(), strict=True):
@@ -130,16 +127,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     text = b" ".join(data[int(s.bounds[i]) : int(s.bounds[i + 1])].split())
                     intervals.append([])
                 digests.append(hashlib.sha256(text).hexdigest())
-        return pa.table({
-            "doc_id": left.column("doc_id"),
+        return blobs.repeated(pa.table({
+            "doc_id": table.column("doc_id"),
             "n_words": pa.array(words, pa.int64()),
             "n_removed": pa.array(removed, pa.int64()),
             "kept_sha256": pa.array(digests, pa.string()),
             "intervals": pa.array(intervals, _INTERVALS),
-        })
+        }), table)
 
-    sent = rows.groupBy("block").applyInArrow(send, _SENT)
-    bits = sent.groupBy("shard").applyInArrow(count, _BITS)
+    bits = rows.groupBy("block").applyInArrow(send, _SENT).groupBy("shard").applyInArrow(count, _BITS)
     return rows.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(cut, SCHEMA)
 
 

@@ -2,7 +2,9 @@
 
 Texts are read straight from Arrow's UTF-8 buffers, in slices of about a megabyte, so memory
 stays bounded however long a batch is (one text longer than a slice makes a slice of its own).
-Hashes are 64-bit polynomial (Rabin-Karp) sums over random byte values, mixed at the end.
+A word's 64-bit hash mixes its length and its bytes, eight at a time; no step is linear, so no text
+is built to collide by its pattern alone. Each seed gives a hash of its own. Short runs of words mix
+the words' hashes in order; long windows take Rabin-Karp polynomials modulo 2**61 - 1.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_Q = 0xD6E8FEB86659FD93 | 1
-_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_P = 0x9E3779B97F4A7C15
+#: Words of more bytes than this are hashed one by one.
+_LONG = 64
+_PRIME = (1 << 61) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -38,31 +42,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    got = _powers.get(base)
-    if got is None or len(got[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        got = (both[0], both[1])
-        if size <= 4 * SLICE_BYTES:  # powers for one huge text are not kept
-            _powers[base] = got
-    return got
+def _seeded(seed: int) -> tuple[np.uint64, np.uint64]:
+    """An odd factor and a first state of a seed."""
+    x = mix(np.array([2 * seed + 1, 2 * seed + 2], np.uint64) * _U(_P))
+    return x[0] | _U(1), x[1]
+
+
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    factor, first = _seeded(seed)
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * factor + first)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place
+    some, k = np.flatnonzero(size <= _LONG), 0
+    while len(some):
+        left = size[some] - k
+        out[some] = mix(out[some] * factor + (eight[starts[some] + k] & _MASKS[np.minimum(left, 8)]))
+        some, k = some[left > 8], k + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed + 1)
+    return out
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo 2**61 - 1; both are below that."""
+    low, high = _U(0x7FFFFFFF), _U(31)
+    a0, a1, b0, b1 = a & low, a >> high, _U(b & 0x7FFFFFFF), _U(b >> 31)
+    mid = a1 * b0 + a0 * b1
+    return _fold(a1 * b1 * _U(2) + (mid >> _U(30)) + ((mid & _U(0x3FFFFFFF)) << high) + a0 * b0)
+
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x & _U(_PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Mixed polynomial hash of values[start:end] for each span, the same wherever it lies."""
-    up, down = _power(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+
+def polynomials(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Rabin-Karp hashes, modulo 2**61 - 1, of the windows of so many consecutive hashes: one for each start
+    that has a whole window. Windows of twice the size are put together from two of the size before."""
+    if len(hashes) < size:
+        return np.zeros(0, np.uint64)
+    base = int(_seeded(seed)[1]) % (_PRIME - 256) + 256
+    level, width, done, have = _fold(hashes), 1, None, 0
+    while True:
+        if size & width:
+            done = level if done is None else _fold(_times(level[: len(hashes) - have - width + 1], pow(base, have, _PRIME)) + done[width:])
+            have += width
+        if have == size:
+            return done
+        level = _fold(_times(level[:-width], pow(base, width, _PRIME)) + level[width:])
+        width *= 2
 
 
 @dataclass
@@ -83,24 +116,39 @@ class Slice:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        """A hash for each word."""
-        return _spans(_BYTE_VALUES[self.data], self.starts, self.ends, _P)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash for each word; seeds give independent ones."""
+        return _words(self.data, self.starts, self.ends, seed)
+
+    def starts_of(self, size: int) -> np.ndarray:
+        """The first word of each run of size words that lies in one text."""
+        last = np.repeat(self.words[1:], self.counts())  # word index after the text, for each word
+        return np.flatnonzero(np.arange(len(last)) + size <= last)
 
     def grams(self, size: int, hashes: np.ndarray, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each run of size words that lies in one text.
         short: a text with fewer words, but at least one, gives all its words as one run."""
-        last = np.repeat(self.words[1:], self.counts())  # word index after the text, for each word
-        first = np.arange(len(hashes))
-        ends = first + size
-        keep = ends <= last
+        first = self.starts_of(size)
+        got = run_hashes(hashes, first, size)
         if short:
-            few = np.flatnonzero((self.counts() < size) & (self.counts() > 0))
-            at = self.words[few]
-            keep[at], ends[at] = True, self.words[few + 1]
-        first, ends = first[keep], ends[keep]
-        # the length is mixed in, so that a short text never equals a full run
-        return first, mix(_spans(hashes, first, ends, _Q) + (ends - first).astype(np.uint64) * _U(_P))
+            count = self.counts()
+            firsts, runs = [first], [got]
+            for k in range(1, size):
+                few = self.words[:-1][count == k]
+                firsts.append(few)
+                runs.append(run_hashes(hashes, few, k))
+            first, got = np.concatenate(firsts), np.concatenate(runs)
+            order = np.argsort(first, kind="stable")
+            first, got = first[order], got[order]
+        return first, got
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size hashes from each first one on, in order; the size is mixed in."""
+    got = np.full(len(first), mix(np.array([size * _P % (1 << 64)], np.uint64))[0])
+    for k in range(size):
+        got = mix(got * _U(0x9FB21C651E98DF25) + hashes[first + k])
+    return got
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -105,6 +105,30 @@ def test_jaccard_classes_of_random_neighbours(spark):
     assert bag(got.collect()) == classes(rows)
 
 
+def test_patterned_words_are_told_apart(spark):
+    """Words that collide under polynomial hashes modulo powers of two."""
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        y = x.translate({97: 98, 98: 97})
+        rest = [f"w{k}x{i}" for i in range(17)]
+        rows += [(10 * k, " ".join([*rest, x, *rest])), (10 * k + 1, " ".join([*rest, y, *rest])), (10 * k + 2, x), (10 * k + 3, y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(docs, blocks=2).collect()} == {0}
+    got = ngram_join.jaccard_classes(docs, blocks=2).collect()
+    assert bag(got) == classes(rows)
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_repeated_rows_come_out_as_often(spark):
+    rows = [(7, "one two three four five six")] * 400 + [(None, "seven")] * 300 + [(1, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert bag(ngram_join.jaccard_classes(docs, blocks=2).collect()) == Counter({(7, 2, 7): 400, (None, 1, None): 300, (1, 1, 1): 1})
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(7, text)] * 50 + [(8, "w1 w2")], "doc_id long, text string").coalesce(1)
+    assert Counter((r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_dedup(docs, blocks=1).collect()) == Counter({(7, 40): 50, (8, 0): 1})
+
+
 def test_one_of_each(docs, rows):
     want = {r[2] for r in classes(rows) if r[2] is not None}
     kept = ngram_join.one_of_each(docs)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quirelake.llm import language_id, lm_scoring, pii, queries, url_filter
@@ -28,46 +29,99 @@ def bucket(i, n):
 # ---- language model
 
 
-def brute_scores(rows):
-    words = [[w for w in re.split(r"[\x20\x09-\x0D]+", lower(r[1] or "")) if w] + [0] for r in rows]
-    train = [bucket(r[0], 5) != 1 for r in rows]
-    uni, bi = Counter(), Counter()
-    for w, t in zip(words, train, strict=True):
-        if t:
-            uni.update(w)
-            bi.update(zip([1, *w[:-1]], w, strict=True))
-    total, kinds = sum(uni.values()), len(uni)
-    d = lm_scoring.discounts([Counter(bi.values())[k] for k in (1, 2, 3, 4)])
-    follow, after, kind = Counter(w for _, w in bi), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (v, _), n in bi.items():
-        after[v] += n
-        kind[v][min(n, 3) - 1] += 1
-    of = Counter(follow.values())
-    e = lm_scoring.discounts([of[k] for k in (1, 2, 3, 4)])
-    rest = e[0] * of[1] + e[1] * of[2] + e[2] * (len(follow) - of[1] - of[2])
-
-    def less(n, x):
-        return max(n - (0, *x)[min(n, 3)], 0)
-
-    def p(v, w):
-        one = (less(follow[w], e) + rest / (len(follow) + 1)) / len(bi)
-        return less(bi[v, w], d) / after[v] + sum(a * b for a, b in zip(d, kind[v], strict=True)) / after[v] * one if after[v] else one
+def less(n, d):
+    return max(n - (0, *d)[min(n, 3)], 0)
+
+
+class BruteTrigrams:
+    """The model by its formulas, over dictionaries. Texts are lists of words; the end is 0, a start 1."""
+
+    def __init__(self, texts):
+        tri = Counter(x for w in texts for x in zip([1, 1, *w], [1, *w], w, strict=False))
+        self.c, self.uni = tri, Counter(x for w in texts for x in w)
+        self.left = Counter((v, w) for _, v, w in tri)
+        self.seen = Counter(w for _, w in self.left)
+        self.three = self.contexts({(u, v): [] for u, v, _ in tri}, ((k[:2], n) for k, n in tri.items()))
+        self.two = self.contexts({v: [] for v, _ in self.left}, ((k[0], n) for k, n in self.left.items()))
+        self.d3, self.d2, self.d1 = (lm_scoring.discounts([Counter(x.values())[k] for k in (1, 2, 3, 4)]) for x in (tri, self.left, self.seen))
+
+    @staticmethod
+    def contexts(of, counts):
+        for k, n in counts:
+            of[k].append(n)
+        return of
+
+    @staticmethod
+    def on(n, followers, d, below):
+        if not followers:
+            return below
+        return less(n, d) / sum(followers) + sum(d[min(k, 3) - 1] for k in followers) / sum(followers) * below
+
+    def p(self, u, v, w):
+        if not self.c:
+            return 1.0
+        rest = sum(self.d1[min(n, 3) - 1] for n in self.seen.values())
+        one = (less(self.seen[w], self.d1) + rest / (len(self.seen) + 1)) / len(self.left)
+        two = self.on(self.left[v, w], self.two.get(v), self.d2, one)
+        return self.on(self.c[u, v, w], self.three.get((u, v)), self.d3, two)
+
+    def score(self, w):
+        return sum(math.log10(self.p(*x)) for x in zip([1, 1, *w], [1, *w], w, strict=False))
+
+
+def lm_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", lower(text or "")) if w] + [0]
 
+
+def brute_scores(rows):
+    words = [lm_words(r[1]) for r in rows]
+    model = BruteTrigrams([w for w, r in zip(words, rows, strict=True) if bucket(r[0], 5) != 1])
+    total, kinds = sum(model.uni.values()), len(model.uni)
     for r, w in zip(rows, words, strict=True):
+        score = model.score(w)
         yield (
-            r[0], bucket(r[0], 5) == 1, len(w), sum(uni[x] > 0 for x in w), total,
-            sum(math.log10((uni[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w),
-            sum(math.log10(p(v, x)) for v, x in zip([1, *w[:-1]], w, strict=True)),
+            r[0], bucket(r[0], 5) == 1, len(w), sum(model.uni[x] > 0 for x in w), total,
+            sum(math.log10((model.uni[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w), score, 10 ** (-score / len(w)),
         )
 
 
-def test_lm_scores(docs, rows):
-    key = lambda r: (r[0] is None, r[0] or 0, *r[1:5], round(r[5], 4))
-    want = sorted(brute_scores(rows), key=key)
-    for blocks in (1, 6):
-        got = sorted(map(tuple, lm_scoring.score(docs, queries.bucket("doc_id", 5) == 1, blocks=blocks).collect()), key=key)
-        assert [g[:5] for g in got] == [w[:5] for w in want]
-        assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
+def lm_order(r):
+    return (r[0] is None, r[0] or 0, *r[1:5], round(r[5], 4))
+
+
+@pytest.fixture(scope="module")
+def scored(rows):
+    return sorted(brute_scores(rows), key=lm_order)
+
+
+@pytest.mark.parametrize("blocks", [1, 6])
+def test_lm_scores(docs, scored, blocks, tmp_path):
+    store = str(tmp_path / "model") if blocks > 1 else None
+    got = sorted(map(tuple, lm_scoring.score(docs, queries.bucket("doc_id", 5) == 1, blocks=blocks, store=store).collect()), key=lm_order)
+    assert [g[:5] for g in got] == [w[:5] for w in scored]
+    assert np.allclose([g[5:] for g in got], [w[5:] for w in scored], rtol=1e-9)
+    if store:  # the stored model gives other workers the same scores
+        again = sorted(map(tuple, lm_scoring.perplexity(docs, store).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2], r[3], round(r[5], 4)))
+        want = sorted(scored, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[3], round(r[5], 4)))
+        assert [(g[0], *g[2:5]) for g in again] == [(w[0], *w[2:5]) for w in want]
+        assert np.allclose([g[5:] for g in again], [w[5:] for w in want], rtol=1e-9)
+
+
+def test_lm_repeated_rows_count_as_often_as_they_occur(spark):
+    rows = [(1, "a b c a b")] * 700 + [(2, "a b d"), (3, "c a b d d")] + [(None, "a a b")] * 300
+    got = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), F.lit(False), blocks=2).collect()
+    model = BruteTrigrams([lm_words(t) for _, t in rows])
+    assert len(got) == len(rows)
+    assert Counter((r["doc_id"], round(r["score"], 9)) for r in got) == Counter((i, round(model.score(lm_words(t)), 9)) for i, t in rows)
+
+
+def test_lm_probabilities_of_all_continuations_sum_to_one(rows):
+    model = BruteTrigrams([lm_words(r[1]) for r in rows[:40]])
+    unknown = model.p(1, 1, "never seen")
+    for u, v in ((1, 1), lm_words(rows[0][1])[:2], ("no", "such")):
+        below = {w: model.p(u, v, w) for w in model.uni}
+        assert math.isclose(sum(below.values()) + model.p(u, v, "never seen"), 1.0)
+    assert unknown > 0
 
 
 def test_lm_probabilities_sum_to_one():
