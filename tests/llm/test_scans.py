@@ -98,12 +98,13 @@ def edited(rng: random.Random, w: list, k: int) -> list:
 def planted():
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(8, 50)))) for i in range(25)] + [(90, "two words"), (91, None), (92, ""), (93, "w1 w2 w3 w4")]
+    sizes = [5, 6, 7, 8, 10, 11, 15] * 2 + [rng.randint(8, 50) for _ in range(25)] + [70, 150]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate(sizes)] + [(90, "two words"), (91, None), (92, ""), (93, "w1 w2 w3 w4")]
     docs = []
-    for i in range(400):
+    for i in range(600):
         w = rng.choices(vocabulary, k=rng.randint(0, 60))
         if i % 2:
-            item = items[rng.randrange(25)][1].split()
+            item = items[rng.randrange(len(sizes))][1].split()
             w += edited(rng, item, rng.randint(0, int(0.25 * len(item)))) + rng.choices(vocabulary, k=rng.randint(0, 30))
         docs.append((i, ", ".join(w).upper() if i % 3 == 0 else " ".join(w)))
     return [*docs, (None, items[0][1]), (1000, None), (1001, ""), (1, docs[1][1])], items
@@ -116,13 +117,16 @@ def test_contamination_recall(spark, planted, nothing):
     for i, t in docs:
         for k, item in items:
             w = words(item)
-            if w and (n := distance(w, words(t))) <= decontaminate.edits_allowed(len(w), 0.2):
+            if w and (n := distance(w, words(t))) <= len(w) // 5:
                 want[i, k, n] += 1
     got = Counter((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contamination(d, b, chunk_words=300).collect())
     pairs = lambda c: Counter({k[:2]: n for k, n in c.items()})
     assert not pairs(got) - pairs(want)  # nothing false
     assert sum((pairs(got) & pairs(want)).values()) >= 0.98 * sum(want.values())
     assert sum((got & want).values()) >= 0.98 * sum(want.values())
+    size = {k: len(words(item)) for k, item in items}
+    most = Counter({k: n for k, n in want.items() if k[2] == size[k[1]] // 5 > 0})  # at the largest distance allowed
+    assert sum(most.values()) > 50 and sum((most & got).values()) >= 0.9 * sum(most.values())
     assert sum(n for k, n in want.items() if k[2]) > 50
     hit = {k[0] for k in got}
     kept = [r["doc_id"] for r in decontaminate.drop_contaminated(d, b).collect()]
@@ -132,17 +136,51 @@ def test_contamination_recall(spark, planted, nothing):
     assert decontaminate.drop_contaminated(nothing, b).collect() == []
 
 
+def test_edits_allowed():
+    assert [decontaminate.edits_allowed(n, 0.2) for n in (1, 4, 5, 6, 7, 10, 11, 15, 20, 59)] == [0, 0, 1, 1, 1, 2, 2, 3, 4, 11]
+
+
+def test_concentrated_edits_are_found(spark):
+    """All edits at one end, or in the middle of an item."""
+    item = [f"w{i}" for i in range(60)]
+    docs = []
+    for k, at in enumerate((0, 24, 48)):
+        w = list(item)
+        w[at : at + 12] = [f"z{k}x{i}" for i in range(12)]
+        docs.append((k, " ".join(["pad"] * 9 + w + ["end"] * 9)))
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()
+    assert sorted((r["doc_id"], r["distance"]) for r in got) == [(0, 12), (1, 12), (2, 12)]
+
+
+def test_strides_are_steps():
+    """Four steps at once go where single ones go, and texts and items walk alike."""
+    hashes = next(slices(pa.array([" ".join(f"w{i}" for i in range(200))]), ALNUM)).hashes()
+    for walk in (0, 3):
+        one, four = (list(decontaminate.strides(hashes, walk, 64, g)) for g in (1, 4))
+        for start in range(0, 100, 7):
+            at, places = start, []
+            for x in one:
+                places.append(at)
+                at += int(x[at])
+            big = start
+            for j, x in enumerate(four):
+                assert places[4 * j] == big
+                big += int(x[big])
+            assert (decontaminate.embed(hashes[start:], walk, 64) + start == places).all()
+
+
 def test_walks_keep_close_windows_close():
     """Hamming distance of embeddings against edit distance."""
     rng = random.Random(6)
     hashes = next(slices(pa.array([" ".join(f"w{i}" for i in range(200))]), ALNUM)).hashes()
-    for _ in range(20):
-        w = [rng.randrange(200) for _ in range(40)]
-        x = edited(rng, w, 2)
-        x = [i if isinstance(i, int) else 0 for i in (x + [0] * 40)[:40]]
-        a, b = (decontaminate.embed(hashes[np.array(v)][None, :], 3)[0] for v in (w, x))
-        assert (decontaminate.embed(hashes[np.array(w)][None, :], 3)[0] == a).all()
-        assert (a == b).mean() > 0.2
+    alike = []
+    for _ in range(40):
+        w = rng.sample(range(200), 40)
+        x = [v if isinstance(v, int) else 0 for v in edited(rng, w, 4)]
+        a, b = (np.append(hashes[np.array(v)], 0)[np.minimum(decontaminate.embed(hashes[np.array(v)], 3, 60), len(v))] for v in (w, x))
+        alike.append((a == b).mean())
+    assert np.mean(alike) > 0.4
 
 
 # ---- packing
@@ -241,7 +279,7 @@ def test_pipeline(spark, docs, rows, monkeypatch):
             assert len(got) < len(before)
         else:
             item = words(bench.first()["text"])
-            assert Counter(got) == Counter(x for x in before if distance(item, words(x[1])) > decontaminate.edits_allowed(len(item), 0.2))
+            assert Counter(got) == Counter(x for x in before if distance(item, words(x[1])) > len(item) // 5)
             assert len(got) < len(before)
         state = after
 
