@@ -4,23 +4,24 @@ Three combining stages, each of which groups by the full normalised text beside
 equal digests of different texts never merge:
 
 1. local: map-side partial aggregation inside each input partition;
-2. salted: what is left of a digest is merged by one exchange of the texts. Digests of at least
-   ``hot_rows`` rows and a thousandth of the table (so at most a thousand of them) are salted by
-   input partition: a text that fills a third of the table is spread over ``salts`` tasks;
-3. global: the salt winners of hot digests are combined, again by full content. For all other
-   digests only numbers travel here.
+2. salted: what is left is merged by digest, text and a salt, the input partition's number modulo
+   ``salts``: a text that fills a third of the table is spread over so many tasks;
+3. global: the winners of all salts are combined, again by full content.
 
 Documents then find their group by an equi-join of narrow rows on the digest (no text in it);
-adaptive skew-join splitting covers a hot digest there. If a digest were ever shared by two
-different texts, the full-content groups reveal it and the query fails instead of merging them.
+adaptive skew-join splitting covers a hot digest there. Should a digest belong to several texts, which
+stage 3 counts, the rows of such digests are joined by their text instead.
 
 Defined results: null text is an empty text; null ids rank after all others; rows repeated with
-the same id and length count as members, and exactly one of them is kept; an empty table gives
-an empty result; other columns are ignored.
+the same id and length count as members, and exactly one of them is kept; ties in length go to the
+smallest id; a very long text is compared whole; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,65 +31,77 @@ from quirelake.llm.graph import saved
 SPACE = r"[\x20\x09-\x0D]+"
 _MAX = "9223372036854775807"
 _WIDE = "100000000000000000000"  # 10**20
+_PIECE = 4096
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, hot_rows: int = 1000) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(
+def sha256(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         normalised(F.col(text_col)).alias("norm"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("len"),
-    ).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    least = max(hot_rows, docs.count() // 1000)
-    hot = [bytes(r[0]) for r in counts.where(F.col("n") >= least).select("digest").limit(1000).collect()]
-    is_hot = F.col("digest").isin(hot) if hot else F.lit(False)
+    ).withColumn("digest", digest(F.col("norm")))
+
 
+def _groups(rows: DataFrame, salts: int) -> DataFrame:
+    """(digest, norm, rank, n) of each text, dealt by digest."""
     # longest original first, then smallest id: one number, so that hash aggregation can hold it
     rank = F.expr(
         f"cast(len as decimal(10,0)) * cast({_WIDE} as decimal(21,0))"
         f" + coalesce(cast({_MAX} as decimal(20,0)) - cast(doc_id as decimal(20,0)) + 1, 0)"
     ).cast("decimal(38,0)")
-    salt = F.when(is_hot, F.pmod(F.spark_partition_id(), F.lit(salts)) + 1).otherwise(0)
-    local = rows.select("digest", "norm", rank.alias("rank"), salt.alias("salt"))
+    local = rows.select("digest", "norm", rank.alias("rank"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
     salted = local.groupBy("digest", "norm", "salt").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
-    # a digest that is not hot has one row for each of its texts by now; hot ones still need theirs
-    whole = salted.groupBy("digest", F.when(F.col("salt") > 0, F.col("norm")).alias("text")).agg(
-        F.max("rank").alias("rank"), F.sum("n").alias("n"), F.sum(F.when(F.col("salt") == 0, 1).otherwise(0)).alias("cold")
-    )
-    winners = whole.groupBy("digest").agg(
-        F.sum(F.greatest("cold", F.when(F.col("text").isNull(), 0).otherwise(1))).alias("texts"), F.max("rank").alias("rank"), F.max("n").alias("n")
-    )
-    winners = winners.select(
-        F.col("digest").alias("w_digest"),
-        F.expr(f"if(texts > 1, raise_error('one digest, different texts'), cast(rank % {_WIDE} as decimal(20,0)))").alias("tail"),
-        F.expr(f"cast(floor(rank / {_WIDE}) as int)").alias("w_len"),
-        F.col("n").alias("group_size"),
-    ).select("w_digest", "w_len", "group_size", F.expr(f"if(tail = 0, null, cast({_MAX} - (tail - 1) as bigint))").alias("keep_id"))
-    winners = saved(winners)
-
-    # dealt by all keys first, and winners saved: both sides of the join are plain exchanges then, and a hot digest can be split
-    members = rows.select("doc_id", "digest", "len").repartition("doc_id", "digest", "len").groupBy("doc_id", "digest", "len").agg(F.count(F.lit(1)).alias("copies"))
-    joined = members.join(winners, members["digest"] == winners["w_digest"])
-    return joined.select(
-        "doc_id",
-        "keep_id",
-        F.col("group_size").cast("long").alias("group_size"),
-        F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("w_len"))).alias("best"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("best") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that exact_dedup keeps, with all their columns; of repeated rows one stays."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("__key"))
-    keyed = docs.withColumn("__key", F.concat_ws(":", F.sha2(normalised(F.col(text_col)), 256), F.col(id_col).cast("long").cast("string")))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return salted.repartition("digest").groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("n").alias("n"))
+
+
+def _winner(rank: str = "rank") -> list[Column]:
+    tail = f"cast({rank} % {_WIDE} as decimal(20,0))"
+    return [F.expr(f"cast(floor({rank} / {_WIDE}) as int)").alias("w_len"), F.expr(f"if({tail} = 0, null, cast({_MAX} - ({tail} - 1) as bigint))").alias("keep_id")]
+
+
+def _placed(members: DataFrame, winners: DataFrame, keys: list[str]) -> DataFrame:
+    """Each member beside its group; of rows that are repeated the first is the best one."""
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("len") == F.col("w_len"))
+    joined = members.join(winners, keys).select("doc_id", "keep_id", F.col("n").cast("long").alias("group_size"), best.alias("best"), "digest", "copies")
+    # repeated rows come back in pieces, so that no array grows with them
+    pieces = joined.withColumn("piece", F.explode(F.expr(f"sequence(0L, (copies - 1) div {_PIECE})")))
+    every = pieces.withColumn("copy", F.explode(F.expr(f"sequence(piece * {_PIECE}, least(copies, (piece + 1) * {_PIECE}) - 1)")))
+    return every.select("doc_id", "keep_id", "group_size", (F.col("best") & (F.col("copy") == 0)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    rows = _rows(docs, id_col, text_col, digest)
+    # of a digest with one text, that text's numbers; winners are saved, so that both sides of the join are plain exchanges, and a hot digest can be split
+    winners = _groups(rows, salts).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("rank").alias("rank"), F.max("n").alias("n"))
+    winners = saved(winners.select("digest", "texts", "n", *_winner()))
+    members = rows.groupBy("doc_id", "digest", "len").agg(F.count(F.lit(1)).alias("copies"))
+    out = _placed(members, winners.where("texts = 1").drop("texts"), ["digest"])
+    shared = winners.where("texts > 1").select("digest")
+    if not shared.take(1):
+        return out
+    some = rows.join(shared, "digest", "left_semi")
+    members = some.groupBy("doc_id", "digest", "norm", "len").agg(F.count(F.lit(1)).alias("copies"))
+    return out.union(_placed(members, _groups(some, salts).select("digest", "norm", "n", *_winner()), ["digest", "norm"]))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The rows that exact_dedup keeps, with all their columns. Of rows with one id, one normalised text and one
+    length, which are repeated ones and those with white space of other kinds, the one with the smallest text stays."""
+    winners = saved(_groups(_rows(docs, id_col, text_col, digest), salts).select("digest", F.sha2("norm", 256).alias("sure"), *_winner()))
+    kept = winners.select(F.struct("digest", "sure", F.col("keep_id").alias("id"), F.col("w_len").alias("len")).alias("key"))
+    text, norm = F.coalesce(F.col(text_col), F.lit("")), normalised(F.col(text_col))
+    key = F.struct(digest(norm).alias("digest"), F.sha2(norm, 256).alias("sure"), F.col(id_col).cast("long").alias("id"), F.char_length(text).alias("len"))
+    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"), text.alias("own")).join(kept, "key", "left_semi")
+    return rows.groupBy("key").agg(F.min_by("row", "own").alias("row")).select("row.*")
 
 
 ORACLE_SQL = r"""

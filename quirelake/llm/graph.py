@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors see. Without one, only a local session can do without: it gets its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+        sc.setCheckpointDir(named)
+    return named
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that the session names; a folder of our own where it names none."""
+    """A reliable checkpoint in the shared folder; Spark removes it with the DataFrame, if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

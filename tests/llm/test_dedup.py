@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from quirelake.llm import exact_dedup, ngram_join, substring_dedup
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -19,7 +21,7 @@ def lower(t: str) -> str:
     return t.translate({c: c + 32 for c in range(65, 91)})
 
 
-def test_exact_dedup(docs, rows):
+def copies(rows, digest):
     groups = defaultdict(list)
     for r in rows:
         groups[SPACE.sub("", r[1] or "")].append((-len(r[1] or ""), r[0] is None, r[0] or 0, r[0]))
@@ -27,9 +29,37 @@ def test_exact_dedup(docs, rows):
     for text, members in groups.items():
         members.sort()
         for k, m in enumerate(members):
-            want[m[3], members[0][3], len(members), k == 0, hashlib.sha256(text.encode()).hexdigest()] += 1
-    for hot in (1000, 2):  # also with every repeated text salted
-        assert bag(exact_dedup.exact_dedup(docs, hot_rows=hot).collect()) == want
+            want[m[3], members[0][3], len(members), k == 0, digest(text)] += 1
+    return want
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_exact_dedup(docs, rows):
+    for salts in (1, 16):
+        assert bag(exact_dedup.exact_dedup(docs, salts=salts).collect()) == copies(rows, sha)
+
+
+def test_exact_dedup_where_texts_share_a_digest(docs, rows):
+    """A digest of one byte: content decides."""
+    short = lambda c: F.substring(exact_dedup.sha256(c), 1, 1)
+    assert bag(exact_dedup.exact_dedup(docs, digest=short).collect()) == copies(rows, lambda t: sha(t)[:2])
+    assert len({k[4] for k in copies(rows, lambda t: sha(t)[:2])}) < len({k[4] for k in copies(rows, sha)})
+    assert bag(exact_dedup.drop_copies(docs, digest=short).select("doc_id", "text").collect()) == bag(exact_dedup.drop_copies(docs).select("doc_id", "text").collect())
+
+
+def test_exact_dedup_of_many_repeated_rows(spark):
+    rows = [(1, "a b")] * 9000 + [(1, "a  b"), (2, "ab"), (None, "ab")] + [(None, None)] * 20
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert bag(got.collect()) == copies(rows, sha)
+
+
+def test_drop_copies_keeps_the_longest_original(spark):
+    rows = [(7, "a b", 1), (7, "a    b", 2), (7, "a b", 3), (8, "c\td", 4), (8, "c d", 5), (None, "e", 6), (9, None, 7), (3, " ", 8)]
+    got = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string, digest int")).collect()
+    assert bag(got) == Counter([(7, "a    b", 2), (8, "c\td", 4), (None, "e", 6), (3, " ", 8)])
 
 
 def test_exact_dedup_keeps_rows(docs, rows):
