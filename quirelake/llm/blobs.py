@@ -17,6 +17,7 @@ be repeatable, the block's mark shows that, and the query fails instead of mixin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.words import _buffers
 
-#: Bits of the sorted key; with gaps of a few million keys a block, deltas fit 32 bits.
+#: Bits of the sorted key of windows, which have more bits beside it.
 KEY_BITS = 48
 #: Rows of a block at most, however short their texts are.
 BLOCK_ROWS = 100_000
@@ -121,39 +122,40 @@ def same_block(keys: np.ndarray, answers: pa.Table, column: str = "mark") -> Non
         raise RuntimeError("a block was computed again with other rows: the input is not repeatable")
 
 
+def key_bits(total: int, spare: int) -> int:
+    """Bits of a key by which texts of so many bytes can be told apart, with so many to spare over the number of words."""
+    return min(62, max(32, math.ceil(math.log2(total / 4 + 1)) + spare))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and which of them each value is."""
+    order = np.argsort(x)
+    there = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = there[1:] != there[:-1]
+    at = np.flatnonzero(new)
+    which = np.empty(len(x), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return there[at], order[at], which
+
+
 def encode(keys: np.ndarray) -> bytes:
-    """Sorted keys below 2**KEY_BITS."""
+    """Sorted keys, as gaps of as many bytes as the widest takes: the width, the first key, the gaps."""
     if not len(keys):
         return b""
-    gaps = np.diff(keys, prepend=_U(0))
-    first, gaps = gaps[:1].tobytes(), gaps[1:]
-    widest = int(gaps.max()) if len(gaps) else 0
-    if widest >= 1 << 32:
-        return b"\x00" + keys.astype("<u8").tobytes()
-    if widest >= 1 << 24:
-        return b"\x01" + first + gaps.astype("<u4").tobytes()
-    if widest >= 1 << 16:
-        return b"\x03" + first + gaps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    return b"\x02" + first + gaps.astype("<u2").tobytes()
+    gaps = np.diff(keys)
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def decode(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
-    if blob[0] == 0:
-        return np.frombuffer(blob, "<u8", offset=1)
-    if blob[0] == 3:
-        three = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, 3)
-        gaps = np.zeros((len(three), 4), np.uint8)
-        gaps[:, :3] = three
-        gaps = gaps.view("<u4")[:, 0]
-    else:
-        gaps = np.frombuffer(blob, "<u4" if blob[0] == 1 else "<u2", offset=9)
-    out = np.empty(len(gaps) + 1, np.uint64)
+    some = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, blob[0])
+    out = np.zeros(len(some) + 1, "<u8")
+    out.view(np.uint8).reshape(-1, 8)[1:, : blob[0]] = some
     out[0] = np.frombuffer(blob, "<u8", 1, 1)[0]
-    np.cumsum(gaps, dtype=np.uint64, out=out[1:])
-    out[1:] += out[0]
-    return out
+    return np.cumsum(out, dtype=np.uint64)
 
 
 def cuts(keys: np.ndarray, shards: int, bits: int = KEY_BITS) -> np.ndarray:

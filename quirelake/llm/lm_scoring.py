@@ -17,8 +17,8 @@ All counting covers every training text, and no part of the model is held whole
 With ``store`` the files stay in that folder, which all workers must see: the model, to score any
 other texts by (see perplexity). Without it a file goes when its shard has answered.
 
-Words are identified by 64-bit hashes, n-grams by 48 bits (a wrong match then has a chance of
-the number of distinct n-grams / 2**48). A text begins with two start marks.
+Words are identified by 64-bit hashes, n-grams by as many bits as make a wrong match of one that was
+not seen less likely than 2**-12 (``key_bits``). A text begins with two start marks.
 
 Defined results: a null text is empty and has the end token alone; unknown words get the model's
 unknown-word mass; with no training text every score is 0; an empty table gives an empty result; a
@@ -103,19 +103,20 @@ def _part(store: str | None, order: int, shard: int) -> Iterator[str]:
             yield os.path.join(own, "hashes")
 
 
-def _merged(keys: list[np.ndarray], columns: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+def _merged(keys: list[np.ndarray], columns: Iterator[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted distinct keys and the sums of their columns."""
     every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every, kind="stable")  # of sorted runs
     every = every[order]
     at = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-    return every[at], [np.add.reduceat(np.concatenate(c)[order], at) if len(at) else np.zeros(0, np.int64) for c in columns]
+    return every[at], [np.add.reduceat(c[order], at) if len(at) else np.zeros(0, np.int64) for c in columns]
 
 
 class Block:
     """Tokens of a block: hashes of the words, of pairs and of triples of words, and their places among the distinct ones."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, bits: int):
+        self.shift = _U(64 - bits)
         hashes, sizes = [], []
         for s in slices(table.column("text"), SPACED):
             h = np.empty(len(s.starts) + s.n, np.uint64)
@@ -139,25 +140,22 @@ class Block:
         return out
 
     @cached_property
-    def _words(self) -> tuple[np.ndarray, np.ndarray]:
-        distinct, at = np.unique(self.token, return_inverse=True)
-        return distinct, at.astype(np.int32)
+    def _words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return blobs.distinct(self.token)
 
     @cached_property
     def _bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        distinct, one, at = np.unique(self.pair >> _U(64 - blobs.KEY_BITS), return_index=True, return_inverse=True)
-        return distinct, one, at.astype(np.int32)
+        return blobs.distinct(self.pair >> self.shift)
 
     @cached_property
     def _trigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        triple = mix(self._shifted(self.pair[:-1], self.pair[-1]) * _U(0xD6E8FEB86659FD93) ^ mix(self.token[:-1]))
-        distinct, one, at = np.unique(triple >> _U(64 - blobs.KEY_BITS), return_index=True, return_inverse=True)
-        return distinct, one, at.astype(np.int32)
+        before = self._shifted(self.pair[:-1], self.pair[-1])
+        return blobs.distinct(mix(before * _U(0xD6E8FEB86659FD93) ^ mix(self.token[:-1])) >> self.shift)
 
     words = property(lambda self: self._words[0])
     bigrams = property(lambda self: self._bigrams[0])
     trigrams = property(lambda self: self._trigrams[0])
-    word = property(lambda self: self._words[1][:-1])  # of each token
+    word = property(lambda self: self._words[2][:-1])  # of each token
     bigram = property(lambda self: self._bigrams[2][:-1])  # that ends with each token
     trigram = property(lambda self: self._trigrams[2])
     trigram_at = property(lambda self: self._trigrams[1])  # a token for each distinct trigram
@@ -170,7 +168,7 @@ class Block:
     @cached_property
     def of_bigrams(self) -> tuple[np.ndarray, np.ndarray]:
         """First and second word of each distinct bigram."""
-        at, one = self._words[1], self._bigrams[1]
+        at, one = self._words[2], self._bigrams[1]
         return np.append(self._shifted(at[:-1], at[-1]), at[-1])[one], at[one]
 
 
@@ -261,109 +259,96 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     size = max(1, -(-total // n)) if blocks else blobs.block_size(total)
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")]
     rows = blobs.blocked(docs, columns, size, n)
+    bits = blobs.key_bits(total, 12)
+    bits_of = {TRIGRAM: bits, BIGRAM: bits, WORD: 64}
     if store:
         os.makedirs(store, exist_ok=True)
+        with open(os.path.join(store, "bits"), "w") as f:
+            f.write(str(bits))
 
-    def sent(kind: int, me: int, keys: np.ndarray, columns: list[np.ndarray], bits: int = blobs.KEY_BITS) -> list[dict]:
+    def sent(kind: int, me: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
         mark = blobs.mark(keys)
-        return [
-            {"shard": i, "block": me, "kind": kind, "mark": mark, "keys": keys[a:b].tobytes() if bits == _WORD_BITS else blobs.encode(keys[a:b]), **{x: blobs.pack(v[a:b]) for x, v in zip("abcdef", columns, strict=False)}}
-            for i, a, b in blobs.spans(keys, n, bits, every=True)
-        ]
-
-    def received(table: pa.Table, kind: int, columns: str) -> tuple[pa.Table, list, list]:
-        some = table.filter(pa.compute.equal(table.column("kind"), kind)).sort_by("block")
-        keys = [np.frombuffer(x, np.uint64) if kind == WORD else blobs.decode(x) for x in some.column("keys").to_pylist()]
-        return some, keys, [[blobs.unpack(x) for x in some.column(c).to_pylist()] for c in columns]
-
-    def answered(shard: int, kind: int, some: pa.Table, keys: list, columns: list, owned: int | None, sums) -> list[dict]:
-        """Writes the shard's part of the model, maps it, and answers each block. owned: the column that tells who saw a key."""
-        distinct, totals = _merged(keys, columns)
-        sums = sums(totals)
-        with _part(store, kind, shard) as path:
-            HashArrays.write(path, distinct, totals, sums)
-            model = HashArrays(path)
-            free, out = np.ones(model.n, bool), []
-            for k, (block, mark) in enumerate(zip(some.column("block").to_pylist(), some.column("mark").to_pylist(), strict=True)):
-                at = model.find(keys[k])
-                row = {"shard": shard, "block": block, "kind": kind, "mark": mark, "sums": sums, **{x: blobs.pack(np.asarray(v[at]).astype(np.int64)) for x, v in zip("abcdef", model.columns, strict=False)}}
-                if owned is not None:
-                    own = (columns[owned][k] > 0) & free[at]
-                    free[at[own]] = False
-                    row["f"] = np.packbits(own).tobytes()
-                out.append(row)
-            return out
-
-    def answers(right: pa.Table, kind: int) -> pa.Table:
-        return right.filter(pa.compute.equal(right.column("kind"), kind)).sort_by("shard")
-
-    def joined(some: pa.Table, name: str) -> np.ndarray:
-        return np.concatenate([blobs.unpack(x) for x in some.column(name).to_pylist()])
-
-    def owned(some: pa.Table, keys: np.ndarray) -> np.ndarray:
-        parts = [np.unpackbits(np.frombuffer(x, np.uint8), count=b - a) for x, (_, a, b) in zip(some.column("f").to_pylist(), blobs.spans(keys, n, every=True), strict=True)]
-        return np.concatenate(parts).astype(bool)
-
-    def summed(some: pa.Table) -> list[int]:
-        return np.sum(some.column("sums").to_pylist(), axis=0).tolist()
-
-    def passed(me: int, kind: int, mark: int, columns: list[np.ndarray], sums: list[int]) -> dict:
-        """What a block knows already travels on to its next step by way of some shard, which does not look at it."""
-        return {"shard": me % n, "block": me, "kind": -kind, "mark": mark, "sums": sums, **{x: blobs.pack(v) for x, v in zip("abcdef", columns, strict=False)}}
+        return _table([
+            {"shard": i, "block": me, "kind": kind, "mark": mark, "keys": blobs.encode(keys[a:b]), **{x: blobs.pack(v[a:b]) for x, v in zip("abcdef", columns, strict=False)}}
+            for i, a, b in blobs.spans(keys, n, bits_of[kind], every=True)
+        ])
 
-    def onward(table: pa.Table) -> pa.Table:
-        return table.filter(pa.compute.less(table.column("kind"), 0)).select(_NAMES).cast(pa.schema(list(zip(_NAMES, _TYPES, strict=True))))
+    def answered(kind: int, columns: str, owned: str | None, sums):
+        """Step of a shard: writes its part of the model, maps it, and answers each block. owned: the column that tells who saw a key."""
+
+        def answer(key: tuple, table: pa.Table) -> pa.Table:
+            shard, table = key[0].as_py(), table.sort_by("block")
+            keys = [blobs.decode(x) for x in table.column("keys").to_pylist()]
+            own = [blobs.unpack(x) > 0 for x in table.column(owned).to_pylist()] if owned else []
+            distinct, totals = _merged(keys, (np.concatenate([blobs.unpack(x) for x in table.column(c).to_pylist()]) for c in columns))
+            sum_ = sums(totals)
+            with _part(store, kind, shard) as path:
+                HashArrays.write(path, distinct, totals, sum_)
+                del distinct, totals
+                model = HashArrays(path)
+                free, out = np.ones(model.n, bool), []
+                for k, (block, mark) in enumerate(zip(table.column("block").to_pylist(), table.column("mark").to_pylist(), strict=True)):
+                    at = model.find(keys[k])
+                    row = {"shard": shard, "block": block, "kind": kind, "mark": mark, "sums": sum_, **{x: blobs.pack(v[at].astype(np.int64)) for x, v in zip("abcdef", model.columns, strict=False)}}
+                    if owned:
+                        mine = own[k] & free[at]
+                        free[at[mine]] = False
+                        row["f"] = np.packbits(mine).tobytes()
+                    out.append(row)
+                return _table(out)
+
+        return answer
+
+    def answers(right: pa.Table, kind: int, keys: np.ndarray) -> pa.Table:
+        some = right.filter(pa.compute.equal(right.column("kind"), kind)).sort_by("shard")
+        blobs.same_block(keys, some)
+        return some
+
+    def joined(some: pa.Table, columns: str) -> list[np.ndarray]:
+        return [np.concatenate([blobs.unpack(x) for x in some.column(c).to_pylist()]) for c in columns]
+
+    def owned(some: pa.Table, kind: int, keys: np.ndarray) -> np.ndarray:
+        parts = [np.unpackbits(np.frombuffer(x, np.uint8), count=b - a) for x, (_, a, b) in zip(some.column("f").to_pylist(), blobs.spans(keys, n, bits_of[kind], every=True), strict=True)]
+        return np.concatenate(parts).astype(bool)
 
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        block = Block(blobs.opened(table))
-        return _table(sent(TRIGRAM, key[0].as_py(), block.trigrams, [_by(block.trigram, len(block.trigrams), block.weight)]))
+    def summed(some: pa.Table) -> np.ndarray:
+        return np.sum(some.column("sums").to_pylist(), axis=0)
 
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        return _table(answered(key[0].as_py(), TRIGRAM, *received(table, TRIGRAM, "a"), 0, lambda t: _counts_of_counts(t[0])))
+    def to_trigrams(key: tuple, table: pa.Table) -> pa.Table:
+        block = Block(blobs.opened(table), bits)
+        return sent(TRIGRAM, key[0].as_py(), block.trigrams, [_by(block.trigram, len(block.trigrams), block.weight)])
 
     def to_bigrams(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        me, block, got = key[0].as_py(), Block(blobs.opened(left)), answers(right, TRIGRAM)
-        blobs.same_block(block.trigrams, got)
-        total, own = joined(got, "a"), owned(got, block.trigrams)
-        mine, c = block.trigram_at[own], total[own]
-        columns = [_by(block.bigram[mine], len(block.bigrams)), *_contexts(block.pair_before[mine], len(block.bigrams), c)]
-        return _table([*sent(BIGRAM, me, block.bigrams, columns), passed(me, TRIGRAM, blobs.mark(block.trigrams), [total], summed(got))])
-
-    def count_bigrams(key: tuple, table: pa.Table) -> pa.Table:
-        some = received(table, BIGRAM, "abcde")
-        out = answered(key[0].as_py(), BIGRAM, *some, 0, lambda t: _counts_of_counts(t[0])) if some[0].num_rows else []
-        return pa.concat_tables([_table(out), onward(table)])
+        block = Block(blobs.opened(left), bits)
+        got = answers(right, TRIGRAM, block.trigrams)
+        own = owned(got, TRIGRAM, block.trigrams)
+        mine, c, size = block.trigram_at[own], joined(got, "a")[0][own], len(block.bigrams)
+        return sent(BIGRAM, key[0].as_py(), block.bigrams, [_by(block.bigram[mine], size), *_contexts(block.pair_before[mine], size, c)])
 
     def to_words(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        me, block, got = key[0].as_py(), Block(blobs.opened(left)), answers(right, BIGRAM)
-        blobs.same_block(block.bigrams, got)
-        bi, own = [joined(got, x) for x in "abcde"], owned(got, block.bigrams)
-        size, a = len(block.words), bi[0][own]
-        columns = [_by(block.word, size, block.weight), *_contexts(block.of_bigrams[0][own], size, a), _by(block.of_bigrams[1][own], size)]
-        return pa.concat_tables([
-            _table([*sent(WORD, me, block.words, columns, _WORD_BITS), passed(me, BIGRAM, blobs.mark(block.bigrams), bi, summed(got))]),
-            onward(right),
-        ])
-
-    def count_words(key: tuple, table: pa.Table) -> pa.Table:
-        some = received(table, WORD, "abcdef")
-        sums = lambda t: [int(t[0].sum()), int((t[0] > 0).sum()), int(t[5].sum()), int((t[5] > 0).sum()), *_counts_of_counts(t[5])]
-        out = answered(key[0].as_py(), WORD, *some, None, sums) if some[0].num_rows else []
-        return pa.concat_tables([_table(out), onward(table)])
+        block = Block(blobs.opened(left), bits)
+        got = answers(right, BIGRAM, block.bigrams)
+        own = owned(got, BIGRAM, block.bigrams)
+        size, a, (before, word) = len(block.words), joined(got, "a")[0][own], block.of_bigrams
+        return sent(WORD, key[0].as_py(), block.words, [_by(block.word, size, block.weight), *_contexts(before[own], size, a), _by(word[own], size)])
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         table = blobs.opened(left)
-        block = Block(table)
-        tri, bi, word = answers(right, -TRIGRAM), answers(right, -BIGRAM), answers(right, WORD)
-        for keys, got in ((block.trigrams, tri), (block.bigrams, bi), (block.words, word)):
-            blobs.same_block(keys, got)
-        p = Probabilities(np.array(summed(tri)), np.array(summed(bi)), np.array(summed(word)))
-        return _scored(block, p, joined(tri, "a"), [joined(bi, x) for x in "abcde"], [joined(word, x) for x in "abcdef"], table)
+        block = Block(table, bits)
+        tri, bi, word = answers(right, TRIGRAM, block.trigrams), answers(right, BIGRAM, block.bigrams), answers(right, WORD, block.words)
+        return _scored(block, Probabilities(summed(tri), summed(bi), summed(word)), joined(tri, "a")[0], joined(bi, "abcde"), joined(word, "abcdef"), table)
+
+    def counted(queries: DataFrame, answer) -> DataFrame:
+        # dealt to blocks once, for the next step and the last one
+        return queries.groupBy("shard").applyInArrow(answer, _ROWS).repartition(n, "block")
 
-    got = rows.groupBy("block").applyInArrow(send, _ROWS).groupBy("shard").applyInArrow(count, _ROWS)
-    for step, answer in ((to_bigrams, count_bigrams), (to_words, count_words)):
-        got = rows.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(step, _ROWS).groupBy("shard").applyInArrow(answer, _ROWS)
-    return rows.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(finish, SCHEMA)
+    of = lambda x: x.groupBy("block")
+    some = lambda t: _counts_of_counts(t[0])
+    every = lambda t: [int(t[0].sum()), int((t[0] > 0).sum()), int(t[5].sum()), int((t[5] > 0).sum()), *_counts_of_counts(t[5])]
+    tri = counted(of(rows).applyInArrow(to_trigrams, _ROWS), answered(TRIGRAM, "a", "a", some))
+    bi = counted(of(rows).cogroup(of(tri)).applyInArrow(to_bigrams, _ROWS), answered(BIGRAM, "abcde", "a", some))
+    word = counted(of(rows).cogroup(of(bi)).applyInArrow(to_words, _ROWS), answered(WORD, "abcdef", None, every))
+    return of(rows).cogroup(of(tri.union(bi).union(word))).applyInArrow(finish, SCHEMA)
 
 
 class StoredModel:
@@ -375,6 +360,8 @@ class StoredModel:
         self.parts = {k: [x for x in v if x.n] for k, v in self.parts.items()}
         if not all(self.parts.values()):
             raise ValueError(f"no model in {store}")
+        with open(os.path.join(store, "bits")) as f:
+            self.bits = int(f.read())
         self.p = Probabilities(*(np.sum([x.sums for x in parts], axis=0) for parts in (self.parts[TRIGRAM], self.parts[BIGRAM], self.parts[WORD])))
 
     def look_up(self, kind: int, keys: np.ndarray) -> list[np.ndarray]:
@@ -400,7 +387,7 @@ def perplexity(docs: DataFrame, store: str, id_col: str = "doc_id", text_col: st
         model = StoredModel(store)
         for t in blobs._runs(batches, 1, 6 << 20):
             t = t.append_column("held_out", pa.array(np.ones(t.num_rows, bool))).append_column("copies", pa.array(np.ones(t.num_rows, np.int64)))
-            block = Block(t)
+            block = Block(t, model.bits)
             tri, bi, word = (model.look_up(k, x) for k, x in ((TRIGRAM, block.trigrams), (BIGRAM, block.bigrams), (WORD, block.words)))
             yield from _scored(block, model.p, tri[0], bi, word, t).combine_chunks().to_batches()
 

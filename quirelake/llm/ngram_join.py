@@ -25,7 +25,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +52,9 @@ def _shingles(table: pa.Table, size: int, seconds: bool = False) -> tuple[np.nda
     for s in slices(table.column("text"), SPACED):
         first, g = s.grams(size, s.hashes(), short=True)
         row = s.doc_of()[first]
-        order = np.lexsort((g, row))
+        order = np.argsort(g)
+        # rows of a slice are few, mostly: 16-bit numbers sort by radix
+        order = order[np.argsort(row[order].astype(np.uint16 if s.n < 1 << 16 else np.int64), kind="stable")]
         g, row = g[order], row[order]
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
@@ -71,14 +72,13 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     n = blocks or blobs.plan(total)
     block_bytes = max(1, -(-total // n)) if blocks else blobs.block_size(total)
     # a wrong match of a counting key only makes a shingle look shared; four bits over the number of words keep that rare
-    bits = min(blobs.KEY_BITS, max(32, math.ceil(math.log2(total / 4 + 1)) + 4))
+    bits = blobs.key_bits(total, 4)
     shift = _U(64 - bits)
-    wide = _U(blobs.KEY_BITS - bits)
     rows = blobs.blocked(docs, [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")], block_bytes, n)
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
         keys, count = np.unique(_shingles(blobs.opened(table), size)[1] >> shift, return_counts=True)
-        spans, mark = blobs.spans(keys << wide, n), blobs.mark(keys)
+        spans, mark = blobs.spans(keys, n, bits), blobs.mark(keys)
         return pa.table({
             "shard": pa.array([x[0] for x in spans], pa.int32()),
             "block": pa.array([key[0].as_py()] * len(spans), pa.int64()),
@@ -103,7 +103,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent
     def describe(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         table = blobs.opened(left)
         row, h, h2 = _shingles(table, size, seconds=True)
-        k, place = np.unique(h >> shift, return_inverse=True)
+        k, _, place = blobs.distinct(h >> shift)
         blobs.same_block(k, right)
         right = right.sort_by("shard")
         level = np.concatenate([np.zeros(0, np.int64), *(blobs.unpack(x) for x in right.column("levels").to_pylist())])[place]

@@ -36,9 +36,9 @@ _INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _KEYS = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("mark", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("twice", pa.binary())])
 
 
-def _order(key: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by (key, two), and which of the ordered are equal to the one before."""
-    order = np.argsort(key, kind="stable")
+def _order(key: np.ndarray, two: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (key, two), and which of the ordered are equal to the one before. runs: key is made of sorted runs."""
+    order = np.argsort(key, kind="stable" if runs else None)
     same = key[order[1:]] == key[order[:-1]]
     both = same & (two[order[1:]] == two[order[:-1]])
     if (same != both).any():  # two windows with one key: very rare
@@ -88,7 +88,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         two = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("more").to_pylist()])
         # a hash held twice in one block only is marked there; elsewhere it has company anyway
         hit = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(table.column("twice").to_pylist(), sizes.tolist(), strict=True)]).astype(bool)
-        order, same = _order(np.concatenate(keys), two)
+        order, same = _order(np.concatenate(keys), two, runs=True)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
         bits = [np.packbits(hit[e - k : e]).tobytes() for e, k in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
