@@ -1,10 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with licence templates.
 
 Texts are lower-cased in A-Z; words are runs of letters and digits. A block is a line, or where a
-line is longer than ``block_words``, each window of so many words at every half of it; templates
-have at most half as many words, so any place of that length lies inside a block whole. With
-``wrapped``, which the query sets, the windows over the words of the whole text are blocks too, so
-that a notice wrapped at line ends lies inside one.
+line is longer than the block size, each window of so many words at every half of it. The size goes by
+the template: ``block_words``, doubled until it is twice the template's words, so any place of the
+template's length lies inside a block whole. With ``wrapped``, which the query sets, the windows over the words of the whole text are
+blocks too, so that a notice wrapped at line ends lies inside one.
 
 A block matches a template if it has at least ``percent`` of the template's distinct words:
 
@@ -18,8 +18,9 @@ A block matches a template if it has at least ``percent`` of the template's dist
 
 Beside the templates, phrases (see PHRASES) are found wherever their words stand consecutively.
 
-Defined results: null and empty texts have no words; repeated rows are reported each; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have no words; words of equal frequency are ordered by their
+letters; repeated rows are reported each; a very long text is scanned whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from quirelake.llm.words import ALNUM, Slice, slices
 
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices by which licences are commonly declared.
+#: Notices by which licences are commonly declared, and paragraphs of their texts (fixed values).
 TEMPLATES = [
     ("gpl", "this work is licensed under the gnu general public license"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
@@ -54,6 +55,26 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
+        " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
+        " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
+        " in the documentation and or other materials provided with the distribution",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by"
+        " the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope"
+        " that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    ),
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
 ]
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,start:long,end:long,containment:double>>"
@@ -104,22 +125,24 @@ class Scanner:
         for label, text in templates:
             t = sorted({int(self.rank[number[w]]) for w in text.split()})
             needed = -(-percent * len(t) // 100)
-            if len(text.split()) > block_words // 2:
-                raise ValueError("a template has at most half as many words as a block")
+            block = block_words
+            while block < 2 * len(text.split()):
+                block *= 2
             for i, r in enumerate(t[: len(t) - needed + 1]):
-                self.prefixes.setdefault(r, []).append((len(self.templates), i))
+                self.prefixes.setdefault(r, {}).setdefault(block, []).append((len(self.templates), i))
             self.templates.append((label, t, needed))
         self.starts = np.zeros(len(words), bool)
         self.starts[list(self.prefixes)] = True
-        self.block, self.wrapped = block_words, wrapped
+        self.wrapped = wrapped
 
-    def windows(self, start: int, end: int, at: int) -> list[tuple[int, int]]:
+    @staticmethod
+    def windows(start: int, end: int, at: int, block: int) -> list[tuple[int, int]]:
         """The blocks of a line or text (words start..end-1) that hold the word at."""
-        if end - start <= self.block:
+        if end - start <= block:
             return [(start, end)]
-        half = self.block // 2
+        half = block // 2
         k = (at - start) // half
-        return [(start + j * half, min(start + j * half + self.block, end)) for j in (k - 1, k) if j >= 0 and (j == 0 or start + j * half + half < end)]
+        return [(start + j * half, min(start + j * half + block, end)) for j in (k - 1, k) if j >= 0 and (j == 0 or start + j * half + half < end)]
 
     def scan(self, s: Slice) -> tuple[dict[int, list], dict[int, dict]]:
         """By text of the slice: (start word, label) of phrases; best containment by (label, block)."""
@@ -138,32 +161,37 @@ class Scanner:
         first = np.flatnonzero((rank >= 0) & self.starts[rank])
         lines = np.flatnonzero(s.data == 10)
         found: dict[int, dict] = {}
-        done = set()
+        done, known = set(), {}
         for at in first.tolist():
             d = int(np.searchsorted(s.words, at, "right")) - 1
             k = int(np.searchsorted(lines, s.starts[at]))
             low = max(int(s.words[d]), int(np.searchsorted(s.starts, lines[k - 1])) if k else 0)
             high = min(int(s.words[d + 1]), int(np.searchsorted(s.starts, lines[k])) if k < len(lines) else len(n))
-            blocks = self.windows(low, high, at)
-            if self.wrapped:
-                blocks = dict.fromkeys([*blocks, *self.windows(int(s.words[d]), int(s.words[d + 1]), at)])
-            for a, b in blocks:
-                for t, i in self.prefixes[int(rank[at])]:
-                    if (a, b, t) in done:
-                        continue
-                    label, words, needed = self.templates[t]
-                    own = np.unique(rank[a:b])
-                    own = own[own >= 0]
-                    if len(own) < needed:  # length
-                        continue
-                    if min(len(words) - i, len(own) - int(np.searchsorted(own, rank[at]))) < needed and not any(r in own for r in words[:i]):  # position
-                        continue
-                    done.add((a, b, t))
-                    same = len(np.intersect1d(own, words, assume_unique=True))
-                    if same >= needed:
-                        where = (label, a - int(s.words[d]), b - int(s.words[d]))
-                        mine = found.setdefault(d, {})
-                        mine[where] = max(mine.get(where, 0.0), same / len(words))
+            for block, prefixes in self.prefixes[int(rank[at])].items():
+                blocks = self.windows(low, high, at, block)
+                if self.wrapped:
+                    blocks = dict.fromkeys([*blocks, *self.windows(int(s.words[d]), int(s.words[d + 1]), at, block)])
+                for a, b in blocks:
+                    own = None
+                    for t, i in prefixes:
+                        if (a, b, t) in done:
+                            continue
+                        label, words, needed = self.templates[t]
+                        if own is None:
+                            own = known.get((a, b))
+                            if own is None:
+                                own = np.unique(rank[a:b])
+                                own = known[a, b] = own[own >= 0]
+                        if len(own) < needed:  # length
+                            continue
+                        if min(len(words) - i, len(own) - int(np.searchsorted(own, rank[at]))) < needed and not any(r in own for r in words[:i]):  # position
+                            continue
+                        done.add((a, b, t))
+                        same = len(np.intersect1d(own, words, assume_unique=True))
+                        if same >= needed:
+                            where = (label, a - int(s.words[d]), b - int(s.words[d]))
+                            mine = found.setdefault(d, {})
+                            mine[where] = max(mine.get(where, 0.0), same / len(words))
         return base, found
 
 

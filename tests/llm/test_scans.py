@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +32,16 @@ def words(t: str | None) -> list[str]:
 # ---- licences
 
 
-def brute_blocks(text: str, percent: int = 80, block: int = 64) -> set[str]:
-    labels, half = set(), block // 2
-    for line in (text or "").split("\n"):
-        w = words(line)
-        for a in range(0, max(len(w) - half, 1), half):
-            part = set(w[a : a + block])
-            for label, template in license_scan.TEMPLATES:
-                t = set(template.split())
-                if 100 * len(t & part) >= percent * len(t):
+def brute_blocks(text: str, percent: int = 80, wrapped: bool = False) -> set[str]:
+    labels = set()
+    for label, template in license_scan.TEMPLATES:
+        t, block = set(template.split()), 64
+        while block < 2 * len(template.split()):
+            block *= 2
+        for line in [*(text or "").split("\n"), *([text or ""] if wrapped else [])]:
+            w = words(line)
+            for a in range(0, max(len(w) - block // 2, 1), block // 2):
+                if 100 * len(t & set(w[a : a + block])) >= percent * len(t):
                     labels.add(label)
     return labels
 
@@ -53,6 +57,12 @@ def test_license_scan(docs, rows, nothing, spark):
         more.append((1000 + i, rng.choice((" ", "\n", " - ")).join(w) if rng.random() < 0.3 else " ".join(w)))
     every = [(r[0], r[1]) for r in rows] + more
     table = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    for wrapped in (False, True):
+        check_scan(every, table, wrapped)
+    assert license_scan.scan(nothing).collect() == []
+
+
+def check_scan(every, table, wrapped):
     want = Counter()
     for i, t in every:
         w, base = words(t), []
@@ -60,11 +70,22 @@ def test_license_scan(docs, rows, nothing, spark):
             p = phrase.split()
             base += [(k, label) for k in range(len(w)) if w[k : k + len(p)] == p]
         at, own = sorted(x[0] for x in base), {x[1] for x in base}
-        want[i, len(w), len(base), at[0] if at else None, at[-1] if at else None, ",".join(sorted(own)), ",".join(sorted(own | brute_blocks(t)))] += 1
-    got = license_scan.scan(table)
-    assert Counter(tuple(r)[:7] for r in got.collect()) == want
-    assert all(0 <= r["score"] <= 1 for r in got.collect())
-    assert license_scan.scan(nothing).collect() == []
+        want[i, len(w), len(base), at[0] if at else None, at[-1] if at else None, ",".join(sorted(own)), ",".join(sorted(own | brute_blocks(t, wrapped=wrapped)))] += 1
+    got = license_scan.scan(table, wrapped=wrapped).collect()
+    assert Counter(tuple(r)[:7] for r in got) == want
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_whole_licence_texts_are_found(spark):
+    """Long paragraphs, wrapped at 70 columns, with some words changed."""
+    long = [(k, label, t.split()) for k, (label, t) in enumerate(license_scan.TEMPLATES) if len(t.split()) > 32]
+    assert len(long) >= 3
+    docs = []
+    for k, _, w in long:
+        w = ["changed" if i % 17 == 5 else x for i, x in enumerate(w)]
+        docs.append((k, "/*\n * " + textwrap.fill(" ".join(["Copyright", "2020", *w]), 70).replace("\n", "\n * ") + "\n */\nint x;"))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), wrapped=True).collect()}
+    assert all(label in got[k]["labels"].split(",") for k, label, _ in long)
 
 
 # ---- decontamination
@@ -232,6 +253,22 @@ def test_fast_encoding_is_that_of_the_file():
             assert enc.encode(x) == enc.exactly(x)
 
 
+def test_other_files_go_to_the_library(tmp_path):
+    """A file that asks for anything else takes no short cut."""
+    path = queries.tokenizer_path()
+    assert packing.plain(path) and packing.Encoder(path).quick
+    said = json.loads(Path(path).read_text())
+    texts = ["It's 4,952 words", " two  words", "<|endoftext|> x"]
+    for part, change in (("pre_tokenizer", {"add_prefix_space": True}), ("pre_tokenizer", {"use_regex": False}), ("normalizer", {"type": "Lowercase"})):
+        other = dict(said)
+        other[part] = {**(said[part] or {}), **change}
+        file = tmp_path / "other.json"
+        file.write_text(json.dumps(other))
+        enc = packing.Encoder(str(file))
+        assert not packing.plain(str(file)) and enc.quick is None
+        assert [enc.encode(t) for t in texts] == [enc.exactly(t) for t in texts]
+
+
 def test_costs_are_balanced():
     """Of full sequences filled from equal pieces, attention costs stay close."""
     packer = packing.Packer(0, 2048, 1.0, 1 / 1024, 64)
