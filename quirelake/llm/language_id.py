@@ -2,21 +2,22 @@
 
 The kernel is the blended spectrum of n-gram presence: two texts compare by how many n-grams of
 1 to 3 symbols both have, divided by the root of the product of their numbers of n-grams.
-Symbols are a-z, white space and everything else that is no letter (one symbol each), and 37
+Symbols are a-z, white space and everything else that is no letter (one symbol each), and 35
 classes of other letters by code point, so an n-gram is a number below 2**18.
 
-Training (on the driver, from bounded samples): of the labelled rows, at most ``per_label`` of
-each label, those with the smallest hashed ids, are turned into presence lists by the executors.
-``landmarks`` of each label give the Nystroem map K(x, L) K(L, L)^(-1/2); one ridge regression
-per label against the rest is solved on it. The labels sampled are at most ``max_labels``, the
-most frequent ones.
+Training (on the driver, from a bounded sample): of each label, the rows with the smallest hashed
+ids, at most ``per_label`` and so many that all labels together stay near ``sample`` rows, are
+turned into presence sets by the executors (32 kB at most each). Every label is learned, however rare. Landmarks
+of each label, at most ``landmarks`` and ``all_landmarks`` together (but one at least), give the Nystroem map
+K(x, L) K(L, L)^(-1/2); one ridge regression per label against the rest is solved on it.
 
 Scoring streams over the table: presence matrices of small batches of whole texts are multiplied
 with the landmarks' matrix and then with the weights. Nothing is shuffled.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; so is every text if
-no labelled row can be learned from; rows with a null label are not learned from; rows with a
-null id are learned from unless the condition says otherwise; other columns are ignored.
+no labelled row can be learned from; of labels that score alike the first in order is taken; rows with a null label or
+a null id are not learned from; of rows with one id and label the smallest text is; a very long text is judged whole;
+repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,12 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 _SIZE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and some numbers that are no decimal digits.
+_MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
 
 
 def _symbols() -> np.ndarray:
@@ -59,6 +65,9 @@ def presence(text: str) -> np.ndarray:
         _table.append(_symbols())
     raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     s = _table[0][np.minimum(raw, 0xFFFF)]
+    for i in np.flatnonzero(raw > 0xFFFF).tolist():
+        c = int(raw[i])
+        s[i] = 29 + c % 35 if chr(c).isalpha() else 28
     seen = np.zeros(_SIZE, bool)
     seen[s] = True  # 1-grams are below 64; longer ones begin with a symbol over 0
     if len(s) > 1:
@@ -116,31 +125,51 @@ def train(
     text_col: str = "text",
     label_col: str = "lang",
     per_label: int = 240,
+    sample: int = 4096,
     landmarks: int = 32,
-    max_labels: int = 64,
+    all_landmarks: int = 1024,
     ridge: float = 0.05,
 ) -> Model | None:
-    """Fits on the rows for which ``learn`` holds and the label is not null."""
-    rows = docs.where(F.coalesce(learn, F.lit(False)) & F.col(label_col).isNotNull())
-    frequent = [r[0] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(max_labels).collect()]
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    ranked = rows.where(F.col(label_col).isin(frequent)).select(order.alias("h"), F.col(label_col).alias("label"))
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= per_label)
-    hashes = [r[0] for r in first.select("h").distinct().collect()]
-    if not hashes:
+    """Fits on the rows for which ``learn`` holds and neither label nor id is null."""
+    rows = docs.where(F.coalesce(learn, F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    labels = rows.select("label").distinct().count()
+    if not labels:
         return None
-    sample = rows.where(order.isin(hashes)).select(order.alias("h"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    most, marks = max(1, min(per_label, sample // labels)), max(1, min(landmarks, all_landmarks // labels))
+    # a label's smallest hashes, first in 256 parts of it, so that a label that most rows have is no task of its own
+    keys = rows.select("h", "label").distinct()
+    part = Window.partitionBy("label", F.pmod("h", F.lit(256))).orderBy("h")
+    keys = keys.withColumn("r", F.row_number().over(part)).where(F.col("r") <= most)
+    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= most).select("h", "label")
+    chosen = {(r["label"], r["h"]) for r in keys.collect()}
+    some = rows.where(F.col("h").isin([h for _, h in chosen])).join(F.broadcast(keys), ["h", "label"], "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = [presence(t.as_py() or "").tobytes() for t in b.column(2)]
+            grams = [_packed(presence(t.as_py() or "")) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.binary())], names=["h", "label", "grams"])
 
-    got = sorted((r["label"], r["h"], bytes(r["grams"])) for r in sample.mapInArrow(lists, "h long, label string, grams binary").limit(per_label * max_labels * 2).collect())
-    got = [x for x in got if len(x[2])]
-    seen: dict[str, int] = {}
-    kept = [x for x in got if seen.setdefault(x[0], 0) < per_label and not seen.__setitem__(x[0], seen[x[0]] + 1)]
-    return fit([np.frombuffer(x[2], np.int32) for x in kept], [x[0] for x in kept], landmarks, ridge) if kept else None
+    found = some.groupBy("h", "label").agg(F.min("text").alias("text")).mapInArrow(sets, "h long, label string, grams binary").collect()
+    got = sorted((r["label"], r["h"], bytes(r["grams"])) for r in found)
+    grams = [_unpacked(x[2]) for x in got]
+    kept = [k for k, g in enumerate(grams) if len(g)]
+    return fit([grams[k] for k in kept], [got[k][0] for k in kept], marks, ridge) if kept else None
+
+
+def _packed(grams: np.ndarray) -> bytes:
+    """A set of n-grams: numbers, or a bit for each, whichever is shorter."""
+    if len(grams) * 4 < _SIZE // 8:
+        return b"n" + grams.tobytes()
+    bits = np.zeros(_SIZE, bool)
+    bits[grams] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    if x[:1] == b"n":
+        return np.frombuffer(x, np.int32, offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, offset=1))).astype(np.int32)
 
 
 def judge(model: Model | None, texts: list[str | None], step: int = 32) -> tuple[list[str], list[float]]:
@@ -148,7 +177,7 @@ def judge(model: Model | None, texts: list[str | None], step: int = 32) -> tuple
     label, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model is None:
         return label, score
-    some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    some = [i for i, t in enumerate(texts) if t and has_letter(t)]
     for k in range(0, len(some), step):
         part = some[k : k + step]
         f = model.decide([presence(texts[i]) for i in part])
@@ -160,7 +189,7 @@ def judge(model: Model | None, texts: list[str | None], step: int = 32) -> tuple
 def predict(docs: DataFrame, model: Model | None, keep: list, text_col: str = "text") -> DataFrame:
     """The columns of keep, with lang_pred and score."""
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: max_labels * landmarks columns of at most 2**18 n-grams
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: all_landmarks columns (or one for each label) of at most 2**18 n-grams
     schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
