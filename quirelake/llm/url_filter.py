@@ -3,20 +3,22 @@
 Everything that touches rows is a DataFrame or SQL expression. URLs that a rule judges are the
 labelled ones (block is 1). Features: length, path depth, digit ratio, character entropy, numbers
 of parameters and host labels, host length, and statistics of host suffixes (smoothed share of
-blocked URLs under the last label, and under the last two).
+blocked URLs under the last label, and under the last two). A labelled URL's own fold, one of ``folds``
+by its hash, is left out of its suffixes' shares, so that no tree learns from a row's own label.
 
 Training is histogram boosting over the whole labelled table: features are cut at quantiles into
 ``bins`` bins, equal rows collapse with their counts, and each level of each tree is one grouped
 sum of gradients by (node, feature, bin), a table whose size is fixed by these numbers. Logistic
-loss, second-order leaves. The trees become one CASE expression for scoring.
+loss, second-order leaves, whose sums are known from the split above. The trees become one CASE expression for scoring.
 
 Suffix statistics keep every suffix. The ``suffixes`` most frequent ones are broadcast, so that table is
 bounded; rows with rarer ones are joined by key. A suffix without labelled URLs gets the overall
 share. Rules are a parameter of at most 1,000.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is
-judged by the trees; without labelled rows, or with one class only, the trees are a constant
-(allow, if there are none); repeated rows are judged each; an empty table gives an empty result.
+judged by the trees; of rules of one length the last in order wins; without labelled rows, or with one class only, the trees are a constant
+(allow, if there are none); a score of one half is block; a very long URL is read whole; repeated rows are judged each, and
+a null id stays null; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ class Tree:
     """A node: a leaf's value, or a split of a feature at a bin with two nodes below."""
 
     def __init__(self, path: int = 1):
-        self.path, self.value, self.split, self.below = path, 0.0, None, ()
+        self.path, self.value, self.sums, self.split, self.below = path, 0.0, (0.0, 0.0), None, ()
 
     def leaves(self) -> list[Tree]:
         return [self] if self.split is None else [x for b in self.below for x in b.leaves()]
@@ -111,56 +113,82 @@ def boost(rows: DataFrame, trees: int, depth: int, bins: int, rate: float, penal
         margin = " + ".join([f"{prior!r}D", *(t.sql(by_bin, lambda x: f"{x.value!r}D") for t in forest)])
         state = table.selectExpr("*", f"1 / (1 + exp(-({margin}))) AS p")
         tree = Tree()
-        for level in range(depth + 1):
+        whole = state.agg(F.sum(F.expr("n * (p - label)")).alias("g"), F.sum(F.expr("n * p * (1 - p)")).alias("h")).first()
+        tree.sums = (whole["g"], whole["h"])
+        tree.value = -rate * whole["g"] / (whole["h"] + penalty)
+        for level in range(depth):
             node = tree.sql(by_bin, lambda x: str(x.path))
             long = state.selectExpr(f"{node} AS node", "n * (p - label) AS g", "n * p * (1 - p) AS h", f"stack({len(FEATURES)}, {', '.join(f'{i}, {f}' for i, f in enumerate(FEATURES))}) AS (f, b)")
             sums: dict[int, dict[int, list]] = {}
             for r in long.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
                 sums.setdefault(r["node"], {}).setdefault(r["f"], []).append((r["b"], r["g"], r["h"]))
+            grown = False
             for leaf in tree.leaves():
-                if leaf.path not in sums:
+                if leaf.path not in sums or leaf.path >> level != 1:
                     continue
-                g, h = (sum(x[k] for x in sums[leaf.path][0]) for k in (1, 2))
-                leaf.value = -rate * g / (h + penalty)
-                best = (1e-6, None)
-                for f, got in sums[leaf.path].items():
+                g, h = leaf.sums
+                best = (1e-6, None, 0.0, 0.0)
+                for f, got in sorted(sums[leaf.path].items()):
                     gl = hl = 0.0
                     for b, gb, hb in sorted(got)[:-1]:
                         gl, hl = gl + gb, hl + hb
                         gain = gl * gl / (hl + penalty) + (g - gl) ** 2 / (h - hl + penalty) - g * g / (h + penalty)
-                        if gain > best[0]:
-                            best = (gain, (FEATURES[f], b))
-                if level < depth and best[1] and leaf.path >> level == 1:
-                    leaf.split, leaf.below = best[1], (Tree(2 * leaf.path), Tree(2 * leaf.path + 1))
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (FEATURES[f], b), gl, hl)
+                if best[1]:
+                    grown, leaf.split, leaf.below = True, best[1], (Tree(2 * leaf.path), Tree(2 * leaf.path + 1))
+                    for side, sums_ in zip(leaf.below, ((best[2], best[3]), (g - best[2], h - best[3])), strict=True):
+                        side.sums, side.value = sums_, -rate * sums_[0] / (sums_[1] + penalty)
+            if not grown:
+                break
         forest.append(tree)
     by_edge = lambda f, b: f"{f} <= {cuts[f][b]!r}D"  # noqa: E731  a bin counts the edges below the value
     return F.expr(" + ".join([f"{prior!r}D", *(t.sql(by_edge, lambda x: f"{x.value!r}D") for t in forest)]))
 
 
 def with_shares(rows: DataFrame, tail: str, stat: DataFrame, suffixes: int) -> DataFrame:
-    """Adds the share s of each row's suffix from stat(t, s, c), null where it has none."""
+    """Adds each row's suffix statistics s from stat(t, s, c), null where it has none."""
     hot = saved(stat.orderBy(F.desc("c"), "t").limit(suffixes).select("t", "s"))
     rows = rows.join(F.broadcast(hot), F.col(tail) == F.col("t"), "left").drop("t")
     if stat.count() <= suffixes:
         return rows
-    # rows that have their share are spread over keys of their own
+    # rows that have theirs are spread over keys of their own
     key = F.when(F.col("s").isNull(), F.concat(F.lit("."), tail)).otherwise(F.xxhash64("full").cast("string"))
     rest = stat.select(F.concat(F.lit("."), F.col("t")).alias("key"), F.col("s").alias("rare"))
     return rows.withColumn("key", key).join(rest, "key", "left").withColumn("s", F.coalesce("s", "rare")).drop("key", "rare")
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list = RULES, trees: int = 12, depth: int = 3, bins: int = 16, rate: float = 0.4, penalty: float = 1.0, suffixes: int = 1000) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score (probability of block by the trees)."""
+def judge_urls(
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    rules: list = RULES,
+    trees: int = 12,
+    depth: int = 3,
+    bins: int = 16,
+    rate: float = 0.4,
+    penalty: float = 1.0,
+    suffixes: int = 1000,
+    folds: int = 5,
+    learn: str = "true",
+) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, score (probability of block by the trees).
+    learn: a condition on host and path for labelled URLs to learn from."""
     host, path, query = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("full"), host.alias("host"), path.alias("path"), query.alias("query"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = lexical(rows.select("*", rule.alias("rule"), verdict.alias("said")).withColumn("label", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0)))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("said")).withColumn("label", F.when(~F.expr(learn), None).when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
+    rows = lexical(rows.withColumn("fold", F.pmod(F.xxhash64("full"), F.lit(folds)).cast("int")))
     known = rows.where("label is not null")
     share = known.agg(F.avg("label")).first()[0]
     share = 0.5 if share is None else float(share)
     for k in ("1", "2"):
-        stat = known.groupBy(F.col(f"tail{k}").alias("t")).agg(((F.sum("label") + 2 * share) / (F.count(F.lit(1)) + 2)).alias("s"), F.count(F.lit(1)).alias("c"))
-        rows = with_shares(rows, f"tail{k}", saved(stat), suffixes).withColumnRenamed("s", f"suffix{k}").fillna(share, [f"suffix{k}"])
+        # sums of labels and numbers of rows, by fold; of a labelled row its own fold's are taken off
+        parts = [x for i in range(folds) for x in (F.sum(F.when(F.col("fold") == i, F.col("label")).otherwise(0)), F.count_if(F.col("fold") == i))]
+        stat = known.groupBy(F.col(f"tail{k}").alias("t")).agg(F.array(*(x.cast("double") for x in parts)).alias("s"), F.count(F.lit(1)).alias("c"))
+        rows = with_shares(rows, f"tail{k}", saved(stat), suffixes)
+        of = lambda at: " + ".join(f"if(label is null or fold <> {i}, s[{2 * i + at}], 0D)" for i in range(folds))
+        rows = rows.withColumn(f"suffix{k}", F.expr(f"if(s is null, {share!r}D, ({of(0)} + 2 * {share!r}D) / ({of(1)} + 2))")).drop("s")
     margin = boost(rows.where("label is not null").select("label", *FEATURES), trees, depth, bins, rate, penalty)
     judged = rows.select("page_id", "host", "path", "rule", "said", (1 / (1 + F.exp(-margin))).alias("score"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
