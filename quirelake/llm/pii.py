@@ -13,11 +13,12 @@ forward-backward sums over all segmentations; decoding is bounded-entity dynamic
 chooses boundaries and types jointly.
 
 It is trained on at most ``regions`` regions of at most ``sample`` documents (those with the
-smallest hashed ids among documents with digits or at signs), labelled by the patterns and by an
+smallest hashed ids among documents with digits or at signs; of rows with one id, the smallest text), labelled by the patterns and by an
 assignment rule for credentials (distant supervision). Scoring streams over the table.
 
 Defined results: null and empty texts have no spans; positions are code points; spans of the
-model that overlap a pattern's are dropped; repeated rows are reported each; an empty table gives
+model that overlap a pattern's are dropped; of segmentations that score alike the first found is taken; a very long
+text is searched whole, a long region in steps; repeated rows are reported each; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -283,11 +284,12 @@ def labelled(text: str, limit: int) -> list[tuple[Region, list]]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 300, regions_most: int = 500) -> SemiMarkov:
     """Fits on labelled regions of a bounded sample. Executors cut the texts down to the regions' surroundings."""
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.where(F.col(text_col).rlike("[0-9@]")).select(order.alias("h"), F.col(text_col).alias("text"))
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    # which documents first; only theirs are cut
+    first = [r[0] for r in rows.select("h").distinct().orderBy("h").limit(sample).collect()]
     # surroundings of digits and at signs only, so that the size of a sampled text is bounded
     near = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\n]{0,60}[0-9@]\S{0,80}(?:[ \t]\S{0,40}[0-9@]\S{0,40}){0,6})"), F.lit(1)), 1, 8), "\n")
-    got = rows.select("h", near.alias("near")).orderBy("h", "near").limit(sample).collect()
+    got = rows.where(F.col("h").isin(first)).select("h", near.alias("near")).groupBy("h").agg(F.min("near").alias("near")).orderBy("h").collect() if first else []
     data: list = []
     for r in got:
         data += labelled(r["near"], regions_most - len(data))
