@@ -6,22 +6,20 @@ Parquet and read again. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, queries
+from quirelake.llm import decontaminate, exact_dedup, graph, language_id, ngram_join, packing, queries
 
 #: SQL cannot express all stages; tests hold the rows of run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no text, no letters) go."""
+    """Documents of no recognisable language go: without letters, or unlike all that was learned."""
     return language_id.known_language(docs, F.coalesce(queries.bucket("doc_id", 3) != 1, F.lit(True)))
 
 
@@ -55,11 +53,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other; each is written to the shared folder and read again."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="pipeline-")
-    base = os.path.join(named, f"pipeline-{uuid.uuid4().hex}")
-    docs = queries.table(spark, sf_dir, "documents")
+    """All stages, one after the other; each is written to the shared folder and read again. The result's files stay there."""
+    base = f"{graph.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:  # what this stage has read is not needed any more
+            _remove(spark, before)
+        before = f"{base}/{name}"
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
