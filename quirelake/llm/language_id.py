@@ -205,9 +205,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list, text_col: str = "t
     return rows.mapInArrow(run, schema)
 
 
-def known_language(docs: DataFrame, learn: Column, text_col: str = "text", **options) -> DataFrame:
-    """The documents whose language is recognised, with their own columns: those without letters go."""
+def known_language(docs: DataFrame, learn: Column, text_col: str = "text", least: float = 0.2, **options) -> DataFrame:
+    """The documents whose language is recognised, with their own columns. Those without letters go, and those
+    for which no language's decision value reaches ``least`` (one for the right language, zero for the others)."""
     model = train(docs, learn, text_col=text_col, **options)
-    names = docs.columns
-    marked = predict(docs.withColumnRenamed("lang_pred", "__lang_pred").withColumnRenamed("score", "__score"), model, [c for c in docs.withColumnRenamed("lang_pred", "__lang_pred").withColumnRenamed("score", "__score").columns], text_col)
-    return marked.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score").toDF(*names)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    marked = predict(whole, model, ["row"])
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quirelake.llm import language_id, lm_scoring, pii, queries, url_filter
@@ -152,17 +153,99 @@ def test_language_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_language_edges(docs, rows, nothing):
-    model = language_id.train(docs, queries.bucket("doc_id", 3) != 1, per_label=20, landmarks=5)
+def symbols(text):
+    out = []
+    for c in text.lower():
+        if "a" <= c <= "z":
+            out.append(c)
+        elif c.isspace():
+            out.append(" ")
+        else:
+            out.append(ord(c) % 35 if c.isalpha() else "-")
+    return out
+
+
+def gram_set(text):
+    s = symbols(text)
+    return {tuple(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+
+class BruteLanguage:
+    """Nystroem features and kernel ridge regression over sets of n-grams."""
+
+    def __init__(self, rows, per_label, landmarks, ridge=0.05):
+        known = [r for r in rows if r[0] is not None and r[2] is not None and bucket(r[0], 3) != 1]
+        order = lambda r: xxhash.xxh64_intdigest(str(r[0]).encode(), 42)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        best = {}
+        for r in known:  # of rows with one id and label the smallest text
+            k = (r[2], signed(order(r)))
+            if k not in best or r[1] is not None and (best[k] is None or r[1] < best[k]):
+                best[k] = r[1]
+        sample = []
+        for label in sorted({k[0] for k in best}):
+            sample += [(label, best[k]) for k in sorted(k for k in best if k[0] == label)[:per_label] if best[k]]
+        self.labels = sorted({x for x, _ in sample})
+        sets = [gram_set(t) for _, t in sample]
+        self.marks = []
+        for label in self.labels:
+            self.marks += [g for (x, _), g in zip(sample, sets, strict=True) if x == label][:landmarks]
+        k = np.array([self.row(g) for g in self.marks])
+        values, vectors = np.linalg.eigh(k)
+        good = values > 1e-6 * values.max()
+        root = vectors[:, good] / np.sqrt(values[good])
+        x = np.array([self.row(g) for g in sets]) @ root
+        y = np.array([[float(label == other) for other in self.labels] for label, _ in sample])
+        w = (len(y) / len(self.labels) / y.sum(0))[y.argmax(1)][:, None]
+        self.w = root @ np.linalg.solve(x.T @ (x * w) + ridge * np.eye(x.shape[1]), x.T @ (y * w))
+
+    def row(self, g):
+        return [len(g & m) / math.sqrt(len(g) * len(m)) for m in self.marks]
+
+    def judge(self, text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        f = np.array(self.row(gram_set(text))) @ self.w
+        return self.labels[int(f.argmax())], min(max(float(f.max()), 0.0), 1.0)
+
+
+def test_language_is_that_of_brute_force(spark, rows):
+    """Landmarks, ridge regression and decisions, on the rows that hold all special cases."""
+    texts = [r for r in rows if len(r[1] or "") < 2000]
+    docs = spark.createDataFrame([(r[0], r[1], r[2], k) for k, r in enumerate(texts)], "doc_id long, text string, lang string, k int").repartition(3)
+    model, brute = language_id.train(docs, queries.bucket("doc_id", 3) != 1, per_label=20, landmarks=5), BruteLanguage(texts, 20, 5)
+    assert model.labels == brute.labels
+    for r in language_id.predict(docs, model, ["k"]).collect():
+        label, score = brute.judge(texts[r["k"]][1])
+        assert abs(r["score"] - score) < 2e-3
+        assert r["lang_pred"] == label or score == 0
+
+
+def test_language_edges(docs, rows, nothing, spark):
+    learn = queries.bucket("doc_id", 3) != 1
+    model = language_id.train(docs, learn, per_label=20, landmarks=5)
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model, ["doc_id"]).collect()}
     assert [got[i] for i in (500, 501, 502, 503)] == ["und"] * 4
     assert set(got.values()) <= {"en", "fr", "de", "es", "und"}
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "①"), (3, "½ a"), (4, "漢"), (5, "_ ٣")], "doc_id long, text string")
+    assert [r["lang_pred"] != "und" for r in language_id.predict(odd, model, ["doc_id"]).orderBy("doc_id").collect()] == [False, False, True, True, False]
     assert language_id.train(nothing, F.lit(True)) is None
     assert {r["lang_pred"] for r in language_id.predict(docs, None, ["doc_id"]).collect()} == {"und"}
-    kept = language_id.known_language(docs, queries.bucket("doc_id", 3) != 1, per_label=20, landmarks=5)
-    assert kept.columns == docs.columns
-    want = sum(bool(re.search(r"[^\W\d_]", r[1] or "")) for r in rows)
-    assert kept.count() == want
+    clash = docs.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit(2))
+    assert language_id.known_language(clash, learn, per_label=20, landmarks=5).columns == clash.columns
+
+
+def test_every_label_is_learned(spark):
+    """Many labels, one of them with most rows, and rows that share an id."""
+    rng = random.Random(9)
+    rows = [(i, chr(97 + k % 26) * 3 + " " + chr(97 + k // 26) * 4 + " " + str(rng.random()), f"l{k:03d}") for k in range(90) for i in range(3 * k, 3 * k + 3)]
+    rows += [(1000 + i, "common words here", "most") for i in range(3000)] + [(5000, f"one id {i % 7}", "same") for i in range(2000)] + [(None, "zz", "none")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (language_id.train(docs.repartition(n), F.lit(True)) for n in (2, 7))
+    assert len(a.labels) == 92 and a.labels == b.labels and "none" not in a.labels
+    assert (a.weights == b.weights).all()
+    small = language_id.train(docs, F.lit(True), sample=100, all_landmarks=92)
+    assert len(small.labels) == 92 and small.weights.shape[0] == 92
 
 
 def test_kernel_is_exact():
@@ -212,8 +295,9 @@ def test_personal_data(docs, rows, nothing):
 
 def test_crf_learns_and_adds(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = pii.train(docs)
-    texts = [r["text"] for r in docs.where(F.col("text").rlike("[0-9@]")).select("text").collect()]
+    learned = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    model = pii.train(docs.where(learned))
+    texts = [r["text"] for r in docs.where(F.col("text").rlike("[0-9@]") & ~learned).select("text").collect()]  # held out
     both = total = secrets = found = 0
     for t in texts:
         base = set(pii.base_spans(t))
@@ -278,7 +362,63 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages.where("page_id < 4"), trees=2).collect()} == {"allow"}
 
 
-def test_url_trees_learn_their_labels(spark):
-    got = queries.op5_url_filter(spark, SF).where("rule is not null").collect()
+def test_url_trees_on_held_out_urls(spark):
+    """Labelled hosts that nothing was learned from: better than always saying the commoner verdict."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = url_filter.judge_urls(pages, learn="crc32(host) % 4 <> 0").where("rule is not null and crc32(host) % 4 = 0").collect()
+    assert not {r["host"] for r in got} & {r["host"] for r in pages.selectExpr("parse_url(url, 'HOST') host").where("crc32(host) % 4 <> 0").collect()}
     blocked = np.mean([r["verdict"] == "block" for r in got])
-    assert np.mean([(r["score"] >= 0.5) == (r["verdict"] == "block") for r in got]) > max(blocked, 1 - blocked) + 0.1
+    right = np.mean([(r["score"] >= 0.5) == (r["verdict"] == "block") for r in got])
+    # the rules' verdicts hang on the language in the path, which lexical features do not show: 66 % against 61 %
+    assert len(got) > 50 and right > max(blocked, 1 - blocked) + 0.02
+
+
+def test_boosting_is_that_of_brute_force(spark):
+    """Gradients, gains, splits and leaves over plain lists, with the same cuts."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        x = [float(rng.randrange(6)) for _ in url_filter.FEATURES]
+        rows.append((int(x[0] + x[3] * 0.7 + rng.random() > 4.5), *x))
+    names = ", ".join(f"{f} double" for f in url_filter.FEATURES)
+    table = spark.createDataFrame(rows, f"label int, {names}")
+    trees, depth, bins, rate, penalty = 3, 2, 4, 0.4, 1.0
+    margin = url_filter.boost(table, trees, depth, bins, rate, penalty)
+    shares = ",".join(f"{k / bins}D" for k in range(1, bins))
+    cuts = [sorted(set(table.agg(F.expr(f"percentile_approx({f}, array({shares}), 10000)")).first()[0])) for f in url_filter.FEATURES]
+    y = [r[0] for r in rows]
+    x = [r[1:] for r in rows]
+    z = [math.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5))] * len(y)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-v)) for v in z]
+        g, h = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        nodes = [list(range(len(y)))]
+        for _ in range(depth):
+            grown = []
+            for node in nodes:
+                gs, hs = sum(g[i] for i in node), sum(h[i] for i in node)
+                best = (1e-6, None)
+                for f, edges in enumerate(cuts):
+                    for e in edges:
+                        low, high = [i for i in node if x[i][f] <= e], [i for i in node if x[i][f] > e]
+                        if low and high:
+                            gl, hl = sum(g[i] for i in low), sum(h[i] for i in low)
+                            gain = gl * gl / (hl + penalty) + (gs - gl) ** 2 / (hs - hl + penalty) - gs * gs / (hs + penalty)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, (low, high))
+                grown += best[1] or [node]
+            nodes = grown
+        for node in nodes:
+            for i in node:
+                z[i] += -rate * sum(g[k] for k in node) / (sum(h[k] for k in node) + penalty)
+    got = table.select(F.monotonically_increasing_id().alias("k"), margin.alias("z")).orderBy("k").collect()
+    assert np.allclose([r["z"] for r in got], z, rtol=1e-6)
+
+
+def test_own_labels_do_not_reach_own_features(spark):
+    """Suffixes that one URL each has: its label must not be read from its suffix."""
+    pages = spark.createDataFrame([(i, f"http://h{i}.d{i}.{'net' if i % 2 else 'org'}/{'x' if i % 2 else 'fr'}/") for i in range(400)], "page_id long, url string")
+    rules = [("block", f"d{i}.net/") for i in range(1, 400, 4)] + [("allow", f"d{i}.net/") for i in range(3, 400, 4)]
+    got = url_filter.judge_urls(pages, rules=rules, trees=4).where("rule is not null").collect()
+    right = np.mean([(r["score"] >= 0.5) == (r["verdict"] == "block") for r in got])
+    assert len(got) == 200 and right < 0.75
