@@ -12,7 +12,7 @@ from quirelake.llm import license_scan, pii, queries, url_filter
 
 def test_rare_suffixes_keep_their_statistic(spark):
     rules = [("block", "org/baad/"), ("allow", "org/daab/")]
-    urls = [f"http://d{i}.org/{'baad' if (i % 2 == 0) == (k > 0) else 'daab'}/{k}" for i in range(8) for k in range(9)]
+    urls = [f"http://d{i}.org/{'baad' if (i % 2 == 0) == (k > 0) else 'daab'}/{k}" for i in range(8) for k in range(36)]  # shares come from other folds, so each suffix has some rows in all
     urls += [f"http://d{i}.org/adab/{k}" for i in range(8) for k in range(2)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     few, all_ = (sorted(map(tuple, url_filter.judge_urls(pages, rules=rules, trees=3, suffixes=n).collect())) for n in (2, 1000))
@@ -30,7 +30,7 @@ def test_wrapped_notices_are_found(spark, tmp_path):
             cases.append((label, "pad " * 45 + "\n" + "\n".join(w) + "\nend"))
     spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["labels"].split(",") for r in queries.op1_license_scan(spark, str(tmp_path)).collect()}
-    assert len(cases) == 16
+    assert len(cases) == 24
     assert [i for i, (label, _) in enumerate(cases) if label not in got[i]] == []
 
 
