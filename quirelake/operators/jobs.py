@@ -19,15 +19,39 @@ def transition_verdict(before: Column, after: Column) -> Column:
 
 
 def job_state_machine(events: DataFrame) -> DataFrame:
-    before = F.lag("status").over(Window.partitionBy("job_id").orderBy("id"))
-    return events.withColumn("before", before).withColumn("verdict", transition_verdict(F.col("before"), F.col("status")))
+    """Each event with the state before it and its verdict; an illegal move leaves the state as it was.
+
+    A job's states are at most queued, running and a terminal one, in this order. So the state before an event
+    follows from where the job began, where it first left the queue, and where it ended: three
+    aggregates, which are combined before any exchange, instead of a walk along each job."""
+    at = F.struct("id", "status")
+    bounds = events.groupBy("job_id").agg(
+        F.min(at).alias("first"), F.min(F.when(F.col("status").isin(*ALLOWED["queued"]), at)).alias("left"), F.min(F.when(F.col("status") == "running", at)).alias("ran")
+    )
+    # from where the job runs, if it does
+    run = F.when(F.col("first.status") == "running", F.col("first.id")).when((F.col("first.status") == "queued") & (F.col("left.status") == "running"), F.col("left.id"))
+    # where it ends without having run: at its first event, or straight from the queue
+    early = F.when(F.col("first.status").isin(*TERMINAL), F.col("first")).when((F.col("first.status") == "queued") & (F.col("left.status") != "running"), F.col("left"))
+    bounds = bounds.select("job_id", "first", run.alias("run_id"), early.alias("early"))
+    late = events.join(bounds.where("run_id is not null").select("job_id", "run_id"), "job_id").where(F.col("status").isin(*TERMINAL) & (F.col("id") > F.col("run_id")))
+    ends = late.groupBy("job_id").agg(F.min(at).alias("late"))
+    bounds = bounds.join(ends, "job_id", "left").select("job_id", "first", "run_id", F.coalesce("early", "late").alias("end"))
+    before = (
+        F.when(F.col("id") == F.col("first.id"), None)
+        .when(F.col("id") > F.col("end.id"), F.col("end.status"))
+        .when(F.col("id") > F.col("run_id"), "running")
+        .otherwise(F.col("first.status"))
+    )
+    rows = events.join(bounds, "job_id").withColumn("before", before)
+    return rows.withColumn("verdict", transition_verdict(F.col("before"), F.col("status"))).drop("first", "run_id", "end")
 
 
 def transition_side_effects(events: DataFrame) -> DataFrame:
-    """started_at of the first running event, completed_at of the first terminal one, last status."""
-    return events.groupBy("job_id").agg(
-        F.min(F.when(F.col("status") == "running", F.col("at"))).alias("started_at"),
-        F.min(F.when(F.col("status").isin(*TERMINAL), F.col("at"))).alias("completed_at"),
+    """Over the moves that count: started_at of the first running one, completed_at of the last terminal one, last status."""
+    moves = job_state_machine(events).where("verdict <> 'error'")
+    return moves.groupBy("job_id").agg(
+        F.min_by("at", F.when(F.col("status") == "running", F.col("id"))).alias("started_at"),
+        F.max_by("at", F.when(F.col("status").isin(*TERMINAL), F.col("id"))).alias("completed_at"),
         F.max_by("status", "id").alias("status"),
     )
 

@@ -70,11 +70,14 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def order_inversion(anchors: DataFrame, pages: DataFrame, least: int = 4) -> DataFrame:
-    """Pages on which unique anchor lines (ord, text) stand in another order than in the page's content."""
-    body = pages.select(*PAGE, T.compact_text(F.col("content")).alias("body"))
-    a = anchors.select(*PAGE, "ord", T.compact_text(F.col("text")).alias("a")).where(F.char_length("a") >= 8)
-    a = a.withColumn("same", F.count(F.lit(1)).over(Window.partitionBy(*PAGE, "a"))).where("same = 1")
-    hit = a.join(body, PAGE).withColumn("pos", F.instr("body", F.col("a")))
-    hit = hit.where((F.col("pos") > 0) & (F.expr("char_length(body) - char_length(replace(body, a, ''))") == F.char_length("a")))
-    before = F.lag("pos").over(Window.partitionBy(*PAGE).orderBy("ord"))
-    return hit.withColumn("back", F.col("pos") < before).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("back"), F.lit(False)).alias("back")).select(*PAGE, ((F.col("n") >= least) & F.col("back")).alias("inverted"))
+    """Pages on which unique anchor lines (ord, text) stand in another order than in the page's content. A page's anchors are
+    gathered and meet its content once."""
+    a = anchors.select(*PAGE, F.col("ord").cast("long").alias("ord"), T.compact_text(F.col("text")).alias("a")).where(F.char_length("a") >= 8)
+    once = a.groupBy(*PAGE, "a").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).where("n = 1")
+    listed = once.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ord", "a"))).alias("anchors"))
+    met = listed.join(pages.select(*PAGE, T.compact_text(F.col("content")).alias("body")), PAGE)
+    # where an anchor stands, if it does so once
+    places = F.expr("filter(transform(anchors, x -> if(instr(body, x.a) > 0 AND locate(x.a, body, instr(body, x.a) + char_length(x.a)) = 0, instr(body, x.a), 0)), p -> p > 0)")
+    back = F.expr("exists(sequence(1, size(places) - 1), i -> places[i] < places[i - 1])")
+    found = met.select(*PAGE, places.alias("places")).where(F.size("places") > 0)
+    return found.select(*PAGE, ((F.size("places") >= least) & F.when(F.size("places") > 1, back).otherwise(False)).alias("inverted"))

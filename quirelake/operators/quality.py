@@ -21,21 +21,35 @@ UNACCEPTABLE = [*DISTRUST, "qwen_response_truncated", "visual_fusion_partial", "
 INFO = ["intentional_sparse_page", "rotated_scan"]
 _LINKS = "(?i)^(?:(?:来源|参考)链接|链接)(?:地址)?[：:]?$|^巨潮资讯网[（）()]*$"
 _URL = r"(?i)https?://[^\s|）)]+"
+#: Characters that a text layer should not hold.
+GLYPHS = r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}\x{FFFD}]"
+_DECIMAL = r"^[-−]?\(?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)%?\)?$"
 _VALUE = r"^[-−]?\(?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?%?\)?$"
 
 
-def fragments(pages: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """Short pieces of prose outside tables and comments, one row each."""
-    prose = F.regexp_replace(T.plain_lines(F.col(content)), _URL, "")
-    parts = pages.select(*keys, F.explode(F.split(prose, r"[\n。！？.!?]+")).alias("f")).withColumn("f", F.regexp_replace("f", r"^\s+|\s+$", ""))
-    bare = F.regexp_replace("f", r"[ \t]+", "")
-    return parts.where(F.char_length("f").between(4, 120) & ~bare.rlike(_LINKS) & ~F.col("f").rlike(r"(?i)(?:https?://|www\.)"))
+def most_repeats(values: Column) -> Column:
+    """How often the most frequent value of an array occurs: runs of the sorted array."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        n = F.when(x == s["last"], s["n"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), n.alias("n"), F.greatest(s["most"], n).alias("most"))
+
+    return F.aggregate(F.array_sort(values), start, step, lambda s: s["most"])
+
+
+def repeat_count(content: Column, least: int = 5) -> Column:
+    """How often the most frequent short piece of prose outside tables and comments occurs; null below ``least``."""
+    prose = F.regexp_replace(T.plain_lines(content), _URL, "")
+    parts = F.transform(F.split(prose, r"[\n。！？.!?]+"), T.strip)
+    some = F.filter(parts, lambda f: F.char_length(f).between(4, 120) & ~F.regexp_replace(f, r"[ \t]+", "").rlike(_LINKS) & ~f.rlike(r"(?i)(?:https?://|www\.)"))
+    most = most_repeats(some)
+    return F.when(most >= least, most)
 
 
 def repeat_fragments(pages: DataFrame, keys: list[str], content: str = "content", least: int = 5) -> DataFrame:
-    """Pages on which a fragment occurs ``least`` times or more, and the most that one occurs."""
-    n = fragments(pages, keys, content).groupBy(*keys, "f").agg(F.count(F.lit(1)).alias("n"))
-    return n.where(F.col("n") >= least).groupBy(*keys).agg(F.max("n").alias("repeat_count"))
+    """Pages on which a fragment occurs ``least`` times or more, and the most that one occurs. A page is one row; nothing is exchanged."""
+    return pages.select(*keys, repeat_count(F.col(content), least).cast("long").alias("repeat_count")).where("repeat_count is not null")
 
 
 def table_rows(content: Column) -> Column:
@@ -57,52 +71,94 @@ def widest_row(content: Column) -> Column:
     return F.array_max(F.transform(table_rows(content), lambda l: F.char_length(l) - F.char_length(F.replace(l, F.lit("|"), F.lit(""))) - 1))
 
 
+def unanchored_numbers(content: Column) -> Column:
+    """Whether a number that stands on a line of its own, outside tables, is one of a table cell too."""
+    outside = F.filter(T.lines(content), lambda l: ~T.strip(l).startswith("|") & T.strip(l).rlike(_DECIMAL))
+    rows = table_rows(content)
+    return (F.size(rows) > 0) & F.arrays_overlap(T.number_tokens(F.array_join(rows, "\n")), T.number_tokens(F.array_join(outside, "\n")))
+
+
+def suspicious_glyphs(content: Column) -> Column:
+    """Replacement, control, format, private-use and surrogate characters, but for line breaks and tabs."""
+    return F.translate(content, "\n\t", "").rlike(GLYPHS)
+
+
+def glyph_counts(pages: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, glyph, n): how often each suspicious character occurs, named by its code point. Only those characters leave the row."""
+    found = F.regexp_extract_all(F.translate(content, "\n\t", ""), F.lit(f"({GLYPHS})"), F.lit(1))
+    each = pages.select(*keys, F.explode(found).alias("c"))
+    code = F.hex(F.conv(F.hex(F.encode("c", "UTF-32")), 16, 10).cast("long"))
+    code = F.concat(F.lit("U+"), F.when(F.char_length(code) < 4, F.lpad(code, 4, "0")).otherwise(code))
+    return each.groupBy(*keys, code.alias("glyph")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _given(pages: DataFrame, column: str, default) -> Column:
+    """A column that may be missing."""
+    return F.col(column) if column in pages.columns else F.lit(default)
+
+
 def page_codes(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``codes`` (sorted) to pages with content, status, source_kind, rotation and native_chars.
+    """Adds ``codes`` (sorted) to pages with content, status, source_kind, rotation and native_chars, and if there are
+    such columns, strategy (only docling's text is held against the native one) and known, the codes found before.
 
-    One row per page stays one row; the only exchange is that of repeated fragments, by the page's keys."""
-    body = F.regexp_replace(F.coalesce("content", F.lit("")), rf"^(?:{T.WS})+|(?:{T.WS})+$", "")
-    rows = pages.withColumn("content", body)
-    repeated = repeat_fragments(rows, keys)
-    rows = rows.join(repeated, keys, "left")
+    A page is one row and stays one; nothing is exchanged."""
+    rows = pages.withColumn("content", T.strip(F.coalesce("content", F.lit(""))))
     empty, live = F.col("content") == "", F.coalesce(F.col("status") != "failed", F.lit(True))
     sparse = F.coalesce(F.col("source_kind") == "sparse", F.lit(False))
+    docling = F.coalesce(_given(pages, "strategy", "docling"), F.lit("docling")) == "docling"
     rules = {
         "no_usable_content": empty & live,
         "intentional_sparse_page": sparse & ~empty & live,
         "low_text_content": ~sparse & ~empty & live & (F.char_length("content") < 12),
         "high_replacement_character_ratio": live & (T.replacement_ratio(F.col("content")) > 0.02),
-        "repeated_text": live & F.col("repeat_count").isNotNull(),
+        "repeated_text": live & repeat_count(F.col("content")).isNotNull(),
+        "unanchored_table_numbers": live & unanchored_numbers(F.col("content")),
         "table_header_propagation": live & repeated_cell(F.col("content")),
         "table_shape_explosion": live & (widest_row(F.col("content")) > 24),
         "rotated_scan": ~empty & live & F.col("rotation").isin(90, 180, 270),
-        "visual_text_mismatch": ~empty & live & (F.col("source_kind") == "native") & (F.col("native_chars") > 0) & (F.char_length(F.regexp_replace("content", T.WS, "")) < F.col("native_chars") * 0.2),
+        "visual_text_mismatch": ~empty & live & (F.col("source_kind") == "native") & docling & (F.col("native_chars") > 0) & (F.char_length(F.regexp_replace("content", T.WS, "")) < F.col("native_chars") * 0.2),
         "suspicious_unicode_mojibake": live & T.mojibake(F.col("content")),
+        "suspicious_unicode_glyphs": live & suspicious_glyphs(F.col("content")),
     }
     found = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules.items())))
-    return rows.withColumn("codes", F.array_sort(found)).drop("repeat_count")
+    if "known" in pages.columns:
+        found = F.array_union(F.coalesce("known", F.array().cast("array<string>")), found)
+    return rows.withColumn("codes", F.array_sort(found))
 
 
 def assess(pages: DataFrame) -> DataFrame:
-    """Adds the final status and verdict to pages with ``codes``, ``fused`` and ``conflicts``."""
+    """Adds the final status and verdict to pages with ``codes``, ``fused`` and ``conflicts``. A page without diagnostics
+    (``measured`` is false, if there is such a column) is judged by its status alone."""
     failed = (F.col("status") == "failed") | F.array_contains("codes", "no_usable_content")
     acts = F.size(F.array_except("codes", F.array(*map(F.lit, INFO)))) > 0
     status = F.when(failed, "failed").when((F.col("status") == "completed") & acts, "warning").otherwise(F.col("status"))
     has = lambda codes: F.arrays_overlap("codes", F.array(*map(F.lit, codes)))
+    by_status = F.when(F.col("status2").isin("warning", "failed"), "untrusted").otherwise("trusted")
     fused = F.when((F.col("status2") == "failed") | has(FUSED_DISTRUST), "untrusted").when((F.coalesce("conflicts", F.lit(0)) > 0) | (F.col("status2") == "warning"), "degraded").otherwise("trusted")
     plain = F.when(F.col("status2").isin("warning", "failed") | has(DISTRUST), "untrusted").otherwise("trusted")
-    return pages.withColumn("status2", status).withColumn("verdict", F.when(F.col("fused"), fused).otherwise(plain)).drop("status").withColumnRenamed("status2", "status")
+    verdict = F.when(F.col("fused"), fused).otherwise(plain)
+    verdict = F.when(_given(pages, "measured", True), verdict).otherwise(by_status)
+    return pages.withColumn("status2", status).withColumn("verdict", verdict).drop("status").withColumnRenamed("status2", "status")
 
 
 def quality_summary(pages: DataFrame, key: str) -> DataFrame:
-    """Per content: pages by verdict, failed ones, and whether the whole is acceptable."""
+    """Per content: pages by verdict, failed, repaired and visual ones, calls and conflicts, and whether the whole is acceptable.
+    Pages have what assess gives them, fused and conflicts; measured, strategy, calls and resolved may be missing."""
     bad = F.arrays_overlap("codes", F.array(*map(F.lit, [*UNACCEPTABLE, "no_usable_content"])))
+    measured = _given(pages, "measured", True)
+    visual = measured & F.col("fused")
+    total = lambda c: F.sum(F.when(visual, F.coalesce(_given(pages, c, 0), F.lit(0))).otherwise(0)).cast("long")
     return pages.groupBy(key).agg(
         F.count_if(F.col("verdict") == "trusted").alias("trusted_pages"),
         F.count_if(F.col("verdict") == "degraded").alias("degraded_pages"),
         F.count_if(F.col("verdict") == "untrusted").alias("untrusted_pages"),
         F.count_if(F.col("status") == "failed").alias("failed_pages"),
         F.bool_and((F.col("status") != "failed") & ~bad).alias("acceptable"),
+        F.count_if(measured & (_given(pages, "strategy", "docling") != "docling")).alias("repaired_pages"),
+        F.count_if(visual).alias("visual_pages"),
+        total("calls").alias("calls"),
+        total("resolved").alias("resolved_conflicts"),
+        total("conflicts").alias("unresolved_conflicts"),
     )
 
 
@@ -112,13 +168,14 @@ def warning_union(known: DataFrame, found: DataFrame, keys: list[str]) -> DataFr
 
 
 def char_multiset_coverage(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
-    """Share of the reference's characters, with repeats, that the candidate has."""
-    chars = lambda c, side: pairs.select(key, F.explode(F.split(T.compact_text(F.col(c)), "")).alias("ch"), F.lit(side).alias("side")).where("ch <> ''")
-    n = chars(reference, 0).union(chars(candidate, 1)).groupBy(key, "ch").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    got = n.groupBy(key).agg(F.sum(F.least("r", "c")).alias("both"), F.sum("r").alias("all"), F.sum("c").alias("other"))
-    rows = pairs.select(key).join(got, key, "left")
-    share = F.when(F.coalesce("all", F.lit(0)) == 0, F.when(F.coalesce("other", F.lit(0)) == 0, 1.0).otherwise(0.0)).otherwise(F.col("both") / F.col("all"))
-    return rows.select(key, share.alias("coverage"))
+    """Share of the reference's characters, with repeats, that the candidate has. Each distinct character is counted inside the
+    row; a pair is one row and nothing is exchanged."""
+    rows = pairs.select(key, T.compact_text(F.col(reference)).alias("r"), T.compact_text(F.col(candidate)).alias("c"))
+    count = lambda text, ch: (F.char_length(text) - F.char_length(F.replace(text, ch, F.lit("")))).cast("long")
+    letters = F.filter(F.array_distinct(F.split("r", "")), lambda ch: ch != "")
+    both = F.aggregate(letters, F.lit(0).cast("long"), lambda s, ch: s + F.least(count(F.col("r"), ch), count(F.col("c"), ch)))
+    none = F.when(F.coalesce(F.char_length("c"), F.lit(0)) == 0, 1.0).otherwise(0.0)
+    return rows.select(key, F.when(F.coalesce(F.char_length("r"), F.lit(0)) == 0, none).otherwise(both / F.char_length("r")).alias("coverage"))
 
 
 def multiset_intersect(rows: DataFrame, key: str, token: str, side: str) -> DataFrame:

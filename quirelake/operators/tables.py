@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
+from quirelake.functions.pyfuncs import seq_ratio
 
 
 def column_boundaries(cells: DataFrame, keys: list[str], columns: str) -> DataFrame:
@@ -20,21 +22,30 @@ def fragment_ends(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy("content_id", "page_number").agg(F.max_by(one, "ordinal").alias("tail"), F.min_by(one, "ordinal").alias("head"))
 
 
+def headers_alike(a: Column, b: Column, least: float = 0.8) -> Column:
+    """Whether two header signatures are alike; equal ones need no comparison."""
+    return F.when(a == b, F.lit(True)).otherwise(seq_ratio(a, b) >= least)
+
+
 def cross_page_link(fragments: DataFrame) -> DataFrame:
     """(content_id, left_id, right_id): last table of a page with the first of the next.
 
-    Both valid, left ends at 0.85 or lower, right begins at 0.15 or higher, same columns within 0.02
-    on average, same header. A fragment links once: where single-table pages chain, every second
-    pair counts, from the start of the chain."""
+    From (content_id, page_number, fragment_id, ordinal, valid, top, bottom, boundaries, header, has_header, n_rows). Both
+    valid, left ends at 0.85 or lower, right begins at 0.15 or higher, as many columns with edges within 0.02
+    on average. A right side with a header row needs a header alike; one without needs rows.
+    A fragment links once: where single-table pages chain, every second pair counts, from the start of the chain."""
     ends = fragment_ends(fragments)
     left = ends.select("content_id", "page_number", F.col("tail").alias("l"))
     right = ends.select("content_id", (F.col("page_number") - 1).alias("page_number"), F.col("head").alias("r"), (F.col("head.ordinal") == F.col("tail.ordinal")).alias("single"))
     drift = F.aggregate(F.zip_with("l.boundaries", "r.boundaries", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size("l.boundaries"), F.lit(1))
     fits = (
         F.col("l.valid") & F.col("r.valid") & (F.col("l.bottom") >= 0.85) & (F.col("r.top") <= 0.15)
-        & (F.size("l.boundaries") == F.size("r.boundaries")) & (drift <= 0.02) & (F.col("l.header") == F.col("r.header"))
+        & (F.size("l.boundaries") == F.size("r.boundaries")) & (drift <= 0.02)
     )
-    pairs = left.join(right, ["content_id", "page_number"]).where(fits)
+    named = F.col("r.has_header") & (F.coalesce("l.header", F.lit("")) != "") & (F.coalesce("r.header", F.lit("")) != "")
+    pairs = left.join(right, ["content_id", "page_number"]).where(fits & (named | (~F.col("r.has_header") & (F.col("r.n_rows") > 0))))
+    # only pairs that are left have their headers compared
+    pairs = pairs.where(~F.col("r.has_header") | headers_alike(F.col("l.header"), F.col("r.header")))
     # a chain goes on where the pair before ends in the fragment that this one begins with
     w = Window.partitionBy("content_id").orderBy("page_number")
     on = (F.lag("page_number").over(w) == F.col("page_number") - 1) & F.lag("single").over(w)
@@ -82,13 +93,101 @@ def table_shapes(lines: DataFrame, keys: list[str], order: str, text: str) -> Da
 
 
 def merged_rows(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of linked fragments one after the other; a repeated header is left out."""
-    left = pairs.join(rows, pairs["left_id"] == rows["fragment_id"]).select("left_id", F.lit(0).alias("part"), "row_index", "cells")
-    head = rows.where("row_index = 0").select(F.col("fragment_id").alias("h_id"), T.header_signature(F.col("cells")).alias("h"))
-    right = pairs.join(rows, pairs["right_id"] == rows["fragment_id"]).join(head, F.col("left_id") == F.col("h_id"))
-    right = right.where((F.col("row_index") > 0) | (T.header_signature(F.col("cells")) != F.col("h"))).select("left_id", F.lit(1).alias("part"), "row_index", "cells")
-    both = left.union(right)
-    return both.select("left_id", (F.row_number().over(Window.partitionBy("left_id").orderBy("part", "row_index")) - 1).alias("row_index"), "cells")
+    """Rows of linked fragments one after the other, from pairs (left_id, right_id) and rows (fragment_id, row_index,
+    cells, has_header); a header row of the right side goes if it is alike the left one's."""
+    sign = F.concat_ws("|", F.transform("cells", lambda c: T.fold(F.regexp_replace(c, T.WS, ""))))
+    head = rows.where("row_index = 0").select("fragment_id", sign.alias("h"), "has_header")
+    both = pairs.join(head.select(F.col("fragment_id").alias("left_id"), F.col("h").alias("a")), "left_id").join(head.select(F.col("fragment_id").alias("right_id"), F.col("h").alias("b"), "has_header"), "right_id", "left")
+    again = F.when(F.col("has_header") & (F.col("b") != ""), headers_alike(F.col("a"), F.col("b"))).otherwise(False)
+    both = both.select("left_id", "right_id", F.coalesce(again, F.lit(False)).alias("again"))
+    left = both.join(rows, both["left_id"] == rows["fragment_id"]).select("left_id", F.lit(0).alias("part"), "row_index", "cells")
+    right = both.join(rows, both["right_id"] == rows["fragment_id"]).where(~F.col("again") | (F.col("row_index") > 0)).select("left_id", F.lit(1).alias("part"), "row_index", "cells")
+    every = left.union(right)
+    return every.select("left_id", (F.row_number().over(Window.partitionBy("left_id").orderBy("part", "row_index")) - 1).alias("row_index"), "cells")
+
+
+# A fixed value: what a heading between two tables looks like.
+HEADING = r"(?m)^(?:#{1,6}\s+\S|第[一二三四五六七八九十百0-9]+[章节]\s*|\p{Nd}+(?:\.\p{Nd}+)+\s+\S)"
+
+
+def _after(content: Column, part: Column) -> Column:
+    at = F.instr(content, part)
+    return F.when(at > 0, F.substring(content, at + F.char_length(part), F.char_length(content))).otherwise("")
+
+
+def _before(content: Column, part: Column) -> Column:
+    at = F.instr(content, part)
+    return F.when(at > 0, F.substring(content, F.lit(1), at - 1)).otherwise(content)
+
+
+def _put(content: Column, part: Column, by: Column) -> Column:
+    """The first occurrence replaced."""
+    at = F.instr(content, part)
+    return F.when(at > 0, F.concat(F.substring(content, F.lit(1), at - 1), by, _after(content, part))).otherwise(content)
+
+
+def heading_between(pairs: DataFrame, pages: DataFrame, fragments: DataFrame) -> DataFrame:
+    """The pairs (content_id, left_id, right_id) with ``blocked``: a heading stands after the left table on its page, or before
+    the right one on its own. From pages (content_id, page_number, content) and fragments (…, fragment_id, rendered)."""
+    placed = fragments.select("content_id", "page_number", "fragment_id", "rendered").join(pages.select("content_id", "page_number", "content"), ["content_id", "page_number"])
+    left = placed.select("content_id", F.col("fragment_id").alias("left_id"), F.col("page_number").alias("left_page"), _after(F.col("content"), F.col("rendered")).alias("tail"))
+    right = placed.select("content_id", F.col("fragment_id").alias("right_id"), F.col("page_number").alias("right_page"), _before(F.col("content"), F.col("rendered")).alias("head"))
+    both = pairs.join(left, ["content_id", "left_id"]).join(right, ["content_id", "right_id"])
+    return both.withColumn("blocked", F.concat_ws("\n", "tail", "head").rlike(HEADING)).drop("tail", "head")
+
+
+def logical_tables(pages: DataFrame, fragments: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pages with the tables that go on across pages joined: the first part's place takes the whole, the second's is
+    left blank. Fragments have what cross_page_link reads, and ``rendered``, their text on the page; rows are
+    (fragment_id, row_index, cells, has_header)."""
+    links = heading_between(cross_page_link(fragments), pages, fragments).where("NOT blocked")
+    links = links.select("content_id", "left_id", "right_id", "left_page", "right_page")
+    name = F.concat(F.lit("table_"), F.col("left_id").cast("string"), F.lit("_"), F.col("right_id").cast("string"))
+    note = F.concat(F.lit("<!-- logical-table: "), name, F.lit("; source-pages: "), F.concat_ws(",", "left_page", "right_page"), F.lit(" -->\n\n"))
+    merged = gfm_render(merged_rows(links.select("left_id", "right_id"), rows), ["left_id"])
+    whole = links.join(merged, "left_id").select("content_id", F.col("left_page").alias("page_number"), F.col("left_id").alias("fragment_id"), F.concat(note, "markdown").alias("by"))
+    gone = links.select("content_id", F.col("right_page").alias("page_number"), F.col("right_id").alias("fragment_id"), F.lit("").alias("by"))
+    # a page has at most two such tables: its first and its last
+    changes = whole.union(gone).join(fragments.select("content_id", "fragment_id", "rendered", "ordinal"), ["content_id", "fragment_id"])
+    listed = changes.groupBy("content_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("ordinal", "rendered", "by"))).alias("changes"))
+    done = F.aggregate(F.coalesce("changes", F.array().cast("array<struct<ordinal:bigint,rendered:string,by:string>>")), F.coalesce("content", F.lit("")), lambda text, x: _put(text, x["rendered"], x["by"]))
+    return pages.join(listed.withColumn("changes", F.col("changes").cast("array<struct<ordinal:bigint,rendered:string,by:string>>")), ["content_id", "page_number"], "left").withColumn("content", done).drop("changes")
+
+
+def anchored(cells: list[tuple[int, int, int, int]], rows: int, columns: int) -> tuple[list[bool], list[str]]:
+    """Which cells (row, row after, column, column after) take their place, in order of arrival, and why others do not."""
+    if not (0 < rows <= 2000 and 0 < columns <= 100):
+        return [False] * len(cells), ["invalid_dimensions"]
+    taken = [0] * rows  # a bit for each column
+    kept, reasons = [], {}
+    for top, bottom, left, right in cells:
+        mask = ((1 << max(right - left, 0)) - 1) << max(left, 0)
+        if not (0 <= top < bottom <= rows and 0 <= left < right <= columns):
+            why = "cell_out_of_bounds"
+        elif any(t & mask for t in taken[top:bottom]):
+            why = "overlapping_cells"
+        else:
+            why = None
+            taken[top:bottom] = [t | mask for t in taken[top:bottom]]
+        kept.append(why is None)
+        if why:
+            reasons[why] = None
+    return kept, list(reasons)
+
+
+def grid_anchor(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Per table (keys, num_rows, num_cols): the kept cells and the reasons for those that are not, from cells (arrival,
+    top, bottom, left, right). A table's cells are gathered in its row: 200,000 at most can have a place."""
+
+    @F.arrow_udf("struct<kept:array<boolean>,reasons:array<string>>")
+    def place(groups: pa.Array, rows: pa.Array, columns: pa.Array) -> pa.Array:
+        out = [anchored([(x["top"], x["bottom"], x["left"], x["right"]) for x in g], r, c) for g, r, c in zip(groups.to_pylist(), rows.to_pylist(), columns.to_pylist(), strict=True)]
+        return pa.array([{"kept": k, "reasons": w} for k, w in out], pa.struct([("kept", pa.list_(pa.bool_())), ("reasons", pa.list_(pa.string()))]))
+
+    listed = cells.groupBy(*keys, "num_rows", "num_cols").agg(F.array_sort(F.collect_list(F.struct("arrival", "top", "bottom", "left", "right"))).alias("g"))
+    got = listed.withColumn("p", place("g", "num_rows", "num_cols"))
+    arrivals = F.transform(F.filter(F.arrays_zip(F.col("g.arrival").alias("a"), F.col("p.kept").alias("k")), lambda x: x["k"]), lambda x: x["a"])
+    return got.select(*keys, arrivals.alias("arrivals"), F.col("p.reasons").alias("reasons"))
 
 
 def parallel_split(tables: DataFrame) -> DataFrame:

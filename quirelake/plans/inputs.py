@@ -28,13 +28,11 @@ INPUTS = {
     # pages with a status and content of many kinds
     "pages_q": """SELECT doc_id AS content_id, doc_id % 5 AS page_number, CASE WHEN doc_id % 13 = 0 THEN 'failed' ELSE 'completed' END AS status,
         CASE doc_id % 17 WHEN 0 THEN '' WHEN 1 THEN 'short' WHEN 2 THEN '| same | same | same | same | same | x |'
-            WHEN 3 THEN concat('��', substr(text, 1, 20)) WHEN 4 THEN '犚犲犿犪狀狌犳' WHEN 5 THEN '|1|2|3|4|5|6|7|8|9|a|b|c|d|e|f|g|h|i|j|k|l|m|n|o|p|q|' ELSE text END AS content,
+            WHEN 3 THEN concat('��', substr(text, 1, 20)) WHEN 4 THEN '犚犲犿犪狀狌犳' WHEN 6 THEN concat('| a | 12.5% |', chr(10), '12.5%', chr(10), text) WHEN 5 THEN '|1|2|3|4|5|6|7|8|9|a|b|c|d|e|f|g|h|i|j|k|l|m|n|o|p|q|' ELSE text END AS content,
         CASE doc_id % 6 WHEN 0 THEN 'sparse' WHEN 1 THEN 'native' WHEN 2 THEN 'scanned' ELSE 'mixed' END AS source_kind,
-        (doc_id % 5) * 90 AS rotation, n_chars * (1 + doc_id % 8) AS native_chars, doc_id % 4 = 0 AS fused, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 3 END AS conflicts FROM {documents}""",
-    "marked": """SELECT doc_id, concat('# ', substr(text, 1, 300), ' **', CAST(n_chars AS VARCHAR(20)), '.', CAST(doc_id % 100 AS VARCHAR(20)), '%** | (−', CAST(doc_id AS VARCHAR(20)), ') <!-- note --> 2024 年',
-        CAST(doc_id % 12 + 1 AS VARCHAR(20)), '月', CAST(doc_id % 28 + 1 AS VARCHAR(20)), '日') AS text FROM {documents}""",
-    # the same around whole texts
-    "marked_whole": """SELECT doc_id, concat('# ', text, ' **', CAST(n_chars AS VARCHAR(20)), '.', CAST(doc_id % 100 AS VARCHAR(20)), '%** | (−', CAST(doc_id AS VARCHAR(20)), ') <!-- note --> 2024 年',
+        (doc_id % 5) * 90 AS rotation, n_chars * (1 + doc_id % 8) AS native_chars, doc_id % 4 = 0 AS fused, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id % 3 END AS conflicts,
+        doc_id % 19 <> 0 AS measured, CASE WHEN doc_id % 10 = 1 THEN 'native' ELSE 'docling' END AS strategy, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE doc_id % 4 END AS calls, doc_id % 3 AS resolved FROM {documents}""",
+    "marked": """SELECT doc_id, concat('# ', text, ' **', CAST(n_chars AS VARCHAR(20)), '.', CAST(doc_id % 100 AS VARCHAR(20)), '%** | (−', CAST(doc_id AS VARCHAR(20)), ') <!-- note --> 2024 年',
         CAST(doc_id % 12 + 1 AS VARCHAR(20)), '月', CAST(doc_id % 28 + 1 AS VARCHAR(20)), '日') AS text FROM {documents}""",
     "pairs": """SELECT a.doc_id, a.text AS reference, b.text AS candidate FROM {documents} a JOIN {documents} b ON b.doc_id = a.doc_id + 1""",
     # a cell as three sources read it
@@ -52,7 +50,8 @@ INPUTS = {
         CASE event_id % 9 WHEN 0 THEN 'document.started' WHEN 1 THEN 'page.processed' WHEN 2 THEN 'page.completed' WHEN 3 THEN 'page.warning' WHEN 4 THEN 'postprocess.assets' WHEN 5 THEN 'heartbeat' WHEN 6 THEN 'unit.processed' WHEN 7 THEN 'page.failed' ELSE 'job.note' END AS state,
         (event_id * 7) % 40 AS current, 40 + event_id % 3 AS total, event_id AS at FROM {events}""",
     "fragments": """SELECT o_custkey AS content_id, o_orderkey % 12 AS page_number, o_orderkey AS fragment_id, o_orderkey AS ordinal, o_orderkey % 9 <> 0 AS valid,
-        ((o_orderkey * 3) % 10) / 1e2 AS top, (80 + (o_orderkey * 7) % 20) / 1e2 AS bottom, (o_orderkey % 3) / 1e2 AS b1, (o_orderkey % 2) / 1e2 AS b2, CASE WHEN o_orderkey % 4 = 0 THEN 'a|b' ELSE 'x|y' END AS header FROM {orders}""",
+        ((o_orderkey * 3) % 10) / 1e2 AS top, (80 + (o_orderkey * 7) % 20) / 1e2 AS bottom, (o_orderkey % 3) / 1e2 AS b1, (o_orderkey % 2) / 1e2 AS b2, CASE o_orderkey % 8 WHEN 0 THEN 'a|b' WHEN 4 THEN '' WHEN 1 THEN 'total|amounts' ELSE 'total|amount' END AS header,
+        o_orderkey % 6 <> 0 AS has_header, o_orderkey % 10 AS n_rows, concat('[', CAST(o_orderkey AS VARCHAR(20)), ']') AS rendered FROM {orders}""",
     "videos": """SELECT user_id AS video_id, event_id, (event_id * 31 % 6000) / 1e2 AS t, (event_id * 17 % 100) / 1e2 AS score, 60e0 AS duration, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 12e0 END AS frame_rate FROM {events}""",
     "units": """SELECT o_custkey AS content_id, o_orderkey % 60 + 1 AS unit, 60 AS total FROM {orders}""",
     "uploads": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/tiff' WHEN 4 THEN 'application/vnd.openxmlformats-officedocument.presentationml.presentation' ELSE 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END AS mime,

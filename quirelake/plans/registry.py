@@ -112,14 +112,26 @@ def plain_lines(spark, d):
     return source(spark, d, "pages_q").select("content_id", F.md5(T.plain_lines(F.col("content"))).alias("h"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars * 500 < 1024 THEN (n_chars * 500) || ' B' WHEN n_chars * 500 < 1048576 THEN (n_chars * 500 // 1024) || ' KiB' ELSE (n_chars * 500 // 1048576) || ' MiB' END AS size FROM documents")
+_SIZE = "CASE WHEN doc_id % 50 = 0 THEN NULL ELSE n_chars * (doc_id % 7) * (doc_id % 11) * 997 END"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {_SIZE} AS n FROM documents), u AS (SELECT *, CASE WHEN n < 1048576 THEN 1024 WHEN n < 1073741824 THEN 1048576 ELSE 1073741824 END AS u FROM s),
+r AS (SELECT *, floor(n::HUGEINT * 100 / u + 0.5)::BIGINT AS c, floor(n::HUGEINT * 10 / u + 0.5)::BIGINT AS t FROM u)
+SELECT doc_id, CASE WHEN n IS NULL THEN '—' WHEN n < 1024 THEN n || ' B' ELSE CASE WHEN n < 10 * u THEN (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') ELSE (t // 10) || '.' || (t % 10) END || CASE u WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END END AS size FROM r""")
 def bytes_format(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.bytes_format(F.col("n_chars") * 500).alias("size"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.bytes_format(F.expr(_SIZE)).alias("size"))
+
 
+@query(r"SELECT doc_id, least(100e0, greatest(0e0, CASE WHEN doc_id % 4 = 0 THEN doc_id - 50e0 WHEN doc_id % 7 = 0 THEN 0e0 ELSE n_chars / (doc_id % 7)::DOUBLE * 100 END)) AS percent, trim(regexp_replace(source || ' ' || doc_id, '[^\p{L}\p{N}._-]+', '-', 'g'), '-') || '.md' AS name FROM documents")
+def percent_and_name(spark, d):
+    supplied = F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") - 50.0)
+    name = F.concat("source", F.lit(" "), F.col("doc_id").cast("string"), F.lit(".old"))
+    return _docs(spark, d).select("doc_id", T.percent_of(F.col("n_chars"), F.col("doc_id") % 7, supplied).alias("percent"), T.download_name(name, "md").alias("name"))
 
-@query(f"""{cte('marked')}, c AS (SELECT doc_id, string_split(text, ' ')[1:6] AS cells FROM marked) SELECT doc_id, array_to_string(list_transform(cells, lambda c: replace(lower(regexp_replace(c, '{_W}', '', 'g')), 'ß', 'ss')), '|') AS sig FROM c""")
+
+@query(f"""{cte('marked')}, c AS (SELECT doc_id, string_split(text, ' ') AS cells FROM marked) SELECT doc_id, array_to_string(list_transform(cells, lambda c: replace(lower(regexp_replace(c, '{_W}', '', 'g')), 'ß', 'ss')), '|') AS sig FROM c""")
 def header_signature(spark, d):
-    return source(spark, d, "marked").select("doc_id", T.header_signature(F.slice(F.split("text", " "), 1, 6)).alias("sig"))
+    return source(spark, d, "marked").select("doc_id", T.header_signature(F.split("text", " ")).alias("sig"))
 
 
 @query("SELECT doc_id, (length(text) - length(replace(text, ' ', ''))) >= 20 AND (length(text) - length(replace(text, ' ', '')))::DOUBLE / greatest(length(replace(text, ' ', '')), 1) >= 0.08 AS polluted FROM documents")
@@ -234,8 +246,10 @@ def repeat_fragments(spark, d):
     return quality.repeat_fragments(source(spark, d, "pages_q"), ["content_id", "page_number"])
 
 
+_NUMBERS = r"list_transform(regexp_extract_all({}, '(?:^|[^A-Za-z0-9])([-−]?\(?\d[\d,]*(?:\.\d+)?%?\)?)', 1), lambda n: replace(regexp_replace(n, '[\s,]', '', 'g'), '−', '-'))"
 _CODES = rf"""{_FRAGMENTS}, b AS (SELECT * REPLACE (regexp_replace(content, '^{_W}+|{_W}+$', '', 'g') AS content) FROM pages_q),
-k AS (SELECT b.*, repeat_count, status <> 'failed' AS live,
+k AS (SELECT b.*, repeat_count, status <> 'failed' AS live, list_filter(string_split(content, chr(10)), lambda l: starts_with(trim(l), '|') AND length(l) - length(replace(l, '|', '')) >= 2) AS rows,
+  list_filter(string_split(content, chr(10)), lambda l: NOT starts_with(trim(l), '|') AND regexp_full_match(trim(l), '[-−]?\(?\d[\d,]*(?:\.\d+)%?\)?')) AS loose,
   content = '|1|2|3|4|5|6|7|8|9|a|b|c|d|e|f|g|h|i|j|k|l|m|n|o|p|q|' AS wide, content = '| same | same | same | same | same | x |' AS same FROM b LEFT JOIN rep USING (content_id, page_number)),
 c AS (SELECT *, list_sort(list_filter([
   CASE WHEN content = '' AND live THEN 'no_usable_content' END,
@@ -246,10 +260,12 @@ c AS (SELECT *, list_sort(list_filter([
   CASE WHEN live AND same THEN 'table_header_propagation' END,
   CASE WHEN live AND wide THEN 'table_shape_explosion' END,
   CASE WHEN content <> '' AND live AND rotation IN (90, 180, 270) THEN 'rotated_scan' END,
-  CASE WHEN content <> '' AND live AND source_kind = 'native' AND native_chars > 0 AND length(regexp_replace(content, '{_W}', '', 'g')) < native_chars * 0.2 THEN 'visual_text_mismatch' END,
+  CASE WHEN content <> '' AND live AND source_kind = 'native' AND strategy = 'docling' AND native_chars > 0 AND length(regexp_replace(content, '{_W}', '', 'g')) < native_chars * 0.2 THEN 'visual_text_mismatch' END,
+  CASE WHEN live AND len(rows) > 0 AND len(list_intersect({_NUMBERS.format("array_to_string(rows, chr(10))")}, {_NUMBERS.format("array_to_string(loose, chr(10))")})) > 0 THEN 'unanchored_table_numbers' END,
+  CASE WHEN live AND regexp_matches(replace(replace(content, chr(10), ''), chr(9), ''), '[\p{{Cc}}\p{{Cf}}\p{{Co}}\x{{FFFD}}]') THEN 'suspicious_unicode_glyphs' END,
   CASE WHEN live AND regexp_matches(content, '(?:[犀-狿][ \t]*){{6,}}') THEN 'suspicious_unicode_mojibake' END], lambda x: x IS NOT NULL)) AS codes FROM k),
 s AS (SELECT *, CASE WHEN status = 'failed' OR list_contains(codes, 'no_usable_content') THEN 'failed' WHEN len(list_filter(codes, lambda x: x NOT IN ('intentional_sparse_page', 'rotated_scan'))) > 0 THEN 'warning' ELSE status END AS st FROM c),
-v AS (SELECT *, CASE WHEN fused THEN CASE WHEN st = 'failed' THEN 'untrusted' WHEN coalesce(conflicts, 0) > 0 OR st = 'warning' THEN 'degraded' ELSE 'trusted' END ELSE CASE WHEN st IN ('warning', 'failed') THEN 'untrusted' ELSE 'trusted' END END AS verdict FROM s)"""
+v AS (SELECT *, CASE WHEN NOT measured THEN CASE WHEN st IN ('warning', 'failed') THEN 'untrusted' ELSE 'trusted' END WHEN fused THEN CASE WHEN st = 'failed' THEN 'untrusted' WHEN coalesce(conflicts, 0) > 0 OR st = 'warning' THEN 'degraded' ELSE 'trusted' END ELSE CASE WHEN st IN ('warning', 'failed') THEN 'untrusted' ELSE 'trusted' END END AS verdict FROM s)"""
 
 
 @query(f"{cte('pages_q')}, {_CODES} SELECT content_id, page_number, array_to_string(codes, ',') AS codes FROM v")
@@ -263,7 +279,7 @@ def page_verdicts(spark, d):
     return quality.assess(quality.page_codes(source(spark, d, "pages_q"), ["content_id", "page_number"])).select("content_id", "page_number", "status", "verdict")
 
 
-@query(f"{cte('pages_q')}, {_CODES} SELECT content_id % 100 AS content_id, count(*) FILTER (verdict = 'trusted') AS trusted_pages, count(*) FILTER (verdict = 'degraded') AS degraded_pages, count(*) FILTER (verdict = 'untrusted') AS untrusted_pages, count(*) FILTER (st = 'failed') AS failed_pages, bool_and(st <> 'failed' AND len(list_filter(codes, lambda x: x NOT IN ('intentional_sparse_page', 'rotated_scan'))) = 0) AS acceptable FROM v GROUP BY ALL")
+@query(f"{cte('pages_q')}, {_CODES} SELECT content_id % 100 AS content_id, count(*) FILTER (verdict = 'trusted') AS trusted_pages, count(*) FILTER (verdict = 'degraded') AS degraded_pages, count(*) FILTER (verdict = 'untrusted') AS untrusted_pages, count(*) FILTER (st = 'failed') AS failed_pages, bool_and(st <> 'failed' AND len(list_filter(codes, lambda x: x NOT IN ('intentional_sparse_page', 'rotated_scan'))) = 0) AS acceptable, count(*) FILTER (measured AND strategy <> 'docling') AS repaired_pages, count(*) FILTER (measured AND fused) AS visual_pages, coalesce(sum(calls) FILTER (measured AND fused), 0)::BIGINT AS calls, coalesce(sum(resolved) FILTER (measured AND fused), 0)::BIGINT AS resolved_conflicts, coalesce(sum(conflicts) FILTER (measured AND fused), 0)::BIGINT AS unresolved_conflicts FROM v GROUP BY ALL")
 def quality_summary(spark, d):
     pages = quality.assess(quality.page_codes(source(spark, d, "pages_q"), ["content_id", "page_number"]))
     return quality.quality_summary(pages.withColumn("content_id", F.col("content_id") % 100), "content_id")
@@ -358,12 +374,16 @@ def order_inversion(spark, d):
 # ---- tables ------------------------------------------------------------------------------------
 
 
-@query(f"""{cte('fragments')}, e AS (SELECT content_id, page_number, arg_max(f, ordinal) AS l, arg_min(f, ordinal) AS r, count(*) AS n FROM (SELECT content_id, page_number, ordinal, f FROM fragments f) GROUP BY ALL),
+_LINKED = f"""{cte('fragments')}, e AS (SELECT content_id, page_number, arg_max(f, ordinal) AS l, arg_min(f, ordinal) AS r, count(*) AS n FROM (SELECT content_id, page_number, ordinal, f FROM fragments f) GROUP BY ALL),
 p AS (SELECT a.content_id, a.page_number, a.l, b.r, b.n = 1 AS single FROM e a JOIN e b ON a.content_id = b.content_id AND b.page_number = a.page_number + 1
-  WHERE a.l.valid AND b.r.valid AND a.l.bottom >= 0.85 AND b.r.top <= 0.15 AND (abs(a.l.b1 - b.r.b1) + abs(a.l.b2 - b.r.b2)) / 2 <= 0.02 AND a.l.header = b.r.header),
+  WHERE a.l.valid AND b.r.valid AND a.l.bottom >= 0.85 AND b.r.top <= 0.15 AND (abs(a.l.b1 - b.r.b1) + abs(a.l.b2 - b.r.b2)) / 2 <= 0.02
+    AND CASE WHEN b.r.has_header THEN a.l.header <> '' AND b.r.header <> '' AND (a.l.header = b.r.header OR starts_with(a.l.header, 'total|') AND starts_with(b.r.header, 'total|')) ELSE b.r.n_rows > 0 END),
 c AS (SELECT *, CASE WHEN coalesce(lag(page_number) OVER w = page_number - 1 AND lag(single) OVER w, false) THEN 0 ELSE 1 END AS s FROM p WINDOW w AS (PARTITION BY content_id ORDER BY page_number)),
-k AS (SELECT *, sum(s) OVER (PARTITION BY content_id ORDER BY page_number) AS chain FROM c)
-SELECT content_id, l.fragment_id AS left_id, r.fragment_id AS right_id FROM (SELECT *, row_number() OVER (PARTITION BY content_id, chain ORDER BY page_number) AS i FROM k) WHERE i % 2 = 1""")
+k AS (SELECT *, sum(s) OVER (PARTITION BY content_id ORDER BY page_number) AS chain FROM c),
+linked AS (SELECT content_id, page_number, l, r FROM (SELECT *, row_number() OVER (PARTITION BY content_id, chain ORDER BY page_number) AS i FROM k) WHERE i % 2 = 1)"""
+
+
+@query(f"{_LINKED} SELECT content_id, l.fragment_id AS left_id, r.fragment_id AS right_id FROM linked")
 def cross_page_link(spark, d):
     return tables.cross_page_link(source(spark, d, "fragments").withColumn("boundaries", F.array("b1", "b2")))
 
@@ -425,17 +445,37 @@ def band_plan(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey table_id", "o_orderkey % 90 + 1 r", "o_custkey % 12 c").select("table_id", n.alias("bands"), par.alias("parallel"))
 
 
-@query("WITH lines AS " + LINES.format(lineitem="lineitem") + """, r AS (SELECT l_orderkey AS f, l_linenumber - 1 AS i, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'Head' ELSE 'head ' END ELSE l_partkey::VARCHAR END AS cell FROM lines),
+@query("WITH lines AS " + LINES.format(lineitem="lineitem") + """, r AS (SELECT l_orderkey AS f, l_linenumber - 1 AS i, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'Headline' WHEN l_orderkey % 3 = 1 THEN 'head lines ' ELSE 'other' END ELSE l_partkey::VARCHAR END AS cell FROM lines),
 p AS (SELECT f AS a, f + 1 AS b FROM r WHERE i = 0 AND f % 2 = 0 AND f + 1 IN (SELECT f FROM r WHERE i = 0)),
-u AS (SELECT a, 0 AS part, i, cell FROM p JOIN r ON f = a UNION ALL SELECT a, 1, i, cell FROM p JOIN r ON f = b WHERE i > 0)
+u AS (SELECT a, 0 AS part, i, cell FROM p JOIN r ON f = a UNION ALL SELECT a, 1, i, cell FROM p JOIN r ON f = b WHERE i > 0 OR b % 5 = 0 OR a % 3 = 2 OR b % 3 = 2)
 SELECT a AS left_id, row_number() OVER (PARTITION BY a ORDER BY part, i) - 1 AS row_index, cell FROM u""")
 def merged_rows(spark, d):
-    rows = _lines(spark, d).selectExpr("l_orderkey fragment_id", "l_linenumber - 1 row_index", "array(case when l_linenumber = 1 then if(l_orderkey % 3 = 0, 'Head', 'head ') else cast(l_partkey as string) end) cells")
+    name = "case l_orderkey % 3 when 0 then 'Headline' when 1 then 'head lines ' else 'other' end"
+    rows = _lines(spark, d).selectExpr("l_orderkey fragment_id", "l_linenumber - 1 row_index", f"array(case when l_linenumber = 1 then {name} else cast(l_partkey as string) end) cells", "l_orderkey % 5 <> 0 has_header")
     heads = rows.where("row_index = 0").select("fragment_id")
     pairs = heads.where("fragment_id % 2 = 0").selectExpr("fragment_id left_id", "fragment_id + 1 right_id").join(heads.withColumnRenamed("fragment_id", "right_id"), "right_id", "left_semi")
     return tables.merged_rows(pairs, rows).selectExpr("left_id", "row_index", "cells[0] cell")
 
 
+_PAGES = """SELECT content_id, page_number, concat(CASE WHEN page_number % 5 = 0 THEN '# Part' ELSE 'text' END, chr(10), {listed}, chr(10), CASE WHEN content_id % 7 = 0 THEN '2.1 Next' ELSE 'more' END) AS content FROM {fragments} GROUP BY content_id, page_number"""
+
+
+@query(f"""{_LINKED}, pages_f AS ({_PAGES.format(listed="string_agg(rendered, chr(10) ORDER BY ordinal)", fragments="fragments")}),
+ok AS (SELECT content_id, page_number, l.fragment_id AS a, r.fragment_id AS b FROM linked WHERE content_id % 7 <> 0 AND (page_number + 1) % 5 <> 0),
+x AS (SELECT content_id, page_number, 1 AS side, '[' || a || ']' AS part, '<!-- logical-table: table_' || a || '_' || b || '; source-pages: ' || page_number || ',' || (page_number + 1) || ' -->' || chr(10) || chr(10) || '| ' || a || ' |' || chr(10) || '| --- |' || chr(10) || '| ' || b || ' |' AS txt FROM ok
+  UNION ALL SELECT content_id, page_number + 1, 0, '[' || b || ']', '' FROM ok),
+y AS (SELECT content_id, page_number, max(part) FILTER (side = 0) AS p0, max(part) FILTER (side = 1) AS p1, max(txt) FILTER (side = 1) AS txt FROM x GROUP BY ALL)
+SELECT content_id, page_number, md5(CASE WHEN p1 IS NULL THEN c ELSE replace(c, p1, txt) END) AS h FROM (SELECT content_id, page_number, p1, txt, CASE WHEN p0 IS NULL THEN content ELSE replace(content, p0, '') END AS c FROM pages_f LEFT JOIN y USING (content_id, page_number))""")
+def logical_tables(spark, d):
+    """Tables across pages as one recipe: links, headings that cancel them, merged rows, page contents."""
+    fragments = source(spark, d, "fragments").withColumn("boundaries", F.array("b1", "b2"))
+    listed = "array_join(transform(array_sort(collect_list(struct(ordinal, rendered))), x -> x.rendered), chr(10))"
+    source(spark, d, "fragments").createOrReplaceTempView("quirelake_fragments")
+    pages = spark.sql(_PAGES.format(listed=listed, fragments="quirelake_fragments"))
+    rows = fragments.select("fragment_id", F.lit(0).alias("row_index"), F.array(F.col("fragment_id").cast("string")).alias("cells"), F.lit(False).alias("has_header"))
+    return tables.logical_tables(pages, fragments, rows).select("content_id", "page_number", F.md5("content").alias("h"))
+
+
 # ---- fusion ------------------------------------------------------------------------------------
 
 
@@ -481,13 +521,13 @@ def page_overlay(spark, d):
     return fusion.page_overlay(docs.selectExpr("doc_id", "lang text"), docs.where("doc_id % 3 = 0").selectExpr("doc_id", "source text"), ["doc_id"])
 
 
-@query("""WITH v AS (SELECT conv_id, turn, 'company_name' AS field, trim(substr(text, 1, 3)) AS value FROM conversations UNION ALL SELECT conv_id, turn, 'statement_title', trim(substr(text, 1, 12)) FROM conversations UNION ALL SELECT conv_id, turn, 'unit', role FROM conversations),
+@query("""WITH v AS (SELECT conv_id, turn, 'company_name' AS field, trim(text) AS value FROM conversations UNION ALL SELECT conv_id, turn, 'statement_title', trim(text) FROM conversations UNION ALL SELECT conv_id, turn, 'unit', role FROM conversations),
 n AS (SELECT *, NORM AS norm, count(*) OVER (PARTITION BY conv_id, field, NORM) AS n FROM v WHERE value <> ''), t AS (SELECT conv_id, NORM AS title FROM v WHERE field = 'statement_title' AND NORM <> ''),
 h AS (SELECT n.*, CASE WHEN field = 'company_name' THEN (SELECT count(*) FROM t WHERE t.conv_id = n.conv_id AND contains(title, norm)) ELSE 0 END AS hits FROM n)
 SELECT conv_id, field, value FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, field ORDER BY n DESC, hits DESC, turn) = 1""".replace("NORM", _norm("value")))
 def metadata_vote(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
-    v = c.selectExpr("conv_id", "'company_name' field", "turn idx", "trim(substr(text, 1, 3)) value").union(c.selectExpr("conv_id", "'statement_title'", "turn", "trim(substr(text, 1, 12))")).union(c.selectExpr("conv_id", "'unit'", "turn", "role"))
+    v = c.selectExpr("conv_id", "'company_name' field", "turn idx", "trim(text) value").union(c.selectExpr("conv_id", "'statement_title'", "turn", "trim(text)")).union(c.selectExpr("conv_id", "'unit'", "turn", "role"))
     return fusion.metadata_vote(v, ["conv_id"])
 
 
@@ -551,13 +591,19 @@ def running_bytes(spark, d):
 # ---- jobs --------------------------------------------------------------------------------------
 
 
-@query(f"""{cte('jobs_ev')}, b AS (SELECT job_id, id, status, lag(status) OVER (PARTITION BY job_id ORDER BY id) AS before FROM jobs_ev)
-SELECT job_id, id, CASE WHEN before IS NULL THEN 'start' WHEN before = status THEN 'same' WHEN (before = 'queued' AND status IN ('running', 'cancelled', 'failed')) OR (before = 'running' AND status IN ('completed', 'partial', 'failed', 'cancelled')) THEN 'allowed' ELSE 'error' END AS verdict FROM b""")
+# each job walked event by event: an illegal move leaves the state
+_WALK = f"""{cte('jobs_ev')}, o AS (SELECT job_id, id, status, "at" AS ts, row_number() OVER (PARTITION BY job_id ORDER BY id) AS i FROM jobs_ev),
+walk AS (SELECT job_id, id, status, ts, i, 'start' AS verdict, status AS state FROM o WHERE i = 1
+  UNION ALL SELECT o.job_id, o.id, o.status, o.ts, o.i, v.verdict, CASE WHEN v.verdict = 'allowed' THEN o.status ELSE w.state END FROM walk w JOIN o ON o.job_id = w.job_id AND o.i = w.i + 1,
+    LATERAL (SELECT CASE WHEN w.state = o.status THEN 'same' WHEN (w.state = 'queued' AND o.status IN ('running', 'cancelled', 'failed')) OR (w.state = 'running' AND o.status IN ('completed', 'partial', 'failed', 'cancelled')) THEN 'allowed' ELSE 'error' END AS verdict) v)"""
+
+
+@query(f"{_WALK} SELECT job_id, id, verdict FROM walk")
 def job_state_machine(spark, d):
     return jobs.job_state_machine(source(spark, d, "jobs_ev")).select("job_id", "id", "verdict")
 
 
-@query(f"{cte('jobs_ev')} SELECT job_id, min(at) FILTER (status = 'running') AS started_at, min(at) FILTER (status IN ('completed', 'partial', 'failed', 'cancelled')) AS completed_at, arg_max(status, id) AS status FROM jobs_ev GROUP BY job_id".replace("min(at)", 'min("at")'))
+@query(f"{_WALK} SELECT job_id, arg_min(ts, id) FILTER (status = 'running') AS started_at, arg_max(ts, id) FILTER (status IN ('completed', 'partial', 'failed', 'cancelled')) AS completed_at, arg_max(state, id) AS status FROM walk WHERE verdict <> 'error' GROUP BY job_id")
 def transition_side_effects(spark, d):
     return jobs.transition_side_effects(source(spark, d, "jobs_ev"))
 
@@ -730,11 +776,11 @@ def document_rendering(spark, d):
     return sinks.document_rendering(rows, "conv_id").select("conv_id", F.md5("markdown").alias("h"))
 
 
-@query("WITH c AS (SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0), l AS (SELECT user_id, arg_max(event_type, event_id) AS t FROM c GROUP BY user_id) SELECT user_id, t AS event_type FROM l")
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
 def job_upsert(spark, d):
-    ev = spark.read.parquet(f"{d}/events.parquet")
-    old = ev.where("event_id % 2 = 0").groupBy("user_id").agg(F.lit("old").alias("event_type"))
-    return sinks.upsert(old, ev.where("event_id % 2 = 0").select("user_id", "event_type", "event_id"), "user_id", "event_id")
+    """All events, put over a state of every customer: those without an event stay as they were."""
+    old = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.lit("old").alias("event_type"))
+    return sinks.upsert(old, spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id"), "user_id", "event_id")
 
 
 # ---- fuzzy and fold operators: no SQL form, values are held in the tests ---------------------------
@@ -868,12 +914,14 @@ def heading_order_mismatch(spark, d):
     return _docs(spark, d).select("doc_id", T.anagram_only(F.concat(F.lit("# "), "lang"), F.reverse("lang")).alias("mismatch"))
 
 
-@query("SELECT doc_id, unnest(regexp_extract_all(text, '[\\x{FFFD}\\x{AD}\\x{200B}\\x{1}]')) AS g FROM (SELECT doc_id, lang || chr(173) || chr(65533) || CASE WHEN doc_id % 2 = 0 THEN chr(1) ELSE chr(10) END AS text FROM documents)".join(("SELECT doc_id, 'U+' || upper(lpad(to_hex(unicode(g)), 4, '0')) AS glyph, count(*) AS n FROM (", ") GROUP BY ALL")))
+_GLYPHED = "concat(text, CASE WHEN doc_id % 3 = 0 THEN concat(chr(173), chr(65533), {e000}) ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN chr(1) ELSE chr(10) END)"
+
+
+@query("SELECT doc_id, 'U+' || CASE WHEN length(h) < 4 THEN lpad(h, 4, '0') ELSE h END AS glyph, count(*) AS n FROM (SELECT doc_id, to_hex(unicode(g)) AS h FROM (SELECT doc_id, unnest(regexp_extract_all(replace(replace(t, chr(10), ''), chr(9), ''), '[\\p{Cc}\\p{Cf}\\p{Co}\\x{FFFD}]')) AS g FROM (SELECT doc_id, " + _GLYPHED.format(e000="chr(983040)") + " AS t FROM documents))) GROUP BY ALL")
 def glyph_counts(spark, d):
-    text = F.concat("lang", F.lit("­�"), F.when(F.col("doc_id") % 2 == 0, F.lit("\u0001")).otherwise(F.lit("\n")))
-    chars = _docs(spark, d).select("doc_id", F.explode(F.split(text, "")).alias("c")).where(F.col("c").rlike(r"[\p{Cc}\p{Cf}\p{Co}\p{Cs}�]") & ~F.col("c").isin("\n", "\t"))
-    code = F.concat(F.lit("U+"), F.lpad(F.hex(F.expr("conv(substr(hex(encode(c, 'UTF-16BE')), 1, 4), 16, 10)").cast("long")), 4, "0"))
-    return chars.groupBy("doc_id", code.alias("glyph")).agg(F.count(F.lit(1)).alias("n"))
+    # beyond 255, chr works in DuckDB only
+    text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\u00ad\ufffd\U000F0000").otherwise(""), F.when(F.col("doc_id") % 2 == 0, "\u0001").otherwise("\n"))
+    return quality.glyph_counts(_docs(spark, d).select("doc_id", text.alias("t")), ["doc_id"], "t")
 
 
 @query("SELECT o_custkey AS rel, greatest(1, count(*) FILTER (o_orderkey % 3 = 0)) AS placements FROM orders GROUP BY o_custkey")
@@ -898,9 +946,9 @@ def date_set_equal(spark, d):
     return _docs(spark, d).select("doc_id", (T.date_tokens(text(1)) == T.date_tokens(text(7))).alias("same"))
 
 
-@query("SELECT doc_id, 'Title ' || lang || chr(10) || chr(10) || 'quoted' || chr(10) || 'item ' || source || chr(10) || 'one & two <x> bold' AS t FROM documents")
+@query("SELECT doc_id, 'Title ' || lang || chr(10) || chr(10) || 'quoted' || chr(10) || 'item ' || source || chr(10) || 'one & two <x> bold' || chr(10) || '\\**kept © é' AS t FROM documents")
 def md_to_text(spark, d):
-    text = F.concat(F.lit("# Title [`"), "lang", F.lit("`](http://x)\n\n> quoted\n- item ~~"), "source", F.lit("~~\n1. one &amp; two &lt;x&gt; **bold** <br/>\n"))
+    text = F.concat(F.lit("# Title [`"), "lang", F.lit("`](http://x)\n\n> quoted\n- item ~~"), "source", F.lit("~~\n1. one &amp; two &lt;x&gt; **bold** <br/>\n\\**kept &copy; &#233;\n"))
     return _docs(spark, d).select("doc_id", T.markdown_to_text(text).alias("t"))
 
 
@@ -958,49 +1006,3 @@ def layout_contract(spark, d):
 def heading_between(spark, d):
     tail = F.expr("CASE doc_id % 4 WHEN 0 THEN 'x\n# Part' WHEN 1 THEN '1.2 Part' WHEN 2 THEN '1. Part' ELSE 'see # Part' END")
     return _docs(spark, d).select("doc_id", tail.rlike(r"(?m)^(?:#{1,6}\s+\S|第[一二三四五六七八九十百0-9]+[章节]\s*|\p{Nd}+(?:\.\p{Nd}+)+\s+\S)").alias("blocked"))
-
-
-# ---- whole texts: the same rules as compact_text to metadata_vote, without the cut in their SQL ----------
-
-
-@query(f"{cte('marked_whole')} SELECT doc_id, md5({_compact('text')}) AS h, length({_compact('text')}) AS n FROM marked_whole")
-def compact_text_whole(spark, d):
-    c = T.compact_text(F.col("text"))
-    return source(spark, d, "marked_whole").select("doc_id", F.md5(c).alias("h"), F.char_length(c).alias("n"))
-
-
-@query(f"{cte('marked_whole')} SELECT doc_id, md5({_norm('text')}) AS h FROM marked_whole")
-def normalized_whole(spark, d):
-    return source(spark, d, "marked_whole").select("doc_id", F.md5(T.normalized(F.col("text"))).alias("h"))
-
-
-@query(rf"{cte('marked_whole')} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([-−]?\(?\d[\d,]*(?:\.\d+)?%?\)?)', 1), lambda n: replace(regexp_replace(n, '[\s,]', '', 'g'), '−', '-')), ' ') AS tokens FROM marked_whole")
-def number_tokens_whole(spark, d):
-    return source(spark, d, "marked_whole").select("doc_id", F.array_join(T.number_tokens(F.col("text")), " ").alias("tokens"))
-
-
-@query(rf"{cte('marked_whole')} SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\d{{4}}\s*年\s*\d{{1,2}}\s*月\s*\d{{1,2}}\s*日'), lambda x: regexp_replace(x, '\s+', '', 'g')))), ' ') AS dates FROM marked_whole")
-def date_tokens_whole(spark, d):
-    return source(spark, d, "marked_whole").select("doc_id", F.array_join(T.date_tokens(F.col("text")), " ").alias("dates"))
-
-
-@query(f"""{cte('marked_whole')}, c AS (SELECT doc_id, string_split(text, ' ') AS cells FROM marked_whole) SELECT doc_id, array_to_string(list_transform(cells, lambda c: replace(lower(regexp_replace(c, '{_W}', '', 'g')), 'ß', 'ss')), '|') AS sig FROM c""")
-def header_signature_whole(spark, d):
-    return source(spark, d, "marked_whole").select("doc_id", T.header_signature(F.split("text", " ")).alias("sig"))
-
-
-@query("""WITH v AS (SELECT conv_id, turn, 'company_name' AS field, trim(text) AS value FROM conversations UNION ALL SELECT conv_id, turn, 'statement_title', trim(text) FROM conversations UNION ALL SELECT conv_id, turn, 'unit', role FROM conversations),
-n AS (SELECT *, NORM AS norm, count(*) OVER (PARTITION BY conv_id, field, NORM) AS n FROM v WHERE value <> ''), t AS (SELECT conv_id, NORM AS title FROM v WHERE field = 'statement_title' AND NORM <> ''),
-h AS (SELECT n.*, CASE WHEN field = 'company_name' THEN (SELECT count(*) FROM t WHERE t.conv_id = n.conv_id AND contains(title, norm)) ELSE 0 END AS hits FROM n)
-SELECT conv_id, field, value FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, field ORDER BY n DESC, hits DESC, turn) = 1""".replace("NORM", _norm("value")))
-def metadata_vote_whole(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    v = c.selectExpr("conv_id", "'company_name' field", "turn idx", "trim(text) value").union(c.selectExpr("conv_id", "'statement_title'", "turn", "trim(text)")).union(c.selectExpr("conv_id", "'unit'", "turn", "role"))
-    return fusion.metadata_vote(v, ["conv_id"])
-
-
-@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
-def job_upsert_whole(spark, d):
-    """All events, put over a state of every customer: those without an event stay as they were."""
-    old = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.lit("old").alias("event_type"))
-    return sinks.upsert(old, spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id"), "user_id", "event_id")

@@ -3,8 +3,9 @@ sources too: anything that yields evidence tables of these shapes."""
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,70 +65,94 @@ def markdown_rows(content: Column) -> Column:
     return F.when(F.size(rows) >= 2, F.transform(body, lambda r: F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r)))))
 
 
-class _Grid(HTMLParser):
-    """Cells of the rows of HTML tables, with their spans."""
-
-    def __init__(self):
-        super().__init__()
-        self.rows: list[list[tuple[str, int, int, bool]]] = []
-        self.row = self.cell = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            own = dict(attrs)
-            span = lambda k: min(max(int(own.get(k) or 1), 1), 2000) if (own.get(k) or "1").strip().lstrip("-").isdigit() else 1
-            self.cell = [tag, [], span("rowspan"), span("colspan")]
-        elif tag == "br" and self.cell:
-            self.cell[1].append("\n")
-
-    def handle_data(self, data):
-        if self.cell:
-            self.cell[1].append(data)
-
-    def handle_endtag(self, tag):
-        if self.cell and tag == self.cell[0]:
-            self.row.append((" ".join("".join(self.cell[1]).split()), self.cell[2], self.cell[3], tag == "th"))
-            self.cell = None
-        elif tag == "tr" and self.row is not None:
-            self.rows += [self.row] if self.row else []
-            self.row = None
-
-
-def html_grid(content: str, most_rows: int = 2000, most_columns: int = 100) -> list[tuple[int, int, str, bool]]:
-    """(row, column, text, header) of a table; covered places are blank, tables beyond the bounds are empty."""
-    parser = _Grid()
-    parser.feed(content or "")
-    parser.close()
-    taken: dict[tuple[int, int], tuple[str, bool]] = {}
-    for r, cells in enumerate(parser.rows[: most_rows + 1]):
+_TAG = re.compile(r"""(?s)<!--.*?-->|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""")
+_SPAN = re.compile(r"""(?i)\b(rowspan|colspan)\s*=\s*["']?\s*(-?\d+)""")
+
+
+def _spans(attributes: str, most: int = 2000) -> tuple[int, int]:
+    found = {k.lower(): min(max(int(v), 1), most) for k, v in reversed(_SPAN.findall(attributes))}
+    return found.get("rowspan", 1), found.get("colspan", 1)
+
+
+def html_cells(content: str | None) -> list[list[list[tuple[str, int, int, bool]]]]:
+    """The tables of a text: rows of (text, rows down, columns across, header). Tables inside cells are tables of their own;
+    rows outside any table make one."""
+    text, tables, at = content or "", [], 0
+    open_: list[dict] = []  # tables that are being read, the innermost last
+
+    def table() -> dict:
+        if not open_:
+            open_.append({"rows": [], "row": None, "cell": None})
+            tables.append(open_[0]["rows"])
+        return open_[-1]
+
+    def say(part: str) -> None:
+        if open_ and open_[-1]["cell"]:
+            open_[-1]["cell"][1].append(part)
+
+    for m in _TAG.finditer(text):
+        say(html.unescape(text[at : m.start()]))
+        at = m.end()
+        closing, name = m[1], (m[2] or "").lower()
+        if name == "table":
+            if closing:
+                open_ = open_[:-1]
+            else:
+                open_.append({"rows": [], "row": None, "cell": None})
+                tables.append(open_[-1]["rows"])
+        elif name == "tr":
+            t = table()
+            if closing and t["row"]:
+                t["rows"].append(t["row"])
+            t["row"], t["cell"] = (None if closing else []), (t["cell"] if closing else None)
+        elif name in ("td", "th") and open_ and open_[-1]["row"] is not None:
+            t = open_[-1]
+            if not closing:
+                t["cell"] = (name, [], *_spans(m[3]))
+            elif t["cell"] and t["cell"][0] == name:
+                t["row"].append((" ".join("".join(t["cell"][1]).split()), *t["cell"][2:], name == "th"))
+                t["cell"] = None
+        elif name == "br" and not closing:
+            say("\n")
+    return [rows for rows in tables if rows]
+
+
+def placed(rows: list[list[tuple[str, int, int, bool]]], most_rows: int = 2000, most_columns: int = 100) -> list[tuple[int, int, str, bool]]:
+    """(row, column, text, header) of a table's grid; covered places are blank, a table beyond the bounds is empty."""
+    if len(rows) > most_rows:
+        return []
+    until: list[int] = []  # by column: the row up to which it is taken
+    cells: dict[tuple[int, int], tuple[str, bool]] = {}
+    deep = 0
+    for r, row in enumerate(rows):
         c = 0
-        for text, down, across, head in cells:
-            while (r, c) in taken:
+        for text, down, across, head in row:
+            while c < len(until) and until[c] > r:
                 c += 1
             if c + across > most_columns or r + down > most_rows:
                 return []
-            for y in range(r, r + down):
-                for x in range(c, c + across):
-                    taken[y, x] = (text if (y, x) == (r, c) else "", head)
-            c += across
-    if not taken or len(parser.rows) > most_rows:
-        return []
-    high, wide = max(y for y, _ in taken) + 1, max(x for _, x in taken) + 1
-    return [(y, x, *taken.get((y, x), ("", False))) for y in range(high) for x in range(wide)]
+            until += [0] * (c + across - len(until))
+            until[c : c + across] = [max(r + down, x) for x in until[c : c + across]]
+            cells[r, c] = (text, head)
+            deep, c = max(deep, r + down), c + across
+    return [(y, x, *cells.get((y, x), ("", False))) for y in range(deep) for x in range(len(until))]
+
+
+def html_grid(content: str | None) -> list[tuple[int, int, int, str, bool]]:
+    """(table, row, column, text, header) of all tables of a text."""
+    return [(t, *cell) for t, rows in enumerate(html_cells(content)) for cell in placed(rows)]
 
 
-def html_tables(rows: DataFrame, key: str, html: str) -> DataFrame:
-    """Grid cells (key, row, col, text, header) of HTML tables."""
+def html_tables(rows: DataFrame, key: str, payload: str) -> DataFrame:
+    """Grid cells (key, table_index, row, col, text, header) of HTML tables."""
     kind = dict(rows.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(k, *cell) for k, h in zip(pdf[key], pdf[html], strict=True) for cell in html_grid(h)]
-            yield pd.DataFrame(out, columns=[key, "row", "col", "text", "header"])
+            out = [(k, *cell) for k, h in zip(pdf[key], pdf[payload], strict=True) for cell in html_grid(h)]
+            yield pd.DataFrame(out, columns=[key, "table_index", "row", "col", "text", "header"])
 
-    return rows.select(key, html).mapInPandas(run, f"{key} {kind}, row long, col long, text string, header boolean")
+    return rows.select(key, payload).mapInPandas(run, f"{key} {kind}, table_index long, row long, col long, text string, header boolean")
 
 
 def sse_frames(lines: DataFrame, key: str, order: str, line: str) -> DataFrame:

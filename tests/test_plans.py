@@ -34,6 +34,6 @@ def test_scans_are_narrow(spark):
 
 
 def test_no_python_but_where_it_is_named(spark):
-    named = {"seq_ratio", "row_label_match", "replay_trim", "overlap_dedup", "continuation_repair", "html_tables", "safe_filename"}
+    named = {"seq_ratio", "row_label_match", "replay_trim", "overlap_dedup", "continuation_repair", "html_tables", "safe_filename", "cross_page_link", "merged_rows", "logical_tables", "md_to_text"}
     python = {n for n, q in registry.queries().items() if re.search("Python|Pandas|Arrow", plan(q(spark, SF)))}
     assert python == named

@@ -42,5 +42,5 @@ def test_entry(spark):
     import __spark_entry__
 
     got = __spark_entry__.entry(spark)
-    assert got.columns == ["content_id", "trusted_pages", "degraded_pages", "untrusted_pages", "failed_pages", "acceptable"]
+    assert got.columns == ["content_id", "trusted_pages", "degraded_pages", "untrusted_pages", "failed_pages", "acceptable", "repaired_pages", "visual_pages", "calls", "resolved_conflicts", "unresolved_conflicts"]
     assert set(registry.queries()) <= set(__spark_entry__.queries())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from quirelake.operators import jobs
@@ -36,6 +38,15 @@ def test_state_machine(spark):
             state[r["job_id"]] = r["status"]
 
 
+def test_batch_and_stream_agree_on_illegal_moves(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [(j, i, rng.choice(("queued", "running", "completed", "partial", "failed", "cancelled"))) for j in range(60) for i in range(rng.randint(1, 8))]
+    df = spark.createDataFrame(rows, "job_id long, id long, status string")
+    df.coalesce(1).write.parquet(str(tmp_path / "log"))
+    live = run(events.live_state_machine(spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))), "moves")
+    assert {tuple(r) for r in live.select("job_id", "id", "verdict").collect()} == {tuple(r) for r in jobs.job_state_machine(df).select("job_id", "id", "verdict").collect()}
+
+
 def test_windows(spark):
     batch = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     want = {(r["hour"], r["event_type"]): r["n"] for r in events.hourly_counts(batch).collect()}

@@ -148,9 +148,9 @@ def test_links_consume_their_fragments(spark):
     rows, want = [], set()
     for doc in range(150):
         layouts = {p: rng.choice((1, 1, 1, 2)) for p in range(rng.randint(1, 9)) if rng.random() < 0.85}
-        rows += [(doc, p, p * 10 + k, k, True, 0.1, 0.9, [0.0, 0.5], "h") for p, n in layouts.items() for k in range(n)]
+        rows += [(doc, p, p * 10 + k, k, True, 0.1, 0.9, [0.0, 0.5], "h", True, 2) for p, n in layouts.items() for k in range(n)]
         want |= {(doc, a[0] * 10 + a[1], b[0] * 10 + b[1]) for a, b in greedy_links(layouts)}
-    df = spark.createDataFrame(rows, "content_id int, page_number int, fragment_id int, ordinal int, valid boolean, top double, bottom double, boundaries array<double>, header string")
+    df = spark.createDataFrame(rows, "content_id int, page_number int, fragment_id int, ordinal int, valid boolean, top double, bottom double, boundaries array<double>, header string, has_header boolean, n_rows int")
     assert {tuple(r) for r in tables.cross_page_link(df).collect()} == want
 
 
@@ -226,20 +226,148 @@ def test_replay_and_overlap():
     assert fuzzy.kept_of_overlap([a, row(0, 1, "x", "8", "9"), a]) == [0, 1]
 
 
-def test_continuation():
-    part = lambda page, rows, **x: {"page_number": page, "ordinal": 0, "valid": True, "top": 0.1, "bottom": 0.9, "boundaries": [0.0, 0.5], "rows": rows} | x
-    wide, short = [["Name", "", "Sum"], ["a", "b", "c"]], [["Name", "Sum"], ["d", "e"]]
-    got = fuzzy.repaired([part(1, wide), part(2, short), part(3, short), part(5, short)])
-    assert [p["rows"][1] for p in got] == [["a", "b", "c"], ["d", "", "e"], ["d", "", "e"], ["d", "e"]]
-    assert fuzzy.repaired([part(1, wide), part(2, short, top=0.3)])[1]["rows"] == short
+def greedy_repair(parts, least=0.8):
+    """Fragments by page, repaired one after the other."""
+    parts = [dict(p) for p in parts]
+    for page in sorted({p["page_number"] for p in parts}):
+        here, after = ([p for p in parts if p["page_number"] == n] for n in (page, page + 1))
+        if not after:
+            continue
+        a, b = max(here, key=lambda p: p["ordinal"]), min(after, key=lambda p: p["ordinal"])
+        if not (a["valid"] and b["valid"] and a["bottom"] >= 0.85 and b["top"] <= 0.15 and a["rows"] and b["rows"]):
+            continue
+        blank = [i for i, c in enumerate(a["rows"][0]) if not c.strip()]
+        names = ["|".join("".join(c.split()).casefold() for c in x["rows"][0] if c.strip()) for x in (a, b)]
+        edges = (abs(a["boundaries"][0] - b["boundaries"][0]) + abs(a["boundaries"][-1] - b["boundaries"][-1])) / 2
+        if not blank or len(a["rows"][0]) - len(b["rows"][0]) != len(blank) or not all(names) or difflib.SequenceMatcher(None, *names).ratio() < least or edges > 0.02:
+            continue
+        wide = []
+        for r in b["rows"]:
+            own = iter(r)
+            wide.append(["" if i in blank else next(own) for i in range(len(a["rows"][0]))] if len(r) == len(b["rows"][0]) else None)
+        if None not in wide:
+            b["rows"], b["boundaries"] = wide, a["boundaries"]
+    return parts
+
+
+def test_continuation(spark):
+    rng = random.Random(8)
+    heads = [["Name", "", "Sum"], ["Name", "Sum"], ["Names", "Sum"], ["Name", "", "Sum", ""], ["", ""], ["Other", "x"]]
+    parts = []
+    for doc in range(120):
+        for page in range(rng.randint(1, 6)):
+            for k in range(rng.choice((1, 1, 1, 2))):
+                head = rng.choice(heads)
+                rows = [head] + [[f"{page}{i}" for i in range(len(head) + (rng.random() < 0.05))]]
+                parts.append((doc, page, k, rng.random() < 0.95, rng.choice((0.1, 0.1, 0.1, 0.3)), 0.9, [0.0, rng.choice((0.5, 0.5, 0.6))], rows if rng.random() < 0.95 else []))
+    schema = "content_id int, page_number int, ordinal int, valid boolean, top double, bottom double, boundaries array<double>, rows array<array<string>>"
+    df = spark.createDataFrame(parts, schema)
+    names = [f.name for f in df.schema]
+    want = {}
+    for doc in range(120):
+        for p in greedy_repair([dict(zip(names, x, strict=True)) for x in parts if x[0] == doc]):
+            want[doc, p["page_number"], p["ordinal"]] = (p["rows"], p["boundaries"])
+    got = {(r["content_id"], r["page_number"], r["ordinal"]): (r["rows"], r["boundaries"]) for r in fuzzy.continuation_repair(df).collect()}
+    assert got == want
+    assert sum(g[0] != list(p[7]) for g, p in zip((got[x[:3]] for x in parts), parts, strict=True)) > 5
+
+
+def test_replay_of_random_bands():
+    """Against a statement of the rule by brute force: no run is missed, none is cut."""
+    rng = random.Random(9)
+    for _ in range(400):
+        rows = [{"band": band, "row_index": i, "cells": [rng.choice(("", "a", "b", "c", "d")), rng.choice(("", "1")), rng.choice(("", "2"))]} for band in range(rng.randint(1, 3)) for i in range(rng.randint(1, 7))]
+        kept = []
+        for band in sorted({r["band"] for r in rows}):
+            own, runs, run, last = [r for r in rows if r["band"] == band], [], [], -1
+            if kept and len(own) >= 3:
+                full = lambda r: sum(bool(c) for c in r["cells"][1:])
+                for r in own:
+                    at = [k for k in range(last + 1, len(kept)) if r["cells"][0] and kept[k]["cells"][0] == r["cells"][0]]
+                    if at and full(r) <= full(kept[at[0]]):
+                        run.append((r, full(r) < full(kept[at[0]])))
+                        last = at[0]
+                    else:
+                        runs, run, last = [*runs, run], [], -1
+                gone = [id(r) for x in [*runs, run] if sum(less for _, less in x) >= 3 for r, less in x if less]
+                own = [r for r in own if id(r) not in gone]
+            kept += own
+        assert [rows[i] for i in fuzzy.kept_after_replay(rows)] == kept
 
 
 def test_html_grid():
     html = "<table><tr><th rowspan='2'>H</th><th colspan=2>a &amp; b<br>c</th></tr><tr><td> x  y </td></tr></table>"
-    grid = readers.html_grid(html)
-    assert [t for r, _, t, _ in grid if r == 0] == ["H", "a & b c", ""]
-    assert [t for r, _, t, _ in grid if r == 1] == ["", "x y", ""]
+    grid = readers.html_grid(html + "<p><TABLE><tr><td title='a>b'>second<!-- no --></TD></tr></table>")
+    assert [t for n, r, _, t, _ in grid if (n, r) == (0, 0)] == ["H", "a & b c", ""]
+    assert [t for n, r, _, t, _ in grid if (n, r) == (0, 1)] == ["", "x y", ""]
+    assert [x for x in grid if x[0] == 1] == [(1, 0, 0, "second", False)]
+    nested = readers.html_grid("<table><tr><td>a<table><tr><td>b</td></tr></table>c</td><td>d</td></tr></table>")
+    assert [(n, t) for n, _, _, t, _ in nested] == [(0, "ac"), (0, "d"), (1, "b")]
     assert readers.html_grid("<tr><td colspan=101>x</td></tr>") == [] == readers.html_grid(None)
+    assert readers.html_grid("<tr><td rowspan=2001>x</td></tr>" + "<tr><td>y</td></tr>" * 2000) == []
+
+
+def test_folding_is_that_of_unicode(spark):
+    texts = ["Straße ẞ", "ΣΊΣΥΦΟΣ ς", "ﬁnal ﬀ", "İstanbul", "ŉ ǰ ΐ", "Ꭰ ꭰ", "plain", "", None, "".join(T._folded())]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.fold(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in got] == [None if t is None else t.casefold() for t in texts]
+
+
+def test_sizes_and_texts(spark):
+    sizes = [None, 0, 1023, 1024, 1536, 10 * 1024, 10239, 1048575, 1048576, 12 * 1048576 + 600000, 5 * 2**30, 3000 * 2**30]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select(T.bytes_format(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in got] == ["—", "0 B", "1023 B", "1.00 KB", "1.50 KB", "10.0 KB", "10.00 KB", "1024.0 KB", "1.00 MB", "12.6 MB", "5.00 GB", "3000.0 GB"]
+    # any mark may close a pair that another one opens
+    marked = ["**a** \\**b** `c`", "&copy;&#233;&amp;lt;", "> - 1. x\n```py\ncode\n```\n\n\n\n[l](u) ![i](v) <b>t</b>", "## H\ntext\t\n"]
+    got = spark.createDataFrame([(t,) for t in marked], "t string").select(T.markdown_to_text(F.col("t")).alias("s")).collect()
+    assert [r["s"] for r in got] == ["a \\**b c`", "©é&lt;", "x\ncode\n\nl i t", "H\ntext"]
+
+
+def test_headers_alike_link_and_merge(spark):
+    rows = [(1, 1, 10, 0, True, 0.1, 0.9, [0.0, 0.5], "total|amount", True, 3), (1, 2, 20, 0, True, 0.1, 0.9, [0.0, 0.5], "total|amounts", True, 3), (2, 1, 30, 0, True, 0.1, 0.9, [0.0, 0.5], "total|amount", True, 3),
+            (2, 2, 40, 0, True, 0.1, 0.9, [0.0, 0.5], "x", False, 3), (3, 1, 50, 0, True, 0.1, 0.9, [0.0, 0.5], "abc", True, 3), (3, 2, 60, 0, True, 0.1, 0.9, [0.0, 0.5], "xyz", True, 3)]
+    df = spark.createDataFrame(rows, "content_id int, page_number int, fragment_id int, ordinal int, valid boolean, top double, bottom double, boundaries array<double>, header string, has_header boolean, n_rows int")
+    assert sorted(map(tuple, tables.cross_page_link(df).collect())) == [(1, 10, 20), (2, 30, 40)]
+    cells = [(10, 0, ["Total", "Amount"], True), (10, 1, ["a", "1"], True), (20, 0, ["total", "amounts"], True), (20, 1, ["b", "2"], True), (30, 0, ["Total", "Amount"], True), (40, 0, ["c", "3"], False)]
+    got = tables.merged_rows(spark.createDataFrame([(10, 20), (30, 40)], "left_id int, right_id int"), spark.createDataFrame(cells, "fragment_id int, row_index int, cells array<string>, has_header boolean"))
+    assert sorted((r["left_id"], r["row_index"], r["cells"]) for r in got.collect()) == [(10, 0, ["Total", "Amount"]), (10, 1, ["a", "1"]), (10, 2, ["b", "2"]), (30, 0, ["Total", "Amount"]), (30, 1, ["c", "3"])]
+
+
+def test_grid_anchor(spark):
+    assert tables.anchored([(0, 1, 0, 2), (0, 2, 1, 2), (1, 2, 0, 1), (1, 3, 0, 1), (0, 0, 0, 1)], 2, 2) == ([True, False, True, False, False], ["overlapping_cells", "cell_out_of_bounds"])
+    assert tables.anchored([(0, 1, 0, 1)], 0, 1) == ([False], ["invalid_dimensions"])
+    df = spark.createDataFrame([(1, 2, 2, 5, 0, 1, 0, 2), (1, 2, 2, 3, 0, 1, 0, 1)], "t int, num_rows int, num_cols int, arrival int, top int, bottom int, left int, right int")
+    assert tables.grid_anchor(df, ["t"]).first().asDict() == {"t": 1, "arrivals": [3], "reasons": ["overlapping_cells"]}
+
+
+def walk(statuses):
+    """A job's verdicts, one after the other."""
+    state, out = None, []
+    for s in statuses:
+        verdict = "start" if state is None else "same" if s == state else "allowed" if s in jobs.ALLOWED.get(state, []) else "error"
+        state = s if verdict in ("start", "allowed") else state
+        out.append((verdict, state))
+    return out
+
+
+def test_illegal_moves_leave_the_state(spark):
+    rng = random.Random(12)
+    logs = {j: [rng.choice(("queued", "running", "completed", "partial", "failed", "cancelled")) for _ in range(rng.randint(1, 9))] for j in range(400)}
+    df = spark.createDataFrame([(j, i, s, 100 + i) for j, log in logs.items() for i, s in enumerate(log)], "job_id int, id int, status string, at int")
+    got = {(r["job_id"], r["id"]): r["verdict"] for r in jobs.job_state_machine(df).collect()}
+    assert got == {(j, i): v for j, log in logs.items() for i, (v, _) in enumerate(walk(log))}
+    for r in jobs.transition_side_effects(df).collect():
+        log = logs[r["job_id"]]
+        moves = [(i, s) for i, (s, (v, _)) in enumerate(zip(log, walk(log), strict=True)) if v != "error"]
+        ran, ended = [i for i, s in moves if s == "running"], [i for i, s in moves if s in jobs.TERMINAL]
+        assert (r["status"], r["started_at"], r["completed_at"]) == (walk(log)[-1][1], 100 + ran[0] if ran else None, 100 + ended[-1] if ended else None)
+
+
+def test_quality_rules_of_tables_and_glyphs(spark):
+    pages = spark.createDataFrame([(1, "| a | 12.5% |\n12.5%"), (2, "| a | 12.5% |\n12.5% of it"), (3, "| a | 12 |\n12"), (4, "x\u00ad"), (5, "a\tb\n"), (6, "12.5%"), (7, "\U000F0000\u200b\u200b")], "p int, content string")
+    got = {r["p"]: (r["a"], r["b"]) for r in pages.select("p", quality.unanchored_numbers(F.col("content")).alias("a"), quality.suspicious_glyphs(F.col("content")).alias("b")).collect()}
+    assert got == {1: (True, False), 2: (False, False), 3: (False, False), 4: (False, True), 5: (False, False), 6: (False, False), 7: (False, True)}
+    assert sorted(map(tuple, quality.glyph_counts(pages, ["p"]).collect())) == [(4, "U+00AD", 1), (7, "U+200B", 2), (7, "U+F0000", 1)]
 
 
 def test_names():
