@@ -39,7 +39,7 @@ def normalised(text: Column) -> Column:
 
 
 def sha256(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))  # never null, so that no join asks for it again
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
@@ -96,12 +96,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows that exact_dedup keeps, with all their columns. Of rows with one id, one normalised text and one
     length, which are repeated ones and those with white space of other kinds, the one with the smallest text stays."""
-    winners = saved(_groups(_rows(docs, id_col, text_col, digest), salts).select("digest", F.sha2("norm", 256).alias("sure"), *_winner()))
-    kept = winners.select(F.struct("digest", "sure", F.col("keep_id").alias("id"), F.col("w_len").alias("len")).alias("key"))
-    text, norm = F.coalesce(F.col(text_col), F.lit("")), normalised(F.col(text_col))
-    key = F.struct(digest(norm).alias("digest"), F.sha2(norm, 256).alias("sure"), F.col(id_col).cast("long").alias("id"), F.char_length(text).alias("len"))
-    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"), text.alias("own")).join(kept, "key", "left_semi")
-    return rows.groupBy("key").agg(F.min_by("row", "own").alias("row")).select("row.*")
+    winners = _groups(_rows(docs, id_col, text_col, digest), salts).groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("rank").alias("rank"))
+    winners = saved(winners.select("digest", "texts", *_winner()))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # an id as text, as null ids are compared too
+    key = {"k_id": F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), "k_len": F.char_length(text)}
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest(normalised(text)).alias("digest"), *(v.alias(k) for k, v in key.items()))
+
+    def kept(rows: DataFrame, winners: DataFrame, keys: list[str]) -> DataFrame:
+        best = winners.select(*keys, F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("k_id"), F.col("w_len").alias("k_len"))
+        # the join deals by all keys, so that the aggregation needs no exchange of its own
+        met = rows.join(best, [*keys, "k_id", "k_len"])
+        return met.groupBy(*keys, "k_id", "k_len").agg(F.min_by("row", F.coalesce(F.col("row")[text_col], F.lit(""))).alias("row")).select("row.*")
+
+    out = kept(rows, winners.where("texts = 1"), ["digest"])
+    shared = winners.where("texts > 1").select("digest")
+    if not shared.take(1):
+        return out
+    some = _groups(_rows(docs, id_col, text_col, digest).join(shared, "digest", "left_semi"), salts).select("digest", "norm", *_winner())
+    rows = rows.join(shared, "digest", "left_semi").withColumn("norm", normalised(F.col("row")[text_col]))
+    return out.union(kept(rows, some, ["digest", "norm"]))
 
 
 ORACLE_SQL = r"""
