@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from quirelake.functions import text as T
 from quirelake.functions.pyfuncs import seq_ratio
@@ -179,7 +180,7 @@ def grid_anchor(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Per table (keys, num_rows, num_cols): the kept cells and the reasons for those that are not, from cells (arrival,
     top, bottom, left, right). A table's cells are gathered in its row: 200,000 at most can have a place."""
 
-    @F.arrow_udf("struct<kept:array<boolean>,reasons:array<string>>")
+    @F.arrow_udf(StructType([StructField("kept", ArrayType(BooleanType())), StructField("reasons", ArrayType(StringType()))]))
     def place(groups: pa.Array, rows: pa.Array, columns: pa.Array) -> pa.Array:
         out = [anchored([(x["top"], x["bottom"], x["left"], x["right"]) for x in g], r, c) for g, r, c in zip(groups.to_pylist(), rows.to_pylist(), columns.to_pylist(), strict=True)]
         return pa.array([{"kept": k, "reasons": w} for k, w in out], pa.struct([("kept", pa.list_(pa.bool_())), ("reasons", pa.list_(pa.string()))]))

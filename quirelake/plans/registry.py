@@ -48,10 +48,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quirelake.plans import rules  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quirelake.plans import rules  # noqa: F401
+
     return dict(_ORACLE)
 
 
@@ -848,15 +852,6 @@ def input_exactly_one(spark, d):
     return _docs(spark, d).select("doc_id", (sum((g.isNotNull().cast("int") for g in given), F.lit(0)) == 1).alias("valid"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'report.pdf' WHEN 1 THEN 'report' || doc_id || '.pdf' ELSE 'mismatch' END AS name FROM documents")
-def extension_agreement(spark, d):
-    name = F.expr("CASE doc_id % 4 WHEN 0 THEN 'report.PDF' WHEN 1 THEN concat('report', doc_id) WHEN 2 THEN 'a.png' ELSE 'b.docx' END")
-    rows = _docs(spark, d).select("doc_id", name.alias("n"))
-    suffix = F.lower(F.regexp_extract("n", r"(\.[A-Za-z0-9]+)$", 1))
-    out = F.when(suffix == "", F.concat("n", F.lit(".pdf"))).when(suffix == ".pdf", F.lower("n")).otherwise("mismatch")
-    return rows.select("doc_id", out.alias("name"))
-
-
 @query("""WITH r AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '# ' || role WHEN 1 THEN '<!-- image -->' ELSE role END AS t FROM conversations) SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn, t) AS markdown FROM r GROUP BY conv_id""")
 def region_markdown(spark, d):
     rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.expr("CASE turn % 3 WHEN 0 THEN concat('# ', role) WHEN 1 THEN '<!-- image -->' ELSE role END"))
@@ -909,11 +904,6 @@ def asset_gallery(spark, d):
     return rows.where("kind = 'image'").join(preview, F.col("id") == F.col("parent"), "left").select("id", F.coalesce("pid", "id").alias("shown"))
 
 
-@query("SELECT doc_id, length(lang) > 1 AND lang <> reverse(lang) AS mismatch FROM documents")
-def heading_order_mismatch(spark, d):
-    return _docs(spark, d).select("doc_id", T.anagram_only(F.concat(F.lit("# "), "lang"), F.reverse("lang")).alias("mismatch"))
-
-
 _GLYPHED = "concat(text, CASE WHEN doc_id % 3 = 0 THEN concat(chr(173), chr(65533), {e000}) ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN chr(1) ELSE chr(10) END)"
 
 
