@@ -78,18 +78,21 @@ def conflict_apply(conflicts: DataFrame, answers: DataFrame, keys: list[str], k:
     return rows.select(*keys, "conflict_id", F.coalesce("observed", "final").alias("final"), F.col("observed").isNotNull().alias("resolved"))
 
 
+#: Codes that a page has dealt with once it is adopted (fixed values).
+RESOLVED = ["low_text_content", "repeated_text", "table_header_propagation", "table_shape_explosion", "table_structure_invalid", "unanchored_table_numbers", "visual_text_mismatch"]
+
+
 def page_overlay(pages: DataFrame, adopted: DataFrame, keys: list[str]) -> DataFrame:
     """Adopted pages replace those with their keys."""
     return pages.join(adopted.select(*keys), keys, "left_anti").unionByName(adopted)
 
 
-def band_combine(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of all bands in order; exact repeats of a non-empty row go, the first stays."""
-    sig = T.header_signature(F.transform("cells", lambda c: F.coalesce(F.replace(c, F.lit("−"), F.lit("-")), F.lit(""))))
-    rows = rows.withColumn("sig", sig)
-    place = F.row_number().over(Window.partitionBy(*keys, "sig").orderBy("band", "row_index"))
-    kept = rows.withColumn("place", place).where((F.col("place") == 1) | (F.col("sig") == ""))
-    return kept.withColumn("out_index", F.row_number().over(Window.partitionBy(*keys).orderBy("band", "row_index")) - 1).drop("sig", "place")
+def adopt(pages: DataFrame, fragments: DataFrame, warnings: DataFrame, new_pages: DataFrame, new_fragments: DataFrame, keys: list[str], resolved: list[str] = RESOLVED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, fragments and warnings after some pages were adopted: theirs replace what was there, and the warnings that adopting
+    them resolves go."""
+    there = new_pages.select(*keys).distinct()
+    left = warnings.join(there.withColumn("__new", F.lit(True)), keys, "left").where(F.col("__new").isNull() | ~F.col("code").isin(*resolved)).drop("__new")
+    return page_overlay(pages, new_pages, keys), fragments.join(there, keys, "left_anti").unionByName(new_fragments), left
 
 
 def cell_quality(cells: DataFrame, keys: list[str]) -> DataFrame:

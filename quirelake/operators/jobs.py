@@ -74,6 +74,12 @@ def event_rename(state: Column) -> tuple[Column, Column]:
     return name, F.when(state == "page.processed", "page_pipeline").otherwise(state)
 
 
+def event_page(state: Column, current: Column, selected: Column) -> Column:
+    """The page that an event about a finished page means: the selected one at its place."""
+    ended = state.isin("page.completed", "page.warning", "page.failed")
+    return F.when(ended & (current >= 1) & (current <= F.size(selected)), F.get(selected, (current - 1).cast("int")))
+
+
 def event_ids(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Ids per job; heartbeats take one but are not stored."""
     return events.withColumn("id", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("event") != "heartbeat")

@@ -40,6 +40,30 @@ def heading_flag(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("median_size", median).withColumn("heading", F.coalesce((F.col("median_size") > 0) & (F.col("bold") | (F.col("size") >= 1.28 * F.col("median_size"))), F.lit(False)))
 
 
+def native_markdown(blocks: DataFrame) -> DataFrame:
+    """Pages written from their native blocks in reading order: bold or large ones of up to eighty letters are headings."""
+    rows = heading_flag(reading_order(blocks)).withColumn("t", T.strip(F.col("text"))).where("t <> ''")
+    short = F.char_length(T.compact_text(F.col("t"))) <= 80
+    text = F.when(F.col("heading") & short, F.concat(F.lit("## "), F.col("t"))).otherwise(F.col("t"))
+    listed = F.array_sort(F.collect_list(F.struct("reading_order", text.alias("t"))))
+    return rows.groupBy(*PAGE).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("markdown"))
+
+
+def region_markdown(regions: DataFrame) -> DataFrame:
+    """Pages written from layout regions (…, ord, label, native_label, content, rendered): titles get their marks, pictures a
+    placeholder, tables what was rendered of them, else their content."""
+    c, label, native = T.strip(F.coalesce("content", F.lit(""))), F.coalesce("label", F.lit("")), F.coalesce("native_label", F.lit(""))
+    some = lambda *xs: F.array_join(F.filter(F.array(*xs), lambda x: x != ""), "\n\n")
+    titled = lambda mark: F.when(c.startswith("#"), c).otherwise(F.concat(F.lit(mark), c))
+    text = (
+        F.when((label == "table") | (native == "table"), F.coalesce("rendered", c))
+        .when((label == "image") | native.isin("chart", "image", "footer_image", "header_image"), some(F.lit("<!-- image -->"), c))
+        .when(c == "", "").when(native == "doc_title", titled("# ")).when(native == "paragraph_title", titled("## ")).otherwise(c)
+    )
+    listed = F.filter(F.array_sort(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"] != "")
+    return regions.groupBy(*PAGE).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("markdown"))
+
+
 def region_order(regions: DataFrame) -> DataFrame:
     """Final reading order 1..n by top, left and given order; regions without a box come last."""
     key = [F.coalesce("bbox.top", F.lit(2.0)), F.coalesce("bbox.left", F.lit(2.0)), F.col("ord")]
@@ -76,8 +100,8 @@ def order_inversion(anchors: DataFrame, pages: DataFrame, least: int = 4) -> Dat
     once = a.groupBy(*PAGE, "a").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).where("n = 1")
     listed = once.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("ord", "a"))).alias("anchors"))
     met = listed.join(pages.select(*PAGE, T.compact_text(F.col("content")).alias("body")), PAGE)
-    # where an anchor stands, if it does so once
-    places = F.expr("filter(transform(anchors, x -> if(instr(body, x.a) > 0 AND locate(x.a, body, instr(body, x.a) + char_length(x.a)) = 0, instr(body, x.a), 0)), p -> p > 0)")
-    back = F.expr("exists(sequence(1, size(places) - 1), i -> places[i] < places[i - 1])")
-    found = met.select(*PAGE, places.alias("places")).where(F.size("places") > 0)
-    return found.select(*PAGE, ((F.size("places") >= least) & F.when(F.size("places") > 1, back).otherwise(False)).alias("inverted"))
+    # where an anchor stands, if it does so once; then one walk, in which no expression is worked out again for each anchor
+    places = "filter(transform(anchors, x -> if(instr(body, x.a) > 0 AND locate(x.a, body, instr(body, x.a) + char_length(x.a)) = 0, instr(body, x.a), 0)), p -> p > 0)"
+    start, step = "named_struct('n', 0, 'last', 0, 'back', false)", "(s, p) -> named_struct('n', s.n + 1, 'last', p, 'back', s.back OR p < s.last)"
+    walked = met.select(*PAGE, F.expr(f"aggregate({places}, {start}, {step})").alias("w"))
+    return walked.where("w.n > 0").select(*PAGE, ((F.col("w.n") >= least) & F.col("w.back")).alias("inverted"))

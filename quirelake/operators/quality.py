@@ -167,15 +167,19 @@ def warning_union(known: DataFrame, found: DataFrame, keys: list[str]) -> DataFr
     return known.unionByName(found.join(known.select(*keys).distinct(), keys, "left_anti"))
 
 
+def coverage(reference: Column, candidate: Column) -> Column:
+    """Share of a compact text's characters, with repeats, that another has. Each distinct character is counted once."""
+    count = lambda text, ch: (F.char_length(text) - F.char_length(F.replace(text, ch, F.lit("")))).cast("long")
+    letters = F.filter(F.array_distinct(F.split(reference, "")), lambda ch: ch != "")
+    both = F.aggregate(letters, F.lit(0).cast("long"), lambda s, ch: s + F.least(count(reference, ch), count(candidate, ch)))
+    none = F.when(F.coalesce(F.char_length(candidate), F.lit(0)) == 0, 1.0).otherwise(0.0)
+    return F.when(F.coalesce(F.char_length(reference), F.lit(0)) == 0, none).otherwise(both / F.char_length(reference))
+
+
 def char_multiset_coverage(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
-    """Share of the reference's characters, with repeats, that the candidate has. Each distinct character is counted inside the
-    row; a pair is one row and nothing is exchanged."""
+    """Share of the reference's characters, with repeats, that the candidate has. A pair is one row and nothing is exchanged."""
     rows = pairs.select(key, T.compact_text(F.col(reference)).alias("r"), T.compact_text(F.col(candidate)).alias("c"))
-    count = lambda text, ch: (F.char_length(text) - F.char_length(F.replace(text, ch, F.lit("")))).cast("long")
-    letters = F.filter(F.array_distinct(F.split("r", "")), lambda ch: ch != "")
-    both = F.aggregate(letters, F.lit(0).cast("long"), lambda s, ch: s + F.least(count(F.col("r"), ch), count(F.col("c"), ch)))
-    none = F.when(F.coalesce(F.char_length("c"), F.lit(0)) == 0, 1.0).otherwise(0.0)
-    return rows.select(key, F.when(F.coalesce(F.char_length("r"), F.lit(0)) == 0, none).otherwise(both / F.char_length("r")).alias("coverage"))
+    return rows.select(key, coverage(F.col("r"), F.col("c")).alias("coverage"))
 
 
 def multiset_intersect(rows: DataFrame, key: str, token: str, side: str) -> DataFrame:

@@ -197,9 +197,3 @@ def parallel_split(tables: DataFrame) -> DataFrame:
     half = (F.size("columns") / 2).cast("int")
     sides = F.when(split, F.array(F.struct(F.lit("left").alias("side"), F.slice("columns", 1, half).alias("columns")), F.struct(F.lit("right").alias("side"), F.slice("columns", half + 1, half).alias("columns")))).otherwise(F.array(F.struct(F.lit("single").alias("side"), F.col("columns").alias("columns"))))
     return tables.select("table_id", F.explode(sides).alias("s")).select("table_id", "s.side", "s.columns")
-
-
-def band_count(rows: Column, cols: Column, calls: int = 3) -> tuple[Column, Column]:
-    """(bands, parallel) for a dense table: a band a twenty rows, within the calls left."""
-    want = F.ceil((rows - 1) / 20)
-    return F.greatest(F.least(want, F.lit(calls)), F.lit(1)), (rows >= 20) & (cols >= 8)

@@ -104,6 +104,13 @@ def route(mode: Column, mime: Column, size: Column, units: Column) -> Column:
     return F.when((mode == "async") | mime.startswith("video/") | (size > 20 * 1024 * 1024) | (units > 10), "async").otherwise("sync")
 
 
+def profile_settings(profile: Column, ocr_scale: Column) -> tuple[Column, Column, Column]:
+    """(policy for expensive looks, scale of renderings, scale of OCR) of a profile."""
+    fast, accurate = profile == "fast", profile == "accurate"
+    ocr = F.when(fast, F.least(ocr_scale, F.lit(2.0))).when(accurate, F.greatest(ocr_scale, F.lit(3.0))).otherwise(ocr_scale)
+    return F.when(accurate, "auto_visual").otherwise("off"), F.when(fast, 1.5).when(accurate, 2.5).otherwise(2.0), ocr
+
+
 _WORD = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 
 

@@ -60,6 +60,10 @@ INPUTS = {
 }
 
 
+#: The same blocks where they are keys.
+INPUTS["blocks_once"] = INPUTS["blocks"].replace("FROM {lineitem}", f"FROM {LINES} l")
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame."""
     return spark.sql(INPUTS[name].format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}))

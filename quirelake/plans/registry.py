@@ -48,13 +48,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quirelake.plans import rules  # noqa: F401  registers its own
+    from quirelake.plans import recipes, rules  # noqa: F401  they register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quirelake.plans import rules  # noqa: F401
+    from quirelake.plans import recipes, rules  # noqa: F401
 
     return dict(_ORACLE)
 
@@ -443,12 +443,6 @@ def parallel_split(spark, d):
     return tables.parallel_split(t).select("table_id", "side", F.array_join("columns", ",").alias("columns"))
 
 
-@query("SELECT o_orderkey AS table_id, greatest(least(ceil((o_orderkey % 90) / 20e0)::BIGINT, 3), 1) AS bands, o_orderkey % 90 + 1 >= 20 AND o_custkey % 12 >= 8 AS parallel FROM orders")
-def band_plan(spark, d):
-    n, par = tables.band_count(F.col("r"), F.col("c"))
-    return spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey table_id", "o_orderkey % 90 + 1 r", "o_custkey % 12 c").select("table_id", n.alias("bands"), par.alias("parallel"))
-
-
 @query("WITH lines AS " + LINES.format(lineitem="lineitem") + """, r AS (SELECT l_orderkey AS f, l_linenumber - 1 AS i, CASE WHEN l_linenumber = 1 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'Headline' WHEN l_orderkey % 3 = 1 THEN 'head lines ' ELSE 'other' END ELSE l_partkey::VARCHAR END AS cell FROM lines),
 p AS (SELECT f AS a, f + 1 AS b FROM r WHERE i = 0 AND f % 2 = 0 AND f + 1 IN (SELECT f FROM r WHERE i = 0)),
 u AS (SELECT a, 0 AS part, i, cell FROM p JOIN r ON f = a UNION ALL SELECT a, 1, i, cell FROM p JOIN r ON f = b WHERE i > 0 OR b % 5 = 0 OR a % 3 = 2 OR b % 3 = 2)
@@ -519,12 +513,6 @@ def conflict_apply(spark, d):
     return fusion.conflict_apply(c.drop("observed"), c.select("page_id", "conflict_id", "observed"), ["page_id"])
 
 
-@query("SELECT doc_id, lang AS text FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0")
-def page_overlay(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    return fusion.page_overlay(docs.selectExpr("doc_id", "lang text"), docs.where("doc_id % 3 = 0").selectExpr("doc_id", "source text"), ["doc_id"])
-
-
 @query("""WITH v AS (SELECT conv_id, turn, 'company_name' AS field, trim(text) AS value FROM conversations UNION ALL SELECT conv_id, turn, 'statement_title', trim(text) FROM conversations UNION ALL SELECT conv_id, turn, 'unit', role FROM conversations),
 n AS (SELECT *, NORM AS norm, count(*) OVER (PARTITION BY conv_id, field, NORM) AS n FROM v WHERE value <> ''), t AS (SELECT conv_id, NORM AS title FROM v WHERE field = 'statement_title' AND NORM <> ''),
 h AS (SELECT n.*, CASE WHEN field = 'company_name' THEN (SELECT count(*) FROM t WHERE t.conv_id = n.conv_id AND contains(title, norm)) ELSE 0 END AS hits FROM n)
@@ -535,14 +523,6 @@ def metadata_vote(spark, d):
     return fusion.metadata_vote(v, ["conv_id"])
 
 
-@query("""WITH r AS (SELECT conv_id, turn AS band, 0 AS i, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS cell FROM conversations UNION ALL SELECT conv_id, turn, 1, 'T' || (turn % 2) FROM conversations),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(cell) ORDER BY band, i) AS p FROM r) SELECT conv_id, band, i::BIGINT AS row_index, cell, row_number() OVER (PARTITION BY conv_id ORDER BY band, i) - 1 AS out_index FROM k WHERE p = 1 OR cell = ''""")
-def band_combine(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    rows = c.selectExpr("conv_id", "turn band", "0 row_index", "array(if(turn % 3 = 0, '', role)) cells").union(c.selectExpr("conv_id", "turn", "1", "array(concat('T', turn % 2))"))
-    return fusion.band_combine(rows, ["conv_id"]).selectExpr("conv_id", "band", "row_index", "cells[0] cell", "out_index")
-
-
 # ---- media -------------------------------------------------------------------------------------
 
 
@@ -619,12 +599,6 @@ def progress_merge(spark, d):
     return jobs.progress_merge(source(spark, d, "jobs_ev")).select("job_id", "id", "live")
 
 
-@query(f"{cte('jobs_ev')} SELECT job_id, id, CASE WHEN state IN ('page.completed', 'page.warning', 'page.failed') THEN state ELSE 'job.progress' END AS name, CASE WHEN state = 'page.processed' THEN 'page_pipeline' ELSE state END AS phase FROM jobs_ev")
-def event_rename(spark, d):
-    name, phase = jobs.event_rename(F.col("state"))
-    return source(spark, d, "jobs_ev").select("job_id", "id", name.alias("name"), phase.alias("phase"))
-
-
 @query(f"{cte('jobs_ev')} SELECT job_id, id AS event_id, i AS id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY id) AS i FROM jobs_ev) WHERE state <> 'heartbeat'")
 def event_ids(spark, d):
     return jobs.event_ids(source(spark, d, "jobs_ev").withColumnRenamed("id", "event_id").withColumnRenamed("state", "event"), "job_id", ["event_id"]).select("job_id", "event_id", "id")
@@ -677,11 +651,6 @@ def page_evidence_join(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").join(ev, "doc_id", "left").select("doc_id", "chars", F.coalesce("m", F.lit(False)).alias("measured"))
 
 
-@query("SELECT o_custkey AS table_id, array_to_string(list_sort(list(DISTINCT o_orderkey % 30)), ',') AS members FROM orders GROUP BY o_custkey")
-def logical_members(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("table_id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("o_orderkey") % 30)).cast("array<string>"), ",").alias("members"))
-
-
 @query("SELECT l_orderkey AS unit, coalesce(min(l_partkey % 50 / 1e2), 0.02e0) AS x0, coalesce(max(l_suppkey % 50 / 1e2 + 0.5e0), 0.98e0) AS x1 FROM lineitem GROUP BY l_orderkey")
 def union_bbox(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey unit", "l_partkey % 50 / 1e2 x0", "l_suppkey % 50 / 1e2 + 5e-1 x1")
@@ -697,11 +666,6 @@ def dropped_repeats(spark, d):
     return rows.join(kept.select("a", "i"), ["a", "i"], "left_anti").select("a", "i")
 
 
-@query("SELECT event_type, count(*) AS n, max(event_id) AS most, count(*) FILTER (event_id % 2 = 0) AS ok FROM events GROUP BY event_type")
-def run_report(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("most"), F.count_if(F.col("event_id") % 2 == 0).alias("ok"))
-
-
 @query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
 def event_props(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
@@ -774,12 +738,6 @@ def byte_range(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", start.alias("start"), end.alias("end"), error.alias("error"))
 
 
-@query("WITH p AS (SELECT conv_id, string_agg('<!-- page: ' || turn || ' -->' || chr(10) || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn, text) AS m FROM conversations GROUP BY conv_id) SELECT conv_id, md5(m) AS h FROM p")
-def document_rendering(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn page_number", "text content")
-    return sinks.document_rendering(rows, "conv_id").select("conv_id", F.md5("markdown").alias("h"))
-
-
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)")
 def job_upsert(spark, d):
     """All events, put over a state of every customer: those without an event stay as they were."""
@@ -852,12 +810,6 @@ def input_exactly_one(spark, d):
     return _docs(spark, d).select("doc_id", (sum((g.isNotNull().cast("int") for g in given), F.lit(0)) == 1).alias("valid"))
 
 
-@query("""WITH r AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '# ' || role WHEN 1 THEN '<!-- image -->' ELSE role END AS t FROM conversations) SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn, t) AS markdown FROM r GROUP BY conv_id""")
-def region_markdown(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("t", F.expr("CASE turn % 3 WHEN 0 THEN concat('# ', role) WHEN 1 THEN '<!-- image -->' ELSE role END"))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n\n").alias("markdown"))
-
-
 @query(f"{cte('pages_q')}, {_CODES} SELECT page_number, count(*) AS pages, array_to_string(list_sort(list_distinct(flatten(list(codes)))), ',') AS codes FROM v WHERE len(codes) > 0 GROUP BY page_number")
 def warning_log(spark, d):
     rows = quality.page_codes(source(spark, d, "pages_q"), ["content_id", "page_number"]).where(F.size("codes") > 0)
@@ -879,13 +831,6 @@ def retention_delete(spark, d):
     return rows.join(gone, "job_id", "left_anti").select("job_id")
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'off' WHEN 1 THEN 'auto' ELSE 'auto' END AS policy, CASE doc_id % 3 WHEN 0 THEN 1.5e0 WHEN 1 THEN 2e0 ELSE 2.5e0 END AS scale FROM documents")
-def profile_policy(spark, d):
-    profile = F.expr("element_at(array('fast', 'balanced', 'accurate'), cast(doc_id % 3 + 1 as int))")
-    rows = _docs(spark, d).select("doc_id", profile.alias("p"))
-    return rows.select("doc_id", F.when(F.col("p") == "fast", "off").otherwise("auto").alias("policy"), F.when(F.col("p") == "fast", 1.5).when(F.col("p") == "balanced", 2.0).otherwise(2.5).alias("scale"))
-
-
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS rendering FROM documents")
 def renderings_flag(spark, d):
     return _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("").alias("rendering"))
@@ -942,12 +887,6 @@ def md_to_text(spark, d):
     return _docs(spark, d).select("doc_id", T.markdown_to_text(text).alias("t"))
 
 
-@query("SELECT doc_id, lang || '=' || doc_id || ',' || source || '=7' AS toc FROM documents")
-def toc_lines(spark, d):
-    text = F.concat("lang", F.lit(" ..... "), F.col("doc_id").cast("string"), F.lit("\nno entry\n"), "source", F.lit("……… · ....7 "))
-    return _docs(spark, d).select("doc_id", F.array_join(F.transform(T.toc_entries(text), lambda e: F.concat(e["title"], F.lit("="), e["page"])), ",").alias("toc"))
-
-
 @query(f"{cte('blocks')} SELECT ord, CASE ord % 4 WHEN 1 THEN 1 - y1 WHEN 2 THEN 1 - x1 WHEN 3 THEN y0 ELSE x0 END AS x0, CASE ord % 4 WHEN 1 THEN x0 WHEN 2 THEN 1 - y1 WHEN 3 THEN 1 - x1 ELSE y0 END AS y0 FROM blocks WHERE x1 <= 1 AND y1 <= 1")
 def bbox_rotate(spark, d):
     rows = _with_box(source(spark, d, "blocks")).withColumn("b", G.valid(F.col("bbox"))).where("b is not null")
@@ -971,28 +910,6 @@ def languages_parse(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(T.languages(F.concat(F.upper("lang"), F.lit(" ,xx,,"), "lang", F.lit(", XX"))), ",").alias("languages"))
 
 
-@query("SELECT doc_id, '1-' || doc_id AS unit_range, doc_id % 2 = 0 AS legacy FROM documents")
-def legacy_record(spark, d):
-    key = F.when(F.col("doc_id") % 2 == 0, "page_range").otherwise("unit_range")
-    record = F.from_json(F.concat(F.lit('{"'), key, F.lit('":"1-'), F.col("doc_id").cast("string"), F.lit('","dropped":"x"}')), "map<string,string>")
-    return _docs(spark, d).select("doc_id", F.coalesce(record["unit_range"], record["page_range"]).alias("unit_range"), F.map_contains_key(record, "page_range").alias("legacy"))
-
-
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_event(spark, d):
     return jobs.latest(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id"), "user_id", [F.desc("event_id")])
-
-
-@query("WITH f AS (SELECT conv_id, turn, 2 + turn % 2 AS w FROM conversations), g AS (SELECT DISTINCT conv_id, turn, w, first_value(w) OVER (PARTITION BY conv_id ORDER BY turn) AS first_w FROM f) SELECT conv_id, count(*) FILTER (w = first_w) AS kept, count(*) FILTER (w <> first_w) AS refused FROM g GROUP BY conv_id")
-def layout_contract(spark, d):
-    from pyspark.sql import Window
-
-    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", "2 + turn % 2 w").distinct()
-    first = F.first_value("w").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("f", first).groupBy("conv_id").agg(F.count_if(F.col("w") == F.col("f")).alias("kept"), F.count_if(F.col("w") != F.col("f")).alias("refused"))
-
-
-@query("SELECT doc_id, doc_id % 4 IN (0, 1) AS blocked FROM documents")
-def heading_between(spark, d):
-    tail = F.expr("CASE doc_id % 4 WHEN 0 THEN 'x\n# Part' WHEN 1 THEN '1.2 Part' WHEN 2 THEN '1. Part' ELSE 'see # Part' END")
-    return _docs(spark, d).select("doc_id", tail.rlike(r"(?m)^(?:#{1,6}\s+\S|第[一二三四五六七八九十百0-9]+[章节]\s*|\p{Nd}+(?:\.\p{Nd}+)+\s+\S)").alias("blocked"))

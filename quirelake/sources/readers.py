@@ -182,7 +182,21 @@ def gated_results(rows: DataFrame, key: str, payload: str, version: str = "conte
     return got.select(key, F.when(F.col("r").isNull(), "invalid").when(F.coalesce(F.col("r.schema_version"), F.lit("")) != version, "unsupported_version").alias("error"), "r.content_id", "r.status")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of a quality manifest of version 2."""
+def manifest(spark: SparkSession, path: str, cases: list[str] | None = None) -> DataFrame:
+    """Cases of a quality manifest of version 2; of the cases asked for, those that it does not have have an error."""
     doc = spark.read.option("multiLine", True).json(path)
-    return doc.where("version = 2").select(F.explode("cases").alias("c")).select("c.*")
+    rows = doc.where("version = 2").select(F.explode("cases").alias("c")).select("c.*")
+    if cases is None:
+        return rows.withColumn("error", F.lit(None).cast("string"))
+    wanted = spark.createDataFrame([(c,) for c in cases], "id string")
+    return wanted.join(rows.withColumn("__known", F.lit(True)), "id", "left").withColumn("error", F.when(F.col("__known").isNull(), "unknown_case")).drop("__known")
+
+
+def decoded_record(text: Column, fields: list[str]) -> tuple[Column, Column]:
+    """(options, whether the record is of an older form) of a stored job: an old name is replaced, unknown options go."""
+    options = F.from_json(F.get_json_object(text, "$.options"), "map<string,string>")
+    names = F.map_keys(options)
+    renamed = F.transform_keys(options, lambda k, _: F.when(k == "page_range", "unit_range").otherwise(k))
+    unknown = F.exists(names, lambda k: ~k.isin("page_range", *fields))
+    old = F.array_contains(names, "page_range") | unknown | (F.coalesce(F.get_json_object(text, "$.object"), F.lit("")) != "content.parse.job")
+    return F.map_filter(renamed, lambda k, _: k.isin(*fields)), F.coalesce(old, F.lit(True))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.functions import text as T
+
 
 def sse_emit(event_id: Column, event: Column, data: Column) -> Column:
     """A frame as it is sent."""
@@ -21,12 +23,15 @@ def byte_range(header: Column, size: Column) -> tuple[Column, Column, Column]:
     return F.when(error.isNull(), start), F.when(error.isNull(), F.least(end, size - 1)), error
 
 
-def document_rendering(pages: DataFrame, key: str) -> DataFrame:
-    """Pages in order with markers between them: Markdown, and text with form feeds."""
-    listed = F.array_sort(F.collect_list(F.struct("page_number", "content")))
-    md = F.array_join(F.transform(listed, lambda p: F.concat(F.lit("<!-- page: "), p["page_number"].cast("string"), F.lit(" -->\n\n"), F.trim(p["content"]))), "\n\n")
-    txt = F.array_join(F.transform(listed, lambda p: F.trim(p["content"])), "\n\f\n")
-    return pages.groupBy(key).agg(md.alias("markdown"), txt.alias("plain_text"))
+def document_rendering(pages: DataFrame, key: str, breaks: bool = True) -> DataFrame:
+    """Pages in order, normalised: Markdown, and plain text of it. With breaks, pages have a mark of their number, and form feeds between."""
+    md = T.markdown_normalized(F.coalesce("content", F.lit("")))
+    rows = pages.select(key, "page_number", md.alias("md")).withColumn("txt", T.markdown_to_text(F.col("md")))
+    mark = lambda a, b, c: T.right_strip(F.concat(F.lit(a), F.col("page_number").cast("string"), F.lit(b), F.col(c))) if breaks else F.col(c)
+    rows = rows.select(key, "page_number", mark("<!-- page: ", " -->\n\n", "md").alias("md"), mark("--- Page ", " ---\n\n", "txt").alias("txt"))
+    listed = F.array_sort(F.collect_list(F.struct("page_number", "md", "txt")))
+    joined = lambda c: T.strip(F.array_join(F.transform(listed, lambda p: p[c]), "\n\n\f\n\n" if breaks else "\n\n"))
+    return rows.groupBy(key).agg(joined("md").alias("markdown"), joined("txt").alias("plain_text"))
 
 
 def write_results(results: DataFrame, path: str, key: str = "content_id") -> None:

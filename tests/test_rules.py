@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import geometry as G
-from quirelake.operators import normalise, plumbing
-from quirelake.sources import safety
+from quirelake.operators import normalise, order, plumbing, visual
+from quirelake.sources import readers, safety, sinks
+
+F_SHA = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
 
 
 def one(spark, *columns):
@@ -137,3 +139,89 @@ def test_stop_and_budget(spark):
     calls = spark.createDataFrame([(1, i, i, o, s) for i, (o, s) in enumerate([("ok", 50.0), ("timeout", 100.0), ("ok", 40.0), ("timeout", 1.0)])], "k int, page_number int, ord int, outcome string, seconds double")
     assert [r["outcome"] for r in plumbing.stop_after_timeout(calls, "k").orderBy("page_number").collect()] == ["ok", "timeout", "skipped_after_timeout", "skipped_after_timeout"]
     assert [(r["made"], r["left"]) for r in plumbing.call_budget(calls, ["k"]).orderBy("ord").collect()] == [(True, 180.0), (True, 130.0), (True, 30.0), (False, 0.0)]
+
+
+# ---- order repair, added rows, lines, bands
+
+
+def brute_columns(boxes, width):
+    rows = sorted(range(len(boxes)), key=lambda i: (boxes[i][1], boxes[i][0]))
+    slim = sorted((i for i in rows if boxes[i][2] - boxes[i][0] <= 0.68 * width), key=lambda i: boxes[i][0] + boxes[i][2])
+    if len(slim) < 4:
+        return rows
+    at = [(boxes[i][0] + boxes[i][2]) / 2 for i in slim]
+    gap, cut = max((b - a, k) for k, (a, b) in enumerate(zip(at, at[1:], strict=False), 1))
+    left, right = slim[:cut], slim[cut:]
+    if gap < 0.18 * width or len(left) < 2 or len(right) < 2:
+        return rows
+    top, bottom = min(boxes[i][1] for i in slim), max(boxes[i][3] for i in slim)
+    wide = [i for i in rows if i not in slim]
+    above, below = [i for i in wide if boxes[i][3] <= top], [i for i in wide if boxes[i][1] >= bottom and boxes[i][3] > top]
+    return rows if len(above) + len(below) < len(wide) else above + [i for i in rows if i in left] + [i for i in rows if i in right] + below
+
+
+def test_columns_first():
+    rng = random.Random(5)
+    for _ in range(500):
+        boxes = []
+        for k in range(rng.randint(1, 9)):
+            x, y = rng.choice((0, 10, 300, 310)), k * 20 + rng.randint(0, 5)
+            boxes.append((x, y, x + rng.choice((200, 250, 550)), y + 10))
+        assert order.columns_first(boxes, 600) == brute_columns(boxes, 600)
+
+
+def test_native_order_repair(spark):
+    said = [f"Paragraph number {w} has its own words" for w in ("one", "two", "three", "four", "five")]
+    box = lambda i: (50.0, 20.0 * i, 500.0, 20.0 * i + 10)
+    pages = [(1, 1, "\n\n".join([said[4], said[0], said[2], "| a |", said[1], said[3]]), "native", 600, 800), (2, 1, "\n\n".join(said), "native", 600, 800), (3, 1, "\n\n".join([*reversed(said), "and more that no block has"]), "native", 600, 800), (4, 1, "\n\n".join(reversed(said)), "scanned", 600, 800)]
+    blocks = [(p, 1, i, t, *box(i)) for p in (1, 2, 3, 4) for i, t in enumerate(said)]
+    parts = [(1, 1, 0, "| a |", 0.1, 0.2, 0.9, 0.22)]
+    got = order.native_order_repair(
+        spark.createDataFrame(pages, "content_id int, page_number int, content string, source_kind string, page_width int, page_height int"),
+        spark.createDataFrame(blocks, "content_id int, page_number int, ord int, text string, left double, top double, right double, bottom double"),
+        spark.createDataFrame(parts, "content_id int, page_number int, ordinal int, rendered string, left double, top double, right double, bottom double"),
+    )
+    rows = {r["content_id"]: r for r in got.collect()}
+    assert rows[1]["content"] == "\n\n".join([*said, "| a |"]) and rows[1]["code"] == "native_reading_order_repaired"
+    assert (rows[2]["content"], rows[2]["code"]) == (pages[1][2], None)
+    assert rows[3]["content"] == pages[2][2] and rows[3]["code"] == "reading_order_inversion" and "character_coverage" in rows[3]["rejected"]
+    assert rows[4]["code"] is None
+
+
+def test_added_rows(spark):
+    table = [["Cash", "1"], ["Total assets", "3"], ["Net", "9"]]
+    source = [["Cash", "1"], ["Bonds", "2"], ["Total assets", "3"], ["only"], ["Loss", "5", "6"], ["Private", ""], ["Tail", "7"], ["Late", ""]]
+    got = visual.supplemented(table, source, 2)
+    assert got == [(["Cash", "1"], False), (["Bonds", "2"], True), (["Total assets", "3"], False), (["Net", "9"], False), (["Tail", "7"], True)]
+    rows = spark.createDataFrame([(1, i, r) for i, r in enumerate(table)], "t int, row_index int, cells array<string>")
+    other = spark.createDataFrame([(1, i, r, True) for i, r in enumerate([["Item", "Sum"], *source])], "t int, row_index int, cells array<string>, has_header boolean")
+    assert [(r["cells"], r["added"]) for r in visual.supplement_rows(rows, other, ["t"]).orderBy("row_index").collect()] == got
+    cells = visual.attached(rows, other, ["t"]).collect()
+    assert sorted((r["row_index"], r["col"], r["value"]) for r in cells) == [(0, 0, "Cash"), (0, 1, "1"), (1, 0, "Total assets"), (1, 1, "3")]
+
+
+def test_repeated_lines(spark):
+    assert visual.deduplicated(["A seal text", "x", "a  seal text", "a seal textt", "y"], ["A seal text"]) == ["A seal text", "x", "y"]
+    assert visual.deduplicated(["ab", "ab"], [""]) == ["ab", "ab"]
+    pages = spark.createDataFrame([("# 甲乙丙丁股份有限公司\n甲乙丙了股份有限公司\n| 甲乙丙了股份有限公司 |\n完全不同的公司\n\n\n\nx", "甲乙丙丁股份有限公司"), ("公司", None)], "content string, company string")
+    assert [r["content"] for r in visual.company_variants_dropped(pages).collect()] == ["# 甲乙丙丁股份有限公司\n| 甲乙丙了股份有限公司 |\n完全不同的公司\n\nx", "公司"]
+
+
+def test_bands(spark):
+    rows = spark.createDataFrame([(0, 5, 2, 0), (1, 21, 8, 0), (2, 60, 8, 0), (3, 60, 8, 1), (4, 60, 3, 5)], "id int, row_lines int, column_lines int, calls int")
+    assert [(r["bands"], r["parallel"]) for r in visual.band_plan(rows).orderBy("id").collect()] == [(1, False), (1, True), (2, True), (2, True), (1, False)]
+
+
+def test_sinks_and_records(spark, tmp_path):
+    results = spark.createDataFrame([("a", "{}", "# m", "m", ["w"]), ("b", "{}", "n", "n", [])], "content_id string, result string, markdown string, plain_text string, warnings array<string>")
+    sinks.write_results(results, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r/warnings")).count() == 1 and spark.read.parquet(str(tmp_path / "r/markdown")).count() == 2
+    assets = spark.createDataFrame([("x", F_SHA), ("y", "0" * 64)], "name string, sha256 string")
+    files = spark.createDataFrame([(bytearray(b"abc"),)], "content binary")
+    assert [r["name"] for r in sinks.verified_bundle(assets, files).collect()] == ["x"]
+    (tmp_path / "m.json").write_text('{"version": 2, "cases": [{"id": "one", "unit_range": "1"}, {"id": "two", "unit_range": "2"}]}')
+    got = {r["id"]: r["error"] for r in readers.manifest(spark, str(tmp_path / "m.json"), ["one", "none"]).collect()}
+    assert got == {"one": None, "none": "unknown_case"}
+    old = spark.createDataFrame([('{"object":"content.parse.job","options":{"page_range":"1","x":"2"}}',), ('{"object":"content.parse.job","options":{"unit_range":"1"}}',)], "t string")
+    options, legacy = readers.decoded_record(F.col("t"), ["unit_range"])
+    assert [(r["o"], r["l"]) for r in old.select(options.alias("o"), legacy.alias("l")).collect()] == [({"unit_range": "1"}, True), ({"unit_range": "1"}, False)]

@@ -380,7 +380,8 @@ def test_names():
 def test_sinks(spark, tmp_path):
     pages = spark.createDataFrame([(1, 2, " b "), (1, 1, "a")], "k int, page_number int, content string")
     r = sinks.document_rendering(pages, "k").first()
-    assert r["plain_text"] == "a\n\f\nb" and r["markdown"].startswith("<!-- page: 1 -->\n\na")
+    assert r["plain_text"] == "--- Page 1 ---\n\na\n\n\f\n\n--- Page 2 ---\n\nb" and r["markdown"].startswith("<!-- page: 1 -->\n\na")
+    assert sinks.document_rendering(pages, "k", breaks=False).first()["plain_text"] == "a\n\nb"
     assets = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "i int, content string")
     stored = assets.where("i = 3").select(F.sha2("content", 256).alias("sha256"))
     assert [r["content"] for r in sinks.new_assets(assets, stored).collect()] == ["x"]
