@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.operators import contract, fusion, jobs, layout, order, tables, units, visual
+from quirelake.operators import contract, fusion, jobs, layout, order, recipes, tables, units, visual
 from quirelake.plans import registry
 from quirelake.plans.inputs import INPUTS, cte, source
 from quirelake.plans.registry import _LINKED, _PAGES, _docs, _lines, _with_box, query
@@ -215,6 +215,57 @@ def contract_contents(spark, d):
     return got.select("schema_version", "content_id", "status", F.size("units").alias("units"), total("block_ids").alias("blocks"), total("table_ids").alias("tables"), F.array_join(F.transform("units", lambda u: u["unit_id"]), ",").alias("unit_ids"))
 
 
+# ---- recipes
+
+
+@query(None)
+def prepared_pages(spark, d):
+    """Pages from raw text to verdict, with native evidence."""
+    docs = _docs(spark, d).selectExpr("doc_id content_id", "1 page_number", "text", "source", "filter(split(text, '\\\\.'), x -> char_length(trim(x)) > 12) parts")
+    pages = docs.selectExpr("content_id", "page_number", "array_join(if(content_id % 3 = 0, reverse(parts), parts), '\n\n') content", "if(content_id % 2 = 0, 'native', 'mixed') source_kind", "600 page_width", "800 page_height", "'completed' status", "0 rotation", "char_length(text) native_chars", "false fused", "0 conflicts")
+    blocks = docs.select("content_id", "page_number", F.posexplode("parts").alias("ord", "text")).selectExpr("*", "50D left", "10D * ord top", "500D right", "10D * ord + 9 bottom")
+    none = spark.createDataFrame([], "content_id long, page_number int, ordinal int, rendered string, left double, top double, right double, bottom double")
+    got = recipes.prepared_pages(pages, docs.selectExpr("content_id", "page_number", "text native_text"), blocks, none)
+    return got.select("content_id", "status", "verdict", "strategy", F.array_join("codes", ",").alias("codes"), F.md5("content").alias("h"))
+
+
+@query("""SELECT doc_id AS content_id, 'Printed line ' || doc_id || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '某某公司章' || chr(10) ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '张三' || chr(10) END || 'end' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '<!-- image -->' ELSE '' END AS content FROM documents""")
+def signature_pages(spark, d):
+    """Pages with seals and handwriting (P4, with F18, R3, S20); repeats are exact here."""
+    i = F.col("doc_id")
+    text = F.concat(F.lit("Printed line "), i.cast("string"), F.lit("\nPrinted  line "), i.cast("string"), F.lit("\n某某公司章\n张三\nend"))
+    pages = _docs(spark, d).select(i.alias("content_id"), F.lit(1).alias("page_number"), text.alias("content"))
+    line = F.concat(F.lit("printed line "), i.cast("string"))
+    sealed = F.when(i % 3 == 0, F.array(line)).otherwise(F.array(F.lit("某某公司章"), line))
+    seen = _docs(spark, d).select(i.alias("content_id"), F.lit(1).alias("page_number"), F.array(line, F.lit("end")).alias("printed"), F.array(line).alias("repeated"), sealed.alias("sealed"), (i % 2 == 0).alias("marked"))
+    return recipes.signature_pages(pages, seen).select("content_id", "content")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '# ZZ' || chr(10) || chr(10) || 'U' || chr(10) || chr(10) || 'a NEW b  c ' || lang WHEN 1 THEN '# ZZ' || chr(10) || chr(10) || 'U' || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || 'NEW' ELSE '# ZZ' || chr(10) || chr(10) || 'the U' || chr(10) || chr(10) || 'NEW' END AS content FROM documents""")
+def replaced_tables(spark, d):
+    """Tables of a page replaced, and what it lacks of its title, company, date and unit put on top."""
+    content = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a [1] b [2] c "), "lang")).when(F.col("doc_id") % 3 == 1, "text\n| x |\n<!-- table-fragment: f -->").otherwise("the U\n| x |")
+    new = recipes.replaced_tables(content, F.array(F.lit("[1]"), F.lit("[2]"), F.lit("")), F.lit("NEW"))
+    none = F.lit(None).cast("string")
+    return _docs(spark, d).select("doc_id", new.alias("c")).select("doc_id", recipes.with_metadata(F.col("c"), F.lit("ZZ"), none, F.lit(""), F.lit("U")).alias("content"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS c, o_orderkey AS k FROM orders WHERE o_orderkey % 4 > 0) SELECT c_custkey AS content_id, coalesce('text' || chr(10) || chr(10) || '## 图片资产' || chr(10) || chr(10) || l, 'text ' || chr(10)) AS markdown FROM customer LEFT JOIN (SELECT c, string_agg('- `a' || k || '`：' || CASE WHEN k % 2 = 0 THEN 'long ' || k ELSE 'short' END || CASE WHEN k % 3 = 0 THEN chr(10) || '  - 可见文本：x' || chr(10) || '    y' ELSE '' END, chr(10) || chr(10) ORDER BY k) AS l FROM a GROUP BY c) ON c = c_custkey""")
+def picture_texts(spark, d):
+    """Descriptions of pictures below a content."""
+    k = F.col("o_orderkey")
+    assets = _orders(spark, d).select(F.col("o_custkey").alias("content_id"), k.alias("ord"), F.concat(F.lit("a"), k.cast("string")).alias("asset_id"), F.when(k % 4 > 0, "short").alias("summary"), F.when(k % 4 > 0, F.when(k % 2 == 0, F.concat(F.lit("long "), k.cast("string"))).otherwise("")).alias("detailed"), F.when(k % 3 == 0, " x\ny ").alias("visible"))
+    contents = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("content_id"), F.lit("text \n").alias("markdown"))
+    return recipes.picture_texts(contents, assets)
+
+
+@query(f"""{registry._ORACLE['keyframe_select'].rsplit('SELECT video_id, unnest(got)', 1)[0]}, ms AS (SELECT DISTINCT video_id, floor(unnest(got) * 1000 + 0.5)::BIGINT AS ms FROM s WHERE i = len(ts) + 1)
+SELECT video_id, row_number() OVER w AS scene, coalesce((lag(ms) OVER w + ms) // 2, 0) AS start_ms, coalesce((ms + lead(ms) OVER w) // 2, 60000)::BIGINT AS end_ms, row_number() OVER w <= 8 AS in_summary FROM ms WINDOW w AS (PARTITION BY video_id ORDER BY ms)""")
+def video_scenes(spark, d):
+    """Keyframes and the scenes around them (P11, with F17, F10, L5)."""
+    return recipes.video_scenes(registry._video_table(spark, d), "video_id").select("video_id", "scene", "start_ms", "end_ms", "in_summary")
+
+
 # ---- records and reports
 
 

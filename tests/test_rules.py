@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import geometry as G
-from quirelake.operators import normalise, order, plumbing, visual
+from quirelake.operators import normalise, order, plumbing, recipes, visual
 from quirelake.sources import readers, safety, sinks
 
 F_SHA = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
@@ -225,3 +225,33 @@ def test_sinks_and_records(spark, tmp_path):
     old = spark.createDataFrame([('{"object":"content.parse.job","options":{"page_range":"1","x":"2"}}',), ('{"object":"content.parse.job","options":{"unit_range":"1"}}',)], "t string")
     options, legacy = readers.decoded_record(F.col("t"), ["unit_range"])
     assert [(r["o"], r["l"]) for r in old.select(options.alias("o"), legacy.alias("l")).collect()] == [({"unit_range": "1"}, True), ({"unit_range": "1"}, False)]
+
+
+# ---- recipes
+
+
+def test_prepared_pages(spark):
+    said = [f"Paragraph number {w} has its own words" for w in ("one", "two", "three", "four", "five")]
+    schema = "content_id int, page_number int, content string, source_kind string, page_width int, page_height int, status string, rotation int, native_chars int, fused boolean, conflicts int"
+    page = lambda i, text, kind="native": (i, 1, text, kind, 600, 800, "completed", 0, 10, False, 0)
+    pages = [page(1, "\n\n".join([said[3], said[0], said[2], said[1], said[4]])), page(2, "x", "mixed"), page(3, "a­ word and some more of it"), page(4, "some text that is read badly"), page(5, "", "mixed")]
+    native = [(1, 1, "\n".join(said)), (4, 1, "目录\none.....1\ntwo.....2\nthree.....3")]
+    blocks = [(1, 1, i, t, 50.0, 20.0 * i, 500.0, 20.0 * i + 10) for i, t in enumerate(said)]
+    got = recipes.prepared_pages(
+        spark.createDataFrame(pages, schema), spark.createDataFrame(native, "content_id int, page_number int, native_text string"),
+        spark.createDataFrame(blocks, "content_id int, page_number int, ord int, text string, left double, top double, right double, bottom double"),
+        spark.createDataFrame([], "content_id int, page_number int, ordinal int, rendered string, left double, top double, right double, bottom double"),
+    )
+    rows = {r["content_id"]: (r["content"], r["codes"], r["status"], r["verdict"], r["strategy"]) for r in got.collect()}
+    assert rows[1] == ("\n\n".join(said), [], "completed", "trusted", "native_repair")
+    assert rows[2][1:4] == (["low_text_content"], "warning", "untrusted")
+    assert rows[3][1] == ["suspicious_unicode_glyphs"]
+    assert rows[4][0] == "# 目录\n\n- one …… 1\n- two …… 2\n- three …… 3" and rows[4][4] == "native_repair"
+    assert rows[5][1:4] == (["no_usable_content"], "failed", "untrusted")
+
+
+def test_signature_pages(spark):
+    pages = spark.createDataFrame([(1, 1, "合同双方签字盖章\n合同双方签字盖章\n公司章\n张三\n李\nend"), (2, 1, "x\n张三")], "content_id int, page_number int, content string")
+    seen = spark.createDataFrame([(1, 1, ["合同双方签字盖章", "李"], ["合同双方签字盖章"], ["公司章", "合同双方签字盖章"], True), (2, 1, None, None, None, False)], "content_id int, page_number int, printed array<string>, repeated array<string>, sealed array<string>, marked boolean")
+    got = {r["content_id"]: r["content"] for r in recipes.signature_pages(pages, seen).collect()}
+    assert got == {1: "合同双方签字盖章\n李\nend\n\n<!-- image -->", 2: "x\n张三"}
