@@ -172,14 +172,11 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_ = saved(mixed.join(several, "token", "left_semi"))
     x = open_.where(f"pos < n - ceil({2 * percent} * n / {100 + percent}) + 1").selectExpr("token", "g gx", "n nx", "c cx", "pos px")
     y = open_.selectExpr("token", "g gy", "n ny", "c cy", "pos py")
-    passes = (
-        f"cx <> cy and (nx < ny or nx = ny and (gx < gy or gx = gy and cx < cy)) and 100 * nx >= {percent} * ny"
-        f" and least(nx - px, ny - py) * {100 + percent} >= {percent} * (nx + ny)"
-    )
-    pairs = x.join(y, "token").where(passes).select("gx", "cx", "gy", "cy").distinct()
-    # for equal sizes either side may hold the index prefix
-    swapped = passes.replace("gx < gy or gx = gy and cx < cy", "gx > gy or gx = gy and cx > cy")
-    pairs = pairs.union(x.join(y, "token").where("nx = ny").where(swapped).select("gx", "cx", "gy", "cy")).distinct()
+    # for equal sizes either side may hold the index prefix, so that both orders pass; a pair is named in one
+    passes = f"cx <> cy and nx <= ny and 100 * nx >= {percent} * ny and least(nx - px, ny - py) * {100 + percent} >= {percent} * (nx + ny)"
+    swap = "nx = ny and (gx > gy or gx = gy and cx > cy)"
+    named = [f"if({swap}, {a}{p}, {a}{q}) {a}{q}" for p, q in (("y", "x"), ("x", "y")) for a in "gc"]
+    pairs = x.join(y, "token").where(passes).selectExpr(*named).distinct()
     of = lambda s, k: classed.selectExpr(f"g g{k}", f"c c{k}", f"sid {s}")
     wide = pairs.join(of("a", "x"), ["gx", "cx"]).join(of("b", "y"), ["gy", "cy"]).select("a", "b")
     more = saved(_verify(wide, sets, percent))
