@@ -113,15 +113,15 @@ def boost(rows: DataFrame, trees: int, depth: int, bins: int, rate: float, penal
         margin = " + ".join([f"{prior!r}D", *(t.sql(by_bin, lambda x: f"{x.value!r}D") for t in forest)])
         state = table.selectExpr("*", f"1 / (1 + exp(-({margin}))) AS p")
         tree = Tree()
-        whole = state.agg(F.sum(F.expr("n * (p - label)")).alias("g"), F.sum(F.expr("n * p * (1 - p)")).alias("h")).first()
-        tree.sums = (whole["g"], whole["h"])
-        tree.value = -rate * whole["g"] / (whole["h"] + penalty)
         for level in range(depth):
             node = tree.sql(by_bin, lambda x: str(x.path))
             long = state.selectExpr(f"{node} AS node", "n * (p - label) AS g", "n * p * (1 - p) AS h", f"stack({len(FEATURES)}, {', '.join(f'{i}, {f}' for i, f in enumerate(FEATURES))}) AS (f, b)")
             sums: dict[int, dict[int, list]] = {}
             for r in long.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
                 sums.setdefault(r["node"], {}).setdefault(r["f"], []).append((r["b"], r["g"], r["h"]))
+            if not level:  # the root's sums are those of any feature's bins
+                tree.sums = tuple(sum(x[k] for x in sums[1][0]) for k in (1, 2))
+                tree.value = -rate * tree.sums[0] / (tree.sums[1] + penalty)
             grown = False
             for leaf in tree.leaves():
                 if leaf.path not in sums or leaf.path >> level != 1:
