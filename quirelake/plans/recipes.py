@@ -266,6 +266,17 @@ def video_scenes(spark, d):
     return recipes.video_scenes(registry._video_table(spark, d), "video_id").select("video_id", "scene", "start_ms", "end_ms", "in_summary")
 
 
+@query(None)
+def fused_tables(spark, d):
+    """Tables read in bands, completed and checked by other sources (P3, with F11 to F13, J12 to J14, G10, G11, G21)."""
+    base = _lines(spark, d)
+    label = "concat('Nr ', md5(cast(l_partkey as string)))"
+    band = base.where("l_linenumber % 3 <> 0").selectExpr("l_orderkey page", "cast(l_linenumber % 2 as int) band", "'single' table_id", "array('Item', 'Sum') columns", "l_linenumber row_index", "'data' kind", f"array({label}, cast(l_suppkey as string)) cells")
+    glm = base.selectExpr("l_orderkey page", "'single' table_id", "l_linenumber row_index", f"array({label}, cast(l_suppkey + if(l_partkey % 4 = 0, 1, 0) as string)) cells", "false has_header")
+    docling = glm.where("row_index % 2 = 0")
+    return recipes.fused_tables(band, {"glm": glm, "docling": docling}, "page")[0].select("page", F.md5("markdown").alias("h"), "parsed", "agreed", "conflicts", "qwen_only")
+
+
 # ---- records and reports
 
 

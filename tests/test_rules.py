@@ -255,3 +255,16 @@ def test_signature_pages(spark):
     seen = spark.createDataFrame([(1, 1, ["合同双方签字盖章", "李"], ["合同双方签字盖章"], ["公司章", "合同双方签字盖章"], True), (2, 1, None, None, None, False)], "content_id int, page_number int, printed array<string>, repeated array<string>, sealed array<string>, marked boolean")
     got = {r["content_id"]: r["content"] for r in recipes.signature_pages(pages, seen).collect()}
     assert got == {1: "合同双方签字盖章\n李\nend\n\n<!-- image -->", 2: "x\n张三"}
+
+
+def test_fused_tables(spark):
+    rows = [(1, 0, "single", ["Item", "Sum"], 0, "header", ["Item", "Sum"]), (1, 0, "single", ["Item", "Sum"], 1, "data", ["Cash", "1"]), (1, 0, "single", ["Item", "Sum"], 2, "data", ["Bonds", "2"]), (1, 1, "single", [], 0, "data", ["Bonds", "2"]), (1, 1, "single", [], 1, "data", ["Total", "8"])]
+    bands = spark.createDataFrame(rows, "page int, band int, table_id string, columns array<string>, row_index int, kind string, cells array<string>")
+    schema = "page int, table_id string, row_index int, cells array<string>, has_header boolean"
+    glm = spark.createDataFrame([(1, "single", i, c, True) for i, c in enumerate([["Item", "Sum"], ["Cash", "1"], ["Bonds", "2"], ["Loans", "3"], ["Total", "9"]])], schema)
+    docling = spark.createDataFrame([(1, "single", i, c, True) for i, c in enumerate([["Item", "Sum"], ["Cash", "7"], ["Total", "9"]])], schema)
+    tables, cells = recipes.fused_tables(bands, {"glm": glm, "docling": docling}, "page")
+    got = tables.first()
+    assert got["markdown"].split("\n") == ["| Item | Sum |", "| --- | --- |", "| Cash | 1 |", "| Bonds | 2 |", "| Loans | 3 |", "| Total | 9 |"]
+    assert (got["parsed"], got["conflicts"], got["qwen_only"]) == (8, 0, 0) and got["agreed"] == 6
+    assert cells.count() == 8
