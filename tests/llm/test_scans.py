@@ -17,8 +17,8 @@ import pytest
 import corpus_pipeline
 from quirelake.llm import decontaminate, license_scan, packing, queries
 from quirelake.llm.words import ALNUM, slices
-from tests.llm.test_dedup import classes
-from tests.llm.test_models import BruteLanguage
+from test_dedup import classes
+from test_models import BruteLanguage
 
 SF = "/root/testdata/sf0.001"
 
