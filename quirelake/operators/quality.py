@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
+from quirelake.functions.pyfuncs import char_coverage
 
 # Fixed values from here to _VALUE: codes and patterns that results must use as they are.
 #: Codes that make a page without visual fusion untrusted.
@@ -42,7 +43,8 @@ def repeat_count(content: Column, least: int = 5) -> Column:
     """How often the most frequent short piece of prose outside tables and comments occurs; null below ``least``."""
     prose = F.regexp_replace(T.plain_lines(content), _URL, "")
     parts = F.transform(F.split(prose, r"[\n。！？.!?]+"), T.strip)
-    some = F.filter(parts, lambda f: F.char_length(f).between(4, 120) & ~F.regexp_replace(f, r"[ \t]+", "").rlike(_LINKS) & ~f.rlike(r"(?i)(?:https?://|www\.)"))
+    linked = lambda f: F.lower(f).contains("http://") | F.lower(f).contains("https://") | F.lower(f).contains("www.")
+    some = F.filter(parts, lambda f: F.char_length(f).between(4, 120) & ~F.translate(f, " \t", "").rlike(_LINKS) & ~linked(f))
     most = most_repeats(some)
     return F.when(most >= least, most)
 
@@ -60,21 +62,20 @@ def row_cells(row: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(F.trim(row), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
 
 
-def repeated_cell(content: Column, least: int = 5) -> Column:
-    """Whether a table row repeats one non-numeric cell too often."""
+def repeated_cell(rows: Column, least: int = 5) -> Column:
+    """Whether one of the table rows repeats one non-numeric cell too often."""
     words = lambda row: F.filter(row_cells(row), lambda c: (c != "") & ~c.rlike(r"^[-: ]+$") & ~c.isin("不适用", "不適用", "N/A", "n/a") & ~c.rlike(_VALUE))
     most = lambda cells: F.array_max(F.transform(F.array_distinct(cells), lambda c: F.size(F.filter(cells, lambda x: x == c))))
-    return F.exists(F.transform(table_rows(content), words), lambda cells: F.coalesce(most(cells) >= least, F.lit(False)))
+    return F.exists(F.transform(rows, words), lambda cells: F.coalesce(most(cells) >= least, F.lit(False)))
 
 
-def widest_row(content: Column) -> Column:
-    return F.array_max(F.transform(table_rows(content), lambda l: F.char_length(l) - F.char_length(F.replace(l, F.lit("|"), F.lit(""))) - 1))
+def widest_row(rows: Column) -> Column:
+    return F.array_max(F.transform(rows, lambda l: F.char_length(l) - F.char_length(F.replace(l, F.lit("|"), F.lit(""))) - 1))
 
 
-def unanchored_numbers(content: Column) -> Column:
-    """Whether a number that stands on a line of its own, outside tables, is one of a table cell too."""
-    outside = F.filter(T.lines(content), lambda l: ~T.strip(l).startswith("|") & T.strip(l).rlike(_DECIMAL))
-    rows = table_rows(content)
+def unanchored_numbers(lines: Column, rows: Column) -> Column:
+    """Whether a number that stands on a line of its own, outside tables, is one of a cell of the table rows too."""
+    outside = F.filter(lines, lambda l: ~T.strip(l).startswith("|") & T.strip(l).rlike(_DECIMAL))
     return (F.size(rows) > 0) & F.arrays_overlap(T.number_tokens(F.array_join(rows, "\n")), T.number_tokens(F.array_join(outside, "\n")))
 
 
@@ -103,6 +104,8 @@ def page_codes(pages: DataFrame, keys: list[str]) -> DataFrame:
 
     A page is one row and stays one; nothing is exchanged."""
     rows = pages.withColumn("content", T.strip(F.coalesce("content", F.lit(""))))
+    # several rules look at them
+    rows = rows.withColumn("__lines", T.lines(F.col("content"))).withColumn("__rows", table_rows(F.col("content")))
     empty, live = F.col("content") == "", F.coalesce(F.col("status") != "failed", F.lit(True))
     sparse = F.coalesce(F.col("source_kind") == "sparse", F.lit(False))
     docling = F.coalesce(_given(pages, "strategy", "docling"), F.lit("docling")) == "docling"
@@ -112,9 +115,9 @@ def page_codes(pages: DataFrame, keys: list[str]) -> DataFrame:
         "low_text_content": ~sparse & ~empty & live & (F.char_length("content") < 12),
         "high_replacement_character_ratio": live & (T.replacement_ratio(F.col("content")) > 0.02),
         "repeated_text": live & repeat_count(F.col("content")).isNotNull(),
-        "unanchored_table_numbers": live & unanchored_numbers(F.col("content")),
-        "table_header_propagation": live & repeated_cell(F.col("content")),
-        "table_shape_explosion": live & (widest_row(F.col("content")) > 24),
+        "unanchored_table_numbers": live & unanchored_numbers(F.col("__lines"), F.col("__rows")),
+        "table_header_propagation": live & repeated_cell(F.col("__rows")),
+        "table_shape_explosion": live & (widest_row(F.col("__rows")) > 24),
         "rotated_scan": ~empty & live & F.col("rotation").isin(90, 180, 270),
         "visual_text_mismatch": ~empty & live & (F.col("source_kind") == "native") & docling & (F.col("native_chars") > 0) & (F.char_length(F.regexp_replace("content", T.WS, "")) < F.col("native_chars") * 0.2),
         "suspicious_unicode_mojibake": live & T.mojibake(F.col("content")),
@@ -123,7 +126,7 @@ def page_codes(pages: DataFrame, keys: list[str]) -> DataFrame:
     found = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), code) for code, rule in rules.items())))
     if "known" in pages.columns:
         found = F.array_union(F.coalesce("known", F.array().cast("array<string>")), found)
-    return rows.withColumn("codes", F.array_sort(found))
+    return rows.withColumn("codes", F.array_sort(found)).drop("__lines", "__rows")
 
 
 def assess(pages: DataFrame) -> DataFrame:
@@ -167,19 +170,9 @@ def warning_union(known: DataFrame, found: DataFrame, keys: list[str]) -> DataFr
     return known.unionByName(found.join(known.select(*keys).distinct(), keys, "left_anti"))
 
 
-def coverage(reference: Column, candidate: Column) -> Column:
-    """Share of a compact text's characters, with repeats, that another has. Each distinct character is counted once."""
-    count = lambda text, ch: (F.char_length(text) - F.char_length(F.replace(text, ch, F.lit("")))).cast("long")
-    letters = F.filter(F.array_distinct(F.split(reference, "")), lambda ch: ch != "")
-    both = F.aggregate(letters, F.lit(0).cast("long"), lambda s, ch: s + F.least(count(reference, ch), count(candidate, ch)))
-    none = F.when(F.coalesce(F.char_length(candidate), F.lit(0)) == 0, 1.0).otherwise(0.0)
-    return F.when(F.coalesce(F.char_length(reference), F.lit(0)) == 0, none).otherwise(both / F.char_length(reference))
-
-
 def char_multiset_coverage(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
     """Share of the reference's characters, with repeats, that the candidate has. A pair is one row and nothing is exchanged."""
-    rows = pairs.select(key, T.compact_text(F.col(reference)).alias("r"), T.compact_text(F.col(candidate)).alias("c"))
-    return rows.select(key, coverage(F.col("r"), F.col("c")).alias("coverage"))
+    return pairs.select(key, char_coverage(T.compact_text(F.col(reference)), T.compact_text(F.col(candidate))).alias("coverage"))
 
 
 def multiset_intersect(rows: DataFrame, key: str, token: str, side: str) -> DataFrame:

@@ -36,6 +36,6 @@ def test_scans_are_narrow(spark):
 def test_no_python_but_where_it_is_named(spark):
     named = {"seq_ratio", "row_label_match", "replay_trim", "overlap_dedup", "continuation_repair", "html_tables", "safe_filename", "cross_page_link", "merged_rows", "logical_tables", "md_to_text",
              "text_normalize", "split_headings", "glyph_map", "source_url", "office_safety", "office_images",
-             "band_combine", "attached_evidence", "supplement_rows", "line_groups", "grid_anchor", "heading_between", "document_rendering", "native_order_repair", "prepared_pages", "signature_pages", "fused_tables"}
+             "band_combine", "attached_evidence", "supplement_rows", "line_groups", "grid_anchor", "heading_between", "document_rendering", "native_order_repair", "prepared_pages", "signature_pages", "fused_tables", "char_multiset_coverage"}
     python = {n for n, q in registry.queries().items() if re.search("Python|Pandas|Arrow", plan(q(spark, SF)))}
     assert python == named

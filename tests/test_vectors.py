@@ -365,7 +365,7 @@ def test_illegal_moves_leave_the_state(spark):
 
 def test_quality_rules_of_tables_and_glyphs(spark):
     pages = spark.createDataFrame([(1, "| a | 12.5% |\n12.5%"), (2, "| a | 12.5% |\n12.5% of it"), (3, "| a | 12 |\n12"), (4, "x\u00ad"), (5, "a\tb\n"), (6, "12.5%"), (7, "\U000F0000\u200b\u200b")], "p int, content string")
-    got = {r["p"]: (r["a"], r["b"]) for r in pages.select("p", quality.unanchored_numbers(F.col("content")).alias("a"), quality.suspicious_glyphs(F.col("content")).alias("b")).collect()}
+    got = {r["p"]: (r["a"], r["b"]) for r in pages.select("p", quality.unanchored_numbers(T.lines(F.col("content")), quality.table_rows(F.col("content"))).alias("a"), quality.suspicious_glyphs(F.col("content")).alias("b")).collect()}
     assert got == {1: (True, False), 2: (False, False), 3: (False, False), 4: (False, True), 5: (False, False), 6: (False, False), 7: (False, True)}
     assert sorted(map(tuple, quality.glyph_counts(pages, ["p"]).collect())) == [(4, "U+00AD", 1), (7, "U+200B", 2), (7, "U+F0000", 1)]
 
