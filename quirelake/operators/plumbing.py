@@ -89,6 +89,11 @@ def download_header(name: Column, suffix: str) -> Column:
     return F.concat(F.lit("attachment; filename="), F.when(plain == "", "content").otherwise(plain), F.lit(f"{suffix}; filename*=UTF-8''"), encoded)
 
 
+def safe_id(value: Column) -> Column:
+    """Whether a text may name a folder of a content."""
+    return F.coalesce(value.rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,127}$"), F.lit(False))
+
+
 def shell_quote(value: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
 

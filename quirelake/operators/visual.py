@@ -71,6 +71,44 @@ def band_combine(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(*one, table_place(F.col("table_id")).alias("place"), out.alias("out_index"), F.col("of").alias("columns"), "cells")
 
 
+#: What a model answers for a band (the shape, and below the limits, are fixed values).
+ANSWER = "struct<company_name:string,statement_title:string,statement_date:string,unit:string,tables:array<struct<table_id:string,section_name:string,title:string,unit:string,columns:array<string>,rows:array<struct<kind:string,cells:array<string>>>>>>"
+MOST_COLUMNS, MOST_ROWS, MOST_TABLES, LABELLED = 24, 36, 4, 0.9
+
+
+def answer_error(answer: Column, parallel: Column) -> Column:
+    """The first rule that a band's answer breaks: its form, names and sizes of tables, widths of rows, labels of data rows, and whether
+    tables stand below or beside each other. parallel: exactly a left and a right table are asked for."""
+    tables = answer["tables"]
+    ids = F.transform(tables, lambda t: t["table_id"])
+    total = lambda r: F.exists(F.slice(r["cells"], 1, 3), lambda c: F.coalesce(c, F.lit("")).rlike("(?:合计|总计)$"))
+    data = lambda t: F.filter(t["rows"], lambda r: (r["kind"] == "data") & ~total(r))
+    named = lambda t: F.size(F.filter(data(t), lambda r: T.normalized(r["cells"][0]) != ""))
+    rules = {
+        "invalid_json": answer.isNull() | tables.isNull(),
+        "too_many_tables": F.size(tables) > MOST_TABLES,
+        "table_id": F.exists(ids, lambda i: ~F.coalesce(i, F.lit("")).rlike(r"^(?:single(?:_[1-4])?|left|right)$")),
+        "columns": F.exists(tables, lambda t: ~F.coalesce(F.size(t["columns"]), F.lit(0)).between(1, MOST_COLUMNS)),
+        "rows": F.exists(tables, lambda t: ~F.coalesce(F.size(t["rows"]), F.lit(0)).between(1, MOST_ROWS)),
+        "row_kind": F.exists(tables, lambda t: F.exists(t["rows"], lambda r: ~F.coalesce(r["kind"], F.lit("")).isin("header", "section", "data"))),
+        "row_width": F.exists(tables, lambda t: F.exists(t["rows"], lambda r: F.size(r["cells"]) != F.size(t["columns"]))),
+        "row_labels": F.exists(tables, lambda t: (F.size(data(t)) > 0) & (named(t) / F.size(data(t)) < LABELLED)),
+        "repeated_ids": F.size(F.array_distinct(ids)) != F.size(ids),
+        "mixed_ids": F.exists(ids, lambda i: i.startswith("single")) & F.exists(ids, lambda i: i.isin("left", "right")),
+        "not_parallel": parallel & (F.array_sort(ids) != F.array(F.lit("left"), F.lit("right"))),
+    }
+    return F.coalesce(*(F.when(rule, name) for name, rule in rules.items()))
+
+
+def band_answers(bands: DataFrame, payload: str, parallel: str) -> DataFrame:
+    """Answers as tables and rows, those that break a rule as one row with its error. Keys are all other columns."""
+    keys = [c for c in bands.columns if c not in (payload, parallel)]
+    rows = bands.withColumn("__a", F.from_json(payload, ANSWER)).withColumn("error", answer_error(F.col("__a"), F.coalesce(parallel, F.lit(False))))
+    good = rows.where("error is null").select(*keys, F.explode("__a.tables").alias("__t")).select(*keys, "__t.table_id", "__t.columns", F.posexplode("__t.rows").alias("row_index", "__r")).select(*keys, "table_id", "columns", "row_index", "__r.kind", "__r.cells", F.lit(None).cast("string").alias("error"))
+    bad = rows.where("error is not null").select(*keys, *(F.lit(None).cast(dict(good.dtypes)[c]).alias(c) for c in ("table_id", "columns", "row_index", "kind", "cells")), "error")
+    return good.unionByName(bad)
+
+
 # ---- rows of other sources
 
 

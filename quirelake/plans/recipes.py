@@ -65,6 +65,17 @@ def band_combine(spark, d):
     return visual.band_combine(data.union(more), "conv_id").selectExpr("conv_id", "cast(place as bigint) place", "out_index", "cells[0] a", "cells[1] b")
 
 
+_ANSWER = """concat('{"company_name":null,"tables":[{"table_id":"', CASE doc_id % 9 WHEN 0 THEN 'other' WHEN 1 THEN 'left' ELSE 'single' END, '","columns":["a"', CASE WHEN doc_id % 9 = 2 THEN '' ELSE ',"b"' END, '],"rows":[{"kind":"', CASE WHEN doc_id % 9 = 3 THEN 'x' ELSE 'data' END, '","cells":["', CASE WHEN doc_id % 9 = 4 THEN ' ' ELSE 'k' END, '","', CAST(doc_id AS VARCHAR(20)), '"]},{"kind":"data","cells":["合计","2"]}]}', CASE WHEN doc_id % 9 = 5 THEN ',{"table_id":"single","columns":["a"],"rows":[{"kind":"header","cells":["a"]}]}' WHEN doc_id % 9 = 6 THEN ',{"table_id":"left","columns":["a"],"rows":[{"kind":"header","cells":["a"]}]}' ELSE '' END, ']', CASE WHEN doc_id % 9 = 7 THEN '' ELSE '}' END)"""
+
+
+@query("""WITH e AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'table_id' WHEN 1 THEN 'not_parallel' WHEN 2 THEN 'row_width' WHEN 3 THEN 'row_kind' WHEN 4 THEN 'row_labels' WHEN 5 THEN 'repeated_ids' WHEN 6 THEN 'mixed_ids' WHEN 7 THEN 'invalid_json' END AS error FROM documents)
+SELECT doc_id, NULL AS table_id, NULL::BIGINT AS row_index, NULL AS cells, error FROM e WHERE error IS NOT NULL UNION ALL SELECT doc_id, 'single', unnest([0, 1]), unnest(['k|' || doc_id, '合计|2']), NULL FROM e WHERE error IS NULL""")
+def band_answers(spark, d):
+    """Answers for bands, held to their form and limits."""
+    bands = _docs(spark, d).select("doc_id", F.expr(_ANSWER.replace("VARCHAR(20)", "STRING")).alias("j"), (F.col("doc_id") % 9 == 1).alias("p"))
+    return visual.band_answers(bands, "j", "p").select("doc_id", "table_id", "row_index", F.array_join("cells", "|").alias("cells"), "error")
+
+
 # ---- rows that sources add, lines that repeat: labels are compared by ratio
 
 

@@ -56,13 +56,14 @@ def layout_regions(rows: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 def markdown_rows(content: Column) -> Column:
-    """Rows of a Markdown table as arrays of cells, padded; escaped pipes are text, the rule line is left out."""
+    """Rows of a Markdown table as arrays of cells, padded; escaped pipes are text, the rule line is left out. Null for less than two
+    lines, and beyond 100 columns or 2,000 rows."""
     rows = F.filter(F.transform(T.lines(content), lambda l: F.trim(l)), lambda l: l.startswith("|"))
     cells = F.transform(rows, lambda l: F.transform(F.split(F.regexp_replace(l, r"^\|+|(?<!\\)\|+$", ""), r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|")))))
     rule = lambda row, i: (i == 1) & F.forall(row, lambda c: c.rlike(r"^:?-{3,}:?$"))
     body = F.filter(cells, lambda row, i: ~rule(row, i))
     wide = F.array_max(F.transform(body, lambda r: F.size(r)))
-    return F.when(F.size(rows) >= 2, F.transform(body, lambda r: F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r)))))
+    return F.when((F.size(rows) >= 2) & (wide <= 100) & (F.size(body) <= 2000), F.transform(body, lambda r: F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r)))))
 
 
 _TAG = re.compile(r"""(?s)<!--.*?-->|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""")
