@@ -328,6 +328,15 @@ def test_pipeline(spark, docs, rows, monkeypatch):
         state = after
 
 
+def test_pipeline_of_nothing(spark, nothing, monkeypatch):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda s, d, name: bench if name == "benchmark" else nothing)
+    state = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        state = stage(spark, state, "")
+        assert state.collect() == []
+
+
 def test_pipeline_runs_whole(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(got.columns)
