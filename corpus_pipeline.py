@@ -1,7 +1,14 @@
 """From documents to packed training sequences.
 
 Each stage is one operator of quirelake.llm over all that the stage before it kept, written as
-Parquet and read again. All stages but the last return the columns of documents.
+Parquet and read again. All stages but the last return the columns of documents, and others that a table
+has, under their own names.
+
+Defined results, in the order of the stages: rows without text, or without a letter, go in the first one, so later ones see
+neither; a row without an id is kept or dropped by its text like others, is no member of a class of near copies, and is
+packed with a null id. Of equal texts the longest original stays, then the smallest id, then, of one id, the smallest text.
+Of near copies the smallest id stays. Very long texts are read whole in every stage. Repeated rows are equal
+texts: one stays. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
