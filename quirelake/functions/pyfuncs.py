@@ -41,7 +41,7 @@ def char_share(reference: str | None, candidate: str | None) -> float:
 
 @arrow_udf(DoubleType())
 def char_coverage(reference: pa.Array, candidate: pa.Array) -> pa.Array:
-    """Counting characters takes the JVM's higher-order functions ten times as long: they go through the text once for each distinct one."""
+    """Higher-order functions would go through the text once for each distinct character."""
     return pa.array([char_share(a, b) for a, b in zip(reference.to_pylist(), candidate.to_pylist(), strict=True)], pa.float64())
 
 
