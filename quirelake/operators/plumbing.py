@@ -260,6 +260,7 @@ def backend_id(name: Column) -> Column:
 
 def diagram_error(source: Column, longest: int, most_lines: int) -> Column:
     """Why a diagram's source is refused: the first rule that fails."""
+    # the patterns are fixed values
     rules = [
         ("empty", T.strip(source) == ""),
         ("too_long", (F.char_length(source) > longest) | (F.size(F.split(source, r"\r?\n")) > most_lines)),
@@ -275,6 +276,7 @@ def diagram_error(source: Column, longest: int, most_lines: int) -> Column:
 
 def shown_text(markdown: Column) -> Column:
     """Markdown as a viewer shows it in one breath: all marks go, code stays."""
+    # the patterns are fixed values
     out = F.regexp_replace(markdown, r"```[^\n]*\n?((?:(?!```)[\s\S])*)```", "$1")
     for pattern, by in ((r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*[0-9]+[.)]\s+", "")):
         out = F.regexp_replace(out, pattern, by)
