@@ -137,11 +137,11 @@ def train(
     if not labels:
         return None
     most, marks = max(1, min(per_label, sample // labels)), max(1, min(landmarks, all_landmarks // labels))
-    # a label's smallest hashes, first in 32 parts of it, so that a label that most rows have is no task of its own
+    # a label's smallest hashes, first in 32 parts of it, then in 4, so that a label that most rows have is no task of its own
     keys = rows.select("h", "label").distinct()
-    part = Window.partitionBy("label", F.pmod("h", F.lit(32))).orderBy("h")
-    keys = keys.withColumn("r", F.row_number().over(part)).where(F.col("r") <= most)
-    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= most).select("h", "label")
+    for parts in (32, 4, 1):
+        part = Window.partitionBy("label", F.pmod("h", F.lit(parts))).orderBy("h")
+        keys = keys.withColumn("r", F.row_number().over(part)).where(F.col("r") <= most).drop("r")
     chosen = {(r["label"], r["h"]) for r in keys.collect()}
     some = rows.where(F.col("h").isin([h for _, h in chosen])).join(F.broadcast(keys), ["h", "label"], "left_semi")
 
