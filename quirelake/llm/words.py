@@ -190,9 +190,3 @@ def slices(column: pa.Array | pa.ChunkedArray, word: np.ndarray = SPACED, lower:
         ends = np.flatnonzero(is_word & ~nxt) + 1
         yield Slice(i, j - i, raw, bounds, starts, ends, np.searchsorted(starts, bounds))
         i = j
-
-
-def hash_bytes(text: bytes, word: np.ndarray = SPACED) -> list[int]:
-    """The hashes of the words of one lower-cased text."""
-    s = next(slices(pa.array([text.decode()]), word))
-    return [int(x) for x in s.hashes()]
