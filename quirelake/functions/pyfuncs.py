@@ -45,16 +45,6 @@ def char_coverage(reference: pa.Array, candidate: pa.Array) -> pa.Array:
     return pa.array([char_share(a, b) for a, b in zip(reference.to_pylist(), candidate.to_pylist(), strict=True)], pa.float64())
 
 
-@arrow_udf(StringType())
-def casefold(x: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else v.casefold() for v in x.to_pylist()], pa.string())
-
-
-@arrow_udf(StringType())
-def nfkc(x: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in x.to_pylist()], pa.string())
-
-
 def safe_name(value: str | None, fallback: str = "content", longest: int = 180) -> str:
     """The last part of a path, without characters that file systems refuse."""
     name = re.split(r"[\\/]", unicodedata.normalize("NFKC", value or ""))[-1]

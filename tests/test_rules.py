@@ -130,6 +130,8 @@ def test_small_rules(spark):
     assert [r["n"] for r in got] == ["a b.pdf", "y z.pdf", "document", "document", "a+b"]
     box = G.box(*(F.lit(v) for v in (0.0, 0.1, 0.5, 0.995)))
     assert one(spark, plumbing.crop_box(box, F.lit(1000), F.lit(100)))[0][:] == (0, 10, 500, 100)
+    assert one(spark, G.clamped(G.box(*(F.lit(v) for v in (-0.1, 0.2, 1.5, 0.4)))))[0][:] == (0.0, 0.2, 1.0, 0.4)
+    assert one(spark, *(plumbing.safe_id(F.lit(x)) for x in ("a-1_B", "../x", "", "-a", "a" * 129)))[:] == (True, False, False, False, False)
     bad = ["", "---\nx", "%%{init", "a\nclick b", "callback", "style x", "see https://x", "[a](b)", "<img x", "graph TD\nA-->B"]
     got = spark.createDataFrame([(x,) for x in bad], "s string").select(plumbing.diagram_error(F.col("s"), 100, 10).alias("e")).collect()
     assert [r["e"] for r in got] == ["empty", "frontmatter", "directive", "interaction", "interaction", "style", "url", "embedded", "embedded", None]

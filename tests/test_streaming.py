@@ -53,3 +53,12 @@ def test_windows(spark):
     got = {(r["hour"], r["event_type"]): r["n"] for r in run(events.hourly_counts(stream(spark)), "hours", "complete").collect()}
     assert got == want
     assert run(events.deduplicated(stream(spark)), "once").count() == batch.count()
+
+
+def test_sessions_and_upserts(spark, tmp_path):
+    rows = spark.sql("SELECT 1L user_id, timestamp'2024-01-01 10:00:00' ts, 1 event_id UNION ALL SELECT 1L, timestamp'2024-01-01 10:20:00', 2 UNION ALL SELECT 1L, timestamp'2024-01-01 12:00:00', 3")
+    assert sorted(r["n"] for r in events.sessions(rows).collect()) == [1, 2]
+    write = events.upsert_sink(str(tmp_path / "jobs"), "user_id", "event_id")
+    for _ in range(2):  # a repeated batch overwrites itself
+        write(rows, 0)
+    assert [r["event_id"] for r in spark.read.parquet(str(tmp_path / "jobs")).collect()] == [3]
