@@ -113,7 +113,7 @@ def gfm_escape(spark, d):
 
 @query(f"{cte('pages_q')}, l AS (SELECT content_id, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM pages_q) SELECT content_id, md5(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT starts_with(ltrim(l), '|') AND NOT starts_with(trim(l), '<!--')), '')) AS h FROM l GROUP BY content_id")
 def plain_lines(spark, d):
-    return source(spark, d, "pages_q").select("content_id", F.md5(T.plain_lines(F.col("content"))).alias("h"))
+    return source(spark, d, "pages_q").where("content IS NOT NULL").select("content_id", F.md5(T.plain_lines(F.col("content"))).alias("h"))
 
 
 _SIZE = "CASE WHEN doc_id % 50 = 0 THEN NULL ELSE n_chars * (doc_id % 7) * (doc_id % 11) * 997 END"

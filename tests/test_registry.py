@@ -38,6 +38,18 @@ def test_against_sql(spark, duck, name):
     assert rows == sorted((plain(r) for r in want.project(",".join(f'"{c}"' for c in columns)).fetchall()), key=repr)
 
 
+def test_plain_lines_keep_what_stands(spark, tmp_path):
+    """Final line breaks, other breaks and spaces, and texts that are missing."""
+    texts = ["a line of a text.\nand more", "x" * 19 + "\nand more", "a\n", "a\n\n", "\n", "a\n| b |\n", "a\r\n| b |\r\nc", "a\r| b |", "\u3000| b\n\xa0<!-- c\n\t| d", "a\u2028| b", "| a", "", None]
+    rows = [(17 * i + k, t, "en", "s", len(t or "")) for i, t in enumerate(texts) for k in ((3, 6, 7) if t is not None else (7,))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.queries()["plain_lines"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.oracle_sql()["plain_lines"]).fetchall())
+    assert len(got) == len(rows) - 1
+
+
 def test_entry(spark):
     import __spark_entry__
 
