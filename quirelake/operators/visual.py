@@ -131,22 +131,27 @@ def supplemented(table: list[list[str]], source: list[list[str]], width: int, cu
     """The rows of a table with those of a source that it lacks, each with whether it was added. A row comes before the first one that
     stands for a later row of the source."""
     source = [[c or "" for c in r] for r in source]
-    named = [{"label": r[0], "row_index": i} for i, r in enumerate(source) if r]
+    named = fuzzy.Labels([(plain(r[0]), i) for i, r in enumerate(source) if r])
     out = [(list(r), False) for r in table]
+    labels = [plain(r[0]) if r else "" for r in table]
     # equal rows of the source stand for the first of them
     first = {tuple(r): i for i, r in reversed(list(enumerate(source)))}
+    stands: dict[str, int] = {}
     for i, row in enumerate(source):
         if not row or len(row) > width:
             continue
         full = row + [""] * (width - len(row))
-        if not plain(full[0]) or sum(bool(plain(c)) for c in full) < 2 or any(map(_private, full)):
+        if not (want := plain(full[0])) or labels.count(want) == 1 or sum(bool(plain(c)) for c in full) < 2 or any(map(_private, full)):
             continue
-        labels = [{"label": r[0] if r else "", "row_index": k} for k, (r, _) in enumerate(out)]
-        if fuzzy.best_labels([full[0]], labels, cut)[0] is not None:
+        if fuzzy.Labels([(x, k) for k, x in enumerate(labels)]).of(want, cut) is not None:
             continue
-        stands = fuzzy.best_labels([x["label"] for x in labels], named, cut)
-        place = next((k for k, at in enumerate(stands) if at is not None and first[tuple(source[at])] > i), len(out))
+        for x in labels:
+            if x not in stands:
+                at = named.of(x, cut)
+                stands[x] = -1 if at is None else first[tuple(source[at])]
+        place = next((k for k, x in enumerate(labels) if stands[x] > i), len(out))
         out.insert(place, (full, True))
+        labels.insert(place, want)
     return out
 
 

@@ -33,6 +33,10 @@ def test_scans_are_narrow(spark):
     assert "LessThanOrEqual(o_orderdate" in text
 
 
+def test_a_tables_rows_are_folded_once(spark):
+    assert len(set(re.findall(r"ArrowEvalPython \(\d+\)", plan(registry.queries()["fused_tables"](spark, SF))))) == 1
+
+
 def test_no_python_but_where_it_is_named(spark):
     named = {"seq_ratio", "row_label_match", "replay_trim", "overlap_dedup", "continuation_repair", "html_tables", "safe_filename", "cross_page_link", "merged_rows", "logical_tables", "md_to_text",
              "text_normalize", "split_headings", "glyph_map", "source_url", "office_safety", "office_images",

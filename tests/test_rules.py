@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirelake.functions import geometry as G
-from quirelake.operators import normalise, order, plumbing, recipes, visual
+from quirelake.operators import fused, fusion, normalise, order, plumbing, recipes, tables, visual
 from quirelake.sources import readers, safety, sinks
 
 F_SHA = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
@@ -259,6 +259,27 @@ def test_signature_pages(spark):
     assert got == {1: "合同双方签字盖章\n李\nend\n\n<!-- image -->", 2: "x\n张三"}
 
 
+def test_fold_agrees_with_its_steps(spark):
+    """Bands, votes and Markdown of the fold are those of the operators over tables, on odd cells too."""
+    dice = random.Random(5)
+    cells = ["", None, " ", "a", "A ", "ß", "SS", "−1", "-1", "<b>|", "x\ny", "\u3000a", "Item", "İ"]
+    rows = [(p, dice.randrange(3), "single", dice.choice([[], ["Item", "Sum"]]), i, dice.choice(["header", "data", None]), dice.choices(cells, k=dice.randrange(1, 4))) for p in range(60) for i in range(dice.randrange(1, 9))]
+    schema = "page int, band int, table_id string, columns array<string>, row_index int, kind string, cells array<string>"
+    want: dict[int, list] = {}
+    for r in visual.band_combine(spark.createDataFrame(rows, schema), "page").orderBy("page", "out_index").collect():
+        want.setdefault(r["page"], []).append(r["cells"])
+    got = {p: fused.combined([(0, b, i, c, k, None, x) for q, b, _, c, i, k, x in rows if q == p])[1] for p in range(60)}
+    assert want and {p: x for p, x in got.items() if x} == want
+    heard = [(k, s, dice.choice(cells)) for k in range(200) for s in ("glm", "qwen", "docling", "other") if dice.random() < 0.8]
+    votes = {k: fused.vote([(s, v) for j, s, v in heard if j == k and s != "other"]) for k in {j for j, s, _ in heard if s != "other"}}
+    one = spark.createDataFrame(heard, "k int, source string, value string")
+    assert {r["k"]: tuple(r)[1:] for r in fusion.field_consensus(one, ["k"]).collect()} == {k: v[2:] for k, v in votes.items()}
+    strength = fusion.evidence_strength(one.withColumn("col", F.lit(0)), ["k"]).collect()
+    assert {r["k"]: (r["agreements"], r["coverage"]) for r in strength} == {k: v[:2] for k, v in votes.items() if v[1]}
+    shown = tables.gfm_render(spark.createDataFrame([(1, 0, cells[:7]), (1, 1, cells[7:])], "page int, row_index long, cells array<string>"), ["page"])
+    assert shown.first()["markdown"] == fused.markdown([cells[:7], cells[7:]])
+
+
 def test_fused_tables(spark):
     rows = [(1, 0, "single", ["Item", "Sum"], 0, "header", ["Item", "Sum"]), (1, 0, "single", ["Item", "Sum"], 1, "data", ["Cash", "1"]), (1, 0, "single", ["Item", "Sum"], 2, "data", ["Bonds", "2"]), (1, 1, "single", [], 0, "data", ["Bonds", "2"]), (1, 1, "single", [], 1, "data", ["Total", "8"])]
     bands = spark.createDataFrame(rows, "page int, band int, table_id string, columns array<string>, row_index int, kind string, cells array<string>")

@@ -209,6 +209,16 @@ def test_ratio_is_that_of_the_library(spark):
         assert pyfuncs.bounded_ratio(a, b, 0.8) == r or r < 0.8
 
 
+def test_bounds_of_a_ratio_hold():
+    """Characters that share a place, and more of one than have room."""
+    rng = random.Random(6)
+    for _ in range(500):
+        a = "".join(rng.choice("a!\u00e1bé漢") for _ in range(rng.randint(0, 120)))
+        b = "".join(c for c in a if rng.random() > 0.15) + rng.choice(["", "!" * 40, "a"])
+        r = difflib.SequenceMatcher(None, a, b).ratio()
+        assert pyfuncs.bounded_ratio(a, b, 0.86) == r or r < 0.86
+
+
 def test_labels(spark):
     rows = [{"label": x, "row_index": i} for i, x in enumerate(["Total assets", "Total  ASSETS", "Net profit", "Net profits", "Cash"])]
     assert fuzzy.best_labels(["cash", "total assets", "net profitz", "", "zzz"], rows, 0.86) == [4, None, 2, None, None]
